@@ -49,7 +49,7 @@ def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
         _WORDS.clear()
     cut = [TOKEN.findall(t.lower()) for t in texts]
     flat = list(chain.from_iterable(cut))
-    for w in set(flat) - _WORDS.keys():
+    for w in [w for w in set(flat) if w not in _WORDS]:
         _WORDS[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
     words = np.fromiter(map(_WORDS.__getitem__, flat), np.uint64, len(flat))
     with np.errstate(over="ignore"):
