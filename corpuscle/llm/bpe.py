@@ -30,30 +30,48 @@ MAX_ROWS, CACHE, CHARS, IDS = 6_000_000, 300_000, 3_000_000, 1_000_000
 #: Bytes of a word from which all non-overlapping places of its minimum pair are contracted in one step.
 LONG_WORD = 256
 
-_PAIRS = "select t.w, t.p, t.id, t.nid, m.k from (select w, p, id, lead(id) over (partition by w order by p) as nid from {tokens}) t left join {merges} m on m.l = t.id and m.r = t.nid"
-#: One contraction a step and word: its first place of minimum rank.
+#: One contraction a step and word: its first place of minimum rank. A row knows its neighbour (np, nid) and the rank and place
+#: of its pair (kp), so a step joins one row for each word and looks up only the two pairs that it changes.
 _LEFTMOST = """
-best as (select w, min(k::bigint * 4294967296 + p) as b from s group by w having min(k) is not null),
-near as (select s.step, s.w, s.p, s.id, (b // 4294967296)::int as mk, (b % 4294967296)::int as bp from s join best using (w)),
-done as (select step, w, p, case when p = bp then mk else id end as id, lag(p = bp, 1, false) over (partition by w order by p) as eaten from near)"""
-#: All places of the minimum rank; of places that overlap, as in a run of one token, every second from the left.
+with recursive s(step, w, p, np, id, nid, kp) as (
+  select 0, t.w, t.p, t.np, t.id, t.nid, m.k::bigint * 4294967296 + t.p from tokens t left join merges m on m.l = t.id and m.r = t.nid
+  union all
+  (with low as (select w, min(kp) as kp from s where kp is not null group by w),
+  best as (
+    select h.w, h.p as bp, h.np as bnp, e.np as nnp, e.nid as nnid, (low.kp // 4294967296)::int as mk
+    from low join s h on h.w = low.w and h.kp = low.kp join s e on e.w = h.w and e.p = h.np),
+  done as (
+    select s.step + 1 as step, s.w, s.p, case when s.p = bp then nnp else s.np end as np, case when s.p = bp then mk else s.id end as id,
+      case when s.p = bp then nnid when s.np = bp then mk else s.nid end as nid, s.kp, s.p = bp or s.np = bp as new
+    from s join best using (w) where s.p <> bnp and s.step < {steps})
+  select step, w, p, np, id, nid, case when new then m.k::bigint * 4294967296 + p else kp end
+  from done left join merges m on m.l = (case when new then id else -1 end) and m.r = nid)
+)
+select s.w, s.p, s.id, s.kp as k from s join (select w, max(step) as step from s group by w) using (w, step) order by w, p"""
+#: All places of the minimum rank in one step; of places that overlap, as in a run of one token, every second from the left.
 _ALL = """
-best as (select w, min(k) as mk from s group by w having min(k) is not null),
-near as (select s.step, s.w, s.p, s.id, mk, coalesce(k = mk, false) as hit, row_number() over (partition by s.w order by p) as rn from s join best using (w)),
-runs as (select *, rn - row_number() over (partition by w, hit order by p) as run from near),
-odd as (select *, hit and row_number() over (partition by w, hit, run order by p) % 2 = 1 as take from runs),
-done as (select step, w, p, case when take then mk else id end as id, lag(take, 1, false) over (partition by w order by p) as eaten from odd)"""
-_ENCODE = """
 with recursive s(step, w, p, id, nid, k) as (
-  select 0, * from ({first})
+  select 0, t.w, t.p, t.id, t.nid, m.k from tokens t left join built m on m.l = t.id and m.r = t.nid
   union all
-  (with {contract},
+  (with best as (select w, min(k) as mk from s group by w having min(k) is not null),
+  near as (select s.step, s.w, s.p, s.id, mk, coalesce(k = mk, false) as hit, row_number() over (partition by s.w order by p) as rn from s join best using (w) where step < {steps}),
+  runs as (select *, rn - row_number() over (partition by w, hit order by p) as run from near),
+  odd as (select *, hit and row_number() over (partition by w, hit, run order by p) % 2 = 1 as take from runs),
+  done as (select step, w, p, case when take then mk else id end as id, lag(take, 1, false) over (partition by w order by p) as eaten from odd),
   kept as (select step, w, p, id, lead(id) over (partition by w order by p) as nid from done where not eaten)
-  select g.step + 1, g.w, g.p, g.id, g.nid, m.k from kept g left join {merges} m on m.l = g.id and m.r = g.nid where g.step < {steps})
+  select g.step + 1, g.w, g.p, g.id, g.nid, m.k from kept g left join built m on m.l = g.id and m.r = g.nid)
 )
 select w, p, id, k from s qualify step = max(step) over (partition by w) order by w, p"""
 
 
+def _with_next(w: np.ndarray, p: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """Token-position rows and the next row of the same word, -1 after the last."""
+    n = len(w)
+    last = np.r_[w[1:] != w[:-1], True][:n]
+    after = lambda x: np.where(last, -1, np.r_[x[1:], -1][:n]).astype(np.int32)
+    return pa.table({"w": w, "p": p, "np": after(p), "id": ids, "nid": after(ids)})
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -108,21 +126,20 @@ class Codec:
         if long and not self.has_built:
             self._table("built", self._built())
             self.has_built = True
-        merges, out = "built" if long else "merges", [b""] * len(words)
+        out = [b""] * len(words)
         flat = np.frombuffer(b"".join(words), np.uint8)
-        w = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words])
-        tokens = pa.table({"w": w, "p": np.arange(len(flat), dtype=np.int32), "id": self.base[flat]})
+        tokens = _with_next(np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words]), np.arange(len(flat), dtype=np.int32), self.base[flat])
         while tokens.num_rows:
             self.db.register("tokens", tokens)
-            query = _ENCODE.format(first=_PAIRS.format(tokens="tokens", merges=merges), contract=_ALL if long else _LEFTMOST, merges=merges, steps=max(8, MAX_ROWS // tokens.num_rows))
-            got = self.db.sql(query).to_arrow_table()
+            got = self.db.sql((_ALL if long else _LEFTMOST).format(steps=max(8, MAX_ROWS // tokens.num_rows))).to_arrow_table()
             self.db.unregister("tokens")
             w, ids, open_ = got["w"].to_numpy(), got["id"].to_numpy().astype("<u4"), np.unique(got.filter(got["k"].is_valid())["w"].to_numpy())
             starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             data = ids.tobytes()
             for word, a, b in zip(w[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(w)], strict=True):
                 out[word] = data[4 * a : 4 * b]
-            tokens = got.filter(pa.array(np.isin(w, open_))).select(["w", "p", "id"])  # steps ran out: go on from there
+            rest = np.isin(w, open_)  # steps ran out: go on from there
+            tokens = _with_next(w[rest], got["p"].to_numpy()[rest], got["id"].to_numpy()[rest])
         return out
 
     def _encode_words(self, words: list[str]) -> None:
