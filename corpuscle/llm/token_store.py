@@ -201,7 +201,8 @@ def read_segments(spark, path: str) -> DataFrame:
     rows = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     # one row for each part, so this single ordered window is as small as the list of files
     before = rows.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(before, "part").select((F.col("before") + F.col("first")).alias("start"), *[c for c in rows.columns if c != "first"])
+    # a row for each written part, which the driver's commit listed too
+    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("first")).alias("start"), *[c for c in rows.columns if c != "first"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
