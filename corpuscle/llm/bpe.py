@@ -11,8 +11,6 @@ repeated results, an empty table an empty one, and other columns are not read.
 from __future__ import annotations
 
 import base64
-import contextlib
-import gc
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -25,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.common import CHUNK, by_bytes, narrow
+from corpuscle.llm.common import CHUNK, by_bytes, narrow, no_collection
 
 #: Rows that one recursive query may pile up, entries of each cache, characters and ids that are handled at once.
 MAX_ROWS, CACHE, CHARS, IDS = 6_000_000, 700_000, 3_000_000, 1_000_000
@@ -208,7 +206,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep: in
     for batch in batches:
         at = 0
         for texts in by_bytes(batch.column(keep).to_pylist(), CHARS):
-            with _no_collection():
+            with no_collection():
                 encoded = own.encode(texts)
             rows = batch.slice(at, len(texts))
             yield pa.record_batch([*rows.columns[:keep], pa.array(encoded, pa.binary()), pa.array([len(x) // 4 for x in encoded], pa.int64())], names=[*rows.schema.names[:keep], "ids", "n_tokens"])
@@ -236,16 +234,6 @@ def decode_ids(df: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids
     return given.mapInArrow(partial(_decode, path=vocab_path, pattern=pattern, keep=len(keep)), schema)
 
 
-@contextlib.contextmanager
-def _no_collection() -> Iterator[None]:
-    """No cycles are made here, and looking for some in the caches again and again takes a fifth of the time."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-
-
 def _digest(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     for batch in _encode(batches, path, pattern, 1):
         ids = batch.column(1).to_pylist()

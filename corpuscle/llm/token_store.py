@@ -13,11 +13,11 @@ only; repeated rows are stored as often as they occur; an empty table gives no s
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuscle.llm.common import by_bytes, narrow, new_path
+from corpuscle.llm.common import by_bytes, narrow, new_path, no_collection
 
 BLOCK = 512
 #: Ids from which a segment is closed, characters that are encoded at once, entries of the cache.
-SEGMENT, CHARS, CACHE = 1 << 18, 4_000_000, 400_000
+SEGMENT, CHARS, CACHE = 1 << 18, 4_000_000, 700_000
 MAGIC = b"DAC1"
 
 
@@ -52,14 +52,14 @@ class Dac:
 
     @staticmethod
     def pack(ids: np.ndarray) -> bytes:
-        ids, sizes, body = np.ascontiguousarray(ids, np.uint64), [], []
+        ids, sizes, body = np.ascontiguousarray(ids, np.uint32 if not len(ids) or int(ids.max()) < 1 << 32 else np.uint64), [], []
         while not sizes or len(ids):
             more = ids > 255
             n = len(ids)
             ones = np.r_[0, np.cumsum(more)][np.arange(0, n + 1, BLOCK)][: n // BLOCK + 1]
             body += [(ids & 255).astype(np.uint8).tobytes(), np.packbits(more, bitorder="little").tobytes(), ones.astype("<u4").tobytes()]
             sizes.append(n)
-            ids = ids[more] >> np.uint64(8)
+            ids = ids[more] >> ids.dtype.type(8)
         return b"".join([MAGIC, bytes([len(sizes), 0, 0, 0]), np.array(sizes, "<u8").tobytes(), *body])
 
     def __len__(self) -> int:
@@ -114,11 +114,20 @@ class WordEncoder:
         self.is_end = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.is_end[ends] = True
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.high = re.compile("[^\x00-\u02ff]")
         self.odd = regex.compile("[\x1c-\x1f]")  # white space for str.split, but not for the library
         self.cache: dict[str, bytes] = {}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, chunk: str) -> int:
+        """The words that the library cuts a chunk into; plain words need no pattern."""
+        if chunk.isalpha() and (chunk.isascii() or not self.high.search(chunk)):
+            return 1
+        if chunk[-1] in ".,!?" and chunk[:-1].isalpha() and (chunk.isascii() or not self.high.search(chunk)):
+            return 2
+        return len(self.words.findall(unicodedata.normalize("NFC", chunk).lower()))
 
     def _learn(self, chunks: list[str]) -> None:
         special = [c for c in chunks if self.special.search(c)]
@@ -126,8 +135,8 @@ class WordEncoder:
         plain = [c for c in chunks if c not in self.cache] if special else chunks
         for a in range(0, len(plain), 20_000):
             part = plain[a : a + 20_000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            n = np.fromiter((len(self.words.findall(unicodedata.normalize("NFC", c).lower())) for c in part), np.int64, len(part))
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            n = np.fromiter(map(self._pieces, part), np.int64, len(part))
             ends = np.r_[0, np.flatnonzero(self.is_end[ids]) + 1]
             if len(ends) - 1 != n.sum() or ends[-1] != len(ids):  # words that this count takes apart otherwise
                 self.cache.update(zip(part, self._alone(part), strict=True))
@@ -140,10 +149,11 @@ class WordEncoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         odd = [k for k, t in enumerate(texts) if self.odd.search(t)]
-        cut = [t.split() for t in texts]
+        # small letters first make fewer distinct chunks; from U+0300 on that could change how marks compose
+        cut = [(t if self.high.search(t) or self.special.search(t) else t.lower()).split() for t in texts]
         for k in odd:
             cut[k] = []
-        self._learn(list(set(chain.from_iterable(cut)) - self.cache.keys()))
+        self._learn(list(set().union(*cut).difference(self.cache)))
         get = self.cache.__getitem__
         out = [b"".join(map(get, c)) for c in cut]
         for k, own in zip(odd, self._alone([texts[k] for k in odd]), strict=True):
@@ -171,7 +181,9 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             part = batch.column(2)[0].as_py()
         names, at = batch.column(0).to_pylist(), 0
         for texts in by_bytes(batch.column(1).to_pylist(), CHARS):
-            for doc, data in zip(names[at : at + len(texts)], own.encode(texts), strict=True):
+            with no_collection():
+                encoded = own.encode(texts)
+            for doc, data in zip(names[at : at + len(texts)], encoded, strict=True):
                 ids += [data, end]
                 docs.append(doc)
                 counts.append(len(data) // 4 + 1)
