@@ -52,12 +52,16 @@ class Dac:
 
     @staticmethod
     def pack(ids: np.ndarray) -> bytes:
-        ids, sizes, body = np.ascontiguousarray(ids, np.uint32 if not len(ids) or int(ids.max()) < 1 << 32 else np.uint64), [], []
+        if ids.dtype.kind != "u":
+            ids = np.asarray(ids, np.uint64)
+        ids, sizes, body = np.ascontiguousarray(ids), [], []
         while not sizes or len(ids):
             more = ids > 255
             n = len(ids)
-            ones = np.r_[0, np.cumsum(more)][np.arange(0, n + 1, BLOCK)][: n // BLOCK + 1]
-            body += [(ids & 255).astype(np.uint8).tobytes(), np.packbits(more, bitorder="little").tobytes(), ones.astype("<u4").tobytes()]
+            bits = np.packbits(more, bitorder="little")
+            whole = n // BLOCK * BLOCK // 8
+            ones = np.r_[0, np.cumsum(np.bitwise_count(bits[:whole]).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64))]
+            body += [ids.astype(np.uint8).tobytes(), bits.tobytes(), ones.astype("<u4").tobytes()]
             sizes.append(n)
             ids = ids[more] >> ids.dtype.type(8)
         return b"".join([MAGIC, bytes([len(sizes), 0, 0, 0]), np.array(sizes, "<u8").tobytes(), *body])
@@ -85,13 +89,17 @@ class Dac:
 
     def slice(self, a: int, b: int) -> np.ndarray:
         """Ids a to b, end exclusive."""
-        out, where = np.zeros(b - a, np.uint64), np.arange(b - a)
+        out = np.zeros(max(0, b - a), np.uint32 if len(self.levels) <= 4 else np.uint64)
+        where = None
         for level, (chunks, bits, _) in enumerate(self.levels):
             if a >= b:
                 break
-            out[where] |= chunks[a:b].astype(np.uint64) << np.uint64(8 * level)
-            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
-            where = where[more]
+            if where is None:
+                out[:] = chunks[a:b]
+            else:
+                out[where] |= chunks[a:b].astype(out.dtype) << out.dtype.type(8 * level)
+            more = np.flatnonzero(np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a])
+            where = more if where is None else where[more]
             a = self._rank(level, a)
             b = a + len(where)
         return out
@@ -115,11 +123,13 @@ class WordEncoder:
         self.is_end[ends] = True
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.high = re.compile("[^\x00-\u02ff]")
-        self.odd = regex.compile("[\x1c-\x1f]")  # white space for str.split, but not for the library
+        self.odd = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the library
+        #: How an id lies in memory; no vocabulary of words needs more than four bytes.
+        self.dtype = np.dtype("<u2" if len(self.is_end) <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, chunk: str) -> int:
         """The words that the library cuts a chunk into; plain words need no pattern."""
@@ -135,22 +145,22 @@ class WordEncoder:
         plain = [c for c in chunks if c not in self.cache] if special else chunks
         for a in range(0, len(plain), 20_000):
             part = plain[a : a + 20_000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             n = np.fromiter(map(self._pieces, part), np.int64, len(part))
             ends = np.r_[0, np.flatnonzero(self.is_end[ids]) + 1]
             if len(ends) - 1 != n.sum() or ends[-1] != len(ids):  # words that this count takes apart otherwise
                 self.cache.update(zip(part, self._alone(part), strict=True))
                 continue
-            cut, data = (4 * ends[np.r_[0, np.cumsum(n)]]).tolist(), ids.tobytes()
+            cut, data = (self.dtype.itemsize * ends[np.r_[0, np.cumsum(n)]]).tolist(), ids.tobytes()
             self.cache.update((c, data[x:y]) for c, x, y in zip(part, cut, cut[1:], strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text as little-endian unsigned 32-bit integers."""
+        """The ids of each whole text, as bytes of self.dtype."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        odd = [k for k, t in enumerate(texts) if self.odd.search(t)]
+        odd = [k for k, t in enumerate(texts) if any(c in t for c in self.odd)]
         # small letters first make fewer distinct chunks; from U+0300 on that could change how marks compose
-        cut = [(t if self.high.search(t) or self.special.search(t) else t.lower()).split() for t in texts]
+        cut = [(t if not t.isascii() and self.high.search(t) or "<|" in t and self.special.search(t) else t.lower()).split() for t in texts]
         for k in odd:
             cut[k] = []
         self._learn(list(set().union(*cut).difference(self.cache)))
@@ -168,12 +178,13 @@ SEGMENT_SCHEMA = "part int, segment int, first bigint, n_ids bigint, doc_ids arr
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    own, end = _ENCODERS[path], end_id.to_bytes(4, "little")
+    own = _ENCODERS[path]
+    end = np.array([end_id], own.dtype).tobytes()
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())])
     part, segment, first, ids, docs, counts, size = 0, 0, 0, [], [], [], 0
 
     def close() -> pa.RecordBatch:
-        row = [part, segment, first, size, docs, counts, Dac.pack(np.frombuffer(b"".join(ids), "<u4"))]
+        row = [part, segment, first, size, docs, counts, Dac.pack(np.frombuffer(b"".join(ids), own.dtype))]
         return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     for batch in batches:
@@ -186,7 +197,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             for doc, data in zip(names[at : at + len(texts)], encoded, strict=True):
                 ids += [data, end]
                 docs.append(doc)
-                counts.append(len(data) // 4 + 1)
+                counts.append(len(data) // own.dtype.itemsize + 1)
                 size += counts[-1]
                 if size >= SEGMENT:
                     yield close()
