@@ -1,4 +1,232 @@
-"""Registered queries and their SQL."""
+"""Registered queries: operators over the adapters, each with equivalent SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle import model as m
+from corpuscle.functions import geometry as g
+from corpuscle.functions.selection import compile_selection, index_range
+from corpuscle.operators import edit, grids, interactions, learn, residues, spatial, surface, trajectory
+from corpuscle.plans.adapters import PART_SQL, emb_sql, embeddings_system, part_system
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FEW = 20
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _r(c: Column | str, alias: str) -> Column:
+    return (F.round(c, 4) + F.lit(0.0)).alias(alias)
+
+
+def _emb(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None, frames: int | None = None) -> None:
+    _add(name, lambda spark, d: f(embeddings_system(spark, d, frames)), sql and f"WITH {emb_sql(frames)}{', ' if sql[0] == ',' else ' '}{sql.lstrip(', ')}")
+
+
+def _part(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    _add(name, lambda spark, d: f(part_system(spark, d)), sql and f"WITH {PART_SQL}{', ' if sql[0] == ',' else ' '}{sql.lstrip(', ')}")
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _case(table: dict, col: str, default: object) -> str:
+    return f"CASE upper({col}) " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in table.items()) + f" ELSE {default} END"
+
+
+D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+D = f"sqrt({D2})"
+ACROSS = "((a.in_a AND b.in_b) OR (a.in_b AND b.in_a))"
+
+# selections
+for _name, _text, _where in (
+    ("select_type", "type == 8", "type_id = 8"),
+    ("select_element_not", "NOT element == C", "NOT coalesce(element, '') = 'C'"),
+    ("select_coord_and", "z > 5 AND x <= 8.5 AND resname == GLY", "z > 5 AND x <= 8.5e0 AND resname = 'GLY'"),
+    ("select_or_not", "(chain_id == A OR NOT name == CA) AND residue_id >= 12", "(chain_id = 'A' OR NOT name = 'CA') AND residue_id >= 12"),
+):
+    _part(_name, lambda s, t=_text: s.where(compile_selection(t)).select("idx"), f"SELECT idx FROM s WHERE {_where}")
+_part("select_named", lambda s: s.where(compile_selection("named ring AND NOT type == 17", {"ring": F.col("resname").isin("PHE", "TYR")})).select("idx"), "SELECT idx FROM s WHERE resname IN ('PHE', 'TYR') AND NOT type_id = 17")
+_part("select_panel", lambda s: s.where(compile_selection("element == cl AND x == 1.77", dialect="panel")).select("idx"), "SELECT idx FROM s WHERE upper(element) = 'CL' AND abs(x - 1.77e0) < 1e-9")
+_part("select_index_range", lambda s: s.where(index_range("3-40, 77, 101-150")).select("idx"), "SELECT idx FROM s WHERE idx BETWEEN 3 AND 40 OR idx = 77 OR idx BETWEEN 101 AND 150")
+_part("backbone_atoms", lambda s: s.where(F.upper(F.trim("name")).isin(*m.BACKBONE)).select("idx", "name"), f"SELECT idx, name FROM s WHERE name IN {_in(m.BACKBONE)}")
+
+# geometry
+def _wide(s: DataFrame, *idx: int) -> DataFrame:
+    """One row a frame with the chosen atoms as structs a, b, c, d."""
+    return s.where(F.col("idx").isin(*idx)).groupBy("frame").agg(*(F.max(F.when(F.col("idx") == i, F.struct("x", "y", "z"))).alias(n) for n, i in zip("abcd", idx, strict=False)))
+
+
+def _points(*idx: int) -> str:
+    return "FROM " + " JOIN ".join(f"s {n}{' ON ' + n + '.frame = a.frame AND ' + n + '.idx = ' + str(i) if n != 'a' else ''}" for n, i in zip("abcd", idx, strict=False)) + f" WHERE a.idx = {idx[0]}"
+
+
+_emb("distance_traj", lambda s: _wide(s, 0, 7).select("frame", _r(g.distance(g.point(struct="a"), g.point(struct="b")), "value")), f"SELECT a.frame, round({D}, 4) AS value {_points(0, 7)}")
+_emb("distance_stats", lambda s: _wide(s, 0, 7).select(g.distance(g.point(struct="a"), g.point(struct="b")).alias("v")).agg(_r(F.min("v"), "min"), _r(F.avg("v"), "mean"), _r(F.max("v"), "max")), f"SELECT round(min({D}), 4) AS min, round(avg({D}), 4) AS mean, round(max({D}), 4) AS max {_points(0, 7)}")
+_dot = lambda u, v: " + ".join(f"({p}) * ({q})" for p, q in zip(u, v, strict=True))
+_sub = lambda p, q: [f"{p}.{c} - {q}.{c}" for c in "xyz"]
+_cross = lambda u, v: [f"({u[i]}) * ({v[j]}) - ({u[j]}) * ({v[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+_u, _v = _sub("a", "b"), _sub("c", "b")
+_angle_sql = lambda u, v: f"degrees(acos(greatest(-1e0, least(1e0, ({_dot(u, v)}) / (sqrt({_dot(u, u)}) * sqrt({_dot(v, v)}))))))"
+_emb("angle_traj", lambda s: _wide(s, 0, 1, 2).select("frame", _r(g.angle(*(g.point(struct=c) for c in "abc")), "value")), f"SELECT a.frame, round({_angle_sql(_u, _v)}, 4) AS value {_points(0, 1, 2)}")
+
+
+def _torsion_sql(p: str, q: str, r: str, t: str) -> str:
+    b1, b2, b3 = _sub(q, p), _sub(r, q), _sub(t, r)
+    n1, n2 = _cross(b1, b2), _cross(b2, b3)
+    unit = [f"({c}) / (sqrt({_dot(b2, b2)}) + 1e-15)" for c in b2]
+    return f"degrees(atan2({_dot(_cross(n1, unit), n2)}, {_dot(n1, n2)}))"
+
+
+_emb("torsion_traj", lambda s: _wide(s, 0, 1, 2, 3).select("frame", _r(g.torsion(*(g.point(struct=c) for c in "abcd")), "value")), f"SELECT a.frame, round({_torsion_sql('a', 'b', 'c', 'd')}, 4) AS value {_points(0, 1, 2, 3)}")
+
+# trajectories
+_SQ = "(s.x - r.x) * (s.x - r.x) + (s.y - r.y) * (s.y - r.y) + (s.z - r.z) * (s.z - r.z)"
+_emb("rmsd_traj", lambda s: trajectory.rmsd_to_frame(s.select("frame", "idx", "x", "y", "z")).select("frame", _r("rmsd", "rmsd")), f"SELECT s.frame, round(sqrt(sum({_SQ}) / count(*)), 4) AS rmsd FROM s JOIN s r ON r.idx = s.idx AND r.frame = 0 GROUP BY s.frame")
+_emb("rmsd_subset", lambda s: trajectory.rmsd_to_frame(s.where(F.col("name").isin(*m.BACKBONE)).select("frame", "idx", "x", "y", "z"), 3).select("frame", _r("rmsd", "rmsd")), f"SELECT s.frame, round(sqrt(sum({_SQ}) / count(*)), 4) AS rmsd FROM s JOIN s r ON r.idx = s.idx AND r.frame = 3 WHERE s.name IN {_in(m.BACKBONE)} GROUP BY s.frame")
+_RMSF = "sqrt(var_pop(x) + var_pop(y) + var_pop(z))"
+_emb("rmsf_atom", lambda s: trajectory.rmsf(s).select("idx", _r("rmsf", "rmsf")), f"SELECT idx, round({_RMSF}, 4) AS rmsf FROM s GROUP BY idx")
+_emb("rmsf_residue", lambda s: trajectory.rmsf_per_residue(s).select("residue_id", _r("rmsf", "rmsf")), f"SELECT residue_id, round(avg(r), 4) AS rmsf FROM (SELECT residue_id, idx, {_RMSF} AS r FROM s GROUP BY residue_id, idx) GROUP BY residue_id")
+
+
+def _kabsch_sql(p: str, q: str) -> str:
+    """The closed form over pairs p, q of one group, as nested selects."""
+    ax = "xyz"
+    sums = ["count(*) AS n", *(f"sum({t}.{c}) AS s{t}{c}" for t in (p, q) for c in ax), *(f"sum({t}.x * {t}.x + {t}.y * {t}.y + {t}.z * {t}.z) AS g{t}" for t in (p, q)), *(f"sum({p}.{c} * {q}.{d}) AS c{c}{d}" for c in ax for d in ax)]
+    h = ", ".join(f"c{c}{d} - s{p}{c} * s{q}{d} / n AS h{c}{d}" for c in ax for d in ax)
+    gg = " + ".join(f"g{t} - (s{t}x * s{t}x + s{t}y * s{t}y + s{t}z * s{t}z) / n" for t in (p, q))
+    k = ", ".join(f"{' + '.join(f'h{e}{c} * h{e}{d}' for e in ax)} AS k{c}{d}" for c in ax for d in ax)
+    det = "hxx * (hyy * hzz - hyz * hzy) - hxy * (hyx * hzz - hyz * hzx) + hxz * (hyx * hzy - hyy * hzx)"
+    low = "(kxx - q) * ((kyy - q) * (kzz - q) - kyz * kyz) - kxy * (kxy * (kzz - q) - kyz * kxz) + kxz * (kxy * kyz - (kyy - q) * kxz)"
+    return f"""
+sums AS (SELECT {{keys}}, {', '.join(sums)} {{source}} GROUP BY ALL),
+h AS (SELECT *, {h}, {gg} AS g FROM sums), k AS (SELECT *, {k}, {det} AS det FROM h), q AS (SELECT *, (kxx + kyy + kzz) / 3 AS q FROM k),
+p AS (SELECT *, sqrt(((kxx - q) * (kxx - q) + (kyy - q) * (kyy - q) + (kzz - q) * (kzz - q) + 2 * (kxy * kxy + kxz * kxz + kyz * kyz)) / 6) AS p FROM q),
+f AS (SELECT *, acos(greatest(-1e0, least(1e0, CASE WHEN p > 0 THEN ({low}) / (p * p * p) / 2 ELSE 1e0 END))) / 3 AS phi FROM p),
+e AS (SELECT *, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + {2 * math.pi / 3!r}) AS e3 FROM f),
+out AS (SELECT *, sqrt(greatest((g - 2 * (sqrt(greatest(e1, 0e0)) + sqrt(greatest(3 * q - e1 - e3, 0e0)) + CASE WHEN det < 0 THEN -1 ELSE 1 END * sqrt(greatest(e3, 0e0)))) / n, 0e0)) AS rmsd FROM e)"""
+
+
+# the reference frame itself is zero up to rounding under the root, so three places are compared
+_emb("kabsch_rmsd_traj", lambda s: trajectory.kabsch_rmsd_to_frame(s.select("frame", "idx", "x", "y", "z")).select("frame", (F.round("rmsd", 3) + 0.0).alias("rmsd")), ", " + _kabsch_sql("a", "b").format(keys="a.frame", source="FROM s a JOIN s b ON b.idx = a.idx AND b.frame = 0") + " SELECT frame, round(rmsd, 3) AS rmsd FROM out")
+_PAIRS = "FROM s a JOIN s b ON b.idx = a.idx AND a.frame < b.frame"
+_emb("rmsd_matrix_raw", lambda s: trajectory.rmsd_matrix(s, align=False).select("i", "j", _r("rmsd", "rmsd")), f"SELECT a.frame AS i, b.frame AS j, round(sqrt(sum({D2}) / count(*)), 4) AS rmsd {_PAIRS} GROUP BY 1, 2", 100)
+_emb("rmsd_matrix_aligned", lambda s: trajectory.rmsd_matrix(s).select("i", "j", _r("rmsd", "rmsd")), ", " + _kabsch_sql("a", "b").format(keys="a.frame AS i, b.frame AS j", source=_PAIRS) + " SELECT i, j, round(rmsd, 4) AS rmsd FROM out", 100)
+_emb("divergent_pairs_top10", lambda s: trajectory.rmsd_matrix(s, align=False).orderBy(F.desc("rmsd"), "i", "j").limit(10).select("i", "j", _r("rmsd", "rmsd")), f"SELECT i, j, round(r, 4) AS rmsd FROM (SELECT a.frame AS i, b.frame AS j, sqrt(sum({D2}) / count(*)) AS r {_PAIRS} GROUP BY 1, 2 ORDER BY r DESC, i, j LIMIT 10)", 100)
+_emb("aligned_coords", lambda s: trajectory.superimpose_trajectory(s.select("frame", "idx", "x", "y", "z")).select("frame", "idx", *(_r(c, c) for c in "xyz")))
+_emb("packed_frames", lambda s: trajectory.unpack_frames(trajectory.pack_frames(s)).select("frame", "idx", *(_r(c, c) for c in "xyz")), "SELECT frame, idx, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s")
+
+# distance joins
+_part("bonds_cutoff", lambda s: spatial.bonds_within(s, 1.8).select("i", "j"), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON a.idx < b.idx WHERE {D2} <= 1.8e0 * 1.8e0")
+_COV = f"least({_case(m.COVALENT_RADIUS, 'a.element', '0.77e0')} + {_case(m.COVALENT_RADIUS, 'b.element', '0.77e0')} + 0.45e0, 3e0)"
+_part("bonds_covalent", lambda s: spatial.covalent_bonds(s).select("i", "j"), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON a.idx < b.idx WHERE {D} > 0.4e0 AND {D} < {_COV}")
+_part("bonds_selected", lambda s: spatial.bonds_between(spatial.bonds_within(s, 1.8).select("i", "j"), s.where("chain_id = 'A'")), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON a.idx < b.idx WHERE {D2} <= 1.8e0 * 1.8e0 AND a.chain_id = 'A' AND b.chain_id = 'A'")
+_part("bond_missing", lambda s: spatial.missing_bonds(s.where("idx < 199").select(F.col("idx").alias("i"), (F.col("idx") + 1).alias("j")), spatial.bonds_within(s, 1.8)), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON b.idx = a.idx + 1 WHERE a.idx < 199 AND NOT {D2} <= 1.8e0 * 1.8e0")
+_part("nearest_atom", lambda s: spatial.nearest_atom(s, 7.3, 4.1, 2.2).select("idx", _r("d", "d")), "SELECT idx, round(sqrt(d2), 4) AS d FROM (SELECT idx, (x - 7.3e0) * (x - 7.3e0) + (y - 4.1e0) * (y - 4.1e0) + (z - 2.2e0) * (z - 2.2e0) AS d2 FROM s ORDER BY d2, idx LIMIT 1)")
+
+# interactions
+_out = lambda f, *more: (lambda s: f(s).select("frame", "i", "j", _r("distance", "distance"), *(_r(c, c) if c != "c" else F.col(c) for c in more)))
+_HB_NEAR = f"h AS (SELECT a.frame, a.idx AS i, arg_min(b, row({D2}, b.idx)) AS h FROM s a JOIN s b ON a.frame = b.frame AND b.element = 'H' WHERE a.element IN ('N', 'O', 'S') AND {D2} < 1.2e0 * 1.2e0 GROUP BY 1, 2)"
+_HANGLE = _angle_sql([f"a.{c} - h.h.{c}" for c in "xyz"], [f"b.{c} - h.h.{c}" for c in "xyz"])
+_HB = f"hb AS (SELECT a.frame, a.idx AS i, b.idx AS j, {D} AS distance, CASE WHEN h.h IS NOT NULL THEN {_HANGLE} END AS angle FROM s a JOIN s b ON a.frame = b.frame AND a.idx <> b.idx LEFT JOIN h ON h.frame = a.frame AND h.i = a.idx WHERE a.element IN ('N', 'O', 'S') AND b.element IN ('N', 'O', 'S', 'F') AND {ACROSS} AND {D2} <= 3.5e0 * 3.5e0)"
+_HB_ALL = f"{_HB_NEAR}, {_HB}, hbonds AS (SELECT * FROM hb WHERE angle IS NULL OR angle >= 120)"
+# the angle at a donor's own hydrogen is along the vectors to donor and acceptor
+_emb("hbonds", lambda s: interactions.hbonds(s).select("frame", "i", "j", _r("distance", "distance"), _r("angle", "angle")), f", {_HB_ALL} SELECT frame, i, j, round(distance, 4) AS distance, round(angle, 4) AS angle FROM hbonds")
+_SALT = f"salt_bridges AS (SELECT a.frame, a.idx AS i, b.idx AS j, {D} AS distance FROM s a JOIN s b ON a.frame = b.frame WHERE a.resname IN {_in(m.POSITIVE)} AND b.resname IN {_in(m.NEGATIVE)} AND {ACROSS} AND {D2} <= 16e0)"
+_emb("salt_bridges", _out(interactions.salt_bridges), f", {_SALT} SELECT frame, i, j, round(distance, 4) AS distance FROM salt_bridges")
+_LIMIT = f"{_case(m.CONTACT_RADIUS, 'a.element', '1.7e0')} + {_case(m.CONTACT_RADIUS, 'b.element', '1.7e0')} - 0.4e0"
+_CLASH = f"clashes AS (SELECT a.frame, a.idx AS i, b.idx AS j, {D} AS distance, {_LIMIT} - {D} AS overlap FROM s a JOIN s b ON a.frame = b.frame AND a.idx <> b.idx WHERE a.in_a AND b.in_b AND a.element <> 'H' AND b.element <> 'H' AND {D} < {_LIMIT})"
+_emb("clashes", _out(interactions.clashes, "overlap"), f", {_CLASH} SELECT frame, i, j, round(distance, 4) AS distance, round(overlap, 4) AS overlap FROM clashes")
+_emb("clashes_top10", lambda s: _out(interactions.clashes, "overlap")(s).orderBy(F.desc("overlap"), "frame", "i", "j").limit(10), f", {_CLASH} SELECT frame, i, j, round(distance, 4) AS distance, round(overlap, 4) AS overlap FROM clashes ORDER BY overlap DESC, frame, i, j LIMIT 10")
+_HYDRO = f"hydrophobic AS (SELECT a.frame, a.idx AS i, b.idx AS j, {D} AS distance FROM s a JOIN s b ON a.frame = b.frame WHERE a.in_a AND b.in_b AND a.element IN ('C', 'S') AND b.element IN ('C', 'S') AND {D2} <= 16e0)"
+_emb("hydrophobic", _out(interactions.hydrophobic), f", {_HYDRO} SELECT frame, i, j, round(distance, 4) AS distance FROM hydrophobic")
+_HALO = f"hc AS (SELECT a.frame, a.idx AS i, min(b.idx) AS c FROM s a JOIN s b ON a.frame = b.frame AND a.idx <> b.idx WHERE a.element IN ('F', 'CL', 'BR', 'I') AND b.element = 'C' AND {D2} < 2.1e0 * 2.1e0 GROUP BY 1, 2), halogen AS (SELECT a.frame, a.idx AS i, b.idx AS j, {D} AS distance, hc.c FROM s a JOIN s b ON a.frame = b.frame JOIN hc ON hc.frame = a.frame AND hc.i = a.idx WHERE b.element IN ('N', 'O', 'S') AND a.in_a <> b.in_a AND {D2} <= 3.5e0 * 3.5e0)"
+_part("halogen_bonds", _out(interactions.halogen_bonds, "c"), f", {_HALO} SELECT frame, i, j, round(distance, 4) AS distance, c FROM halogen")
+_RING = lambda side: f"(SELECT frame, residue_id AS idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM s WHERE {side} AND resname IN {_in(m.AROMATIC)} AND element IN ('C', 'N') GROUP BY 1, 2 HAVING count(*) BETWEEN 5 AND 6)"
+_PI = f"pi AS (SELECT a.frame, a.idx AS i, b.idx AS j, {D} AS distance FROM {_RING('in_a')} a JOIN {_RING('in_b')} b ON a.frame = b.frame WHERE {D2} <= 5.5e0 * 5.5e0)"
+_everyone = lambda s: s.withColumn("in_a", F.col("idx") < 11).withColumn("in_b", F.col("idx") >= 11).withColumn("resname", F.lit("PHE")).withColumn("residue_id", F.floor(F.col("idx") / 6).cast("int"))
+_SHIFTED = "t AS (SELECT frame, idx, element, x, y, z, idx < 11 AS in_a, idx >= 11 AS in_b, 'PHE' AS resname, (idx // 6)::INT AS residue_id FROM s)"
+_emb("pi_stacks", lambda s: _out(interactions.pi_stacks)(_everyone(s)), f", {_SHIFTED}, {_PI.replace('FROM s WHERE', 'FROM t WHERE')} SELECT frame, i, j, round(distance, 4) AS distance FROM pi")
+_ALL = f"{_HB_ALL}, {_SALT}, {_CLASH}, {_HYDRO}, {_HALO}, {_PI}, kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, frame FROM {k}" for k in interactions.KINDS) + ")"
+_emb("interaction_counts", interactions.interaction_counts, f", {_ALL} SELECT f.frame, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS {k}" for k in interactions.KINDS) + ", count(kind) AS total FROM (SELECT DISTINCT frame FROM s) f LEFT JOIN kinds USING (frame) GROUP BY f.frame")
+_emb("interaction_summary", interactions.interaction_summary, f", {_ALL} SELECT kind, count(*) AS n FROM kinds GROUP BY kind")
+
+# surface
+_SPHERE = "sphere(px, py, pz) AS (VALUES " + ", ".join(f"({x!r}, {y!r}, {z!r})" for x, y, z in m.sphere()).replace("e-", "e-") + ")"
+_SASA = f"t AS (SELECT *, {_case(m.SURFACE_RADIUS, 'element', '1.7e0')} + 1.4e0 AS r FROM s), {_SPHERE}, free AS (SELECT a.frame, a.idx, a.residue_id, a.r, p.px, bool_or(b.idx IS NOT NULL) AS covered FROM t a CROSS JOIN sphere p LEFT JOIN t b ON a.frame = b.frame AND a.idx <> b.idx AND {D} > 1e-6 AND {D} < a.r + b.r AND sqrt((a.x + a.r * p.px - b.x) * (a.x + a.r * p.px - b.x) + (a.y + a.r * p.py - b.y) * (a.y + a.r * p.py - b.y) + (a.z + a.r * p.pz - b.z) * (a.z + a.r * p.pz - b.z)) < b.r GROUP BY 1, 2, 3, 4, 5, p.py), area AS (SELECT frame, idx, residue_id, count(CASE WHEN NOT covered THEN 1 END) / 92e0 * {4 * math.pi!r} * r * r AS area FROM free GROUP BY frame, idx, residue_id, r)"
+_small = max(r for e, r in m.SURFACE_RADIUS.items() if e in ("H", "C", "N", "O", "CL"))
+_areas = lambda s: surface.sasa(s, largest=_small)
+_emb("sasa_atom", lambda s: _areas(s).select("frame", "idx", _r("area", "area")), f", {_SASA} SELECT frame, idx, round(area, 4) AS area FROM area", FEW)
+_emb("sasa_residue", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")), f", {_SASA} SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2", FEW)
+_emb("top_exposed", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")).orderBy(F.desc("area"), "frame", "residue_id").limit(20), f", {_SASA}, r AS (SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2) SELECT * FROM r ORDER BY area DESC, frame, residue_id LIMIT 20", FEW)
+_KIND = f"CASE WHEN resname IN {_in(m.HYDROPHOBIC)} THEN 'hydrophobic' WHEN resname IN {_in(m.POSITIVE)} THEN 'positive' WHEN resname IN {_in(m.NEGATIVE)} THEN 'negative' WHEN resname IN {_in(m.POLAR)} THEN 'polar' ELSE 'other' END"
+_emb("surface_patches", lambda s: surface.surface_patches(s, _areas(s), 60.0), f", {_SASA}, n AS (SELECT DISTINCT residue_id, resname FROM emb_atoms), ra AS (SELECT frame, residue_id, sum(area) AS area FROM area GROUP BY 1, 2) SELECT frame, residue_id, {_KIND} AS kind FROM ra JOIN n USING (residue_id) WHERE area >= 60", FEW)
+_PKA = f"n AS (SELECT DISTINCT residue_id, chain_id, resname FROM emb_atoms), ra AS (SELECT frame, residue_id, sum(area) AS area FROM area GROUP BY 1, 2), pk AS (SELECT frame, chain_id, residue_id, resname, round({_case(m.MODEL_PKA, 'resname', 'NULL')} + CASE WHEN area < 10 THEN CASE WHEN resname IN ('ASP', 'GLU', 'CYS', 'TYR') THEN 1.5e0 ELSE -1.5e0 END ELSE 0e0 END, 2) AS pka, area < 10 AS buried FROM ra JOIN n USING (residue_id) WHERE resname IN {_in(m.MODEL_PKA)})"
+_emb("pka_estimate", lambda s: surface.estimate_pka(s, _areas(s)), f", {_SASA}, {_PKA} SELECT * FROM pk", FEW)
+_emb("protonation", lambda s: surface.protonation(surface.estimate_pka(s, _areas(s)), 11.5).select("frame", "residue_id", "state"), f", {_SASA}, {_PKA} SELECT frame, residue_id, CASE WHEN pka > 13e0 THEN 'protonated' WHEN pka < 10e0 THEN 'deprotonated' ELSE 'mixed' END AS state FROM pk", FEW)
+_WAT = f"w AS (SELECT * FROM s WHERE resname IN {_in(m.DENSITY_WATERS)} AND name IN {_in(m.DENSITY_OXYGENS)}), g AS (SELECT min(x) - 1 AS ox, min(y) - 1 AS oy, min(z) - 1 AS oz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) + 2 AS span FROM w), d AS (SELECT floor((x - ox) / 0.5e0)::BIGINT AS vx, floor((y - oy) / 0.5e0)::BIGINT AS vy, floor((z - oz) / 0.5e0)::BIGINT AS vz, count(*) / (SELECT count(DISTINCT frame) FROM s) AS density FROM w, g GROUP BY 1, 2, 3)"
+_emb("water_density", lambda s: surface.water_density(s).select("vx", "vy", "vz", F.round("density", 6).alias("density")), f", {_WAT} SELECT vx, vy, vz, round(density, 6) AS density FROM d")
+_emb("hydration_sites", lambda s: surface.hydration_sites(surface.water_density(s)).select("vx", "vy", "vz", F.round("density", 6).alias("density")), f", {_WAT} SELECT vx, vy, vz, round(density, 6) AS density FROM d WHERE density > (SELECT avg(density) + 2 * stddev_pop(density) FROM d)")
+
+# residues
+_FIRST = "SELECT chain_id, residue_id, arg_min(resname, idx) AS resname, count(*) AS n_atoms FROM s GROUP BY 1, 2"
+_part("residues", residues.list_residues, _FIRST)
+_part("sequence", residues.extract_sequence, "SELECT chain_id, string_agg(CASE substr(resname, 1, 3) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.SEQUENCE_LETTER.items()) + " ELSE 'X' END, '' ORDER BY residue_id) AS sequence FROM (SELECT chain_id, residue_id, arg_min(resname, idx) AS resname FROM s WHERE name IN ('CA') GROUP BY 1, 2) GROUP BY 1")
+_part("renumber", lambda s: residues.renumber(s, 5).select("idx", F.col("new_id").cast("long").alias("new_id")), ", f AS (SELECT chain_id, residue_id, row_number() OVER (ORDER BY min(idx)) + 4 AS new_id FROM s GROUP BY 1, 2) SELECT idx, new_id FROM s JOIN f USING (chain_id, residue_id)")
+_part("residue_gaps", residues.residue_gaps, "SELECT chain_id, prev_id, residue_id FROM (SELECT chain_id, residue_id, lag(residue_id) OVER (PARTITION BY chain_id ORDER BY residue_id) AS prev_id FROM (SELECT DISTINCT chain_id, residue_id FROM s)) WHERE residue_id - prev_id > 1")
+_RA = f"o AS (SELECT frame, residue_id, {', '.join(f'arg_max(CASE WHEN name = {n!r} THEN row(x, y, z) END, CASE WHEN name = {n!r} THEN idx END) AS {a}' for n, a in (('N', 'n'), ('CA', 'ca'), ('C', 'c')))} FROM s WHERE name IN ('N', 'CA', 'C') GROUP BY 1, 2)"
+_XYZ = lambda n: f"(SELECT frame, residue_id, max(CASE WHEN name = '{n}' THEN x END) AS x, max(CASE WHEN name = '{n}' THEN y END) AS y, max(CASE WHEN name = '{n}' THEN z END) AS z FROM s GROUP BY 1, 2 HAVING count(CASE WHEN name = '{n}' THEN 1 END) > 0)"
+_on = lambda t, d: f"{t}.frame = o.frame AND {t}.residue_id = o.residue_id{d}"
+_RAMA = f"SELECT o.frame, o.residue_id, CASE WHEN b.x IS NOT NULL THEN round({_torsion_sql('b', 'n', 'ca', 'c')}, 4) END AS phi, CASE WHEN d.x IS NOT NULL THEN round({_torsion_sql('n', 'ca', 'c', 'd')}, 4) END AS psi FROM (SELECT DISTINCT frame, residue_id FROM s) o JOIN {_XYZ('N')} n ON {_on('n', '')} JOIN {_XYZ('CA')} ca ON {_on('ca', '')} JOIN {_XYZ('C')} c ON {_on('c', '')} LEFT JOIN {_XYZ('C')} b ON {_on('b', ' - 1')} LEFT JOIN {_XYZ('N')} d ON {_on('d', ' + 1')} WHERE b.x IS NOT NULL OR d.x IS NOT NULL"
+_emb("phi_psi", lambda s: residues.ramachandran(s).select("frame", "residue_id", _r("phi", "phi"), _r("psi", "psi")), _RAMA)
+_AA = m.AMINO_ACIDS + m.AMINO_VARIANTS
+_RES = f"r AS (SELECT chain_id, residue_id, arg_min(resname, idx) AS resname, list(DISTINCT name) AS names, count(*) AS n FROM s GROUP BY 1, 2), gaps AS (SELECT chain_id, prev_id, residue_id FROM (SELECT chain_id, residue_id, lag(residue_id) OVER (PARTITION BY chain_id ORDER BY residue_id) AS prev_id FROM r) WHERE residue_id - prev_id > 1)"
+_LACK = "list_filter(['C', 'CA', 'N', 'O'], lambda q: NOT list_contains(names, q))"
+_part("structure_counts", lambda s: residues.structure_counts(s), f", {_RES} SELECT sum(n)::BIGINT AS n_atoms, count(*) AS n_residues, count(DISTINCT chain_id) AS n_chains, count(CASE WHEN resname IN {_in(m.WATERS)} THEN 1 END) AS n_waters, count(CASE WHEN resname IN {_in(_AA)} AND len({_LACK}) > 0 THEN 1 END) AS missing_backbone, (SELECT count(*) FROM gaps) AS missing_loops FROM r")
+_part("structure_issues", residues.structure_issues, f", {_RES} SELECT 'NON_STANDARD_RESIDUE' AS issue, chain_id, residue_id, resname AS detail FROM r WHERE resname NOT IN {_in(_AA + m.NUCLEOTIDES + m.WATERS)} UNION ALL SELECT 'MISSING_BACKBONE', chain_id, residue_id, array_to_string({_LACK}, ',') FROM r WHERE resname IN {_in(_AA)} AND len({_LACK}) > 0 UNION ALL SELECT 'MISSING_LOOP', chain_id, prev_id, residue_id::VARCHAR FROM gaps UNION ALL SELECT 'BAD_COORDINATES', a.chain_id, a.residue_id, a.idx || '-' || b.idx FROM s a JOIN s b ON b.idx BETWEEN a.idx + 1 AND a.idx + 19 WHERE a.idx < 500 AND b.idx < 500 AND {D} < 0.5e0 UNION ALL SELECT 'NO_HYDROGENS', '', NULL, '' FROM s HAVING count(CASE WHEN element = 'H' THEN 1 END) = 0")
+_NET = f"net AS (SELECT sum(CASE WHEN resname IN ('ARG', 'LYS', 'HIS', 'HSD', 'HSE') THEN 1 WHEN resname IN ('ASP', 'GLU') THEN -1 ELSE 0 END)::BIGINT AS q FROM ({_FIRST}))"
+_part("ion_estimate", lambda s: residues.ion_estimate(s, 1000), f", {_NET} SELECT q AS net_charge, greatest(-q, 0) + 2 AS n_na, greatest(q, 0) + 2 AS n_cl FROM net")
+_BEADS = "beads(res, o, bead, kind, names) AS (VALUES " + ", ".join(f"('{r}', {o}, '{b}', '{t}', [{', '.join(repr(x) for x in n)}])" for r, o, b, t, n in residues.bead_table()) + ")"
+_CG = f"{_BEADS}, j AS (SELECT s.*, coalesce(b.o, 0) AS bead_order, coalesce(b.bead, 'BB') AS bead, coalesce(b.kind, 'P2') AS bead_type, coalesce(list_contains(b.names, s.name), false) AS inside FROM s LEFT JOIN beads b ON b.res = s.resname), c AS (SELECT chain_id, residue_id, bead_order, bead, bead_type, " + ", ".join(f"coalesce(avg(CASE WHEN inside THEN {c} END), arg_min({c}, CASE WHEN name = 'CA' THEN -1 ELSE idx END)) AS {c}" for c in "xyz") + " FROM j GROUP BY ALL)"
+_emb("cg_beads", lambda s: residues.cg_beads(s).select("chain_id", "residue_id", "bead_order", "bead", "bead_type", *(_r(c, c) for c in "xyz")), f", {_CG} SELECT chain_id, residue_id, bead_order, bead, bead_type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM c", 1)
+_emb("bead_counts", lambda s: residues.cg_beads(s).groupBy("bead_type").agg(F.count("*").alias("n")), f", {_CG} SELECT bead_type, count(*) AS n FROM c GROUP BY 1", 1)
+_BOX = ", ".join(f"round(avg({c}), 4) AS c{c}, round(max({c}) - min({c}) + 10, 4) AS s{c}" for c in "xyz")
+_part("docking_box", lambda s: residues.docking_box(s, F.col("chain_id") == "B").select(*(_r(f"{k}{c}", f"{k}{c}") for c in "xyz" for k in "cs")), f"SELECT {_BOX} FROM s WHERE chain_id = 'B'")
+_part("legend", residues.legend, "SELECT upper(element) AS label, min(idx) AS first_idx FROM s GROUP BY 1")
+_part("hydropathy", lambda s: s.groupBy("residue_id").agg(_r(F.avg(m.lookup(m.HYDROPATHY, F.col("resname"), 0.0)), "score")), f"SELECT residue_id, round(avg({_case(m.HYDROPATHY, 'resname', '0e0')}), 4) AS score FROM s GROUP BY 1")
+_PH = "p AS (SELECT frame, 'donor' AS kind, idx::VARCHAR AS key, x, y, z, 1 AS n FROM s WHERE element IN ('N', 'S') UNION ALL SELECT frame, 'acceptor', idx::VARCHAR, x, y, z, 1 FROM s WHERE element IN ('N', 'O', 'S', 'F')" + "".join(f" UNION ALL SELECT frame, '{k}', chain_id || ':' || residue_id, avg(x), avg(y), avg(z), count(*) FROM s WHERE {w} GROUP BY frame, chain_id, residue_id" for k, w in (("positive", f"resname IN {_in(m.POSITIVE)}"), ("negative", f"resname IN {_in(m.NEGATIVE)}"), ("aromatic", f"resname IN {_in(m.AROMATIC[:-1])} AND element IN ('C', 'N')"))) + ")"
+_emb("pharmacophore_points", lambda s: grids.pharmacophore(s).select("frame", "kind", "key", *(_r(c, c) for c in "xyz"), "n"), f", {_PH} SELECT frame, kind, key, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, n::BIGINT AS n FROM p", FEW)
+_emb("pharmacophore_counts", lambda s: grids.pharmacophore(s).groupBy("kind").agg(F.count("*").alias("n")), f", {_PH} SELECT kind, count(*) AS n FROM p GROUP BY 1")
+_emb("hydrophobic_regions", lambda s: grids.hydrophobic_regions(s).select("root", "n", _r("radius", "radius"), _r("x", "x")), f", RECURSIVE_REACH SELECT root, count(*) AS n, round(greatest(1.5e0, count(*) * 0.3e0), 4) AS radius, round(avg(x), 4) AS x FROM (SELECT b AS id, min(a) AS root FROM reach GROUP BY b) JOIN s ON s.idx = id GROUP BY root", 1)
+ORACLE_SQL["hydrophobic_regions"] = ORACLE_SQL["hydrophobic_regions"].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_REACH", f"near AS (SELECT a.idx AS a, b.idx AS b FROM s a, s b WHERE a.element IN ('C', 'S') AND b.element IN ('C', 'S') AND {D2} < 16e0), reach(a, b) AS (SELECT idx, idx FROM s WHERE element IN ('C', 'S') UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)")
+
+# editing
+_part("remove_waters", lambda s: residues.reindex(edit.remove_waters(s)).select("idx", F.col("new_idx").cast("long").alias("new_idx")), f"SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS new_idx FROM s WHERE resname NOT IN {_in(m.WATERS)}")
+_part("remove_hetatm", lambda s: edit.remove_hetatm(s, ("LIG",)).select("idx", "resname"), f"SELECT idx, resname FROM s WHERE resname IN {_in(_AA + m.NUCLEOTIDES + m.WATERS + ('LIG',))}")
+_emb("mutate_residue", lambda s: edit.mutate_residue(s, 2, "G").select("idx", "name", "resname", *(_r(c, c) for c in "xyz")), "SELECT idx, name, CASE WHEN residue_id = 2 THEN 'GLY' ELSE resname END AS resname, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s WHERE residue_id <> 2 OR name IN ('N', 'CA', 'C', 'O', 'OXT')", 1)
+_CAP = lambda of, away, end, step, res, atom: f"SELECT frame, chain_id, ({end} {step})::INT AS residue_id, '{res}' AS resname, '{atom}' AS name, " + ", ".join(f"round({of}.{c} + 1.33e0 * ({of}.{c} - {away}.{c}) / sqrt(({of}.x - {away}.x) * ({of}.x - {away}.x) + ({of}.y - {away}.y) * ({of}.y - {away}.y) + ({of}.z - {away}.z) * ({of}.z - {away}.z)), 4) AS {c}" for c in "xyz") + f" FROM ends JOIN s {of} USING (frame, chain_id) JOIN s {away} USING (frame, chain_id) WHERE {of}.residue_id = {end} AND {away}.residue_id = {end} AND {of}.name = '{'N' if res == 'ACE' else 'C'}' AND {away}.name = 'CA'"
+_emb("cap_termini", lambda s: edit.cap_termini(s).select("frame", "chain_id", "residue_id", "resname", "name", *(_r(c, c) for c in "xyz")), f", ends AS (SELECT frame, chain_id, min(residue_id) AS first_id, max(residue_id) AS last_id FROM s GROUP BY 1, 2) {_CAP('p', 'q', 'first_id', '- 1', 'ACE', 'CH3')} UNION ALL {_CAP('p', 'q', 'last_id', '+ 1', 'NME', 'N')}")
+_GRID = "b AS (SELECT " + ", ".join(f"min({c}) AS lo{c}, max({c}) AS hi{c}" for c in "xyz") + " FROM s), gr AS (SELECT ix, iy, iz, " + ", ".join(f"lo{c} - 10 + (i{c} + 0.5e0) * 3.1e0 AS {c}" for c in "xyz") + " FROM b, " + ", ".join(f"range(200) t{c}(i{c})" for c in "xyz") + " WHERE " + " AND ".join(f"i{c} < greatest(1, floor((hi{c} - lo{c} + 20) / 3.1e0))" for c in "xyz") + ")"
+_emb("water_sites", lambda s: edit.water_sites(s).select("ix", "iy", "iz"), f", {_GRID} SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM gr a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.element <> 'H' AND {D2} < 2.4e0 * 2.4e0)", 1)
+_emb("water_box", lambda s: edit.water_box(s).groupBy("name").agg(F.count("*").alias("n"), _r(F.avg("x"), "x")), f", {_GRID}, w AS (SELECT x FROM gr a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.element <> 'H' AND {D2} < 2.4e0 * 2.4e0)) SELECT name, count(*) AS n, round(avg(x + dx), 4) AS x FROM w, (VALUES ('OW', 0e0), ('HW1', 0.957e0), ('HW2', -0.239e0)) v(name, dx) GROUP BY 1", 1)
+_emb("alanine_scan", lambda s: edit.alanine_scan(s).select("residue_id", "resname", F.col("d_hbonds").cast("long").alias("d_hbonds"), F.col("d_hydrophobic").cast("long").alias("d_hydrophobic"), F.col("d_clashes").cast("long").alias("d_clashes"), "score"), None, 1)
+_part("pocket_points", lambda s: grids.pocket_points(s.where("idx < 300"), 2.0).select("gx", "gy", "gz"))
+_part("binding_sites", lambda s: grids.binding_sites(s.where("idx < 300"), 2.0).select("rank", _r("volume", "volume"), _r("score", "score"), "lining"))
+
+# sinks and learning
+_part("export_rows", lambda s: s.select("idx", "element", "resname", "residue_id", *(F.format_string("%.3f", F.col(c)).alias(c) for c in "xyz")), "SELECT idx, element, resname, residue_id, printf('%.3f', x) AS x, printf('%.3f', y) AS y, printf('%.3f', z) AS z FROM s")
+_emb("kmeans_frames", lambda s: learn.cluster_frames(s, 5))
+_emb("ward_frames", lambda s: learn.ward_frames(s, 3), None, 60)
+_emb("qsar_ridge", lambda s: learn.fit_frames(s))
+_add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d).where("idx < 400"))))
