@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.common import CHUNK, by_bytes, narrow, no_collection
+from corpuscle.llm.common import CHUNK, by_bytes, hold_cache, narrow, no_collection
 
 #: Rows that one recursive query may pile up, entries of each cache, characters and ids that are handled at once.
 MAX_ROWS, CACHE, CHARS, IDS = 6_000_000, 700_000, 3_000_000, 1_000_000
@@ -196,6 +196,7 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each vocabulary in a Python worker; its caches are bounded and outlive a task."""
+    hold_cache("bpe", _CODECS.clear)
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(path, pattern)
     return _CODECS[path, pattern]

@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +68,19 @@ def text_key(text: Column) -> list[Column]:
     return [F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("long") for k in (0, 1)]
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Python workers outlive a stage; whoever starts work in one clears the caches that another operator left there."""
+    if owner not in _HELD:
+        for other in _HELD.values():
+            other()
+        _HELD.clear()
+        gc.collect()
+        _HELD[owner] = clear
+
+
 @contextlib.contextmanager
 def no_collection() -> Iterator[None]:
     """No cycles are made here, and looking for some in the caches again and again takes a fifth of the time."""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import by_bytes, join_counted, materialize, narrow
+from corpuscle.llm.common import by_bytes, hold_cache, join_counted, materialize, narrow
 
 TOKEN = re.compile(r"\w+")
 BANDS, ROWS, STEP = 24, 4, 16
@@ -77,6 +77,7 @@ def minhash(grams: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """In: doc_id, th, text. Out: doc_id, th, s0, s1 (the set), sig."""
+    hold_cache("ngrams", _WORDS.clear)
     for batch in batches:
         at = 0
         for texts in by_bytes(batch.column(2).to_pylist(), CHARS):
@@ -195,6 +196,7 @@ def _group(rows: list[tuple], n: int, threshold: float, least: list[int]) -> lis
 
 def _link(batches: Iterator[pa.RecordBatch], n: int, threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     """In, sorted by the first four: band, key, block 1, block 2, own block, id, sig, text. Out: id, root, links."""
+    hold_cache("ngrams", _WORDS.clear)
     least = least_matches(threshold, tolerance)
     at, rows, out = None, [], []
 

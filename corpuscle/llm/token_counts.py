@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.common import CHUNK, by_bytes, narrow
+from corpuscle.llm.common import CHUNK, by_bytes, hold_cache, narrow
 
 CACHE, CHARS, SYMBOLS = 400_000, 4_000_000, 2_000_000
 NONE = np.iinfo(np.int32).max
@@ -130,6 +130,7 @@ _COUNTERS: dict[tuple[str, str], PieceCounter] = {}
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, limit: int) -> Iterator[pa.RecordBatch]:
+    hold_cache("counts", _COUNTERS.clear)
     if (path, pattern) not in _COUNTERS:
         _COUNTERS[path, pattern] = PieceCounter(path, pattern)
     own = _COUNTERS[path, pattern]

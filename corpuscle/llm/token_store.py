@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuscle.llm.common import by_bytes, narrow, new_path, no_collection
+from corpuscle.llm.common import by_bytes, hold_cache, narrow, new_path, no_collection
 
 BLOCK = 512
 #: Ids from which a segment is closed, characters that are encoded at once, entries of the cache.
@@ -176,6 +176,7 @@ SEGMENT_SCHEMA = "part int, segment int, first bigint, n_ids bigint, doc_ids arr
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    hold_cache("store", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     own = _ENCODERS[path]
