@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from corpuscle.llm import bpe, decontamination, ngram_join, quality_rules, secret_scan
 from corpuscle.llm.common import materialize
 
+#: After the stages before it, executors have little memory left for the encoder's caches.
+CACHE, CHARS = 150_000, 1_000_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -36,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of each whole text as little-endian unsigned 32-bit integers, and their number."""
-    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=CACHE, chars=CHARS)
 
 
 STAGES = [

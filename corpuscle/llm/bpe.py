@@ -81,6 +81,7 @@ class Codec:
     """Encodes and decodes with one rank file in one DuckDB connection of one thread and bounded memory."""
 
     def __init__(self, path: str, pattern: str):
+        self.cache, self.max_rows = CACHE, MAX_ROWS
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.chunks: dict[str, bytes] = {}
@@ -131,7 +132,7 @@ class Codec:
         tokens = _with_next(np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words]), np.arange(len(flat), dtype=np.int32), self.base[flat])
         while tokens.num_rows:
             self.db.register("tokens", tokens)
-            got = self.db.sql((_ALL if long else _LEFTMOST).format(steps=max(8, MAX_ROWS // tokens.num_rows))).to_arrow_table()
+            got = self.db.sql((_ALL if long else _LEFTMOST).format(steps=max(8, self.max_rows // tokens.num_rows))).to_arrow_table()
             self.db.unregister("tokens")
             w, ids, open_ = got["w"].to_numpy(), got["id"].to_numpy().astype("<u4"), np.unique(got.filter(got["k"].is_valid())["w"].to_numpy())
             starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -153,7 +154,7 @@ class Codec:
         for part, is_long in ((short, False), (long, True)):
             while part:
                 size, n = 0, 0
-                while n < len(part) and (not n or size + len(part[n][1]) <= MAX_ROWS // 12):
+                while n < len(part) and (not n or size + len(part[n][1]) <= self.max_rows // 12):
                     size, n = size + len(part[n][1]), n + 1
                 self.words.update(zip((x for x, _ in part[:n]), self._merge([x for _, x in part[:n]], is_long), strict=True))
                 part = part[n:]
@@ -161,7 +162,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for cache in (self.chunks, self.words):
-            if len(cache) > CACHE:
+            if len(cache) > self.cache:
                 cache.clear()
         cut = [CHUNK.findall(t) for t in texts]
         words = {c: self.pattern.findall(c) for c in set(chain.from_iterable(cut)) if c not in self.chunks}
@@ -202,11 +203,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep: int, cache: int = CACHE, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
+    own.cache, own.max_rows = cache, 2 * chars
     for batch in batches:
         at = 0
-        for texts in by_bytes(batch.column(keep).to_pylist(), CHARS):
+        for texts in by_bytes(batch.column(keep).to_pylist(), chars):
             with no_collection():
                 encoded = own.encode(texts)
             rows = batch.slice(at, len(texts))
@@ -214,11 +216,14 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep: in
             at += len(texts)
 
 
-def encode_texts(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, then ids (binary: little-endian unsigned 32-bit integers) and n_tokens."""
+def encode_texts(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), cache: int = CACHE, chars: int = CHARS) -> DataFrame:
+    """The columns keep, then ids (binary: little-endian unsigned 32-bit integers) and n_tokens.
+
+    cache (entries) and chars (handled at once) bound a Python worker's memory, about 600 MB as they are; less costs time only.
+    """
     given = narrow(df, **{c: c for c in keep}, **{"_llm_text": text_col})
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "ids binary", "n_tokens bigint"])
-    return given.mapInArrow(partial(_encode, path=vocab_path, pattern=pattern, keep=len(keep)), schema)
+    return given.mapInArrow(partial(_encode, path=vocab_path, pattern=pattern, keep=len(keep), cache=cache, chars=chars), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep: int) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -78,6 +79,8 @@ def hold_cache(owner: str, clear: Callable[[], None]) -> None:
             other()
         _HELD.clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc can be asked to give memory back
+            ctypes.CDLL(None).malloc_trim(0)
         _HELD[owner] = clear
 
 

@@ -92,6 +92,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                     sigs.append(None)
             yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "s0", "s1", "sig"])
             at += len(texts)
+    _WORDS.clear()
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -213,6 +214,7 @@ def _link(batches: Iterator[pa.RecordBatch], n: int, threshold: float, tolerance
             rows.append((band, low, high, own, name, sig, text))
         yield flush()
     out += _group(rows, n, threshold, least)
+    _WORDS.clear()
     yield flush()
 
 
