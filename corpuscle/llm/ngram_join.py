@@ -254,7 +254,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tup
     kind = given.schema["doc_id"].dataType.simpleString()
     signed = materialize(given.mapInArrow(partial(_sign, n=n), f"doc_id {kind}, th bigint, s0 bigint, s1 bigint, sig binary"), "signed")
     name = F.concat(F.lpad(F.hex("s0"), 16, "0"), F.lpad(F.hex("s1"), 16, "0"))
-    sets = signed.where("s0 is not null").groupBy("s0", "s1").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("sig").alias("sig"))
+    sets = signed.where("s0 is not null").groupBy("s0", "s1").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.min("sig").alias("sig"))
     sets = materialize(sets.select(name.alias("id"), "s0", "s1", "copies", "rep", "sig"), "sets")
     bands = sets.select("id", "s0", "s1", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, 4 * ROWS)))).alias("band", "key"))
     full = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor("s0").alias("x"), F.bit_xor("s1").alias("y")).where("n > 1")
