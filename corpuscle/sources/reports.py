@@ -27,7 +27,7 @@ def fpocket(lines: DataFrame) -> DataFrame:
     """pocket, score and volume from an info file."""
     pocket = F.when(F.col("value").rlike(r"^Pocket\s+\d+"), F.regexp_extract("value", r"^Pocket\s+(\d+)", 1).cast("int"))
     rows = lines.withColumn("pocket", F.last(pocket, ignorenulls=True).over(Window.partitionBy("path").orderBy("n"))).where("pocket is not null")
-    value = lambda key: F.max(F.when(F.lower(F.trim(F.split_part("value", F.lit(":"), F.lit(1)))) == key, F.regexp_extract("value", r":\s*(-?[\d.]+)", 1).cast("double")))
+    value = lambda key: F.max(F.when(F.lower(F.regexp_extract("value", r"^\s*([^:]*?)\s*:", 1)) == key, F.regexp_extract("value", r":\s*(-?[\d.]+)", 1).cast("double")))
     return rows.groupBy("path", "pocket").agg(value("score").alias("score"), value("volume").alias("volume"))
 
 
