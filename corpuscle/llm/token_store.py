@@ -30,7 +30,7 @@ from corpuscle.llm.common import by_bytes, hold_cache, narrow, new_path, no_coll
 
 BLOCK = 512
 #: Ids from which a segment is closed, characters that are encoded at once, entries of the cache.
-SEGMENT, CHARS, CACHE = 1 << 18, 4_000_000, 700_000
+SEGMENT, CHARS, CACHE = 1 << 18, 4_000_000, 1_000_000
 MAGIC = b"DAC1"
 
 
@@ -234,7 +234,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             base, docs, counts, payload = (batch.column(c)[k].as_py() for c in range(4))
             codes, ends = Dac(payload), np.r_[0, np.cumsum(np.array(counts, np.int64))]
-            ids = codes.slice(0, len(codes)).astype("<u4").tobytes()
+            ids = memoryview(codes.slice(0, len(codes)).astype("<u4", copy=False)).cast("B")
             crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(base + ends[:-1], pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
