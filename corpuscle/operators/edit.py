@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from corpuscle import model as m
 from corpuscle.functions.geometry import cross, minus, norm, point
 from corpuscle.operators.interactions import clashes, hbonds, hydrophobic
 from corpuscle.operators.spatial import cell_join
+from corpuscle.sources.store import materialize
 
 
 class MutationError(ValueError):
@@ -50,13 +52,32 @@ def _unit(p: tuple[Column, ...]) -> tuple[Column, ...]:
     return tuple(c / size for c in p)
 
 
-def place_cbeta(n: tuple[Column, ...], ca: tuple[Column, ...], c: tuple[Column, ...]) -> tuple[Column, ...]:
-    """The beta carbon, 1.52 from CA along 0.58 of the outward bisector and 0.82 of the normal."""
-    u, v = _unit(minus(n, ca)), _unit(minus(c, ca))
-    out = _unit(tuple(-(a + b) for a, b in zip(u, v, strict=True)))
-    up = _unit(cross(u, v))
-    way = _unit(tuple(0.58 * a + 0.82 * b for a, b in zip(out, up, strict=True)))
-    return tuple(a + 1.52 * b for a, b in zip(ca, way, strict=True))
+def _named(p: tuple[Column, ...]) -> Column:
+    return F.struct(*(c.alias(n) for c, n in zip(p, "xyz", strict=True)))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, which keeps nested vector expressions from multiplying."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def place_cbeta(n: Column, ca: Column, c: Column) -> Column:
+    """The beta carbon (structs x, y, z), 1.52 from CA along 0.58 of the outward bisector and 0.82 of the normal."""
+    at = lambda s: tuple(s[k] for k in "xyz")
+    arms = F.struct(_named(_unit(minus(at(n), at(ca)))).alias("u"), _named(_unit(minus(at(c), at(ca)))).alias("v"))
+
+    def ways(s: Column) -> Column:
+        u, v = at(s["u"]), at(s["v"])
+        out = tuple(-(a + b) for a, b in zip(u, v, strict=True))
+        return F.struct(_named(out).alias("out"), _named(cross(u, v)).alias("up"))
+
+    def mixed(s: Column) -> Column:
+        return _named(tuple(0.58 * a + 0.82 * b for a, b in zip(_unit(at(s["out"])), _unit(at(s["up"])), strict=True)))
+
+    def placed(way: Column) -> Column:
+        return _named(tuple(a + 1.52 * b for a, b in zip(at(ca), _unit(at(way)), strict=True)))
+
+    return _once(_once(_once(arms, ways), mixed), placed)
 
 
 def mutate(system: DataFrame, which: Column, target: str) -> DataFrame:
@@ -76,9 +97,9 @@ def mutate(system: DataFrame, which: Column, target: str) -> DataFrame:
     at = lambda a: F.min_by(F.struct("x", "y", "z"), F.when(name == a, F.col("idx"))).alias(a)
     bare = cut.groupBy(*keys).agg(at("N"), at("CA"), at("C"), F.count(F.when(name == "CB", 1)).alias("cb"), *(F.first(c).alias(c) for c in system.columns if c not in (*keys, "idx", "x", "y", "z", "name", "element", "type_id", "resname"))).where("cb = 0 and CA is not null")
     whole = F.col("N").isNotNull() & F.col("C").isNotNull()
-    beta = place_cbeta(point(struct="N"), point(struct="CA"), point(struct="C"))
     plain = (1.21, -0.89, 1.19)
-    placed = [F.when(whole, b).otherwise(F.col("CA")[c] + p).alias(c) for b, c, p in zip(beta, "xyz", plain, strict=True)]
+    bare = bare.withColumn("beta", F.when(whole, place_cbeta(F.col("N"), F.col("CA"), F.col("C"))))
+    placed = [F.coalesce(F.col("beta")[c], F.col("CA")[c] + p).alias(c) for c, p in zip("xyz", plain, strict=True)]
     fixed = {"idx": F.lit(None).cast("long"), "name": F.lit("CB"), "element": F.lit("C"), "type_id": F.lit(6), "resname": F.lit(target)}
     added = bare.select(*placed, *(fixed.get(c, F.col(c)).alias(c) for c in system.columns if c not in "xyz"))
     return reduce(DataFrame.unionByName, [stay, cut, added.select(*system.columns)])
@@ -119,8 +140,8 @@ WATER_SPACING, WATER_CLEARANCE = 3.1, 2.4
 
 
 def water_sites(system: DataFrame, buffer: float = 10.0) -> DataFrame:
-    """ix, iy, iz and oxygen position of the grid waters that no heavy atom of one frame is too near to."""
-    box = system.agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"), F.min("frame").alias("frame"))
+    """ix, iy, iz and oxygen position of the grid waters of each frame that no heavy atom is too near to."""
+    box = system.groupBy("frame").agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"))
     grid = box
     for c in "xyz":
         n = F.greatest(F.lit(1), F.floor((F.col(f"hi{c}") + buffer - (F.col(f"lo{c}") - buffer)) / WATER_SPACING).cast("int"))
@@ -131,32 +152,40 @@ def water_sites(system: DataFrame, buffer: float = 10.0) -> DataFrame:
 
 
 def water_box(system: DataFrame, buffer: float = 10.0, water: str = "tip3p", most: int = 10_000) -> DataFrame:
-    """residue_id, name and position of the atoms of at most `most` waters (a parameter of the box), in grid order."""
-    sites = water_sites(system, buffer).orderBy("ix", "iy", "iz").limit(most)
-    sites = sites.withColumn("residue_id", F.row_number().over(Window.orderBy("ix", "iy", "iz")))
+    """frame, residue_id, name and position of the atoms of at most `most` waters a frame (a parameter of the box), in grid order."""
+    order = F.row_number().over(Window.partitionBy("frame").orderBy("ix", "iy", "iz"))
+    sites = water_sites(system, buffer).withColumn("residue_id", order).where(F.col("residue_id") <= most)
     shape = WATER_MODELS.get("spc" if water == "spce" else water, WATER_MODELS["tip3p"])
     atoms = F.array(*(F.struct(F.lit(n).alias("name"), *(F.lit(v).alias(f"d{c}") for c, v in zip("xyz", d, strict=True))) for n, d in zip(("OW", "HW1", "HW2"), shape, strict=True)))
-    return sites.select("residue_id", "x", "y", "z", F.inline(atoms)).select("residue_id", F.lit("HOH").alias("resname"), F.lit("W").alias("chain_id"), "name", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"))
+    return sites.select("frame", "residue_id", "x", "y", "z", F.inline(atoms)).select("frame", "residue_id", F.lit("HOH").alias("resname"), F.lit("W").alias("chain_id"), "name", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"))
+
+
+#: An atom farther than this from a residue has no interaction that the residue's change to ALA can alter: the beta carbon lies
+#: within 1.93 of CA, contacts reach 4.0, and a donor's hydrogen is within 1.2 of it.
+SCAN_REACH = 8.0
 
 
 def alanine_scan(system: DataFrame) -> DataFrame:
-    """residue_id and the loss of hydrogen bonds, contacts and clashes when it becomes ALA, and the score, for one frame.
+    """frame, residue_id and the loss of hydrogen bonds, contacts and clashes when it becomes ALA, and the score.
 
-    All variants are rows of one table, keyed by the residue that is changed, so one set of joins serves them all.
+    A variant is the neighbourhood of one residue, once as it is and once changed; what lies farther off is the same in both, so
+    the work grows with the residues and their surroundings, not with residues times atoms.
     """
-    residues = system.where("in_a and residue_id is not null").select(F.col("residue_id").alias("scan_residue")).distinct()
-    base = system.withColumn("scan_residue", F.lit(None).cast("int"))
-    variants = mutate(system.crossJoin(residues), (F.col("residue_id") == F.col("scan_residue")) & F.col("in_a"), "ALA")
-    every = base.unionByName(variants.select(*base.columns))
-    # the pair (frame, variant) is what keeps variants apart in the joins
-    every = every.withColumn("frame", F.struct(F.col("frame").alias("f"), F.coalesce("scan_residue", F.lit(-1)).alias("v"))).withColumn("idx", F.coalesce("idx", F.lit(-1)))
+    scanned = system.where("in_a and residue_id is not null")
+    own = scanned.select("frame", F.col("residue_id").alias("scan_residue"), "x", "y", "z")
+    near = cell_join(own, system.select("frame", "idx", "x", "y", "z"), SCAN_REACH).select("frame", F.col("l_scan_residue").alias("scan_residue"), F.col("r_idx").alias("idx")).distinct()
+    before = system.join(near, ["frame", "idx"]).select("scan_residue", *system.columns)
+    before = materialize(before, "scan")
+    after = mutate(before, (F.col("residue_id") == F.col("scan_residue")) & F.col("in_a"), "ALA").select(*before.columns)
+    every = before.withColumn("new", F.lit(False)).unionByName(after.withColumn("new", F.lit(True)))
+    # frame, residue and side are what keeps variants apart in the joins
+    every = every.withColumn("frame", F.struct(F.col("frame").alias("f"), F.col("scan_residue").alias("v"), F.col("new").alias("new"))).withColumn("idx", F.coalesce("idx", F.lit(-1)))
+    every = materialize(every, "variants")
     counts = reduce(DataFrame.unionByName, [f(every).select("frame", F.lit(k).alias("kind")) for k, f in (("hb", hbonds), ("cl", clashes), ("hy", hydrophobic))])
-    wide = counts.groupBy(F.col("frame.v").alias("v")).agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("hb", "cl", "hy")))
-    zero = wide.where("v = -1").select(*(F.col(k).alias(f"{k}0") for k in ("hb", "cl", "hy")))
-    first = system.where("in_a and residue_id is not null").groupBy("residue_id").agg(F.upper(F.min_by("resname", "idx")).alias("resname"))
-    rows = first.join(wide, F.col("residue_id") == F.col("v"), "left").crossJoin(F.broadcast(zero.agg(*(F.coalesce(F.max(f"{k}0"), F.lit(0)).alias(f"{k}0") for k in ("hb", "cl", "hy")))))
+    lost = lambda k: F.sum(F.when(F.col("kind") == k, F.when(F.col("frame.new"), -1).otherwise(1)).otherwise(0)).alias(k)
+    wide = counts.groupBy(F.col("frame.f").alias("frame"), F.col("frame.v").alias("residue_id")).agg(*(lost(k) for k in ("hb", "cl", "hy")))
+    first = scanned.groupBy("frame", "residue_id").agg(F.upper(F.min_by("resname", "idx")).alias("resname"))
+    rows = first.join(wide, ["frame", "residue_id"], "left")
     skip = F.col("resname").isin("ALA", "GLY")
-    d = {k: F.when(skip, F.lit(0)).otherwise(F.col(f"{k}0") - F.coalesce(k, F.lit(0))) for k in ("hb", "cl", "hy")}
-    return rows.select("residue_id", "resname", d["hb"].alias("d_hbonds"), d["hy"].alias("d_hydrophobic"), d["cl"].alias("d_clashes"), (2 * d["hb"] + d["hy"] - 0.5 * d["cl"]).cast("double").alias("score"))
-
-
+    d = {k: F.when(skip, F.lit(0)).otherwise(F.coalesce(k, F.lit(0))) for k in ("hb", "cl", "hy")}
+    return rows.select("frame", "residue_id", "resname", d["hb"].alias("d_hbonds"), d["hy"].alias("d_hydrophobic"), d["cl"].alias("d_clashes"), (2 * d["hb"] + d["hy"] - 0.5 * d["cl"]).cast("double").alias("score"))

@@ -13,7 +13,7 @@ from corpuscle.sources.store import materialize
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and root (least id of its component); nodes: id, edges: a, b.
+    """id and root (least id of its component); nodes: id, edges: a, b; ids of any type with an order, structs too.
 
     Labels pass along edges and then jump to the label of the label, so long chains shorten by half in a step. Each step is written.
     """
@@ -30,13 +30,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pocket_points(system: DataFrame, spacing: float = 1.0, probe: float = 1.4, reach: float = 5.0, most: int = 60) -> DataFrame:
-    """Grid points (gx, gy, gz, id, x, y, z) in no atom's extended sphere that enough atoms surround, in one frame.
+    """Grid points (gx, gy, gz, id, x, y, z) in no atom's extended sphere that enough atoms surround, in each frame.
 
-    The grid is made from a one-row aggregate and meets the atoms by cells.
+    A frame's grid is made from its aggregate, has at most `most` points an axis, and meets the atoms by cells.
     """
     atoms = system.select("frame", "x", "y", "z", m.lookup(m.CONTACT_RADIUS, F.col("element"), m.DEFAULT_RADIUS).alias("r"))
     pad = probe + 2.0
-    box = atoms.agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"), F.min("frame").alias("frame"))
+    box = atoms.groupBy("frame").agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"))
     box = box.select("frame", *((F.col(f"lo{c}") - pad).alias(f"lo{c}") for c in "xyz"), *((F.col(f"hi{c}") + pad - (F.col(f"lo{c}") - pad)).alias(f"w{c}") for c in "xyz"))
     widest = F.greatest("wx", "wy", "wz")
     box = box.withColumn("step", F.when(F.ceil(widest / spacing) + 1 > most, widest / (most - 1)).otherwise(F.lit(spacing)))
@@ -46,27 +46,28 @@ def pocket_points(system: DataFrame, spacing: float = 1.0, probe: float = 1.4, r
     grid = grid.select("frame", "gx", "gy", "gz", "step", *((F.col(f"lo{c}") + F.col(f"g{c}") * F.col("step")).alias(c) for c in "xyz"))
     near = cell_join(grid, atoms, max(m.CONTACT_RADIUS.values()) + reach)
     d = F.sqrt("d2")
-    counted = near.groupBy(*(F.col(f"l_{c}").alias(c) for c in ("gx", "gy", "gz", "x", "y", "z", "step"))).agg(F.count(F.when(d < F.col("r_r") + probe, 1)).alias("inside"), F.count(F.when(d < F.col("r_r") + reach, 1)).alias("around"))
+    counted = near.groupBy("frame", *(F.col(f"l_{c}").alias(c) for c in ("gx", "gy", "gz", "x", "y", "z", "step"))).agg(F.count(F.when(d < F.col("r_r") + probe, 1)).alias("inside"), F.count(F.when(d < F.col("r_r") + reach, 1)).alias("around"))
     enough = F.greatest(F.lit(3), F.floor(F.lit(reach) / F.col("step")))
     code = (F.col("gx").cast("long") * 1024 + F.col("gy")) * 1024 + F.col("gz")
-    return counted.where((F.col("inside") == 0) & (F.col("around") >= enough)).select("gx", "gy", "gz", code.alias("id"), "x", "y", "z", "step")
+    return counted.where((F.col("inside") == 0) & (F.col("around") >= enough)).select("frame", "gx", "gy", "gz", code.alias("id"), "x", "y", "z", "step")
 
 
 def binding_sites(system: DataFrame, spacing: float = 1.0, least: float = 100.0, most: int = 10) -> DataFrame:
-    """rank, centre, volume, score and number of lining atoms of the pockets."""
+    """frame, rank, centre, volume, score and number of lining atoms of the `most` best pockets of each frame."""
     points = materialize(pocket_points(system, spacing), "pockets")
-    frame = points.withColumn("frame", F.lit(0))
-    step = points.agg(F.max("step").alias("s")).first()["s"] or spacing
-    own = frame.select("frame", "id", "x", "y", "z")
-    edges = cell_join(own, own, 3 * step, condition=F.col("l_id") < F.col("r_id"), strict=True).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    roots = components(points.select("id"), edges)
-    pockets = points.join(roots, "id").groupBy("root").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "xyz")).withColumn("volume", F.col("n") * F.lit(step**3)).where(F.col("volume") >= least)
-    atoms = system.select(F.lit(0).alias("frame"), F.upper("element").alias("e"), "x", "y", "z")
-    lining = cell_join(pockets.withColumn("frame", F.lit(0)).select("frame", "root", "volume", "x", "y", "z"), atoms, 10.0, how="left", strict=True)
-    scored = lining.groupBy(F.col("l_root").alias("root"), F.col("l_volume").alias("volume"), *(F.col(f"l_{c}").alias(c) for c in "xyz")).agg(F.count("r_x").alias("lining"), F.count(F.when(F.col("r_e") == "C", 1)).alias("carbon"))
+    widest = points.agg(F.max("step").alias("s")).first()["s"] or spacing
+    own = points.select("frame", "id", "x", "y", "z", "step")
+    near = cell_join(own, own, 3 * widest, condition=F.col("l_id") < F.col("r_id"), strict=True).where(F.col("d2") < 9 * F.col("l_step") * F.col("l_step"))
+    node = lambda c: F.struct("frame", F.col(c).alias("id"))
+    roots = components(points.select(node("id").alias("id")), near.select(node("l_id").alias("a"), node("r_id").alias("b")))
+    roots = roots.select("id.frame", "id.id", F.col("root.id").alias("root"))
+    pockets = points.join(roots, ["frame", "id"]).groupBy("frame", "root").agg((F.count("*") * F.pow(F.first("step"), F.lit(3.0))).alias("volume"), *(F.avg(c).alias(c) for c in "xyz")).where(F.col("volume") >= least)
+    atoms = system.select("frame", F.upper("element").alias("e"), "x", "y", "z")
+    lining = cell_join(pockets.select("frame", "root", "volume", "x", "y", "z"), atoms, 10.0, how="left", strict=True)
+    scored = lining.groupBy("frame", F.col("l_root").alias("root"), F.col("l_volume").alias("volume"), *(F.col(f"l_{c}").alias(c) for c in "xyz")).agg(F.count("r_x").alias("lining"), F.count(F.when(F.col("r_e") == "C", 1)).alias("carbon"))
     scored = scored.withColumn("score", F.col("volume") * 0.01 + F.col("carbon") / F.greatest("lining", F.lit(1)) * 10.0)
-    best = scored.orderBy(F.desc("score"), "root").limit(most)
-    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "root")).alias("rank"), "x", "y", "z", "volume", "score", "lining")
+    rank = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("score"), "root"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("frame", "rank", "x", "y", "z", "volume", "score", "lining")
 
 
 def pharmacophore(system: DataFrame) -> DataFrame:
@@ -90,9 +91,10 @@ def pharmacophore(system: DataFrame) -> DataFrame:
 
 
 def hydrophobic_regions(system: DataFrame, cutoff: float = 4.0) -> DataFrame:
-    """root, centre, radius and size of the connected regions of carbon and sulphur atoms of one frame."""
+    """frame, root, centre, radius and size of the connected regions of carbon and sulphur atoms of each frame."""
     own = system.where(F.upper("element").isin("C", "S")).select("frame", "idx", "x", "y", "z")
-    edges = cell_join(own, own, cutoff, condition=F.col("l_idx") < F.col("r_idx"), strict=True).select(F.col("l_idx").alias("a"), F.col("r_idx").alias("b"))
-    roots = components(own.select(F.col("idx").alias("id")), edges)
+    node = lambda c: F.struct("frame", F.col(c).alias("idx"))
+    edges = cell_join(own, own, cutoff, condition=F.col("l_idx") < F.col("r_idx"), strict=True).select(node("l_idx").alias("a"), node("r_idx").alias("b"))
+    roots = components(own.select(node("idx").alias("id")), edges).select("id.frame", "id.idx", F.col("root.idx").alias("root"))
     n = F.count("*")
-    return own.join(roots, F.col("idx") == F.col("id")).groupBy("root").agg(*(F.avg(c).alias(c) for c in "xyz"), F.greatest(F.lit(1.5), n * 0.3).alias("radius"), n.alias("n"))
+    return own.join(roots, ["frame", "idx"]).groupBy("frame", "root").agg(*(F.avg(c).alias(c) for c in "xyz"), F.greatest(F.lit(1.5), n * 0.3).alias("radius"), n.alias("n"))

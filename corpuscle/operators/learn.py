@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.operators.residues import reindex
 from corpuscle.operators.trajectory import pack_frames
+from corpuscle.sources.store import materialize
 
 # Amino acids that count as similar.
 SIMILAR = ("DE", "KR", "KH", "RH", "IL", "IV", "LV", "IM", "LM", "FY", "FW", "YW", "ST", "NQ", "ND", "QE")
@@ -78,23 +82,42 @@ def ward_frames(positions: DataFrame, k: int = 5, max_frames: int = 200) -> Data
     return near.select(F.col("frame").cast(kind).alias("frame"), F.col("m.cluster").alias("cluster"))
 
 
-def fit_ridge(rows: DataFrame, features: list[str], label: str, alpha: float = 1.0, folds: int = 5) -> tuple[object, dict[str, float]]:
-    """A ridge model on standardised features, with training R2 and the mean R2 and RMSE over contiguous folds."""
-    rows = rows.dropna(subset=[*features, label]).select(array_to_vector(F.array(*(F.col(c).cast("double") for c in features))).alias("raw"), F.col(label).cast("double").alias("y"), F.ntile(folds).over(Window.orderBy(label)).alias("fold"))
+def fit_model(rows: DataFrame, features: list[str], label: str, order: str, kind: str = "ridge", alpha: float = 1.0, folds: int = 5, seed: int = 42) -> tuple[Pipeline, dict[str, float]]:
+    """A ridge or forest model on standardised features, with training R2 and the mean R2 and RMSE over contiguous folds.
+
+    Folds are runs of rows by the integer column `order`, equal but for one row. Rows with a missing value don't count.
+    """
+    rows = reindex(rows.dropna(subset=[*features, label, order]).select(F.array(*(F.col(c).cast("double") for c in features)).alias("f"), F.col(label).cast("double").alias("y"), F.col(order).cast("long").alias("idx")))
+    rows = materialize(rows.select(array_to_vector("f").alias("raw"), "y", "new_idx"), "rows")
     n = rows.count()
     if n < 5:
         raise ValueError("at least five rows are needed")
-    scaled = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(rows).transform(rows).cache()
-    ridge = LinearRegression(featuresCol="x", labelCol="y", regParam=alpha / n, elasticNetParam=0.0, standardization=False)
-    model, metric = ridge.fit(scaled), lambda df, name: RegressionEvaluator(labelCol="y", metricName=name).evaluate(df)
-    held = [ridge.fit(scaled.where(F.col("fold") != k)).transform(scaled.where(F.col("fold") == k)) for k in range(1, folds + 1)]
-    return model, {"train_r2": metric(model.transform(scaled), "r2"), "cv_r2": float(np.mean([metric(h, "r2") for h in held])), "cv_rmse": float(np.mean([metric(h, "rmse") for h in held]))}
-
-
-def fit_frames(positions: DataFrame) -> DataFrame:
+    size, longer = divmod(n, folds)
+    edge = longer * (size + 1)
+    at = F.col("new_idx")
+    rows = rows.withColumn("fold", F.when(at < edge, F.floor(at / (size + 1))).otherwise(F.lit(longer) + F.floor((at - edge) / F.lit(size))))
+    if kind == "forest":
+        last = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=100, seed=seed)
+    else:
+        last = LinearRegression(featuresCol="x", labelCol="y", regParam=alpha / n, elasticNetParam=0.0, standardization=False)
+    pipeline = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="x", withMean=True), last])
+    metric = lambda df, name: RegressionEvaluator(labelCol="y", metricName=name).evaluate(df)
+    model = pipeline.fit(rows)
+    held = [pipeline.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)) for k in range(folds)]
+    return model, {"train_r2": metric(model.transform(rows), "r2"), "cv_r2": float(np.mean([metric(h, "r2") for h in held])), "cv_rmse": float(np.mean([metric(h, "rmse") for h in held]))}
+
+
+def predict(model: PipelineModel, rows: DataFrame, features: list[str], name: str = "predicted") -> DataFrame:
+    """rows with the model's prediction, null where a feature is missing."""
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in features))
+    filled = rows.withColumn("raw", array_to_vector(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features))))
+    return model.transform(filled).select(*rows.columns, F.when(known, F.col("prediction")).alias(name))
+
+
+def fit_frames(positions: DataFrame, kind: str = "ridge") -> DataFrame:
     """One row of scores: the distance of the first and last atom from the first atoms' coordinates."""
-    wide = pack_frames(positions).select(*(F.element_at("coords", k + 1).alias(f"f{k}") for k in range(9)), F.sqrt(F.pow(F.element_at("coords", 1) - F.element_at("coords", 4), 2)).alias("y"))
-    _, scores = fit_ridge(wide, [f"f{k}" for k in range(9)], "y")
+    wide = pack_frames(positions).select("frame", *(F.element_at("coords", k + 1).alias(f"f{k}") for k in range(9)), F.sqrt(F.pow(F.element_at("coords", 1) - F.element_at("coords", 4), 2)).alias("y"))
+    _, scores = fit_model(wide, [f"f{k}" for k in range(9)], "y", "frame", kind)
     return positions.sparkSession.createDataFrame([tuple(round(v, 6) for v in scores.values())], ", ".join(f"{k} double" for k in scores))
 
 

@@ -24,11 +24,11 @@ def list_residues(atoms: DataFrame) -> DataFrame:
 def renumber(atoms: DataFrame, start: int = 1) -> DataFrame:
     """idx and new residue_id in order of first appearance.
 
-    Residues, not atoms, are numbered in one ordered window.
+    Residues are numbered by ranges of their first atom, so no task orders them all.
     """
     rows = atoms.select("idx", _chain().alias("chain_id"), "residue_id")
     first = rows.groupBy(F.col("chain_id").alias("c"), F.col("residue_id").alias("r")).agg(F.min("idx").alias("first"))
-    new = first.withColumn("new_id", F.row_number().over(Window.orderBy("first")) + (start - 1))
+    new = reindex(first.withColumnRenamed("first", "idx")).select("c", "r", (F.col("new_idx") + start).alias("new_id"))
     return rows.join(new, (F.col("chain_id") == F.col("c")) & F.col("residue_id").eqNullSafe(F.col("r"))).select("idx", "new_id")
 
 
@@ -78,10 +78,10 @@ def _residues(atoms: DataFrame) -> DataFrame:
     return rows.withColumn("water", m.among(F.col("resname"), m.WATERS)).withColumn("amino", m.among(F.col("resname"), m.AMINO_ACIDS + m.AMINO_VARIANTS))
 
 
-def structure_issues(system: DataFrame, sample: int = 500) -> DataFrame:
+def structure_issues(system: DataFrame) -> DataFrame:
     """issue, chain_id, residue_id and detail of each finding in one frame.
 
-    Bad coordinates are looked for among the first `sample` atoms and 19 followers of each, which is that check's definition.
+    Bad coordinates are an atom and one of its 19 followers that nearly coincide; all atoms are looked at.
     """
     rows = _residues(system)
     parts = [
@@ -90,7 +90,7 @@ def structure_issues(system: DataFrame, sample: int = 500) -> DataFrame:
     lacking = F.array_sort(F.array_except(F.array(*map(F.lit, m.BACKBONE)), "names"))
     parts.append(rows.where("amino").select(F.lit("MISSING_BACKBONE").alias("issue"), "chain_id", "residue_id", F.array_join(lacking, ",").alias("detail")).where("detail <> ''"))
     parts.append(residue_gaps(system).select(F.lit("MISSING_LOOP").alias("issue"), "chain_id", "prev_id", F.col("residue_id").cast("string").alias("detail")))
-    near = system.where(F.col("idx") < sample).select("idx", "x", "y", "z", "chain_id", "residue_id")
+    near = system.select("idx", "x", "y", "z", "chain_id", "residue_id")
     far = near.select(F.col("idx").alias("j"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
     d2 = sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz")
     follower = near.withColumn("j", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + 19))).join(far, "j").where(F.sqrt(d2) < 0.5)

@@ -72,14 +72,53 @@ def kabsch_rmsd_to_frame(positions: DataFrame, ref_frame: int = 0) -> DataFrame:
     return _to_reference(positions, ref_frame).groupBy("frame").agg(*_sums("", "r")).select("frame", closed_rmsd("", "r").alias("rmsd"))
 
 
-def rmsd_matrix(positions: DataFrame, align: bool = True) -> DataFrame:
-    """i, j, rmsd of all frame pairs i < j, which is what the operator asks for: frames pair up, atoms join by index."""
-    a = positions.select(F.col("frame").alias("i"), "idx", *(F.col(c).alias(f"a{c}") for c in AXES))
-    b = positions.select(F.col("frame").alias("j"), "idx", *(F.col(c).alias(f"b{c}") for c in AXES))
-    pairs = a.join(b, "idx").where("i < j").groupBy("i", "j")
+#: Coordinates of a block of frames at most, and frames in it.
+BLOCK_VALUES, BLOCK_FRAMES = 2_000_000, 256
+
+
+def block_rmsd(a: np.ndarray, b: np.ndarray, align: bool) -> np.ndarray:
+    """RMSD of each of a (frames, atoms, 3) to each of b."""
     if align:
-        return pairs.agg(*_sums("a", "b")).select("i", "j", closed_rmsd("a", "b").alias("rmsd"))
-    return pairs.agg(F.sqrt(F.sum(sum((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in AXES)) / F.count("*")).alias("rmsd"))
+        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    squares = (a * a).sum((1, 2))[:, None] + (b * b).sum((1, 2))[None]
+    if align:
+        h = np.einsum("ikc,jkd->ijcd", a, b, optimize=True)
+        values = np.linalg.svd(h, compute_uv=False)
+        values[..., 2] *= np.where(np.linalg.det(h) < 0, -1.0, 1.0)
+        both = values.sum(-1)
+    else:
+        both = a.reshape(len(a), -1) @ b.reshape(len(b), -1).T
+    return np.sqrt(np.maximum(squares - 2 * both, 0.0) / a.shape[1])
+
+
+def rmsd_matrix(positions: DataFrame, align: bool = True, block: int | None = None) -> DataFrame:
+    """i, j, rmsd of all frame pairs i < j, which is what the operator asks for.
+
+    Frames are dealt to blocks of bounded size, and each pair of blocks is one group, so the pairs spread over as many tasks
+    as there are pairs of blocks whatever the number of atoms. Frames of different atom counts are an error.
+    """
+    packed = pack_frames(positions)
+    n, least, most = packed.agg(F.count("*"), F.min(F.size("coords")), F.max(F.size("coords"))).first()
+    if n and least != most:
+        raise ValueError("frames differ in their number of atoms")
+    block = block or max(1, min(BLOCK_FRAMES, BLOCK_VALUES // max(1, most or 1)))
+    blocks = max(1, -(-n // block))
+    own = packed.withColumn("own", F.pmod(F.xxhash64("frame"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "frame", "coords")
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        a, b = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
+        if a.empty or b.empty:
+            return pd.DataFrame({"i": [], "j": [], "rmsd": []})
+        xyz = [np.stack(t["coords"].to_numpy()).reshape(len(t), -1, 3) for t in (a, b)]
+        i, j = (x.ravel() for x in np.meshgrid(a["frame"].to_numpy(), b["frame"].to_numpy(), indexing="ij"))
+        keep = i < j if low == high else i != j
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "rmsd": block_rmsd(*xyz, align).ravel()[keep]})
+
+    kind = packed.schema["frame"].dataType.simpleString()
+    return dealt.groupBy("low", "high").applyInPandas(pair, f"i {kind}, j {kind}, rmsd double")
 
 
 def rotation(mobile: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

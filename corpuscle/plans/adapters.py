@@ -20,10 +20,9 @@ PART_RESIDUES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER
 PART_NAMES = "N CA C O CB CG CD1 OW".split()
 
 
-def embeddings_system(spark: SparkSession, sf_dir: str, frames: int | None = None) -> DataFrame:
-    """A frame for each vector; frames: only those below."""
+def embeddings_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each vector."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame"), "embedding")
-    rows = rows.where(F.col("frame") < frames) if frames is not None else rows
     at = lambda k: F.element_at("embedding", k + 1).cast("double") * 20.0
     atoms = F.array(*(F.struct(F.lit(i).cast("long").alias("idx"), F.lit(ATOMIC_NUMBER[e]).alias("type_id"), F.lit(e).alias("element"), *(at(3 * i + k).alias(c) for k, c in enumerate("xyz")), F.lit(r).alias("residue_id"), F.lit(ch).alias("chain_id"), F.lit(n).alias("name"), F.lit(res).alias("resname")) for i, r, ch, res, n, e in EMB_ATOMS))
     rows = rows.select("frame", F.inline(atoms))
@@ -54,7 +53,7 @@ EMB_SQL = (
     + ", ".join(f"({i}::BIGINT, {r}, '{c}', '{res}', '{n}', '{e}', {ATOMIC_NUMBER[e]})" for i, r, c, res, n, e in EMB_ATOMS)
     + "), s AS (SELECT e.vec_id AS frame, a.idx, a.type_id, a.element, "
     + ", ".join(f"CAST(e.embedding[3 * a.idx + {k + 1}] AS DOUBLE) * 20 AS {c}" for k, c in enumerate("xyz"))
-    + ", a.residue_id, a.chain_id, a.name, a.resname, a.residue_id IN (1, 3) AS in_a, a.residue_id NOT IN (1, 3) AS in_b FROM embeddings e CROSS JOIN emb_atoms a{where})"
+    + ", a.residue_id, a.chain_id, a.name, a.resname, a.residue_id IN (1, 3) AS in_a, a.residue_id NOT IN (1, 3) AS in_b FROM embeddings e CROSS JOIN emb_atoms a)"
 )
 PART_SQL = (
     "s AS (SELECT *, chain_id IN ('A', 'C') AS in_a, chain_id NOT IN ('A', 'C') AS in_b FROM (SELECT 0::BIGINT AS frame, p_partkey AS idx, "
@@ -64,7 +63,3 @@ PART_SQL = (
     + f"(p_partkey // 8)::INT AS residue_id, {_sql_list('ABCD')}[p_partkey // 100 % 4 + 1] AS chain_id, {_sql_list(PART_NAMES)}[p_partkey % 8 + 1] AS name, "
     + f"{_sql_list(PART_RESIDUES)}[CAST(substr(p_brand, 7) AS INT)] AS resname FROM part))"
 )
-
-
-def emb_sql(frames: int | None = None) -> str:
-    return EMB_SQL.format(where=f" WHERE e.vec_id < {frames}" if frames is not None else "")

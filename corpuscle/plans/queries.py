@@ -12,11 +12,10 @@ from corpuscle import model as m
 from corpuscle.functions import geometry as g
 from corpuscle.functions.selection import compile_selection, index_range
 from corpuscle.operators import edit, grids, interactions, learn, residues, spatial, surface, trajectory
-from corpuscle.plans.adapters import PART_SQL, emb_sql, embeddings_system, part_system
+from corpuscle.plans.adapters import EMB_SQL, PART_SQL, embeddings_system, part_system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FEW = 20
 
 
 def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -29,8 +28,8 @@ def _r(c: Column | str, alias: str) -> Column:
     return (F.round(c, 4) + F.lit(0.0)).alias(alias)
 
 
-def _emb(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None, frames: int | None = None) -> None:
-    _add(name, lambda spark, d: f(embeddings_system(spark, d, frames)), sql and f"WITH {emb_sql(frames)}{', ' if sql[0] == ',' else ' '}{sql.lstrip(', ')}")
+def _emb(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    _add(name, lambda spark, d: f(embeddings_system(spark, d)), sql and f"WITH {EMB_SQL}{', ' if sql[0] == ',' else ' '}{sql.lstrip(', ')}")
 
 
 def _part(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
@@ -121,9 +120,9 @@ out AS (SELECT *, sqrt(greatest((g - 2 * (sqrt(greatest(e1, 0e0)) + sqrt(greates
 # the reference frame itself is zero up to rounding under the root, so three places are compared
 _emb("kabsch_rmsd_traj", lambda s: trajectory.kabsch_rmsd_to_frame(s.select("frame", "idx", "x", "y", "z")).select("frame", (F.round("rmsd", 3) + 0.0).alias("rmsd")), ", " + _kabsch_sql("a", "b").format(keys="a.frame", source="FROM s a JOIN s b ON b.idx = a.idx AND b.frame = 0") + " SELECT frame, round(rmsd, 3) AS rmsd FROM out")
 _PAIRS = "FROM s a JOIN s b ON b.idx = a.idx AND a.frame < b.frame"
-_emb("rmsd_matrix_raw", lambda s: trajectory.rmsd_matrix(s, align=False).select("i", "j", _r("rmsd", "rmsd")), f"SELECT a.frame AS i, b.frame AS j, round(sqrt(sum({D2}) / count(*)), 4) AS rmsd {_PAIRS} GROUP BY 1, 2", 100)
-_emb("rmsd_matrix_aligned", lambda s: trajectory.rmsd_matrix(s).select("i", "j", _r("rmsd", "rmsd")), ", " + _kabsch_sql("a", "b").format(keys="a.frame AS i, b.frame AS j", source=_PAIRS) + " SELECT i, j, round(rmsd, 4) AS rmsd FROM out", 100)
-_emb("divergent_pairs_top10", lambda s: trajectory.rmsd_matrix(s, align=False).orderBy(F.desc("rmsd"), "i", "j").limit(10).select("i", "j", _r("rmsd", "rmsd")), f"SELECT i, j, round(r, 4) AS rmsd FROM (SELECT a.frame AS i, b.frame AS j, sqrt(sum({D2}) / count(*)) AS r {_PAIRS} GROUP BY 1, 2 ORDER BY r DESC, i, j LIMIT 10)", 100)
+_emb("rmsd_matrix_raw", lambda s: trajectory.rmsd_matrix(s, align=False).select("i", "j", _r("rmsd", "rmsd")), f"SELECT a.frame AS i, b.frame AS j, round(sqrt(sum({D2}) / count(*)), 4) AS rmsd {_PAIRS} GROUP BY 1, 2")
+_emb("rmsd_matrix_aligned", lambda s: trajectory.rmsd_matrix(s).select("i", "j", _r("rmsd", "rmsd")), ", " + _kabsch_sql("a", "b").format(keys="a.frame AS i, b.frame AS j", source=_PAIRS) + " SELECT i, j, round(rmsd, 4) AS rmsd FROM out")
+_emb("divergent_pairs_top10", lambda s: trajectory.rmsd_matrix(s, align=False).orderBy(F.desc("rmsd"), "i", "j").limit(10).select("i", "j", _r("rmsd", "rmsd")), f"SELECT i, j, round(r, 4) AS rmsd FROM (SELECT a.frame AS i, b.frame AS j, sqrt(sum({D2}) / count(*)) AS r {_PAIRS} GROUP BY 1, 2 ORDER BY r DESC, i, j LIMIT 10)")
 _emb("aligned_coords", lambda s: trajectory.superimpose_trajectory(s.select("frame", "idx", "x", "y", "z")).select("frame", "idx", *(_r(c, c) for c in "xyz")))
 _emb("packed_frames", lambda s: trajectory.unpack_frames(trajectory.pack_frames(s)).select("frame", "idx", *(_r(c, c) for c in "xyz")), "SELECT frame, idx, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s")
 
@@ -132,7 +131,7 @@ _part("bonds_cutoff", lambda s: spatial.bonds_within(s, 1.8).select("i", "j"), f
 _COV = f"least({_case(m.COVALENT_RADIUS, 'a.element', '0.77e0')} + {_case(m.COVALENT_RADIUS, 'b.element', '0.77e0')} + 0.45e0, 3e0)"
 _part("bonds_covalent", lambda s: spatial.covalent_bonds(s).select("i", "j"), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON a.idx < b.idx WHERE {D} > 0.4e0 AND {D} < {_COV}")
 _part("bonds_selected", lambda s: spatial.bonds_between(spatial.bonds_within(s, 1.8).select("i", "j"), s.where("chain_id = 'A'")), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON a.idx < b.idx WHERE {D2} <= 1.8e0 * 1.8e0 AND a.chain_id = 'A' AND b.chain_id = 'A'")
-_part("bond_missing", lambda s: spatial.missing_bonds(s.where("idx < 199").select(F.col("idx").alias("i"), (F.col("idx") + 1).alias("j")), spatial.bonds_within(s, 1.8)), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON b.idx = a.idx + 1 WHERE a.idx < 199 AND NOT {D2} <= 1.8e0 * 1.8e0")
+_part("bond_missing", lambda s: spatial.missing_bonds(s.select(F.col("idx").alias("i"), (F.col("idx") + 1).alias("j")).join(s.select(F.col("idx").alias("j")), "j", "left_semi"), spatial.bonds_within(s, 1.8)), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON b.idx = a.idx + 1 WHERE NOT {D2} <= 1.8e0 * 1.8e0")
 _part("nearest_atom", lambda s: spatial.nearest_atom(s, 7.3, 4.1, 2.2).select("idx", _r("d", "d")), "SELECT idx, round(sqrt(d2), 4) AS d FROM (SELECT idx, (x - 7.3e0) * (x - 7.3e0) + (y - 4.1e0) * (y - 4.1e0) + (z - 2.2e0) * (z - 2.2e0) AS d2 FROM s ORDER BY d2, idx LIMIT 1)")
 
 # interactions
@@ -167,14 +166,14 @@ _SPHERE = "sphere(px, py, pz) AS (VALUES " + ", ".join(f"({x!r}, {y!r}, {z!r})"
 _SASA = f"t AS (SELECT *, {_case(m.SURFACE_RADIUS, 'element', '1.7e0')} + 1.4e0 AS r FROM s), {_SPHERE}, free AS (SELECT a.frame, a.idx, a.residue_id, a.r, p.px, bool_or(b.idx IS NOT NULL) AS covered FROM t a CROSS JOIN sphere p LEFT JOIN t b ON a.frame = b.frame AND a.idx <> b.idx AND {D} > 1e-6 AND {D} < a.r + b.r AND sqrt((a.x + a.r * p.px - b.x) * (a.x + a.r * p.px - b.x) + (a.y + a.r * p.py - b.y) * (a.y + a.r * p.py - b.y) + (a.z + a.r * p.pz - b.z) * (a.z + a.r * p.pz - b.z)) < b.r GROUP BY 1, 2, 3, 4, 5, p.py), area AS (SELECT frame, idx, residue_id, count(CASE WHEN NOT covered THEN 1 END) / 92e0 * {4 * math.pi!r} * r * r AS area FROM free GROUP BY frame, idx, residue_id, r)"
 _small = max(r for e, r in m.SURFACE_RADIUS.items() if e in ("H", "C", "N", "O", "CL"))
 _areas = lambda s: surface.sasa(s, largest=_small)
-_emb("sasa_atom", lambda s: _areas(s).select("frame", "idx", _r("area", "area")), f", {_SASA} SELECT frame, idx, round(area, 4) AS area FROM area", FEW)
-_emb("sasa_residue", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")), f", {_SASA} SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2", FEW)
-_emb("top_exposed", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")).orderBy(F.desc("area"), "frame", "residue_id").limit(20), f", {_SASA}, r AS (SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2) SELECT * FROM r ORDER BY area DESC, frame, residue_id LIMIT 20", FEW)
+_emb("sasa_atom", lambda s: _areas(s).select("frame", "idx", _r("area", "area")), f", {_SASA} SELECT frame, idx, round(area, 4) AS area FROM area")
+_emb("sasa_residue", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")), f", {_SASA} SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2")
+_emb("top_exposed", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")).orderBy(F.desc("area"), "frame", "residue_id").limit(20), f", {_SASA}, r AS (SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2) SELECT * FROM r ORDER BY area DESC, frame, residue_id LIMIT 20")
 _KIND = f"CASE WHEN resname IN {_in(m.HYDROPHOBIC)} THEN 'hydrophobic' WHEN resname IN {_in(m.POSITIVE)} THEN 'positive' WHEN resname IN {_in(m.NEGATIVE)} THEN 'negative' WHEN resname IN {_in(m.POLAR)} THEN 'polar' ELSE 'other' END"
-_emb("surface_patches", lambda s: surface.surface_patches(s, _areas(s), 60.0), f", {_SASA}, n AS (SELECT DISTINCT residue_id, resname FROM emb_atoms), ra AS (SELECT frame, residue_id, sum(area) AS area FROM area GROUP BY 1, 2) SELECT frame, residue_id, {_KIND} AS kind FROM ra JOIN n USING (residue_id) WHERE area >= 60", FEW)
+_emb("surface_patches", lambda s: surface.surface_patches(s, _areas(s), 60.0), f", {_SASA}, n AS (SELECT DISTINCT residue_id, resname FROM emb_atoms), ra AS (SELECT frame, residue_id, sum(area) AS area FROM area GROUP BY 1, 2) SELECT frame, residue_id, {_KIND} AS kind FROM ra JOIN n USING (residue_id) WHERE area >= 60")
 _PKA = f"n AS (SELECT DISTINCT residue_id, chain_id, resname FROM emb_atoms), ra AS (SELECT frame, residue_id, sum(area) AS area FROM area GROUP BY 1, 2), pk AS (SELECT frame, chain_id, residue_id, resname, round({_case(m.MODEL_PKA, 'resname', 'NULL')} + CASE WHEN area < 10 THEN CASE WHEN resname IN ('ASP', 'GLU', 'CYS', 'TYR') THEN 1.5e0 ELSE -1.5e0 END ELSE 0e0 END, 2) AS pka, area < 10 AS buried FROM ra JOIN n USING (residue_id) WHERE resname IN {_in(m.MODEL_PKA)})"
-_emb("pka_estimate", lambda s: surface.estimate_pka(s, _areas(s)), f", {_SASA}, {_PKA} SELECT * FROM pk", FEW)
-_emb("protonation", lambda s: surface.protonation(surface.estimate_pka(s, _areas(s)), 11.5).select("frame", "residue_id", "state"), f", {_SASA}, {_PKA} SELECT frame, residue_id, CASE WHEN pka > 13e0 THEN 'protonated' WHEN pka < 10e0 THEN 'deprotonated' ELSE 'mixed' END AS state FROM pk", FEW)
+_emb("pka_estimate", lambda s: surface.estimate_pka(s, _areas(s)), f", {_SASA}, {_PKA} SELECT * FROM pk")
+_emb("protonation", lambda s: surface.protonation(surface.estimate_pka(s, _areas(s)), 11.5).select("frame", "residue_id", "state"), f", {_SASA}, {_PKA} SELECT frame, residue_id, CASE WHEN pka > 13e0 THEN 'protonated' WHEN pka < 10e0 THEN 'deprotonated' ELSE 'mixed' END AS state FROM pk")
 _WAT = f"w AS (SELECT * FROM s WHERE resname IN {_in(m.DENSITY_WATERS)} AND name IN {_in(m.DENSITY_OXYGENS)}), g AS (SELECT min(x) - 1 AS ox, min(y) - 1 AS oy, min(z) - 1 AS oz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) + 2 AS span FROM w), d AS (SELECT floor((x - ox) / 0.5e0)::BIGINT AS vx, floor((y - oy) / 0.5e0)::BIGINT AS vy, floor((z - oz) / 0.5e0)::BIGINT AS vz, count(*) / (SELECT count(DISTINCT frame) FROM s) AS density FROM w, g GROUP BY 1, 2, 3)"
 _emb("water_density", lambda s: surface.water_density(s).select("vx", "vy", "vz", F.round("density", 6).alias("density")), f", {_WAT} SELECT vx, vy, vz, round(density, 6) AS density FROM d")
 _emb("hydration_sites", lambda s: surface.hydration_sites(surface.water_density(s)).select("vx", "vy", "vz", F.round("density", 6).alias("density")), f", {_WAT} SELECT vx, vy, vz, round(density, 6) AS density FROM d WHERE density > (SELECT avg(density) + 2 * stddev_pop(density) FROM d)")
@@ -194,39 +193,50 @@ _AA = m.AMINO_ACIDS + m.AMINO_VARIANTS
 _RES = f"r AS (SELECT chain_id, residue_id, arg_min(resname, idx) AS resname, list(DISTINCT name) AS names, count(*) AS n FROM s GROUP BY 1, 2), gaps AS (SELECT chain_id, prev_id, residue_id FROM (SELECT chain_id, residue_id, lag(residue_id) OVER (PARTITION BY chain_id ORDER BY residue_id) AS prev_id FROM r) WHERE residue_id - prev_id > 1)"
 _LACK = "list_filter(['C', 'CA', 'N', 'O'], lambda q: NOT list_contains(names, q))"
 _part("structure_counts", lambda s: residues.structure_counts(s), f", {_RES} SELECT sum(n)::BIGINT AS n_atoms, count(*) AS n_residues, count(DISTINCT chain_id) AS n_chains, count(CASE WHEN resname IN {_in(m.WATERS)} THEN 1 END) AS n_waters, count(CASE WHEN resname IN {_in(_AA)} AND len({_LACK}) > 0 THEN 1 END) AS missing_backbone, (SELECT count(*) FROM gaps) AS missing_loops FROM r")
-_part("structure_issues", residues.structure_issues, f", {_RES} SELECT 'NON_STANDARD_RESIDUE' AS issue, chain_id, residue_id, resname AS detail FROM r WHERE resname NOT IN {_in(_AA + m.NUCLEOTIDES + m.WATERS)} UNION ALL SELECT 'MISSING_BACKBONE', chain_id, residue_id, array_to_string({_LACK}, ',') FROM r WHERE resname IN {_in(_AA)} AND len({_LACK}) > 0 UNION ALL SELECT 'MISSING_LOOP', chain_id, prev_id, residue_id::VARCHAR FROM gaps UNION ALL SELECT 'BAD_COORDINATES', a.chain_id, a.residue_id, a.idx || '-' || b.idx FROM s a JOIN s b ON b.idx BETWEEN a.idx + 1 AND a.idx + 19 WHERE a.idx < 500 AND b.idx < 500 AND {D} < 0.5e0 UNION ALL SELECT 'NO_HYDROGENS', '', NULL, '' FROM s HAVING count(CASE WHEN element = 'H' THEN 1 END) = 0")
+_part("structure_issues", residues.structure_issues, f", {_RES} SELECT 'NON_STANDARD_RESIDUE' AS issue, chain_id, residue_id, resname AS detail FROM r WHERE resname NOT IN {_in(_AA + m.NUCLEOTIDES + m.WATERS)} UNION ALL SELECT 'MISSING_BACKBONE', chain_id, residue_id, array_to_string({_LACK}, ',') FROM r WHERE resname IN {_in(_AA)} AND len({_LACK}) > 0 UNION ALL SELECT 'MISSING_LOOP', chain_id, prev_id, residue_id::VARCHAR FROM gaps UNION ALL SELECT 'BAD_COORDINATES', a.chain_id, a.residue_id, a.idx || '-' || b.idx FROM s a JOIN s b ON b.idx BETWEEN a.idx + 1 AND a.idx + 19 WHERE {D} < 0.5e0 UNION ALL SELECT 'NO_HYDROGENS', '', NULL, '' FROM s HAVING count(CASE WHEN element = 'H' THEN 1 END) = 0")
 _NET = f"net AS (SELECT sum(CASE WHEN resname IN ('ARG', 'LYS', 'HIS', 'HSD', 'HSE') THEN 1 WHEN resname IN ('ASP', 'GLU') THEN -1 ELSE 0 END)::BIGINT AS q FROM ({_FIRST}))"
 _part("ion_estimate", lambda s: residues.ion_estimate(s, 1000), f", {_NET} SELECT q AS net_charge, greatest(-q, 0) + 2 AS n_na, greatest(q, 0) + 2 AS n_cl FROM net")
 _BEADS = "beads(res, o, bead, kind, names) AS (VALUES " + ", ".join(f"('{r}', {o}, '{b}', '{t}', [{', '.join(repr(x) for x in n)}])" for r, o, b, t, n in residues.bead_table()) + ")"
-_CG = f"{_BEADS}, j AS (SELECT s.*, coalesce(b.o, 0) AS bead_order, coalesce(b.bead, 'BB') AS bead, coalesce(b.kind, 'P2') AS bead_type, coalesce(list_contains(b.names, s.name), false) AS inside FROM s LEFT JOIN beads b ON b.res = s.resname), c AS (SELECT chain_id, residue_id, bead_order, bead, bead_type, " + ", ".join(f"coalesce(avg(CASE WHEN inside THEN {c} END), arg_min({c}, CASE WHEN name = 'CA' THEN -1 ELSE idx END)) AS {c}" for c in "xyz") + " FROM j GROUP BY ALL)"
-_emb("cg_beads", lambda s: residues.cg_beads(s).select("chain_id", "residue_id", "bead_order", "bead", "bead_type", *(_r(c, c) for c in "xyz")), f", {_CG} SELECT chain_id, residue_id, bead_order, bead, bead_type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM c", 1)
-_emb("bead_counts", lambda s: residues.cg_beads(s).groupBy("bead_type").agg(F.count("*").alias("n")), f", {_CG} SELECT bead_type, count(*) AS n FROM c GROUP BY 1", 1)
+_CG = f"{_BEADS}, j AS (SELECT s.*, coalesce(b.o, 0) AS bead_order, coalesce(b.bead, 'BB') AS bead, coalesce(b.kind, 'P2') AS bead_type, coalesce(list_contains(b.names, s.name), false) AS inside FROM s LEFT JOIN beads b ON b.res = s.resname), c AS (SELECT frame, chain_id, residue_id, bead_order, bead, bead_type, " + ", ".join(f"coalesce(avg(CASE WHEN inside THEN {c} END), arg_min({c}, CASE WHEN name = 'CA' THEN -1 ELSE idx END)) AS {c}" for c in "xyz") + " FROM j GROUP BY ALL)"
+_emb("cg_beads", lambda s: residues.cg_beads(s).select("frame", "chain_id", "residue_id", "bead_order", "bead", "bead_type", *(_r(c, c) for c in "xyz")), f", {_CG} SELECT frame, chain_id, residue_id, bead_order, bead, bead_type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM c")
+_emb("bead_counts", lambda s: residues.cg_beads(s).groupBy("bead_type").agg(F.count("*").alias("n")), f", {_CG} SELECT bead_type, count(*) AS n FROM c GROUP BY 1")
 _BOX = ", ".join(f"round(avg({c}), 4) AS c{c}, round(max({c}) - min({c}) + 10, 4) AS s{c}" for c in "xyz")
 _part("docking_box", lambda s: residues.docking_box(s, F.col("chain_id") == "B").select(*(_r(f"{k}{c}", f"{k}{c}") for c in "xyz" for k in "cs")), f"SELECT {_BOX} FROM s WHERE chain_id = 'B'")
 _part("legend", residues.legend, "SELECT upper(element) AS label, min(idx) AS first_idx FROM s GROUP BY 1")
 _part("hydropathy", lambda s: s.groupBy("residue_id").agg(_r(F.avg(m.lookup(m.HYDROPATHY, F.col("resname"), 0.0)), "score")), f"SELECT residue_id, round(avg({_case(m.HYDROPATHY, 'resname', '0e0')}), 4) AS score FROM s GROUP BY 1")
 _PH = "p AS (SELECT frame, 'donor' AS kind, idx::VARCHAR AS key, x, y, z, 1 AS n FROM s WHERE element IN ('N', 'S') UNION ALL SELECT frame, 'acceptor', idx::VARCHAR, x, y, z, 1 FROM s WHERE element IN ('N', 'O', 'S', 'F')" + "".join(f" UNION ALL SELECT frame, '{k}', chain_id || ':' || residue_id, avg(x), avg(y), avg(z), count(*) FROM s WHERE {w} GROUP BY frame, chain_id, residue_id" for k, w in (("positive", f"resname IN {_in(m.POSITIVE)}"), ("negative", f"resname IN {_in(m.NEGATIVE)}"), ("aromatic", f"resname IN {_in(m.AROMATIC[:-1])} AND element IN ('C', 'N')"))) + ")"
-_emb("pharmacophore_points", lambda s: grids.pharmacophore(s).select("frame", "kind", "key", *(_r(c, c) for c in "xyz"), "n"), f", {_PH} SELECT frame, kind, key, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, n::BIGINT AS n FROM p", FEW)
+_emb("pharmacophore_points", lambda s: grids.pharmacophore(s).select("frame", "kind", "key", *(_r(c, c) for c in "xyz"), "n"), f", {_PH} SELECT frame, kind, key, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, n::BIGINT AS n FROM p")
 _emb("pharmacophore_counts", lambda s: grids.pharmacophore(s).groupBy("kind").agg(F.count("*").alias("n")), f", {_PH} SELECT kind, count(*) AS n FROM p GROUP BY 1")
-_emb("hydrophobic_regions", lambda s: grids.hydrophobic_regions(s).select("root", "n", _r("radius", "radius"), _r("x", "x")), f", RECURSIVE_REACH SELECT root, count(*) AS n, round(greatest(1.5e0, count(*) * 0.3e0), 4) AS radius, round(avg(x), 4) AS x FROM (SELECT b AS id, min(a) AS root FROM reach GROUP BY b) JOIN s ON s.idx = id GROUP BY root", 1)
-ORACLE_SQL["hydrophobic_regions"] = ORACLE_SQL["hydrophobic_regions"].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_REACH", f"near AS (SELECT a.idx AS a, b.idx AS b FROM s a, s b WHERE a.element IN ('C', 'S') AND b.element IN ('C', 'S') AND {D2} < 16e0), reach(a, b) AS (SELECT idx, idx FROM s WHERE element IN ('C', 'S') UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)")
+_emb("hydrophobic_regions", lambda s: grids.hydrophobic_regions(s).select("frame", "root", "n", _r("radius", "radius"), _r("x", "x")), f", RECURSIVE_REACH SELECT frame, root, count(*) AS n, round(greatest(1.5e0, count(*) * 0.3e0), 4) AS radius, round(avg(x), 4) AS x FROM (SELECT f AS frame, b AS idx, min(a) AS root FROM reach GROUP BY f, b) JOIN s USING (frame, idx) GROUP BY frame, root")
+ORACLE_SQL["hydrophobic_regions"] = ORACLE_SQL["hydrophobic_regions"].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_REACH", f"near AS (SELECT a.frame AS f, a.idx AS a, b.idx AS b FROM s a JOIN s b ON a.frame = b.frame WHERE a.element IN ('C', 'S') AND b.element IN ('C', 'S') AND {D2} < 16e0), reach(f, a, b) AS (SELECT frame, idx, idx FROM s WHERE element IN ('C', 'S') UNION SELECT r.f, r.a, n.b FROM reach r JOIN near n ON n.f = r.f AND n.a = r.b)")
 
 # editing
 _part("remove_waters", lambda s: residues.reindex(edit.remove_waters(s)).select("idx", F.col("new_idx").cast("long").alias("new_idx")), f"SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS new_idx FROM s WHERE resname NOT IN {_in(m.WATERS)}")
 _part("remove_hetatm", lambda s: edit.remove_hetatm(s, ("LIG",)).select("idx", "resname"), f"SELECT idx, resname FROM s WHERE resname IN {_in(_AA + m.NUCLEOTIDES + m.WATERS + ('LIG',))}")
-_emb("mutate_residue", lambda s: edit.mutate_residue(s, 2, "G").select("idx", "name", "resname", *(_r(c, c) for c in "xyz")), "SELECT idx, name, CASE WHEN residue_id = 2 THEN 'GLY' ELSE resname END AS resname, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s WHERE residue_id <> 2 OR name IN ('N', 'CA', 'C', 'O', 'OXT')", 1)
+_emb("mutate_residue", lambda s: edit.mutate_residue(s, 2, "G").select("frame", "idx", "name", "resname", *(_r(c, c) for c in "xyz")), "SELECT frame, idx, name, CASE WHEN residue_id = 2 THEN 'GLY' ELSE resname END AS resname, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s WHERE residue_id <> 2 OR name IN ('N', 'CA', 'C', 'O', 'OXT')")
 _CAP = lambda of, away, end, step, res, atom: f"SELECT frame, chain_id, ({end} {step})::INT AS residue_id, '{res}' AS resname, '{atom}' AS name, " + ", ".join(f"round({of}.{c} + 1.33e0 * ({of}.{c} - {away}.{c}) / sqrt(({of}.x - {away}.x) * ({of}.x - {away}.x) + ({of}.y - {away}.y) * ({of}.y - {away}.y) + ({of}.z - {away}.z) * ({of}.z - {away}.z)), 4) AS {c}" for c in "xyz") + f" FROM ends JOIN s {of} USING (frame, chain_id) JOIN s {away} USING (frame, chain_id) WHERE {of}.residue_id = {end} AND {away}.residue_id = {end} AND {of}.name = '{'N' if res == 'ACE' else 'C'}' AND {away}.name = 'CA'"
 _emb("cap_termini", lambda s: edit.cap_termini(s).select("frame", "chain_id", "residue_id", "resname", "name", *(_r(c, c) for c in "xyz")), f", ends AS (SELECT frame, chain_id, min(residue_id) AS first_id, max(residue_id) AS last_id FROM s GROUP BY 1, 2) {_CAP('p', 'q', 'first_id', '- 1', 'ACE', 'CH3')} UNION ALL {_CAP('p', 'q', 'last_id', '+ 1', 'NME', 'N')}")
-_GRID = "b AS (SELECT " + ", ".join(f"min({c}) AS lo{c}, max({c}) AS hi{c}" for c in "xyz") + " FROM s), gr AS (SELECT ix, iy, iz, " + ", ".join(f"lo{c} - 10 + (i{c} + 0.5e0) * 3.1e0 AS {c}" for c in "xyz") + " FROM b, " + ", ".join(f"range(200) t{c}(i{c})" for c in "xyz") + " WHERE " + " AND ".join(f"i{c} < greatest(1, floor((hi{c} - lo{c} + 20) / 3.1e0))" for c in "xyz") + ")"
-_emb("water_sites", lambda s: edit.water_sites(s).select("ix", "iy", "iz"), f", {_GRID} SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM gr a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.element <> 'H' AND {D2} < 2.4e0 * 2.4e0)", 1)
-_emb("water_box", lambda s: edit.water_box(s).groupBy("name").agg(F.count("*").alias("n"), _r(F.avg("x"), "x")), f", {_GRID}, w AS (SELECT x FROM gr a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.element <> 'H' AND {D2} < 2.4e0 * 2.4e0)) SELECT name, count(*) AS n, round(avg(x + dx), 4) AS x FROM w, (VALUES ('OW', 0e0), ('HW1', 0.957e0), ('HW2', -0.239e0)) v(name, dx) GROUP BY 1", 1)
-_emb("alanine_scan", lambda s: edit.alanine_scan(s).select("residue_id", "resname", F.col("d_hbonds").cast("long").alias("d_hbonds"), F.col("d_hydrophobic").cast("long").alias("d_hydrophobic"), F.col("d_clashes").cast("long").alias("d_clashes"), "score"), None, 1)
-_part("pocket_points", lambda s: grids.pocket_points(s.where("idx < 300"), 2.0).select("gx", "gy", "gz"))
-_part("binding_sites", lambda s: grids.binding_sites(s.where("idx < 300"), 2.0).select("rank", _r("volume", "volume"), _r("score", "score"), "lining"))
+_GRID = "b AS (SELECT frame, " + ", ".join(f"min({c}) AS lo{c}, greatest(1, floor((max({c}) - min({c}) + 20) / 3.1e0))::BIGINT AS n{c}" for c in "xyz") + " FROM s GROUP BY frame), gr AS (SELECT frame, ix, iy, iz, " + ", ".join(f"lo{c} - 10 + (i{c} + 0.5e0) * 3.1e0 AS {c}" for c in "xyz") + " FROM b, " + ", ".join(f"unnest(range(n{c})) t{c}(i{c})" for c in "xyz") + ")"
+_FREE = "gr a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.frame = b.frame AND b.element <> 'H' AND {D2} < 2.4e0 * 2.4e0)".replace("{D2}", D2)
+_emb("water_sites", lambda s: edit.water_sites(s).select("frame", "ix", "iy", "iz"), f", {_GRID} SELECT frame, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM {_FREE}")
+_emb("water_box", lambda s: edit.water_box(s).groupBy("frame", "name").agg(F.count("*").alias("n"), _r(F.avg("x"), "x")), f", {_GRID}, w AS (SELECT frame, x FROM {_FREE} QUALIFY row_number() OVER (PARTITION BY frame ORDER BY ix, iy, iz) <= 10000) SELECT frame, name, count(*) AS n, round(avg(x + dx), 4) AS x FROM w, (VALUES ('OW', 0e0), ('HW1', 0.957e0), ('HW2', -0.239e0)) v(name, dx) GROUP BY 1, 2")
+_emb("alanine_scan", lambda s: edit.alanine_scan(s).select("frame", "residue_id", "resname", *(F.col(c).cast("long").alias(c) for c in ("d_hbonds", "d_hydrophobic", "d_clashes")), "score"))
+_ATOM_R = _case(m.CONTACT_RADIUS, "element", "1.7e0")
+_POCKET = (
+    "bx AS (SELECT " + ", ".join(f"min({c}) - 3.4e0 AS lo{c}, max({c}) + 3.4e0 - (min({c}) - 3.4e0) AS w{c}" for c in "xyz") + " FROM s), "
+    "st AS (SELECT *, CASE WHEN ceil(greatest(wx, wy, wz)) + 1 > 60 THEN greatest(wx, wy, wz) / 59 ELSE 1e0 END AS step FROM bx), "
+    "pg AS (SELECT step, gx, gy, gz, " + ", ".join(f"lo{c} + g{c} * step AS {c}" for c in "xyz") + " FROM st, " + ", ".join(f"unnest(range(ceil(w{c} / step)::BIGINT + 1)) t{c}(g{c})" for c in "xyz") + "), "
+    f"ra AS (SELECT x, y, z, {_ATOM_R} AS r FROM s), "
+    f"near AS (SELECT a.gx, a.gy, a.gz, a.step, {D} - b.r AS gap FROM pg a JOIN ra b ON b.x BETWEEN a.x - 7 AND a.x + 7 WHERE {D} - b.r < 5), "
+    "pts AS (SELECT gx, gy, gz FROM near GROUP BY gx, gy, gz, step HAVING count(CASE WHEN gap < 1.4e0 THEN 1 END) = 0 AND count(*) >= greatest(3, floor(5e0 / step)))"
+)
+_part("pocket_points", lambda s: grids.pocket_points(s).select("gx", "gy", "gz"), f", {_POCKET} SELECT gx::INT AS gx, gy::INT AS gy, gz::INT AS gz FROM pts")
+_part("binding_sites", lambda s: grids.binding_sites(s).select("rank", _r("volume", "volume"), _r("score", "score"), "lining"))
 
 # sinks and learning
 _part("export_rows", lambda s: s.select("idx", "element", "resname", "residue_id", *(F.format_string("%.3f", F.col(c)).alias(c) for c in "xyz")), "SELECT idx, element, resname, residue_id, printf('%.3f', x) AS x, printf('%.3f', y) AS y, printf('%.3f', z) AS z FROM s")
 _emb("kmeans_frames", lambda s: learn.cluster_frames(s, 5))
-_emb("ward_frames", lambda s: learn.ward_frames(s, 3), None, 60)
+_emb("ward_frames", lambda s: learn.ward_frames(s, 3))
 _emb("qsar_ridge", lambda s: learn.fit_frames(s))
-_add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d).where("idx < 400"))))
+_emb("qsar_forest", lambda s: learn.fit_frames(s, "forest"))
+_add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d))))

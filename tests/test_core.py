@@ -143,6 +143,82 @@ def test_learning():
     assert learn.identity_similarity("DK-A", "ERAA") == (pytest.approx(1 / 3), 1.0)
 
 
+def test_frame_matrix_by_blocks(spark):
+    r = np.random.default_rng(5)
+    p = r.normal(0, 2, (11, 6, 3))
+    table = spark.createDataFrame([(f, k, *map(float, p[f, k])) for f in range(11) for k in range(6)], "frame int, idx long, x double, y double, z double")
+
+    def aligned(a, b):
+        rot, t = trajectory.rotation(a, b)
+        return math.sqrt(((a @ rot.T + t - b) ** 2).sum() / 6)
+
+    for align, want in ((False, lambda a, b: math.sqrt(((a - b) ** 2).sum() / 6)), (True, aligned)):
+        for block in (None, 1, 3):
+            rows = {(x["i"], x["j"]): x["rmsd"] for x in trajectory.rmsd_matrix(table, align, block).collect()}
+            assert set(rows) == {(i, j) for i in range(11) for j in range(i + 1, 11)}
+            assert all(v == pytest.approx(want(p[i], p[j])) for (i, j), v in rows.items())
+    assert trajectory.rmsd_matrix(table.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="differ"):
+        trajectory.rmsd_matrix(table.where("frame > 0 or idx > 0"))
+
+
+def test_alanine_scan_equals_mutating_one_by_one(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for res in range(1, 7):
+        centre = r.uniform(-6, 6, 3)
+        for n, e in zip("N CA C O CB H SD".split(), "N C C O C H S".split(), strict=True):
+            rows.append((e, centre + r.uniform(-1.5, 1.5, 3), res, n, ("ARG", "PHE", "ALA", "MET", "ASP", "GLY")[res - 1], "A", "A" if res % 2 else "B"))
+    rows = [x for x in rows if not (x[2] == 1 and x[3] == "CB")]  # one that gets a new beta carbon
+    table = system(spark, rows)
+    table = table.unionByName(table.withColumn("frame", F.lit(1)).withColumn("x", F.col("x") * 0.8)).cache()
+    count = lambda t, f: {k: t.where(F.col("frame") == k).transform(f).count() for k in (0, 1)}
+    kinds = (interactions.hbonds, interactions.hydrophobic, interactions.clashes)
+    before = [count(table, f) for f in kinds]
+    got = {(x["frame"], x["residue_id"]): (x["d_hbonds"], x["d_hydrophobic"], x["d_clashes"]) for x in edit.alanine_scan(table).collect()}
+    assert set(got) == {(f, k) for f in (0, 1) for k in (1, 3, 5)} and got[0, 3] == (0, 0, 0)
+    for k in (1, 5):
+        changed = edit.mutate_residue(table, k, "ALA").withColumn("idx", F.coalesce("idx", F.lit(-1))).cache()
+        after = [count(changed, f) for f in kinds]
+        assert all(got[f, k] == tuple(b[f] - a[f] for a, b in zip(after, before, strict=True)) for f in (0, 1))
+
+
+def test_binding_sites_equal_brute_force(spark):
+    ring = [(4 * math.cos(t), 4 * math.sin(t), z) for z in (0, 4) for t in np.arange(6) * math.pi / 3]
+    p = np.array(ring)
+    table = system(spark, [("C", q, 1, "C", "ALA", "A", "A") for q in ring])
+    lo, hi = p.min(0) - 3.4, p.max(0) + 3.4
+    grid = np.array([lo + g for g in np.ndindex(*(math.ceil(w) + 1 for w in hi - lo))])
+    d = np.sqrt(((grid[:, None] - p[None]) ** 2).sum(2)) - 1.7
+    points = grid[(d < 1.4).sum(1).__eq__(0) & ((d < 5).sum(1) >= 5)]
+    root = list(range(len(points)))
+    for i in range(len(points)):
+        for j in np.flatnonzero(((points[i + 1 :] - points[i]) ** 2).sum(1) < 9) + i + 1:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    want = sorted((float(root.count(k)), int((((points[np.array(root) == k].mean(0) - p) ** 2).sum(1) < 100).sum())) for k in set(root) if root.count(k) >= 20)
+    two = table.unionByName(table.withColumn("frame", F.lit(1)))
+    for frame in (0, 1):
+        rows = grids.binding_sites(two, least=20.0).where(F.col("frame") == frame).collect()
+        assert want and sorted((r["volume"], r["lining"]) for r in rows) == want and sorted(r["rank"] for r in rows) == list(range(1, len(want) + 1))
+
+
+def test_models_and_whole_clusters(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (23, 2))
+    rows = spark.createDataFrame([(k, float(a), float(b), float(3 * a - b)) for k, (a, b) in enumerate(x)] + [(99, None, 1.0, 1.0)], "n int, a double, b double, y double")
+    model, scores = learn.fit_model(rows, ["a", "b"], "y", "n", alpha=1e-9)
+    assert scores["train_r2"] == pytest.approx(1) and scores["cv_rmse"] == pytest.approx(0, abs=1e-6)
+    predicted = {p["n"]: p["predicted"] for p in learn.predict(model, rows, ["a", "b"]).collect()}
+    assert predicted[99] is None and all(predicted[k] == pytest.approx(3 * a - b, abs=1e-5) for k, (a, b) in enumerate(x))
+    assert learn.fit_model(rows, ["a", "b"], "y", "n", "forest")[1]["train_r2"] > 0.5
+    with pytest.raises(ValueError, match="five"):
+        learn.fit_model(rows.limit(4), ["a", "b"], "y", "n")
+    frames = spark.createDataFrame([(f, k, float(f % 2 * 50 + k), 0.0, f / 100) for f in range(20) for k in range(3)], "frame int, idx long, x double, y double, z double")
+    labels = {p["frame"]: p["cluster"] for p in learn.ward_frames(frames, 2, 6).collect()}
+    assert len(labels) == 20
+
+
 def test_formats(spark, tmp_path):
     xyz = '2\nLattice="10 0 0 0 12 0 0 0 15"\nO 0 0 0\nH 1 0 0\n2\nStep: 100 x\nO 0 0 1\nH 1 0 1\n'
     (tmp_path / "a.xyz").write_text(xyz)
