@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -276,15 +277,26 @@ PARSERS: dict[str, Callable[[str], Structure]] = {
     ".xyz": parse_xyz, ".pdb": parse_pdb, ".gro": parse_gro, ".cif": parse_mmcif, ".mmcif": parse_mmcif, ".sdf": parse_sdf, ".mol": parse_sdf, ".mol2": parse_mol2,
     ".data": parse_lammps_data, ".lammps": parse_lammps_data, ".lammpstrj": parse_lammps_frame, ".traj": parse_lammps_frame,
 }
-#: Binary formats that need libraries this engine doesn't use.
-UNREAD = (".xtc", ".trr", ".nc", ".ncdf", ".mdcrd", ".crd", ".rst7", ".rst", ".restrt", ".dcd")
+#: Formats whose parsers take bytes, by the name of the parser in corpuscle.sources.binary.
+BINARY = {".dcd": "parse_dcd", ".trr": "parse_trr", ".nc": "parse_netcdf", ".ncdf": "parse_netcdf", ".rst7": "parse_restart", ".rst": "parse_restart", ".restrt": "parse_restart"}
+#: Formats that aren't read without more: the packed one not at all, the others with a parser that knows the atom count.
+UNREAD = {".xtc": "packed coordinates", ".mdcrd": "pass parser=partial(parse_mdcrd, n_atoms=...)", ".crd": "pass parser=partial(parse_mdcrd, n_atoms=...)"}
 
 
-def detect(path: str) -> Callable[[str], Structure]:
-    suffix = re.search(r"\.[^./]+$", path.lower())
-    if not suffix or suffix[0] not in PARSERS:
-        raise FormatError(f"Unsupported file format: {path}")
-    return PARSERS[suffix[0]]
+def detect(path: str) -> Callable:
+    found = re.search(r"\.[^./]+$", path.lower())
+    suffix = found[0] if found else ""
+    if suffix in BINARY:
+        from corpuscle.sources import binary
+
+        return getattr(binary, BINARY[suffix])
+    if suffix not in PARSERS:
+        raise FormatError(f"Unsupported file format: {path}" + (f" ({UNREAD[suffix]})" if suffix in UNREAD else ""))
+    return PARSERS[suffix]
+
+
+def takes_bytes(parser: Callable) -> bool:
+    return getattr(parser, "func", parser).__module__ == "corpuscle.sources.binary"
 
 
 @dataclass
@@ -309,14 +321,18 @@ class Dataset:
 def load(spark: SparkSession, path: str, parser: Callable[[str], Structure] | None = None) -> Dataset:
     """Reads a file, a folder or a pattern of files of one format."""
     parser = parser or detect(path)
-    texts = spark.read.text(path, wholetext=True) if parser is not parse_lammps_frame else None
-    if texts is None:
+    if takes_bytes(parser):
+        texts = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("value"))
+    elif parser is not parse_lammps_frame:
+        texts = spark.read.text(path, wholetext=True)
+    else:
         head = spark.read.text(path).limit(20).where("value like 'ITEM:%'").limit(1).count()
         if not head:
             parser, texts = parse_lammps_data, spark.read.text(path, wholetext=True)
         else:
             texts = spark.read.text(path, lineSep="ITEM: TIMESTEP").where("trim(value) <> ''")
-    texts = texts.select(F.input_file_name().alias("path"), "value")
+    if "path" not in texts.columns:
+        texts = texts.select(F.input_file_name().alias("path"), "value")
     split = parser is parse_lammps_frame
 
     def table(rows: Callable[[str, Structure], Iterator[tuple]], schema: str) -> DataFrame:
@@ -330,7 +346,15 @@ def load(spark: SparkSession, path: str, parser: Callable[[str], Structure] | No
         return texts.mapInPandas(run, schema)
 
     atoms = table(lambda p, s: ((p, *(a.get(f) for f in ATOM_FIELDS)) for a in s.atoms), ATOM_SCHEMA)
-    positions = table(lambda p, s: ((p, k, step, i, *xyz) for k, (step, points) in enumerate(s.frames) for i, xyz in enumerate(points)), POSITION_SCHEMA)
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for p, t in zip(pdf["path"], pdf["value"], strict=True):
+                for k, (step, points) in enumerate(parser(t).frames):
+                    xyz = np.asarray(points, float).reshape(-1, 3)
+                    yield pd.DataFrame({"path": p, "frame": k, "timestep": step, "idx": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+
+    positions = texts.mapInPandas(place, POSITION_SCHEMA)
     box = table(lambda p, s: ((p, *s.box) for _ in range(s.box is not None)), BOX_SCHEMA)
     bonds = table(lambda p, s: ((p, *b) for b in s.bonds), BOND_SCHEMA)
     if split:  # every frame was parsed by itself: number them, and take the atoms of the first
