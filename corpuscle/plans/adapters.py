@@ -44,6 +44,18 @@ def part_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("in_a", F.col("chain_id").isin("A", "C")).withColumn("in_b", ~F.col("chain_id").isin("A", "C"))
 
 
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A molecule with one fragment for each part."""
+    size = F.col("p_size")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("mol"), (10 + size % 30).alias("heavy"), F.concat_ws(":", "p_brand", (size % 5).cast("string")).alias("core"), F.col("p_type").alias("rgroup"), (size % 7 + 1).alias("group_heavy"))
+
+
+def conformers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conformer of 21 atoms for each vector, 50 to a molecule; its energy is the last element."""
+    at = lambda k: F.element_at("embedding", k).cast("double") * 20.0
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 50).alias("mol"), F.col("vec_id").alias("conformer"), at(64).alias("energy"), F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double") * 20.0).alias("coords"))
+
+
 def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

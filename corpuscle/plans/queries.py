@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from corpuscle import model as m
 from corpuscle.functions import geometry as g
 from corpuscle.functions.selection import compile_selection, index_range
-from corpuscle.operators import edit, grids, interactions, learn, residues, spatial, surface, trajectory
-from corpuscle.plans.adapters import EMB_SQL, PART_SQL, embeddings_system, part_system
+from corpuscle.operators import edit, grids, interactions, learn, molecules, residues, spatial, surface, trajectory
+from corpuscle.plans.adapters import EMB_SQL, PART_SQL, conformers, embeddings_system, fragments, part_system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,6 +233,14 @@ _POCKET = (
 _part("pocket_points", lambda s: grids.pocket_points(s).select("gx", "gy", "gz"), f", {_POCKET} SELECT gx::INT AS gx, gy::INT AS gy, gz::INT AS gz FROM pts")
 _part("binding_sites", lambda s: grids.binding_sites(s).select("rank", _r("volume", "volume"), _r("score", "score"), "lining"))
 
+# molecules
+_add(
+    "matched_pairs",
+    lambda spark, d: molecules.matched_pairs(fragments(spark, d)).select("mol_a", "mol_b", "core", "group_a", "group_b", F.round("ratio", 6).alias("ratio")),
+    "WITH f AS (SELECT p_partkey AS mol, 10 + p_size % 30 AS heavy, p_brand || ':' || p_size % 5 AS core, p_type AS rgroup, p_size % 7 + 1 AS n FROM part) SELECT a.mol AS mol_a, b.mol AS mol_b, a.core, a.rgroup AS group_a, b.rgroup AS group_b, round(a.n / greatest(a.heavy, b.heavy)::DOUBLE, 6) AS ratio FROM f a JOIN f b ON a.core = b.core AND a.mol < b.mol AND a.rgroup <> b.rgroup WHERE a.n / greatest(a.heavy, b.heavy)::DOUBLE <= 0.33e0",
+)
+_add("diverse_conformers", lambda spark, d: molecules.diverse_conformers(conformers(spark, d), 8.0, 5.0))
+
 # sinks and learning
 _part("export_rows", lambda s: s.select("idx", "element", "resname", "residue_id", *(F.format_string("%.3f", F.col(c)).alias(c) for c in "xyz")), "SELECT idx, element, resname, residue_id, printf('%.3f', x) AS x, printf('%.3f', y) AS y, printf('%.3f', z) AS z FROM s")
 _emb("kmeans_frames", lambda s: learn.cluster_frames(s, 5))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import geometry as g
 from corpuscle.functions.plugins import PluginApi, run_plugin
 from corpuscle.functions.selection import SelectionError, compile_selection, index_range
-from corpuscle.operators import edit, grids, interactions, learn, residues, spatial, surface, trajectory
+from corpuscle.operators import edit, grids, interactions, learn, molecules, residues, spatial, surface, trajectory
 from corpuscle.sources import formats, sinks
 
 SCHEMA = "frame int, idx long, type_id int, element string, x double, y double, z double, residue_id int, chain_id string, name string, resname string, in_a boolean, in_b boolean"
@@ -219,6 +219,15 @@ def test_models_and_whole_clusters(spark):
     assert len(labels) == 20
 
 
+def test_molecules(spark):
+    rows = [(1, 10, "c", "x", 2), (2, 12, "c", "y", 3), (3, 10, "c", "x", 2), (4, 9, "c", "z", 9), (1, 10, "b", "p", 1), (2, 12, "b", "q", 1), (5, 10, None, "x", 1)]
+    found = molecules.matched_pairs(spark.createDataFrame(rows, "mol int, heavy int, core string, rgroup string, group_heavy int"))
+    assert {(r["mol_a"], r["mol_b"], r["core"], r["group_a"], r["group_b"]) for r in found.collect()} == {(1, 2, "b", "p", "q"), (2, 3, "c", "y", "x"), (1, 4, "c", "x", "z"), (2, 4, "c", "y", "z"), (3, 4, "c", "x", "z")}
+    shapes = [(1, 1, 5.0, [0.0] * 6), (1, 2, 6.0, [0.1] * 6), (1, 3, 7.0, [3.0] * 6), (1, 4, 30.0, [9.0] * 6), (1, 5, None, [20.0] * 6), (2, 1, 1.0, [0.0] * 6), (2, 2, 1.0, [0.0] * 6), (3, 1, 1.0, [])]
+    found = molecules.diverse_conformers(spark.createDataFrame(shapes, "mol int, conformer int, energy double, coords array<double>"))
+    assert {(r["mol"], r["conformer"], r["rank"]) for r in found.collect()} == {(1, 5, 1), (1, 1, 2), (1, 3, 3), (2, 1, 1)}
+
+
 def test_formats(spark, tmp_path):
     xyz = '2\nLattice="10 0 0 0 12 0 0 0 15"\nO 0 0 0\nH 1 0 0\n2\nStep: 100 x\nO 0 0 1\nH 1 0 1\n'
     (tmp_path / "a.xyz").write_text(xyz)
