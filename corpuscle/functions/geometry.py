@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,8 @@ def torsion(a: Point, b: Point, c: Point, d: Point) -> Column:
     size = norm(b2) + F.lit(1e-15)
     m1 = cross(n1, tuple(p / size for p in b2))
     return F.degrees(F.atan2(dot(m1, n2), dot(n1, n2)))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, which keeps nested vector expressions from multiplying."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle import model as m
-from corpuscle.functions.geometry import cross, minus, norm, point
+from corpuscle.functions.geometry import cross, minus, norm, once, point
 from corpuscle.operators.interactions import clashes, hbonds, hydrophobic
 from corpuscle.operators.spatial import cell_join
 from corpuscle.sources.store import materialize
@@ -56,11 +56,6 @@ def _named(p: tuple[Column, ...]) -> Column:
     return F.struct(*(c.alias(n) for c, n in zip(p, "xyz", strict=True)))
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value computed once, which keeps nested vector expressions from multiplying."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def place_cbeta(n: Column, ca: Column, c: Column) -> Column:
     """The beta carbon (structs x, y, z), 1.52 from CA along 0.58 of the outward bisector and 0.82 of the normal."""
     at = lambda s: tuple(s[k] for k in "xyz")
@@ -77,7 +72,7 @@ def place_cbeta(n: Column, ca: Column, c: Column) -> Column:
     def placed(way: Column) -> Column:
         return _named(tuple(a + 1.52 * b for a, b in zip(at(ca), _unit(at(way)), strict=True)))
 
-    return _once(_once(_once(arms, ways), mixed), placed)
+    return once(once(once(arms, ways), mixed), placed)
 
 
 def mutate(system: DataFrame, which: Column, target: str) -> DataFrame:

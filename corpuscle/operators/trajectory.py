@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.functions.geometry import once
+
 AXES = "xyz"
 
 
@@ -48,23 +50,30 @@ def closed_rmsd(p: str, q: str) -> Column:
     The singular values of the 3 x 3 covariance are the roots of the eigenvalues of its square, which the trigonometric formula gives.
     """
     n = F.col("n")
-    h = {(a, b): F.col(f"h_{a}{b}") - F.col(f"s_{p}{a}") * F.col(f"s_{q}{b}") / n for a in AXES for b in AXES}
     g = sum(F.col(f"g_{s or 'm'}") - sum(F.col(f"s_{s}{c}") * F.col(f"s_{s}{c}") for c in AXES) / n for s in (p, q))
-    k = {(a, b): sum(h[c, a] * h[c, b] for c in AXES) for a in AXES for b in AXES}
-    q3 = (k["x", "x"] + k["y", "y"] + k["z", "z"]) / 3
-    off = k["x", "y"] * k["x", "y"] + k["x", "z"] * k["x", "z"] + k["y", "z"] * k["y", "z"]
-    dia = {c: k[c, c] - q3 for c in AXES}
-    p6 = F.sqrt((sum(dia[c] * dia[c] for c in AXES) + 2 * off) / 6)
-    det_b = dia["x"] * (dia["y"] * dia["z"] - k["y", "z"] * k["y", "z"]) - k["x", "y"] * (k["x", "y"] * dia["z"] - k["y", "z"] * k["x", "z"]) + k["x", "z"] * (k["x", "y"] * k["y", "z"] - dia["y"] * k["x", "z"])
-    ratio = F.when(p6 > 0, det_b / (p6 * p6 * p6) / 2).otherwise(F.lit(1.0))
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))) / 3
-    e1 = q3 + 2 * p6 * F.cos(phi)
-    e3 = q3 + 2 * p6 * F.cos(phi + F.lit(2 * np.pi / 3))
-    e2 = 3 * q3 - e1 - e3
-    det = h["x", "x"] * (h["y", "y"] * h["z", "z"] - h["y", "z"] * h["z", "y"]) - h["x", "y"] * (h["y", "x"] * h["z", "z"] - h["y", "z"] * h["z", "x"]) + h["x", "z"] * (h["y", "x"] * h["z", "y"] - h["y", "y"] * h["z", "x"])
+    h = {(a, b): F.col(f"h_{a}{b}") - F.col(f"s_{p}{a}") * F.col(f"s_{q}{b}") / n for a in AXES for b in AXES}
+    pairs = [(a, b) for a in AXES for b in AXES]
     root = lambda e: F.sqrt(F.greatest(e, F.lit(0.0)))
-    total = root(e1) + root(e2) + F.when(det < 0, -1.0).otherwise(1.0) * root(e3)
-    return F.sqrt(F.greatest((g - 2 * total) / n, F.lit(0.0)))
+
+    def squared(s: Column) -> Column:
+        h = {ab: s["".join(ab)] for ab in pairs}
+        det = h["x", "x"] * (h["y", "y"] * h["z", "z"] - h["y", "z"] * h["z", "y"]) - h["x", "y"] * (h["y", "x"] * h["z", "z"] - h["y", "z"] * h["z", "x"]) + h["x", "z"] * (h["y", "x"] * h["z", "y"] - h["y", "y"] * h["z", "x"])
+        k = {(a, b): sum(h[c, a] * h[c, b] for c in AXES) for a, b in pairs if a <= b}
+        return F.struct(*(v.alias("".join(ab)) for ab, v in k.items()), ((k["x", "x"] + k["y", "y"] + k["z", "z"]) / 3).alias("q"), F.when(det < 0, -1.0).otherwise(1.0).alias("sign"))
+
+    def shifted(s: Column) -> Column:
+        x, y, z, off = s["xx"] - s["q"], s["yy"] - s["q"], s["zz"] - s["q"], s["xy"] * s["xy"] + s["xz"] * s["xz"] + s["yz"] * s["yz"]
+        det = x * (y * z - s["yz"] * s["yz"]) - s["xy"] * (s["xy"] * z - s["yz"] * s["xz"]) + s["xz"] * (s["xy"] * s["yz"] - y * s["xz"])
+        return F.struct(F.sqrt((x * x + y * y + z * z + 2 * off) / 6).alias("p"), det.alias("det"), s["q"].alias("q"), s["sign"].alias("sign"))
+
+    def eigenvalues(s: Column) -> Column:
+        ratio = F.when(s["p"] > 0, s["det"] / (s["p"] * s["p"] * s["p"]) / 2).otherwise(F.lit(1.0))
+        phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))) / 3
+        return F.struct((s["q"] + 2 * s["p"] * F.cos(phi)).alias("e1"), (s["q"] + 2 * s["p"] * F.cos(phi + F.lit(2 * np.pi / 3))).alias("e3"), s["q"].alias("q"), s["sign"].alias("sign"))
+
+    total = lambda s: root(s["e1"]) + root(3 * s["q"] - s["e1"] - s["e3"]) + s["sign"] * root(s["e3"])
+    values = once(once(once(F.struct(*(h[ab].alias("".join(ab)) for ab in pairs)), squared), shifted), eigenvalues)
+    return once(values, lambda s: F.sqrt(F.greatest((g - 2 * total(s)) / n, F.lit(0.0))))
 
 
 def kabsch_rmsd_to_frame(positions: DataFrame, ref_frame: int = 0) -> DataFrame:
