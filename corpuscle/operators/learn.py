@@ -38,48 +38,172 @@ def cluster_frames(positions: DataFrame, k: int = 5, seed: int = 42) -> DataFram
     return near.join(F.broadcast(medoid), "cluster").select("frame", "cluster", (F.col("frame") == F.col("medoid")).alias("is_medoid"))
 
 
-def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward's clusters by the Lance-Williams update."""
+#: Clusters that are linked in one group at most, frames of a block, coordinates of either, and rows of distances at a time.
+WARD_GROUP, WARD_BLOCK, WARD_VALUES, WARD_ROWS = 4096, 8192, 4_000_000, 512
+
+
+def ward_costs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """What joining each of a with each of b adds to the squares within clusters; a and b are centres."""
+    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+    d *= size_a[:, None]
+    d *= size_b[None]
+    d /= size_a[:, None] + size_b[None]
+    return np.maximum(d, 0.0, out=d)
+
+
+def ward_merges(x: np.ndarray, size: np.ndarray, height: np.ndarray) -> list[tuple[int, int, float]]:
+    """Ward's merges (kept row, row that goes, height) of clusters with centres x, the lowest first.
+
+    A nearest-neighbour chain with the Lance-Williams update. height: that at which each cluster was made.
+    """
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    x, size, height, merges, chain = x - x.mean(0), size.astype(float), height.astype(float), [], []
+    d = ward_costs(x, x, size, size)
+    d = np.minimum(d, d.T)
     np.fill_diagonal(d, np.inf)
-    size, alive, root = np.ones(n), np.ones(n, bool), np.arange(n)
-    for _ in range(n - k):
-        i, j = sorted(divmod(int(np.argmin(d)), n))
+    alive = np.ones(n, bool)
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        i = chain[-1]
+        j = int(np.argmin(d[i]))
+        if len(chain) < 2 or d[i, j] < d[i, chain[-2]]:
+            if not d[i, j] < np.inf:
+                raise ValueError("coordinates are missing")
+            chain.append(j)
+            continue
+        i, j = sorted(chain[-2:])
+        del chain[-2:]
+        low, a, b = d[i, j], size[i], size[j]
+        alive[j] = False
         others = np.flatnonzero(alive)
-        a, b, c = size[i], size[j], size[others]
-        new = ((a + c) * d[i, others] + (b + c) * d[j, others] - c * d[i, j]) / (a + b + c)
-        d[i, others] = d[others, i] = new
-        d[i, i] = np.inf
-        d[j, :] = d[:, j] = np.inf
-        size[i], alive[j] = a + b, False
-        root[root == j] = i
+        c = size[others]
+        d[i, others] = d[others, i] = ((a + c) * d[i, others] + (b + c) * d[j, others] - c * low) / (a + b + c)
+        d[i, i] = d[j, :] = d[:, j] = np.inf
+        size[i], height[i] = a + b, max(low, height[i], height[j])
+        merges.append((i, j, float(height[i])))
+    return sorted(merges, key=lambda m: m[2])
+
+
+def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
+    """Ward's clusters of the rows of x."""
+    n = len(x)
+    root = np.arange(n)
+    for i, j, _ in ward_merges(x, np.ones(n), np.zeros(n))[: n - k]:
+        root[root == root[j]] = root[i]
     return np.unique(root, return_inverse=True)[1]
 
 
-def ward_frames(positions: DataFrame, k: int = 5, max_frames: int = 200) -> DataFrame:
-    """frame and cluster by Ward's linkage.
+def _pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number of each pair of ids, the same either way round: the order of pairs of equal cost."""
+    with np.errstate(over="ignore"):
+        z = np.minimum(a, b).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.maximum(a, b).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        z = (z ^ z >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ z >> np.uint64(29)) >> np.uint64(1)).astype(np.int64)
+
 
-    At most max_frames frames, every n-th, are linked in one group, as the operator defines; the others go to the nearest centre.
+def _nearer(best: dict[str, np.ndarray], at: slice, d: np.ndarray, others: np.ndarray) -> None:
+    """Replaces the best partners of the rows `at` where a column of d is nearer."""
+    own, rows = best["id"][at], np.arange(len(d))
+    j = d.argmin(1)
+    m = d[rows, j]
+    if np.count_nonzero(same := d == m[:, None]) > len(d):
+        for r in np.flatnonzero((same.sum(1) > 1) & (m < np.inf)):
+            c = np.flatnonzero(same[r])
+            j[r] = c[np.argmin(_pair_order(own[r], others[c]))]
+    order = _pair_order(own, others[j])
+    new = (m < best["d"][at]) | (m < np.inf) & (m == best["d"][at]) & (order < best["pair"][at])
+    for name, values in (("d", m), ("pair", order), ("other", others[j])):
+        best[name][at][new] = values[new]
+
+
+def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nearest partner of each cluster within a pair of blocks; every pair's cost is computed once, so both ends see the same."""
+    low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+    a, b = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
+    if a.empty or b.empty:
+        return pd.DataFrame({"id": [], "d": [], "pair": [], "other": []})
+    x, y = (np.stack(t["c"].to_numpy()) for t in (a, b))
+    x, y, n, k = x - x.mean(0), y - x.mean(0), a["n"].to_numpy(float), b["n"].to_numpy(float)
+    one, two = ({"id": i, "d": np.full(len(i), np.inf), "pair": np.zeros(len(i), np.int64), "other": np.full(len(i), -1, np.int64)} for i in (a["id"].to_numpy(), b["id"].to_numpy()))
+    two = one if low == high else two
+    for i in range(0, len(a), WARD_ROWS):
+        at, to = slice(i, i + WARD_ROWS), slice(i if low == high else 0, None)
+        d = ward_costs(x[at], y[to], n[at], k[to])
+        if low == high:
+            d[np.tril_indices(len(d), 0, d.shape[1])] = np.inf
+        _nearer(one, at, d, two["id"][to])
+        _nearer(two, to, d.T, one["id"][at])
+    found = pd.concat([pd.DataFrame(t) for t in ([one] if low == high else [one, two])])
+    return found[found["d"] < np.inf]
+
+
+def _ward_round(clusters: DataFrame, count: int, block: int) -> DataFrame:
+    """Joins every two clusters that are each other's nearest: into (the id that stays) and its one or two members."""
+    blocks = max(4, -(-count // block))
+    dealt = clusters.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "c")
+    near = dealt.groupBy("low", "high").applyInPandas(_nearest, "id long, d double, pair long, other long")
+    near = near.groupBy("id").agg(F.min(F.struct("d", "pair", "other")).alias("m"))
+    pairs = near.groupBy(F.least("id", "m.other").alias("into"), F.greatest("id", "m.other").alias("id")).agg(F.count("*").alias("ends")).where("ends = 2")
+    kept = clusters.join(pairs.select("id", "into"), "id", "left")
+    return kept.groupBy(F.coalesce("into", "id").alias("into")).agg(F.sort_array(F.collect_list(F.struct("id", "n", "h", "c"))).alias("members"))
+
+
+def _joined_clusters(step: DataFrame) -> DataFrame:
+    """id, n, h and c of the clusters that a round leaves."""
+    a, b = F.element_at("members", 1), F.get("members", F.lit(1))
+    n, d2 = a["n"] + b["n"], F.aggregate(F.zip_with(a["c"], b["c"], lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x)
+    both = F.struct(n.alias("n"), F.greatest(d2 * a["n"] * b["n"] / n, a["h"], b["h"]).alias("h"), F.zip_with(a["c"], b["c"], lambda p, q: (p * a["n"] + q * b["n"]) / n).alias("c"))
+    return step.select(F.col("into").alias("id"), F.when(F.size("members") == 1, F.struct(a["n"].alias("n"), a["h"].alias("h"), a["c"].alias("c"))).otherwise(both).alias("s"), (F.size("members") == 2).alias("new"), F.element_at("members", -1)["id"].alias("gone")).select("id", "s.*", "new", "gone")
+
+
+def ward_frames(positions: DataFrame, k: int = 5, group: int = WARD_GROUP) -> DataFrame:
+    """frame and cluster by Ward's linkage of all frames.
+
+    Ward's costs never fall when clusters are joined, so all pairs of clusters that are each other's nearest belong to the
+    tree and are joined in one round, over pairs of bounded blocks. Once at most `group` clusters are left, one task links
+    them. The k - 1 highest joins of the whole tree are then undone, and labels go down the rounds.
     """
     frames = pack_frames(positions)
-    n = frames.count()
-    if k > n:
-        raise ValueError("more clusters than frames")
-    step = max(1, -(-n // max_frames))
-    chosen = frames.where(F.pmod(F.col("frame"), F.lit(step)) == 0).limit(max_frames)
     kind = frames.schema["frame"].dataType.simpleString()
+    clusters = materialize(frames.select(F.col("frame").cast("long").alias("id"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("h"), F.col("coords").alias("c")), "frames")
+    count, values = clusters.agg(F.count("*"), F.max(F.size("c"))).first()
+    if k > count:
+        raise ValueError("more clusters than frames")
+    fit = max(1, WARD_VALUES // max(1, values or 1))
+    rounds, high = [], []
+    while count > min(group, fit):
+        rounds.append(materialize(_ward_round(clusters.select("id", "n", "h", "c"), count, min(WARD_BLOCK, fit)), "ward"))
+        clusters = _joined_clusters(rounds[-1])
+        left = rounds[-1].count()
+        if left == count:
+            raise ValueError("coordinates are missing")
+        count = left
+        high += [(r["h"], len(rounds), 0, r["id"], r["gone"]) for r in clusters.where("new").orderBy(F.desc("h"), F.desc("id")).limit(k - 1).collect()] if k > 1 else []
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("frame")["coords"].to_numpy())
-        labels = ward_labels(x, k)
-        return pd.DataFrame({"cluster": range(k), "centre": [x[labels == c].mean(0).tolist() for c in range(k)]})
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        merges = ward_merges(np.stack(pdf["c"].to_numpy()), pdf["n"].to_numpy(), pdf["h"].to_numpy())
+        return pd.DataFrame([(o, ids[i], ids[j], h) for o, (i, j, h) in enumerate(merges)], columns=["o", "id", "gone", "h"])
 
-    centres = chosen.groupBy(F.lit(1).alias("one")).applyInPandas(link, "cluster int, centre array<double>")
-    d2 = F.aggregate(F.zip_with("coords", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    # k rows of centres
-    near = frames.crossJoin(F.broadcast(centres)).groupBy("frame").agg(F.min(F.struct(d2.alias("d2"), "cluster")).alias("m"))
-    return near.select(F.col("frame").cast(kind).alias("frame"), F.col("m.cluster").alias("cluster"))
+    last = sorted(clusters.groupBy(F.lit(1).alias("one")).applyInPandas(link, "o long, id long, gone long, h double").collect())
+    high = sorted([*high, *((r["h"], len(rounds) + 1, r["o"], r["id"], r["gone"]) for r in last)])
+    undone = {m[4] for m in high[len(high) - (k - 1) :]}
+    label = {r["id"]: r["id"] for r in clusters.select("id").collect()}
+    for r in reversed(last):  # each id goes once, into one that stays longer
+        label[r["gone"]] = r["gone"] if r["gone"] in undone else label[r["id"]]
+    names = {root: c for c, root in enumerate(sorted({*label.values()} | undone))}
+    spark = positions.sparkSession
+    labels = spark.createDataFrame([(i, names[root]) for i, root in label.items()], "into long, cluster int")
+    own = F.create_map(*(F.lit(v) for i in undone for v in (i, names[i]))) if undone else None
+    for done, step in enumerate(reversed(rounds), 1):
+        down = step.select("into", F.explode("members.id").alias("id")).join(labels, "into")
+        cut = F.when(F.col("id") != F.col("into"), F.element_at(own, F.col("id"))) if undone else F.lit(None).cast("int")
+        labels = down.select(F.col("id").alias("into"), F.coalesce(cut, "cluster").cast("int").alias("cluster"))
+        labels = materialize(labels, "labels") if done % 4 == 0 else labels  # else a plan has a join for each round
+    return labels.select(F.col("into").cast(kind).alias("frame"), "cluster")
 
 
 def fit_model(rows: DataFrame, features: list[str], label: str, order: str, kind: str = "ridge", alpha: float = 1.0, folds: int = 5, seed: int = 42) -> tuple[Pipeline, dict[str, float]]:

@@ -275,3 +275,29 @@ def test_queries_equal_their_sql(spark):
         assert sorted(rows.columns) == sorted(columns), name
         key = lambda r: [repr(v) for v in r]
         assert sorted((list(r) for r in rows.select(*columns).collect()), key=key) == sorted((list(r) for r in found.fetchall()), key=key), name
+
+
+def test_ward_links_every_frame(spark):
+    def greedy(x, k):
+        own = [[i] for i in range(len(x))]
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        while len(own) > k:
+            i, j = min(((i, j) for i in range(len(own)) for j in range(i + 1, len(own))), key=lambda p: cost(own[p[0]], own[p[1]]))
+            own[i] += own.pop(j)
+        return {frozenset(c) for c in own}
+
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (60, 9))
+    x[40:], x[[7, 33]] = x[40:] / 50 + 3, x[[7, 33]] / 9 + 40  # a dense group, and a far pair in odd frames only
+    table = lambda x: spark.createDataFrame([(f, k, *map(float, c)) for f, row in enumerate(x) for k, c in enumerate(row.reshape(-1, 3))], "frame int, idx long, x double, y double, z double")
+
+    def got(x, k, group):
+        found = {}
+        for p in learn.ward_frames(table(x), k, group).collect():
+            found.setdefault(p["cluster"], set()).add(p["frame"])
+        assert sorted(found) == list(range(k))
+        return {frozenset(c) for c in found.values()}
+
+    for k, group in ((3, 30), (6, 4096)):
+        assert got(x, k, group) == greedy(x, k)
+    assert {len(c) for c in got(np.r_[np.zeros((40, 9)), np.ones((9, 9))], 2, 30)} == {40, 9}  # equal frames
