@@ -17,16 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.operators.residues import reindex
-from corpuscle.operators.trajectory import pack_frames
+from corpuscle.operators.trajectory import pack_frames, superimpose_packed
 from corpuscle.sources.store import materialize
 
 # Amino acids that count as similar.
 SIMILAR = ("DE", "KR", "KH", "RH", "IL", "IV", "LV", "IM", "LM", "FY", "FW", "YW", "ST", "NQ", "ND", "QE")
 
 
-def cluster_frames(positions: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """frame, cluster, and whether the frame is its cluster's medoid (the member nearest the centre)."""
-    frames = pack_frames(positions).select("frame", "coords", array_to_vector("coords").alias("v"))
+def _packed(positions: DataFrame, align_first: bool) -> DataFrame:
+    """Packed frames, written once; align_first: each superposed on the first."""
+    frames = materialize(pack_frames(positions), "packed")
+    return materialize(superimpose_packed(frames), "superposed") if align_first else frames
+
+
+def cluster_frames(positions: DataFrame, k: int = 5, seed: int = 42, align_first: bool = True) -> DataFrame:
+    """frame, cluster, and whether the frame is its cluster's medoid (the member nearest the centre).
+
+    align_first: frames are superposed on the first before they are clustered.
+    """
+    frames = _packed(positions, align_first).select("frame", "coords", array_to_vector("coords").alias("v"))
     if k > frames.count():
         raise ValueError("more clusters than frames")
     model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(frames)
@@ -158,14 +167,14 @@ def _joined_clusters(step: DataFrame) -> DataFrame:
     return step.select(F.col("into").alias("id"), F.when(F.size("members") == 1, F.struct(a["n"].alias("n"), a["h"].alias("h"), a["c"].alias("c"))).otherwise(both).alias("s"), (F.size("members") == 2).alias("new"), F.element_at("members", -1)["id"].alias("gone")).select("id", "s.*", "new", "gone")
 
 
-def ward_frames(positions: DataFrame, k: int = 5, group: int = WARD_GROUP) -> DataFrame:
-    """frame and cluster by Ward's linkage of all frames.
+def ward_frames(positions: DataFrame, k: int = 5, group: int = WARD_GROUP, align_first: bool = True) -> DataFrame:
+    """frame and cluster by Ward's linkage of all frames, superposed on the first (align_first) before they are clustered.
 
     Ward's costs never fall when clusters are joined, so all pairs of clusters that are each other's nearest belong to the
     tree and are joined in one round, over pairs of bounded blocks. Once at most `group` clusters are left, one task links
     them. The k - 1 highest joins of the whole tree are then undone, and labels go down the rounds.
     """
-    frames = pack_frames(positions)
+    frames = _packed(positions, align_first)
     kind = frames.schema["frame"].dataType.simpleString()
     clusters = materialize(frames.select(F.col("frame").cast("long").alias("id"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("h"), F.col("coords").alias("c")), "frames")
     count, values = clusters.agg(F.count("*"), F.max(F.size("c"))).first()

@@ -158,6 +158,27 @@ def pack_frames(positions: DataFrame) -> DataFrame:
     return rows.select("frame", F.flatten(F.transform("p", lambda q: F.array(q["x"], q["y"], q["z"]))).alias("coords"))
 
 
+def superimpose_packed(frames: DataFrame) -> DataFrame:
+    """frames, as pack_frames gives them, each superposed on the frame of least number; atoms are paired in order of idx."""
+    n, least, most, ref = frames.agg(F.count("*"), F.min(F.size("coords")), F.max(F.size("coords")), F.min_by("coords", "frame")).first()
+    if n and least != most:
+        raise ValueError("frames differ in their number of atoms")
+    shared = frames.sparkSession.sparkContext.broadcast(np.reshape(ref or [], (-1, 3)))
+
+    def move(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to = shared.value - shared.value.mean(0)
+        for pdf in parts:
+            for k in range(0, len(pdf), step := max(1, BLOCK_VALUES // max(1, to.size))):
+                part = pdf.iloc[k : k + step]
+                xyz = np.stack(part["coords"].to_numpy()).reshape(len(part), -1, 3)
+                xyz = xyz - xyz.mean(1, keepdims=True)
+                u, _, vt = np.linalg.svd(np.einsum("ika,kb->iab", xyz, to))
+                u[..., 2] *= np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)[:, None]
+                yield pd.DataFrame({"frame": part["frame"].to_numpy(), "coords": list((xyz @ (u @ vt) + shared.value.mean(0)).reshape(len(part), -1))})
+
+    return frames.mapInPandas(move, f"frame {frames.schema['frame'].dataType.simpleString()}, coords array<double>")
+
+
 def unpack_frames(frames: DataFrame) -> DataFrame:
     third = F.transform(F.sequence(F.lit(0), F.expr("size(coords) div 3 - 1")), lambda k: F.struct(k.cast("long").alias("idx"), *(F.element_at("coords", (k * 3 + n + 1).cast("int")).alias(c) for n, c in enumerate(AXES))))
     return frames.select("frame", F.inline(third))

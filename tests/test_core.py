@@ -293,7 +293,7 @@ def test_ward_links_every_frame(spark):
 
     def got(x, k, group):
         found = {}
-        for p in learn.ward_frames(table(x), k, group).collect():
+        for p in learn.ward_frames(table(x), k, group, align_first=False).collect():
             found.setdefault(p["cluster"], set()).add(p["frame"])
         assert sorted(found) == list(range(k))
         return {frozenset(c) for c in found.values()}
@@ -301,3 +301,20 @@ def test_ward_links_every_frame(spark):
     for k, group in ((3, 30), (6, 4096)):
         assert got(x, k, group) == greedy(x, k)
     assert {len(c) for c in got(np.r_[np.zeros((40, 9)), np.ones((9, 9))], 2, 30)} == {40, 9}  # equal frames
+
+
+def test_clusters_of_superposed_frames(spark):
+    r = np.random.default_rng(6)
+    shapes, rows = r.normal(0, 3, (2, 7, 3)), []
+    for f in range(24):
+        q, _ = np.linalg.qr(r.normal(0, 1, (3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        xyz = (shapes[f // 3 % 2] + r.normal(0, 0.01, (7, 3))) @ q + r.normal(0, 50, 3)  # tumbles and drifts
+        rows += [(f + 2, k, *map(float, c)) for k, c in enumerate(xyz)]
+    table = spark.createDataFrame(rows, "frame int, idx long, x double, y double, z double").cache()
+    packed = trajectory.superimpose_packed(trajectory.pack_frames(table)).collect()
+    want = {p["frame"]: p["coords"] for p in trajectory.pack_frames(trajectory.superimpose_trajectory(table, 2)).collect()}
+    assert len(packed) == 24 and all(np.allclose(p["coords"], want[p["frame"]], atol=1e-8) for p in packed)
+    for found in (learn.cluster_frames(table, 2), learn.ward_frames(table, 2)):
+        labels = {p["frame"]: p["cluster"] for p in found.collect()}
+        assert len(labels) == 24 and all((labels[f + 2] == labels[2]) == (f // 3 % 2 == 0) for f in range(24))
