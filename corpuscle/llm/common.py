@@ -48,6 +48,16 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from all columns of df (whatever their case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 #: A key with at least one row in so many of all rows is hot; so there are no more hot keys than this.
 HOT = 1000
 
@@ -64,7 +74,7 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count_col:
 
 
 def text_key(text: Column) -> list[Column]:
-    """128 bits that stand for a text wherever rows of equal text must meet."""
+    """120 bits that stand for a text wherever rows of equal text must meet."""
     h = F.md5(F.coalesce(text, F.lit("")))
     return [F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("long") for k in (0, 1)]
 
