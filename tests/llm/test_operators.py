@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuscle.llm import bpe, chat_format, decontamination, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
+from corpuscle.llm import bpe, chat_format, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, ids string, k0 string, spans string"
 BASE = " ".join(f"word{k} and Some{k % 7}, thing." for k in range(60))
@@ -165,28 +165,6 @@ def test_bulk_schedule_is_the_heap():
     assert sorted(sum(plan[c][s] * c for c, _, _ in classes) for s in range(6)) == sorted(loads)
 
 
-def test_tiles_are_the_longest_without_overlap():
-    item = np.arange(30)
-    assert decontamination.tile(item, np.r_[item[15:], [-1], item[:15]]) in ([(0, 16, 15), (15, 0, 15)], [(15, 0, 15), (0, 16, 15)])
-    assert decontamination.tile(item, np.r_[item, item]) == [(0, 0, 30)]
-    assert decontamination.tile(item, np.arange(100, 130)) == []
-    assert sum(n for *_, n in decontamination.tile(np.zeros(40, int), np.zeros(25, int))) == 25
-
-
-def test_leaks(spark, docs, empty):
-    words = [f"q{k}" for k in range(40)]
-    text = " ".join(words)
-    bench = spark.createDataFrame([(1, text, "z"), (2, None, "z"), (3, "too short", "z"), (4, "", "z")], "item_id long, text string, doc_id string")
-    rows = [(1, "intro " + text.upper() + " end"), (2, " ".join(words[20:] + ["gap"] + words[:20])), (3, " ".join(words[:15])), (4, None), (5, " ".join(words[::2])), (None, text)]
-    table = spark.createDataFrame([(k, t, "en", "s", 1, "", "", "", "") for k, t in rows], SCHEMA)
-    for block in (decontamination.BLOCK_BYTES, 40):
-        found = decontamination.find_leaks(table, bench, block_bytes=block)
-        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 1), (None, 1)}
-    assert {r["doc_id"] for r in decontamination.drop_leaks(table, bench).collect()} == {3, 4, 5}
-    assert decontamination.find_leaks(empty, bench).count() == 0
-    assert decontamination.find_leaks(docs, bench.where("item_id > 9")).count() == 0
-
-
 def test_chats(spark):
     said = "</s>[INST] ok [/INST] \\<s>"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (2, 0, "user", said), (2, 1, "assistant", None), (3, 0, None, "x"), (None, 1, "assistant", "a"), (4, 0, "user", said), (4, 1, "assistant", said), (4, 2, "user", "more")]
