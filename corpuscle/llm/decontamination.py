@@ -35,7 +35,7 @@ from corpuscle.llm.common import HOT, by_bytes, hold_cache, join_counted, materi
 
 #: Hiragana, Katakana and Han, written without spaces.
 _ALONE = "぀-ヿ㐀-鿿"
-TOKEN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
+TOKEN, _PLAIN, _SOME = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+"), re.compile(r"\w+"), re.compile(f"[{_ALONE}]")
 MIN_TILE, COVERAGE = 5, 0.6
 #: Rows, or bytes, of a table up to which it is broadcast; bits of the bitmap for each seed, and at least and most (as powers of two).
 BROADCAST_ROWS, BROADCAST_BYTES, BITS_PER_SEED, LEAST_BITS, MOST_BITS = 1_000_000, 32_000_000, 16, 12, 26
@@ -50,7 +50,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words of all texts, none of them 0, and the number of words of each text."""
     if len(_WORDS) > CACHE:
         _WORDS.clear()
-    cut = [TOKEN.findall(t.lower()) for t in texts]
+    cut = [(_PLAIN if t.isascii() or not _SOME.search(t) else TOKEN).findall(t.lower()) for t in texts]
     flat = list(chain.from_iterable(cut))
     for w in [w for w in set(flat) if w not in _WORDS]:
         _WORDS[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1
@@ -149,8 +149,8 @@ def _in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], at: int, name: str, min_tile: int, bitmap) -> Iterator[pa.RecordBatch]:
-    """Each row and the words of its runs of known windows (binary; a 0 between runs), null without one."""
+def _runs(batches: Iterator[pa.RecordBatch], at: int, name: str, keep: tuple[str, ...], min_tile: int, bitmap) -> Iterator[pa.RecordBatch]:
+    """The columns keep and the words of a row's runs of known windows (binary; a 0 between runs), null without one."""
     hold_cache("tiling", _WORDS.clear)
     for batch in batches:
         done = 0
@@ -171,7 +171,7 @@ def _runs(batches: Iterator[pa.RecordBatch], at: int, name: str, min_tile: int,
                 own = known[a:b]
                 out[k] = np.where(own, flat[a:b], np.uint64(0))[own | np.r_[False, own[:-1]]].tobytes()
             rows = batch.slice(done, len(texts))
-            yield pa.record_batch([*rows.columns, pa.array(out, pa.binary())], names=[*rows.schema.names, name])
+            yield pa.record_batch([*(rows.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, name])
             done += len(texts)
 
 
@@ -254,8 +254,8 @@ def _join_seeds(classes: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     return left.join(right, ["h", "part"]).select("key", "form").distinct()
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, text_col: str, min_tile: int, coverage: float, limit: int) -> tuple[DataFrame, str, str, DataFrame, DataFrame]:
-    """The rows of docs with the class of their runs (null without one) and the names of both new columns; the leaks of
+def _leaks(docs: DataFrame, benchmark: DataFrame, text_col: str, keep: list[str], min_tile: int, coverage: float, limit: int) -> tuple[DataFrame, str, DataFrame, DataFrame]:
+    """The columns keep of docs with the class of their runs (null without one) and its name; the leaks of
     each class (key, n rows, form, coverage, matched_words, n_tiles); and the items (item_id, form)."""
     spark = docs.sparkSession
     own = narrow(benchmark, item_id="item_id", text="text").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -265,8 +265,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, text_col: str, min_tile: int,
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds.select("h").distinct()))
 
     words, key = unused(docs, "words", "key")
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField(words, T.BinaryType())])
-    marked = docs.mapInArrow(partial(_runs, at=docs.columns.index(text_col), name=words, min_tile=min_tile, bitmap=bitmap), schema)
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField(words, T.BinaryType())])
+    marked = docs.mapInArrow(partial(_runs, at=docs.columns.index(text_col), name=words, keep=tuple(keep), min_tile=min_tile, bitmap=bitmap), schema)
     marked = materialize(marked.withColumn(key, F.md5(words)), "marked")
     classes = marked.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(words).alias("words"))
     classes = materialize(classes.groupBy("key").agg(F.first("words").alias("words"), F.count("*").alias("n")), "classes")
@@ -287,13 +287,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, text_col: str, min_tile: int,
     rows = classes.select("key", F.lit(None).cast("string").alias("form"), "words").unionByName(joined.select("key", "form", "words"))
     rows = rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("form"))
     found = rows.mapInArrow(partial(_tiled, min_tile=min_tile, coverage=coverage), "key string, form string, coverage double, matched_words bigint, n_tiles bigint")
-    return marked, key, words, materialize(found.join(classes.select("key", "n"), "key"), "leaks"), items.select("item_id", "form")
+    return marked, key, materialize(found.join(classes.select("key", "n"), "key"), "leaks"), items.select("item_id", "form")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_tile: int = MIN_TILE, coverage: float = COVERAGE, limit: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, coverage, matched_words and n_tiles of each leaked item; clean documents have no row."""
     given = narrow(docs, doc_id="doc_id", text=text_col)
-    marked, key, _, leaks, items = _leaks(given, benchmark, "text", min_tile, coverage, limit)
+    marked, key, leaks, items = _leaks(given, benchmark, "text", ["doc_id"], min_tile, coverage, limit)
     # as many leaks as one text can hold stand beside each class
     by_class = leaks.groupBy("key", "n").agg(F.collect_list(F.struct("form", "coverage", "matched_words", "n_tiles")).alias("leaks"))
     total = by_class.agg(F.sum("n")).first()[0] or 0
@@ -305,7 +305,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", mi
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_tile: int = MIN_TILE, coverage: float = COVERAGE, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs, with all columns, into which no item is leaked. Only rows with known windows are joined."""
-    marked, key, _, leaks, _ = _leaks(docs, benchmark, text_col, min_tile, coverage, limit)
+    marked, key, leaks, _ = _leaks(docs, benchmark, text_col, docs.columns, min_tile, coverage, limit)
     leaked = leaks.select(F.col("key").alias(key), "n").distinct()
     total = leaked.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT >= total
