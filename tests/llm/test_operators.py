@@ -120,9 +120,10 @@ def test_binomial_bounds():
 
     for n, k, p in ((20, 3, 0.2), (50, 0, 0.05), (400, 9, 0.03), (5, 5, 0.5)):
         assert quality_rules.binomial_tail(k, n, p) == pytest.approx(sum(comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(k + 1)))
-    assert quality_rules.choose(5000, [0] * 13, [9] * 13, 0.01, 0.002) == quality_rules.CUTOFFS[0]
-    assert quality_rules.choose(100, [0] * 13, [9] * 13, 0.01, 0.002) is None  # too few labels for the bound
-    assert quality_rules.choose(5000, [0, 0, 500] + [5000] * 10, [1, 4, 9] + [9] * 10, 0.01, 0.002) == quality_rules.CUTOFFS[1]
+    assert quality_rules.certified(5000, [0, 3, 20], 0.01, 0.002) == 3
+    assert quality_rules.certified(100, [0, 0], 0.01, 0.002) == 0  # too few labels for the bound
+    assert quality_rules.certified(5000, [0, 0, 500, 0], 0.01, 0.002) == 2  # testing stops at the first failure
+    assert quality_rules.certified(0, [0], 0.05, 0.05) == 0
 
 
 def test_rules_reject_certified_only(spark, docs, empty, labels):
@@ -149,20 +150,45 @@ def test_sharding(docs, empty):
     assert sharding.assign_shards(empty, 4).count() == 0
 
 
-def test_bulk_schedule_is_the_heap():
-    import heapq
-
-    classes = [(100, 3, 300), (40, 500, 20000), (7, 1000, 7000), (1, 5, 5)]
-    loads = [0.0] * 6
-    for size, n, _ in classes:
-        heap = [(x, i) for i, x in enumerate(loads)]
-        heapq.heapify(heap)
-        for _ in range(n):
-            x, i = heap[0]
-            heapq.heapreplace(heap, (x + size, i))
-        loads = [x for x, _ in sorted(heap, key=lambda h: h[1])]
-    plan = sharding.schedule(classes, 6)
-    assert sorted(sum(plan[c][s] * c for c, _, _ in classes) for s in range(6)) == sorted(loads)
+def heap_schedule(groups, shards):
+    """Longest first, each to the least-loaded shard, of equally loaded ones the first: (size, shard) of each group."""
+    loads, out = [0] * shards, []
+    for size in sorted(groups, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += size
+        out.append((size, s))
+    return out
+
+
+def test_schedule_is_that_of_single_groups():
+    import random
+    from collections import Counter
+
+    r = random.Random(2)
+    for _ in range(300):
+        shards, most = r.randrange(1, 9), r.choice([3, 20, 1000])
+        groups = [r.randrange(1, most) for _ in range(r.randrange(120))] + [r.randrange(1, 5000)] * r.choice([0, 1, 40])
+        want = Counter(heap_schedule(groups, shards))
+        plan = sharding.schedule(sorted(Counter(groups).items(), reverse=True), shards)
+        assert {(size, s): n for size, counts in plan for s, n in enumerate(counts) if n} == dict(want)
+
+
+def test_sharding_equals_plain_scheduling(spark):
+    from collections import Counter, defaultdict
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    rows = sharding.assign_shards(table, 8).collect()
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    groups = defaultdict(list)
+    for d, t in texts.items():
+        groups[t].append(d)
+    assert all(len({shard[d] for d in ids}) == 1 for ids in groups.values())
+    size = {t: sum(len(t.encode()) + 1 for _ in ids) for t, ids in groups.items()}
+    assert Counter((size[t], shard[ids[0]]) for t, ids in groups.items()) == Counter(heap_schedule(size.values(), 8))
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(x == s for x in shard.values())))
+    assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
 
 
 def test_chats(spark):
