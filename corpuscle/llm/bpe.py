@@ -4,6 +4,11 @@ A text is cut by the vocabulary's pattern. Each distinct word that is no token b
 recursive query joins neighbouring rows with the merge table and contracts each word's leftmost pair of minimum rank until
 no pair is left. Decoding joins id-position rows with the vocabulary and aggregates the bytes in order.
 
+One step of the query goes through all pairs of a word's minimum rank from the left. That is contracting the leftmost pair again and
+again, because pairs of the new token have higher ranks: a token of lower rank over the same bytes would have been built
+before, from inside them, and nothing across their ends was contracted so far. (This needs a vocabulary whose tokens encode
+to themselves, as merges learnt in the order of their ranks do.) So words of any length take the same query.
+
 Null and empty texts have no tokens and decode to no bytes. Rows are independent, so repeated rows and repeated ids give
 repeated results, an empty table an empty one, and other columns are not read.
 """
@@ -27,41 +32,27 @@ from corpuscle.llm.common import CHUNK, by_bytes, hold_cache, narrow, no_collect
 
 #: Rows that one recursive query may pile up, entries of each cache, characters and ids that are handled at once.
 MAX_ROWS, CACHE, CHARS, IDS = 6_000_000, 700_000, 3_000_000, 1_000_000
-#: Bytes of a word from which all non-overlapping places of its minimum pair are contracted in one step.
-LONG_WORD = 256
-
-#: One contraction a step and word: its first place of minimum rank. A row knows its neighbour (np, nid) and the rank and place
-#: of its pair (kp), so a step joins one row for each word and looks up only the two pairs that it changes.
-_LEFTMOST = """
-with recursive s(step, w, p, np, id, nid, kp) as (
-  select 0, t.w, t.p, t.np, t.id, t.nid, m.k::bigint * 4294967296 + t.p from tokens t left join merges m on m.l = t.id and m.r = t.nid
+
+#: One step: in each word the leftmost pair of minimum rank is contracted, then the next one of that rank to its right that
+#: doesn't overlap it, and so on to the word's end (hit: such pairs; place: how many overlap in a row before it; take: every second of those).
+#: Places (p) are unique over all words; a row knows the place and the id of the next one in its word (np, nid) and the rank of its pair (k).
+_STEP = """
+with recursive s(step, w, p, np, id, nid, k) as (
+  select 0, t.w, t.p, t.np, t.id, t.nid, m.k from tokens t left join merges m on m.l = t.id and m.r = t.nid
   union all
-  (with low as (select w, min(kp) as kp from s where kp is not null group by w),
-  best as (
-    select h.w, h.p as bp, h.np as bnp, e.np as nnp, e.nid as nnid, (low.kp // 4294967296)::int as mk
-    from low join s h on h.w = low.w and h.kp = low.kp join s e on e.w = h.w and e.p = h.np),
+  (with low as (select w, min(k) as k from s where k is not null group by w),
+  hit as (select s.p, s.np, s.k, row_number() over (order by s.p) as n, lag(s.np, 1, -1) over (order by s.p) = s.p as linked from s join low using (w, k)),
+  run as (select p, np, k, n - max(case when linked then 0 else n end) over (order by p) as place from hit),
+  take as (select r.p, r.np, r.k, e.np as nnp, e.nid as nnid from run r join s e on e.p = r.np where place % 2 = 0),
+  act as (select p, k, nnp, nnid from take union all select np, -1, 0, 0 from take),
   done as (
-    select s.step + 1 as step, s.w, s.p, case when s.p = bp then nnp else s.np end as np, case when s.p = bp then mk else s.id end as id,
-      case when s.p = bp then nnid when s.np = bp then mk else s.nid end as nid, s.kp, s.p = bp or s.np = bp as new
-    from s join best using (w) where s.p <> bnp and s.step < {steps})
-  select step, w, p, np, id, nid, case when new then m.k::bigint * 4294967296 + p else kp end
-  from done left join merges m on m.l = (case when new then id else -1 end) and m.r = nid)
-)
-select s.w, s.p, s.id, s.kp as k from s join (select w, max(step) as step from s group by w) using (w, step) order by w, p"""
-#: All places of the minimum rank in one step; of places that overlap, as in a run of one token, every second from the left.
-_ALL = """
-with recursive s(step, w, p, id, nid, k) as (
-  select 0, t.w, t.p, t.id, t.nid, m.k from tokens t left join built m on m.l = t.id and m.r = t.nid
-  union all
-  (with best as (select w, min(k) as mk from s group by w having min(k) is not null),
-  near as (select s.step, s.w, s.p, s.id, mk, coalesce(k = mk, false) as hit, row_number() over (partition by s.w order by p) as rn from s join best using (w) where step < {steps}),
-  runs as (select *, rn - row_number() over (partition by w, hit order by p) as run from near),
-  odd as (select *, hit and row_number() over (partition by w, hit, run order by p) % 2 = 1 as take from runs),
-  done as (select step, w, p, case when take then mk else id end as id, lag(take, 1, false) over (partition by w order by p) as eaten from odd),
-  kept as (select step, w, p, id, lead(id) over (partition by w order by p) as nid from done where not eaten)
-  select g.step + 1, g.w, g.p, g.id, g.nid, m.k from kept g left join built m on m.l = g.id and m.r = g.nid)
+    select s.step + 1 as step, s.w, s.p, coalesce(a.nnp, s.np) as np, coalesce(a.k, s.id) as id, coalesce(a.nnid, s.nid) as nid, s.k, a.k is not null as new
+    from s join low using (w) left join act a on a.p = s.p where s.step < {steps} and coalesce(a.k, 0) >= 0),
+  near as (select d.step, d.w, d.p, d.np, d.id, coalesce(c.k, d.nid) as nid, d.k, d.new or c.k is not null as new from done d left join take c on c.p = d.np)
+  select step, w, p, np, id, nid, case when new then m.k else near.k end
+  from near left join merges m on m.l = (case when new then id else -1 end) and m.r = nid)
 )
-select w, p, id, k from s qualify step = max(step) over (partition by w) order by w, p"""
+select s.w, s.p, s.id, s.k from s join (select w, max(step) as step from s group by w) using (w, step) order by w, p"""
 
 
 def _with_next(w: np.ndarray, p: np.ndarray, ids: np.ndarray) -> pa.Table:
@@ -91,48 +82,27 @@ class Codec:
         for token, rank in self.ranks.items():
             if len(token) == 1:
                 self.base[token[0]] = rank
-        self._table("merges", self._splits())
+        splits = np.array(self._splits(), np.int32).reshape(-1, 3)
+        self.db.register("_m", pa.table({c: splits[:, k] for k, c in enumerate("lrk")}))
+        self.db.execute("create table merges as select * from _m")
+        self.db.unregister("_m")
         self.db.register("_v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "b": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("create table vocab as select * from _v")
         self.db.unregister("_v")
-        self.has_built = False
-
-    def _table(self, name: str, rows: list[tuple[int, int, int]]) -> None:
-        cols = np.array(rows, np.int32).reshape(-1, 3)
-        self.db.register("_m", pa.table({c: cols[:, k] for k, c in enumerate("lrk")}))
-        self.db.execute(f"create table {name} as select * from _m")
-        self.db.unregister("_m")
 
     def _splits(self) -> list[tuple[int, int, int]]:
         """Every way in which two tokens make a third."""
         get = self.ranks.get
         return [(a, b, k) for token, k in self.ranks.items() for i in range(1, len(token)) if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None]
 
-    def _built(self) -> list[tuple[int, int, int]]:
-        """For each token the one pair it is built from; here a merged token only enters pairs of higher rank."""
-        rows = []
-        for token, rank in self.ranks.items():
-            parts = [token[i : i + 1] for i in range(len(token))]
-            while len(parts) > 2:
-                low, at = min(((r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1], rank)) < rank), default=(0, -1))
-                if at < 0:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            if len(parts) == 2 and all(p in self.ranks for p in parts):
-                rows.append((self.ranks[parts[0]], self.ranks[parts[1]], rank))
-        return rows
-
-    def _merge(self, words: list[bytes], long: bool) -> list[bytes]:
+    def _merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
-        if long and not self.has_built:
-            self._table("built", self._built())
-            self.has_built = True
         out = [b""] * len(words)
         flat = np.frombuffer(b"".join(words), np.uint8)
         tokens = _with_next(np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words]), np.arange(len(flat), dtype=np.int32), self.base[flat])
         while tokens.num_rows:
             self.db.register("tokens", tokens)
-            got = self.db.sql((_ALL if long else _LEFTMOST).format(steps=max(8, self.max_rows // tokens.num_rows))).to_arrow_table()
+            got = self.db.sql(_STEP.format(steps=max(8, self.max_rows // tokens.num_rows))).to_arrow_table()
             self.db.unregister("tokens")
             w, ids, open_ = got["w"].to_numpy(), got["id"].to_numpy().astype("<u4"), np.unique(got.filter(got["k"].is_valid())["w"].to_numpy())
             starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
@@ -144,20 +114,19 @@ class Codec:
         return out
 
     def _encode_words(self, words: list[str]) -> None:
-        short, long = [], []
+        part = []
         for word in words:
             raw = word.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 self.words[word] = whole.to_bytes(4, "little")
             else:
-                (long if len(raw) > LONG_WORD else short).append((word, raw))
-        for part, is_long in ((short, False), (long, True)):
-            while part:
-                size, n = 0, 0
-                while n < len(part) and (not n or size + len(part[n][1]) <= self.max_rows // 12):
-                    size, n = size + len(part[n][1]), n + 1
-                self.words.update(zip((x for x, _ in part[:n]), self._merge([x for _, x in part[:n]], is_long), strict=True))
-                part = part[n:]
+                part.append((word, raw))
+        while part:
+            size, n = 0, 0
+            while n < len(part) and (not n or size + len(part[n][1]) <= self.max_rows // 12):
+                size, n = size + len(part[n][1]), n + 1
+            self.words.update(zip((x for x, _ in part[:n]), self._merge([x for _, x in part[:n]]), strict=True))
+            part = part[n:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -1,7 +1,9 @@
 """Each operator against a library or a brute-force version, on rows with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -59,13 +61,20 @@ def test_long_words_and_restarts(monkeypatch):
     own = bpe.Codec(path, P.PATTERN)
     own.max_rows = 60  # steps run out again and again
     library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
-    texts = ["antidisestablishmentarianismus" * 3, "abcde" * 200, "a" * 999, "ħ" * 300]
+    r = random.Random(6)
+    texts = ["antidisestablishmentarianismus" * 3, "abcde" * 200, "a" * 999, "ħ" * 300, *("".join(r.choice(a) for _ in range(r.randrange(1, 600))) for a in ("ab", "-=", "aeilnrst", "ACGT", "日本語の", "  \n", string.ascii_letters) * 12)]
     for t, ids in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
     with pytest.raises(ValueError):
         own.decode([np.array([999_999], "<u4").tobytes()])
 
 
+def test_tokens_encode_to_themselves():
+    own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    tokens = list(own.ranks)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own._merge(tokens)] == [[own.ranks[t]] for t in tokens]
+
+
 def test_counts_equal_the_library(docs, empty):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
