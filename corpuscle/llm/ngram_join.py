@@ -9,9 +9,10 @@ posterior probability (uniform prior) of reaching the threshold falls below the
 exactly on their n-grams. A group gives each text its number of links and a root of its links. Classes are
 the connected components of all roots, by alternating large-star and small-star steps on tables in the shared folder.
 
-Texts of one to four words are one n-gram; null, empty and word-free texts are linked to nothing, each its own class. A class
-is named by its least document id. Repeated rows are copies; null ids get the class of their text; an empty table gives an
-empty one; other columns are not read (join) or carried along (dedupe).
+Texts of one to four words are one n-gram, and so is a text of other characters than words have; null, empty and blank texts
+are linked to nothing, each its own class. A class is named by its least document id. Repeated rows are copies; null ids
+get the class of their text; an empty table gives an empty one; other columns are not read (join) or carried along
+(dedupe), whatever their names. Each row is written with a number of its own, by which one row stands for a set of copies.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuscle.llm.common import by_bytes, hold_cache, join_counted, materialize, narrow
+from corpuscle.llm.common import by_bytes, hold_cache, join_counted, materialize, narrow, unused
 
 TOKEN = re.compile(r"\w+")
 BANDS, ROWS, STEP = 24, 4, 16
 HASHES = BANDS * ROWS
-#: Members of a band in a block, characters at once, entries of the cache of word hashes, columns of a dense product.
-BLOCK, CHARS, CACHE, COLUMNS = 512, 2_000_000, 400_000, 4096
+#: Members of a band in a block and about their bytes, characters at once, entries of the cache of word hashes, columns of a dense product.
+BLOCK, BLOCK_BYTES, CHARS, CACHE, COLUMNS = 512, 8_000_000, 2_000_000, 400_000, 4096
 _MIX, _FACTOR = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 _seeds = np.random.default_rng(20240229)
@@ -58,11 +60,12 @@ def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
             grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(_FACTOR) + words[k : k + len(grams)]
         grams = (grams ^ (grams >> np.uint64(32))) * _MIX
     out, at = [], 0
-    for c in cut:
+    for c, text in zip(cut, texts, strict=True):
         if len(c) >= n:
             out.append(np.unique(grams[at : at + len(c) - n + 1]))
         else:
-            out.append(np.array([xxhash.xxh64_intdigest(" ".join(c))] if c else [], np.uint64))
+            short = " ".join(c) or text.strip()
+            out.append(np.array([xxhash.xxh64_intdigest(short.encode("utf-8", "surrogatepass"))] if short else [], np.uint64))
         at += len(c)
     return out
 
@@ -75,12 +78,12 @@ def minhash(grams: np.ndarray) -> np.ndarray:
     return best
 
 
-def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """In: doc_id, th, text. Out: doc_id, th, s0, s1 (the set), sig."""
+def _sign(batches: Iterator[pa.RecordBatch], at: int, names: tuple[str, ...], n: int) -> Iterator[pa.RecordBatch]:
+    """Each row with s0, s1 (its set) and sig."""
     hold_cache("ngrams", _WORDS.clear)
     for batch in batches:
-        at = 0
-        for texts in by_bytes(batch.column(2).to_pylist(), CHARS):
+        done = 0
+        for texts in by_bytes(batch.column(at).to_pylist(), CHARS):
             keys, sigs = [], []
             for grams in ngram_sets(texts, n):
                 if len(grams):
@@ -90,8 +93,9 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 else:
                     keys.append((None, None))
                     sigs.append(None)
-            yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "s0", "s1", "sig"])
-            at += len(texts)
+            rows = batch.slice(done, len(texts))
+            yield pa.record_batch([*rows.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.binary())], names=[*rows.schema.names, *names])
+            done += len(texts)
     _WORDS.clear()
 
 
@@ -248,24 +252,26 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def _classes(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """The signed rows (doc_id, th, s0, s1), and for each set its class (class_id, keeper), links and copies."""
-    given = narrow(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    kind = given.schema["doc_id"].dataType.simpleString()
-    signed = materialize(given.mapInArrow(partial(_sign, n=n), f"doc_id {kind}, th bigint, s0 bigint, s1 bigint, sig binary"), "signed")
+def _classes(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tuple[DataFrame, list[str], DataFrame]:
+    """The rows of docs with the number of each and its set, and the names of these columns (rid, s0, s1); and for each set
+    its class (class_id, keeper: the row that stands for the class), links and copies."""
+    names = unused(docs, "rid", "s0", "s1", "sig")
+    numbered = docs.withColumn(names[0], F.monotonically_increasing_id())
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in numbered.schema.fields), *(T.StructField(c, t) for c, t in zip(names[1:], (T.LongType(), T.LongType(), T.BinaryType()), strict=True))])
+    signed = materialize(numbered.mapInArrow(partial(_sign, at=docs.columns.index("text"), names=tuple(names[1:]), n=n), schema), "signed")
+    rows = narrow(signed, doc_id="doc_id", text="text", **dict(zip(("rid", "s0", "s1", "sig"), names, strict=True))).where("s0 is not null")
     name = F.concat(F.lpad(F.hex("s0"), 16, "0"), F.lpad(F.hex("s1"), 16, "0"))
-    sets = signed.where("s0 is not null").groupBy("s0", "s1").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.min("sig").alias("sig"))
-    sets = materialize(sets.select(name.alias("id"), "s0", "s1", "copies", "rep", "sig"), "sets")
-    bands = sets.select("id", "s0", "s1", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, 4 * ROWS)))).alias("band", "key"))
-    full = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor("s0").alias("x"), F.bit_xor("s1").alias("y")).where("n > 1")
-    kept = materialize(full.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n"), "bands")
+    sets = rows.groupBy("s0", "s1").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("rep"), F.min("sig").alias("sig"), F.max(F.octet_length("text")).alias("size"))
+    sets = materialize(sets.select(name.alias("id"), "s0", "s1", "copies", "rep", "sig", "size"), "sets")
+    bands = sets.select("id", "s0", "s1", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, 4 * ROWS)))).alias("band", "key"))
+    full = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor("s0").alias("x"), F.bit_xor("s1").alias("y")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("at.size") / BLOCK_BYTES)).cast("int")
+    kept = materialize(full.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key", "size")).alias("at")).select("at.band", "at.key", "n", blocks.alias("blocks")), "bands")
     total = kept.agg(F.sum("n")).first()[0] or 0
     members = join_counted(bands.select("id", "band", "key"), kept, ["band", "key"], "n", total)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = materialize(members.select("id", "band", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own")), "members")
-    needed = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "sig", F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("th"))
-    texts = given.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "text")
-    loaded = needed.join(texts, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "sig", "text")
+    members = materialize(members.select("id", "band", "key", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own")), "members")
+    needed = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "sig", F.col("rep.rid").alias("rid"))
+    loaded = needed.join(rows.select("rid", "text"), "rid").select("id", "sig", "text")
     dealt = members.join(loaded, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "sig", "text")
     dealt = dealt.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
@@ -277,12 +283,12 @@ def _classes(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tup
     least = named.groupBy("root").agg(F.min("rep.doc_id").alias("class_id"), F.min("rep").alias("keeper"), F.count("*").alias("n"))
     least = materialize(least, "classes")
     total = least.agg(F.sum("n")).first()[0] or 0
-    return signed, join_counted(named, least, ["root"], "n", total).select("s0", "s1", "copies", "rep", "n_links", "class_id", "keeper")
+    return signed, names[:3], join_counted(named, least, ["root"], "n", total).select("s0", "s1", "copies", "n_links", "class_id", F.col("keeper.rid").alias("keeper"))
 
 
 def join_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
     """For each row doc_id, class_id, n_links (other texts with similarity of at least threshold) and n_copies (rows with its set)."""
-    signed, classes = _classes(docs, n, threshold, tolerance)
+    signed, _, classes = _classes(narrow(docs, doc_id="doc_id", text="text"), n, threshold, tolerance)
     classes = materialize(classes, "joined")
     total = classes.agg(F.sum("copies")).first()[0] or 0
     some = join_counted(signed.where("s0 is not null").select("doc_id", "s0", "s1"), classes, ["s0", "s1"], "copies", total)
@@ -291,10 +297,8 @@ def join_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
 
 
 def dedupe(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
-    """The rows of docs, with all columns, of which each class keeps the one of least id; texts without words stay."""
-    signed, classes = _classes(docs, n, threshold, tolerance)
-    keepers = classes.select("keeper.doc_id", "keeper.th").distinct().unionByName(signed.where("s0 is null").select("doc_id", "th").distinct())
-    keepers = keepers.select(F.col("doc_id").alias("_k_id"), F.col("th").alias("_k_th"))
-    marked = docs.withColumn("_k_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(keepers, F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_k_own") == F.col("_k_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_k_own"]).select(*(f"`{c}`" for c in docs.columns))
+    """The rows of docs, with all columns, of which each class keeps the one of least id; null, empty and blank texts stay."""
+    signed, (rid, s0, _), classes = _classes(docs, n, threshold, tolerance)
+    keepers = classes.select(F.col("keeper").alias(rid)).distinct()
+    kept = signed.where(F.col(s0).isNotNull()).join(keepers, rid, "left_semi").unionByName(signed.where(F.col(s0).isNull()))
+    return kept.select(*(f"`{c}`" for c in docs.columns))

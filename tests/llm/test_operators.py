@@ -283,7 +283,7 @@ def brute_join(rows):
     sets = []
     for _, t in rows:
         w = re.findall(r"\w+", (t or "").lower())
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else None))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset([t.strip()]) if t and t.strip() else None))
     distinct = list({s for s in sets if s})
     similar = {a: {b for b in distinct if a != b and len(a & b) >= 0.8 * len(a | b)} for a in distinct}
     root = {s: s for s in distinct}
@@ -304,6 +304,7 @@ def test_ngram_join(spark, docs, empty, monkeypatch):
     r = random.Random(5)
     words = [f"t{k}" for k in range(400)]
     rows = [(r_["doc_id"], r_["text"]) for r_ in docs.collect()]
+    rows += [(50, "### $$$ ***"), (51, "### $$$ *** "), (52, "%%%"), (None, "a b c d e f g"), (None, "a b c d e f g")] + [(53, "e f g h i j k")] * 40
     for g in range(6):
         base = [r.choice(words) for _ in range(60 + 40 * g)]
         for v in range(12):
@@ -312,11 +313,15 @@ def test_ngram_join(spark, docs, empty, monkeypatch):
                 own[r.randrange(len(own))] = r.choice(words)
             rows.append((100 + 20 * g + v, " ".join(own)))
     table = spark.createDataFrame([(d, t, None, None, 1, "", "", "", "") for d, t in rows], SCHEMA)
-    for block in (512, 5):  # small blocks split every band
+    for block, size in ((512, 8_000_000), (5, 8_000_000), (512, 2_000)):  # small blocks split every band
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
         found = sorted((tuple(x) for x in ngram_join.join_classes(table).select("doc_id", "class_id", "n_links", "n_copies").collect()), key=str)
         assert found == brute_join(rows)
-    kept = ngram_join.dedupe(table)
+    clash = table.selectExpr("*", "doc_id as rid", "text as s1", "lang as sig")
+    kept = ngram_join.dedupe(clash)
+    assert kept.columns == clash.columns
+    kept = kept.select(table.columns)
     classes = {c for d, c, *_ in brute_join(rows) if d is not None}
     assert {x["doc_id"] for x in kept.where("doc_id is not null").collect()} == classes and kept.columns == table.columns
     assert ngram_join.join_classes(empty).count() == 0 and ngram_join.dedupe(empty).count() == 0
