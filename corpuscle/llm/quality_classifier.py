@@ -3,7 +3,8 @@
 A text is a bag of passages of PASSAGE words. Every passage is encoded (a learnt layer over rates and hashed word endings);
 gated attention, softmax(w . (tanh(V h) * sigmoid(U h))), is learnt from document labels alone, and the weighted passage
 representation is scored. Training takes at most `sample` labelled rows, those of least hash, encoded on the executors, and
-runs on the driver by numpy; whole texts of all rows are then scored in Arrow batches with the weights alone broadcast.
+of each at most `most` passages, spread evenly over the whole text, so the driver, which trains by numpy, gets a bounded
+number of rows of bounded size. Scores take all passages of whole texts, in Arrow batches with the weights alone broadcast.
 
 Null and empty texts are one empty passage and get a score too. Labels that are null don't train, and rows of held-out ids
 never do; without any label, or with one class only, the score is the share of label 1 (0.5 without labels). Repeated
@@ -28,7 +29,7 @@ PASSAGE, HASHED, HIDDEN, GATE = 64, 64, 24, 12
 SYMBOLS = frozenset("#*$%&|<>")
 STATS = 8
 WIDTH = STATS + HASHED
-SAMPLE, EPOCHS, CHARS = 3000, 60, 2_000_000
+SAMPLE, MOST, EPOCHS, CHARS = 3000, 64, 60, 2_000_000
 
 _ENDINGS: dict[str, int] = {}
 
@@ -147,23 +148,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """In: text, y, h. Out: the features of at most `most` passages of each text, y, h."""
     for batch in batches:
         at = 0
         for texts in by_bytes(batch.column(0).to_pylist(), CHARS):
             x, bags = passages(texts)
             ends = np.cumsum(bags)
-            yield pa.record_batch([pa.array([x[e - n : e].tobytes() for e, n in zip(ends, bags, strict=True)], pa.binary()), batch.column(1).slice(at, len(texts)), batch.column(2).slice(at, len(texts))], names=["x", "y", "h"])
+            chosen = [np.linspace(e - n, e - 1, min(n, most)).round().astype(np.int64) for e, n in zip(ends, bags, strict=True)]
+            yield pa.record_batch([pa.array([x[c].tobytes() for c in chosen], pa.binary()), batch.column(1).slice(at, len(texts)), batch.column(2).slice(at, len(texts))], names=["x", "y", "h"])
             at += len(texts)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", sample: int = SAMPLE) -> GatedAttention | Constant:
-    """Trains on at most sample rows of docs whose ids are labelled and not held out."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", sample: int = SAMPLE, most: int = MOST) -> GatedAttention | Constant:
+    """Trains on at most sample rows of docs whose ids are labelled and not held out, and at most `most` passages of each."""
     marks = narrow(labels, _id="doc_id", y=label_col).where(F.col("y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.min("y").cast("int").alias("y")).withColumn("h", F.xxhash64("_id")).orderBy("h", "_id").limit(sample)
     # at most `sample` rows of three numbers, so the documents stay where they are
     rows = narrow(docs, doc_id="doc_id", text=text_col).join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("text", "y", "h")
-    rows = rows.mapInArrow(_encode, "x binary, y int, h bigint").orderBy("h", "x").limit(sample).collect()
+    rows = rows.mapInArrow(partial(_encode, most=most), "x binary, y int, h bigint").orderBy("h", "x").limit(sample).collect()
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
