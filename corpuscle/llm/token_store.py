@@ -3,8 +3,9 @@
 An id is split into 8-bit chunks. Level 0 holds the lowest chunk of every id and a bitmap that tells which ids go on;
 level k holds the k-th chunk of those that do. A rank directory (ones before every 512th bit) turns a position on one
 level into that on the next, so any token or run of tokens is read without decoding a block. Segments of whole documents
-are rows of a Parquet table (Spark's commit protocol makes retried and lost tasks harmless, on any store): part and
-segment number, document ids and token counts, and the payload.
+are rows of a Parquet table (Spark's commit protocol makes retried and lost tasks harmless, on any store) without page
+compression: part and segment number, document ids and token counts, and the payload. tokens_at() gives the tokens at any
+positions of the whole store, and read_digests() takes each document's last token by its address too.
 
 Rows come in ascending order of doc_id (null ids first; ties by a hash of the text). A null or empty text has the end id
 only; repeated rows are stored as often as they occur; an empty table gives no segments; other columns are not read.
@@ -217,7 +218,7 @@ def write_store(df: DataFrame, path: str, vocab_path: str, end_id: int, id_col:
     order = [F.col("doc_id").cast("long"), F.xxhash64("text")]
     dealt = given.repartitionByRange(partitions, *order) if partitions else given.repartitionByRange(*order)
     dealt = dealt.sortWithinPartitions(*order).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
-    dealt.mapInArrow(partial(_segments, path=vocab_path, end_id=end_id), SEGMENT_SCHEMA).write.parquet(path)
+    dealt.mapInArrow(partial(_segments, path=vocab_path, end_id=end_id), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_segments(spark, path: str) -> DataFrame:
@@ -235,6 +236,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, docs, counts, payload = (batch.column(c)[k].as_py() for c in range(4))
             codes, ends = Dac(payload), np.r_[0, np.cumsum(np.array(counts, np.int64))]
             ids = memoryview(codes.slice(0, len(codes)).astype("<u4", copy=False)).cast("B")
+            if any(codes[b - 1] != int.from_bytes(ids[4 * b - 4 : 4 * b], "little") for b in ends[1:].tolist()):
+                raise ValueError("the rank directory and the codes differ")
             crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(base + ends[:-1], pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -244,6 +247,26 @@ def read_digests(spark, path: str) -> DataFrame:
     return read_segments(spark, path).select("start", "doc_ids", "counts", "payload").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In: start, payload, positions. Out: position, token."""
+    for batch in batches:
+        for start, payload, positions in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            codes = Dac(payload)
+            yield pa.record_batch([pa.array(positions, pa.int64()), pa.array([codes[p - start] for p in positions], pa.int64())], names=["position", "token"])
+
+
+def tokens_at(positions: DataFrame, path: str) -> DataFrame:
+    """position and token for each distinct position (column position) that the store has; only segments that hold one are
+    read, and none of them is decoded."""
+    segments = read_segments(positions.sparkSession, path)
+    # positions meet segments by ranges of SEGMENT positions, of which a segment touches as many as it is long, and two
+    ranges = segments.select("part", "segment", "start", "n_ids", F.explode(F.sequence(F.floor(F.col("start") / SEGMENT), F.floor((F.col("start") + F.col("n_ids") - 1) / SEGMENT))).alias("range"))
+    asked = positions.select(F.col("position").cast("long").alias("position")).where("position >= 0").distinct().withColumn("range", F.floor(F.col("position") / SEGMENT))
+    held = asked.join(ranges, "range").where("position >= start and position < start + n_ids")
+    held = held.groupBy("part", "segment").agg(F.collect_list("position").alias("positions"))  # a segment's ids at most
+    return segments.join(held, ["part", "segment"]).select("start", "payload", "positions").mapInArrow(_pick, "position bigint, token bigint")
+
+
 def store_round_trip(df: DataFrame, vocab_path: str, end_id: int, path: str | None = None) -> DataFrame:
     path = path or new_path(df.sparkSession, "tokens")
     write_store(df, path, vocab_path, end_id)
