@@ -51,7 +51,7 @@ def format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(EXTRA_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat_format.read_back(chat_format.pack_conversations(rows.unionByName(extra)))
+    return chat_format.read_back(chat_format.pack_conversations(rows.unionByName(extra), vocabulary=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)))
 
 
 def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

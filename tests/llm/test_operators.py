@@ -111,6 +111,18 @@ def test_store_equals_the_library(docs, empty, monkeypatch):
     assert token_store.store_round_trip(empty, path, 1).count() == 0
 
 
+def test_tokens_at_positions_of_the_store(spark, docs, tmp_path, monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_store, "SEGMENT", 500)
+    token_store.write_store(docs.where("doc_id is not null"), str(tmp_path / "s"), path, 1)
+    library = Tokenizer.from_file(path)
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null").collect()))
+    whole = [k for _, t in rows for k in [*library.encode(t, add_special_tokens=False).ids, 1]]
+    asked = [-1, 0, 1, 499, 500, 501, len(whole) - 1, len(whole), 7, 7, *range(0, len(whole), 97)]
+    got = token_store.tokens_at(spark.createDataFrame([(k,) for k in asked], "position long"), str(tmp_path / "s")).collect()
+    assert sorted((r["position"], r["token"]) for r in got) == sorted({(k, whole[k]) for k in asked if 0 <= k < len(whole)})
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -216,16 +228,45 @@ def test_chats(spark):
     one = chat_format.Pack(("assistant",))
     one.add(1, [("user", "a"), ("assistant", "b")])
     one.add(2, [("user", "a"), ("assistant", "c")])
-    assert [n["parent"] for n in one.nodes] == [-1, 0, 0] and one.nodes[2]["position"] == one.nodes[1]["position"]
-    assert [len(n["attend"]) for n in one.nodes] == [1, 1, 2]
+    places = [n["chars"] for n in one.nodes]
+    assert [n["parent"] for n in one.nodes] == [-1, 0, 0] and places[2]["position"] == places[1]["position"]
+    assert [len(n["attend"]) for n in places] == [1, 1, 2]
     assert chat_format.read_back(chat_format.pack_conversations(table.limit(0))).count() == 0
 
 
+def test_chat_tokens(spark):
+    vocabulary = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(vocabulary[0]), special_tokens={})
+    rows = [(c, t, ("user", "assistant")[t % 2], f"Turn {t} of {c // 3 if t else 'all'}: naïve </s> text.") for c in range(9) for t in range(4)]
+    packs = chat_format.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), vocabulary=vocabulary).collect()
+    seen = 0
+    for pack in packs:
+        p = pack.asDict(recursive=True)
+        assert library.decode(p["ids"]) == p["text"]
+        starts = [n["tokens"]["start"] for n in p["nodes"]]
+        assert starts == sorted(set(starts)) and p["nodes"][-1]["tokens"]["stop"] == len(p["ids"])  # each once, depth first
+        for c in p["conversations"]:
+            seen += 1
+            ids, positions, mask = chat_format.conversation_ids(p["ids"], p["nodes"], c["leaf"])
+            formatted, _ = chat_format.conversation_text(p["text"], p["nodes"], c["leaf"])
+            assert library.decode(ids) == formatted and positions == list(range(len(ids)))
+            said = [x[3] for x in rows if x[0] == c["conv_id"] and x[2] == "assistant"]
+            assert library.decode([k for k, m in zip(ids, mask, strict=True) if m]) == "".join(map(chat_format.escape, said))
+    assert seen == 9
+
+
+def test_a_long_shared_turn_closes_no_pack():
+    one = chat_format.Pack(("assistant",))
+    for k in range(20):
+        one.add(k, [("user", "x" * chat_format.PACK_CHARS), ("assistant", f"y{k}")])
+        assert not one.full()
+
+
 def test_escapes():
     for text in ("", "\\", "<s></s>", "<\\s>", "\\\\[INST]\\", "<<SYS>><</SYS>>[/INST]", "<</s>s>"):
         assert chat_format.unescape(chat_format.escape(text)) == text
         assert not any(c in chat_format.escape(text) for c in chat_format.CONTROL)
-        assert chat_format.read_turns(chat_format.format_turn(text, text)[0]) == [(text, text)]
+        assert chat_format.read_turns("".join(chat_format.format_turn(text, text))) == [(text, text)]
 
 
 def test_gradients_of_attention():
