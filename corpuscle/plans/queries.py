@@ -12,6 +12,7 @@ from corpuscle import model as m
 from corpuscle.functions import geometry as g
 from corpuscle.functions.selection import compile_selection, index_range
 from corpuscle.operators import edit, grids, interactions, learn, molecules, residues, spatial, surface, trajectory
+from corpuscle.plans import files
 from corpuscle.plans.adapters import EMB_SQL, PART_SQL, conformers, embeddings_system, fragments, part_system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +249,7 @@ _emb("ward_frames", lambda s: learn.ward_frames(s, 3))
 _emb("qsar_ridge", lambda s: learn.fit_frames(s))
 _emb("qsar_forest", lambda s: learn.fit_frames(s, "forest"))
 _add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d))))
+
+# readers and writers
+QUERIES.update(files.QUERIES)
+ORACLE_SQL.update(files.ORACLE_SQL)

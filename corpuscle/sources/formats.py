@@ -1,7 +1,8 @@
 """Structure and trajectory files as DataFrames.
 
-Each parser turns the text of one file into atoms, frames, bonds and a box; files are parsed on the executors, so a folder of files
-is read in parallel. LAMMPS dumps, the format of long trajectories, are split at their frames and parsed frame by frame.
+Text trajectories of any length (XYZ, PDB, LAMMPS dumps) are split: XYZ and PDB line by line in corpuscle.sources.lines, dumps at
+their frames. For all other formats a parser turns one file into atoms, frames, bonds and a box on the executors, so a
+folder of files is read in parallel. What is parsed is written once, and all tables come from there.
 """
 
 from __future__ import annotations
@@ -9,19 +10,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.model import ATOMIC_NUMBER
+from corpuscle.sources import lines
+from corpuscle.sources.store import materialize
 
 ATOM_FIELDS = ("idx", "id", "type_id", "element", "charge", "mass", "residue_id", "chain_id", "name", "resname")
-ATOM_SCHEMA = "path string, idx bigint, id bigint, type_id int, element string, charge double, mass double, residue_id int, chain_id string, name string, resname string"
-POSITION_SCHEMA = "path string, frame int, timestep bigint, idx bigint, x double, y double, z double"
+ATOM_TYPES = dict(zip(ATOM_FIELDS, ("bigint", "bigint", "int", "string", "double", "double", "int", "string", "string", "string"), strict=True))
 BOND_SCHEMA = "path string, i bigint, j bigint"
-BOX_SCHEMA = "path string, lx double, ly double, lz double"
 
 
 class FormatError(ValueError):
@@ -175,8 +177,11 @@ def parse_lammps_data(text: str) -> Structure:
     return out
 
 
-def parse_lammps_frame(text: str) -> Structure:
-    """One frame of a dump, after its ITEM: TIMESTEP; coordinates are x, else xu, else xs as they stand."""
+def parse_lammps_frame(text: str, with_atoms: bool = True) -> Structure:
+    """One frame of a dump, after its ITEM: TIMESTEP; coordinates are x, else xu, else xs as they stand.
+
+    Atoms are numbered by their rows. A row that can't be read keeps its place, at the origin, but is no atom.
+    """
     out, lines = Structure(), text.splitlines()
     step = int(lines[1] if not lines[0].strip() else lines[0])
     start = next((k for k, x in enumerate(lines) if x.startswith("ITEM: ATOMS")), None)
@@ -185,15 +190,25 @@ def parse_lammps_frame(text: str) -> Structure:
     if (b := next((k for k, x in enumerate(lines) if x.startswith("ITEM: BOX BOUNDS")), None)) is not None:
         out.box = tuple(float(p[1]) - float(p[0]) for p in (lines[b + k].split() for k in (1, 2, 3)))
     names = lines[start].split()[2:]
-    xyz = [next(names.index(c + s) for s in ("", "u", "s") if c + s in names) for c in "xyz"]
+    try:
+        xyz = [next(names.index(c + s) for s in ("", "u", "s") if c + s in names) for c in "xyz"]
+    except StopIteration:
+        raise FormatError("a frame without coordinates") from None
     points = []
     for row in lines[start + 1 :]:
         parts = row.split()
-        if len(parts) < len(names):
+        if not parts:
             continue
-        value = dict(zip(names, parts, strict=False))
-        points.append(tuple(float(parts[k]) for k in xyz))
-        out.add(id=int(value["id"]) - 1 if "id" in value else len(out.atoms), type_id=int(value["type"]) if "type" in value else None, residue_id=int(value["mol"]) if "mol" in value else None)
+        try:
+            if len(parts) < len(names):
+                raise ValueError(row)
+            point = tuple(float(parts[k]) for k in xyz)
+            if with_atoms:
+                value = dict(zip(names, parts, strict=False))
+                out.add(idx=len(points), id=int(value["id"]) - 1 if "id" in value else len(points), type_id=int(value["type"]) if "type" in value else None, residue_id=int(value["mol"]) if "mol" in value else None)
+            points.append(point)
+        except ValueError:
+            points.append((0.0, 0.0, 0.0))
     out.frames.append((step, points))
     return out
 
@@ -211,6 +226,7 @@ def parse_mmcif(text: str) -> Structure:
         names.append(lines[start].strip().split(".", 1)[1])
         start += 1
     models: dict[str, list] = {}
+    seen: set[tuple[str, int]] = set()
     for row in lines[start:]:
         if row.startswith(("#", "loop_", "_", "data_")) or not row.strip():
             break
@@ -218,10 +234,12 @@ def parse_mmcif(text: str) -> Structure:
         get = lambda k, v=v: None if v.get(k) in (None, ".", "?", "") else v[k]
         if v.get("label_alt_id", ".") not in ("", ".", "A", "?"):
             continue
-        model = models.setdefault(v.get("pdbx_PDB_model_num", "1"), [])
+        number = v.get("pdbx_PDB_model_num", "1")
+        if (number, int(v["id"])) in seen:
+            continue
+        seen.add((number, int(v["id"])))
+        model = models.setdefault(number, [])
         if len(models) == 1:
-            if any(a["id"] == int(v["id"]) for a in out.atoms[-1:]):
-                continue
             e = (get("type_symbol") or "").upper()
             out.add(id=int(v["id"]), element=e or None, type_id=_number(e), name=get("label_atom_id"), resname=(get("label_comp_id") or "").upper() or None, chain_id=get("label_asym_id"), residue_id=int(get("label_seq_id") or 0))
         model.append(tuple(float(v[f"Cartn_{c}"]) for c in "xyz"))
@@ -318,49 +336,64 @@ class Dataset:
         return Dataset(self.atoms, moved(other.positions), self.bonds, moved(other.box).unionByName(self.box).groupBy("path").agg(*(F.first(c).alias(c) for c in ("lx", "ly", "lz"))))
 
 
-def load(spark: SparkSession, path: str, parser: Callable[[str], Structure] | None = None) -> Dataset:
-    """Reads a file, a folder or a pattern of files of one format."""
-    parser = parser or detect(path)
+_BOND = pa.struct([("i", pa.int64()), ("j", pa.int64())])
+_KINDS = {"idx": pa.int64(), "id": pa.int64(), "type_id": pa.int32(), "element": pa.string(), "charge": pa.float64(), "mass": pa.float64(), "residue_id": pa.int32(), "chain_id": pa.string(), "name": pa.string(), "resname": pa.string()}
+_PARSED = pa.schema([("path", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("frame", pa.int32()), ("timestep", pa.int64()), ("coords", pa.list_(pa.float64())), ("atoms", pa.list_(pa.struct(list(_KINDS.items())))), ("bonds", pa.list_(_BOND)), ("box", pa.list_(pa.float64()))])
+
+
+def _parse(batches: Iterator[pa.RecordBatch], parser: Callable, split: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each frame; the file's atoms and bonds stand in that of the first."""
+    started = set()
+    for batch in batches:
+        for path, block, seq, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            first = not split or block == 0 and path not in started
+            started.add(path)
+            s = parser(value, with_atoms=first) if split else parser(value)
+            for k, (step, points) in enumerate(s.frames):
+                head = first and k == 0
+                atoms = [{f: a.get(f) for f in ATOM_FIELDS} for a in s.atoms] if head else None
+                bonds = [{"i": i, "j": j} for i, j in s.bonds] if head else None
+                row = [path, block, seq, k, step, np.asarray(points, float).ravel(), atoms, bonds, s.box if split or head else None]
+                yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _PARSED, strict=True)], schema=_PARSED)
+
+
+def is_data_file(head: list[str]) -> bool:
+    """Whether the first lines are those of a LAMMPS data file and not of a dump."""
+    for line in (x.strip().lower() for x in head):
+        if line.startswith("item:"):
+            return False
+        if "lammps description" in line or re.search(r"\b(atoms|bonds|atom types|bond types)$", line):
+            return True
+    return False
+
+
+def load(spark: SparkSession, path: str, parser: Callable[[str], Structure] | None = None, suffix: str | None = None) -> Dataset:
+    """Reads a file, a folder or a pattern of files of one format, which its ending tells, or else suffix or parser."""
+    default, parser = parser is None, parser or detect(suffix or path)
+    if default and parser in (parse_xyz, parse_pdb):
+        rows = lines.numbered_lines(spark, path)
+        atoms, positions, box = (lines.read_xyz if parser is parse_xyz else lines.read_pdb)(rows, FormatError)
+        return Dataset(atoms, positions, spark.createDataFrame([], BOND_SCHEMA), box)
+    if default and parser in (parse_lammps_frame, parse_lammps_data):
+        parser = parse_lammps_data if is_data_file([r["value"] for r in spark.read.text(path).limit(20).collect()]) else parse_lammps_frame
+    split = parser is parse_lammps_frame
     if takes_bytes(parser):
-        texts = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("value"))
-    elif parser is not parse_lammps_frame:
-        texts = spark.read.text(path, wholetext=True)
+        files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("value"))
+    elif not split:
+        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    if split:
+        rows = lines.pieces(spark, path, "ITEM: TIMESTEP").where("trim(value) <> ''")
     else:
-        head = spark.read.text(path).limit(20).where("value like 'ITEM:%'").limit(1).count()
-        if not head:
-            parser, texts = parse_lammps_data, spark.read.text(path, wholetext=True)
-        else:
-            texts = spark.read.text(path, lineSep="ITEM: TIMESTEP").where("trim(value) <> ''")
-    if "path" not in texts.columns:
-        texts = texts.select(F.input_file_name().alias("path"), "value")
-    split = parser is parse_lammps_frame
-
-    def table(rows: Callable[[str, Structure], Iterator[tuple]], schema: str) -> DataFrame:
-        columns = [c.split()[0] for c in schema.split(", ")]
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                found = [r for p, t in zip(pdf["path"], pdf["value"], strict=True) for r in rows(p, parser(t))]
-                yield pd.DataFrame(found, columns=columns, dtype=object)
-
-        return texts.mapInPandas(run, schema)
-
-    atoms = table(lambda p, s: ((p, *(a.get(f) for f in ATOM_FIELDS)) for a in s.atoms), ATOM_SCHEMA)
-
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for p, t in zip(pdf["path"], pdf["value"], strict=True):
-                for k, (step, points) in enumerate(parser(t).frames):
-                    xyz = np.asarray(points, float).reshape(-1, 3)
-                    yield pd.DataFrame({"path": p, "frame": k, "timestep": step, "idx": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
-
-    positions = texts.mapInPandas(place, POSITION_SCHEMA)
-    box = table(lambda p, s: ((p, *s.box) for _ in range(s.box is not None)), BOX_SCHEMA)
-    bonds = table(lambda p, s: ((p, *b) for b in s.bonds), BOND_SCHEMA)
-    if split:  # every frame was parsed by itself: number them, and take the atoms of the first
-        steps = positions.select("path", "timestep").distinct()
-        order = steps.withColumn("frame", (F.row_number().over(Window.partitionBy("path").orderBy("timestep")) - 1).cast("int"))
-        positions = positions.drop("frame").join(order, ["path", "timestep"]).select("path", "frame", "timestep", "idx", "x", "y", "z")
-        atoms = atoms.dropDuplicates(["path", "idx"])
-        box = box.dropDuplicates(["path"])
+        rows = files.select("path", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq"), "value")
+    kinds = ", ".join(f"{f}: {ATOM_TYPES[f]}" for f in ATOM_FIELDS)
+    schema = f"path string, block bigint, seq bigint, frame int, timestep bigint, coords array<double>, atoms array<struct<{kinds}>>, bonds array<struct<i: bigint, j: bigint>>, box array<double>"
+    parsed = materialize(rows.mapInArrow(partial(_parse, parser=parser, split=split), schema), "parsed")
+    if split:  # frames are numbered by their places in the file, whatever their timesteps
+        number = lines.running(parsed.select("path", "block", "seq"), ["path"], "block", "seq", F.lit(1), "number")
+        parsed = parsed.join(number, ["path", "block", "seq"]).withColumn("frame", (F.col("number") - 1).cast("int"))
+    point = F.expr("transform(sequence(0, size(coords) div 3 - 1), k -> struct(cast(k as bigint) as idx, coords[3 * k] as x, coords[3 * k + 1] as y, coords[3 * k + 2] as z))")
+    positions = parsed.where(F.size("coords") > 0).select("path", "frame", "timestep", F.inline(point))
+    atoms = parsed.select("path", F.inline("atoms"))
+    bonds = parsed.select("path", F.inline("bonds"))
+    box = parsed.where("box is not null").groupBy("path").agg(F.max_by("box", "frame").alias("box")).select("path", *(F.col("box")[k].alias(c) for k, c in enumerate(("lx", "ly", "lz"))))
     return Dataset(atoms, positions, bonds, box)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscle import model as m
 
@@ -38,6 +41,85 @@ def write_pdb(system: DataFrame, path: str) -> None:
     pdb_lines(system).repartitionByRange("idx").sortWithinPartitions("idx").select("line").write.text(path)
 
 
+def frame_texts(system: DataFrame, line: Column, head: Column, tail: Column | None = None) -> DataFrame:
+    """frame and the text of each: head, a line for each atom in order of idx, tail. head and tail may use n, the number of atoms."""
+    each = system.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("rows"), F.count("*").alias("n"))
+    parts = [F.array(head), F.transform("rows", lambda r: r["line"]), *([F.array(tail)] if tail is not None else [])]
+    return each.select("frame", F.array_join(F.concat(*parts), "\n").alias("value"))
+
+
+def _number(c: Column | str, digits: int = 6, width: int = 0) -> Column:
+    return F.format_string(f"%{width or ''}.{digits}f", F.col(c) if isinstance(c, str) else c)
+
+
+def xyz_frames(system: DataFrame) -> DataFrame:
+    return frame_texts(system, F.concat_ws(" ", F.coalesce("element", F.lit("X")), *map(_number, "xyz")), F.concat(F.col("n").cast("string"), F.lit("\nframe="), F.col("frame").cast("string")))
+
+
+def dump_frames(system: DataFrame, box: float = 100.0) -> DataFrame:
+    """Frames of a LAMMPS dump; the frame's number is its timestep."""
+    sides = "\n".join([f"0 {box:g}"] * 3)
+    head = F.concat(F.lit("ITEM: TIMESTEP\n"), F.col("frame").cast("string"), F.lit("\nITEM: NUMBER OF ATOMS\n"), F.col("n").cast("string"), F.lit(f"\nITEM: BOX BOUNDS pp pp pp\n{sides}\nITEM: ATOMS id type x y z"))
+    return frame_texts(system, F.concat_ws(" ", (F.col("idx") + 1).cast("string"), F.coalesce("type_id", F.lit(0)).cast("string"), *map(_number, "xyz")), head)
+
+
+def pdb_models(system: DataFrame) -> DataFrame:
+    """Each frame as a MODEL."""
+    return frame_texts(pdb_lines(system), F.col("line"), F.format_string("MODEL     %4d", F.col("frame") + 1), F.lit("ENDMDL"))
+
+
+def gro_frames(system: DataFrame, box: float = 100.0) -> DataFrame:
+    line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.coalesce("residue_id", F.lit(0)) % 100000, F.coalesce("resname", F.lit("UNK")), F.coalesce("name", F.lit("X")), (F.col("idx") + 1) % 100000, *(F.col(c) / 10 for c in "xyz"))
+    return frame_texts(system, line, F.concat(F.lit("system\n"), F.col("n").cast("string")), F.lit(" ".join([f"{box / 10:.5f}"] * 3)))
+
+
+def cif_blocks(system: DataFrame) -> DataFrame:
+    names = ("id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    line = F.concat_ws(" ", F.col("idx").cast("string"), part("element"), part("name"), F.lit("."), part("resname"), part("chain_id"), part("residue_id"), *map(_number, "xyz"))
+    return frame_texts(system, line, F.lit("data_system\nloop_\n" + "\n".join(f"_atom_site.{n}" for n in names)), F.lit("#"))
+
+
+def data_files(system: DataFrame, box: float = 100.0) -> DataFrame:
+    """A LAMMPS data file of style full for each frame; residues are molecules."""
+    sides = "\n".join(f"0 {box:g} {c}lo {c}hi" for c in "xyz")
+    head = F.concat(F.lit("LAMMPS description\n\n"), F.col("n").cast("string"), F.lit(f" atoms\n\n{sides}\n\nAtoms # full\n"))
+    return frame_texts(system, F.concat_ws(" ", (F.col("idx") + 1).cast("string"), F.coalesce("residue_id", F.lit(0)).cast("string"), F.coalesce("type_id", F.lit(0)).cast("string"), F.lit("0.0"), *map(_number, "xyz")), head)
+
+
+def sdf_records(system: DataFrame) -> DataFrame:
+    """V2000 records without bonds, of at most 999 atoms."""
+    line = F.concat(*(_number(c, 4, 10) for c in "xyz"), F.lit(" "), F.rpad(F.initcap(F.coalesce("element", F.lit("C"))), 3, " "), F.lit(" 0  0"))
+    return frame_texts(system, line, F.format_string("%s\n\n\n%3d%3d  0  0  0  0            999 V2000", F.col("frame").cast("string"), F.col("n"), F.lit(0)), F.lit("M  END\n$$$$"))
+
+
+def mol2_files(system: DataFrame) -> DataFrame:
+    line = F.concat_ws(" ", (F.col("idx") + 1).cast("string"), F.coalesce("name", F.lit("X")), *map(_number, "xyz"), F.initcap(F.coalesce("element", F.lit("C"))), F.coalesce("residue_id", F.lit(1)).cast("string"), F.coalesce("resname", F.lit("UNK")), F.lit("0.0"))
+    return frame_texts(system, line, F.concat(F.lit("@<TRIPOS>MOLECULE\nsystem\n"), F.col("n").cast("string"), F.lit(" 0 1\nSMALL\nNO_CHARGES\n@<TRIPOS>ATOM")))
+
+
+def write_frames(texts: DataFrame, path: str, frames: int) -> None:
+    """Texts of frames as files of that many frames each, in folders part=0, part=1 ... of path."""
+    dealt = texts.withColumn("part", F.floor(F.col("frame") / frames)).repartition("part").sortWithinPartitions("part", "frame")
+    dealt.select("part", "value").write.partitionBy("part").text(path)
+
+
+def generic_csv(rows: DataFrame) -> DataFrame:
+    """Any table as CSV text columns: floats with six significant digits as printf's %g has them, nulls empty."""
+
+    def text(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.FloatType | T.DoubleType):
+            exponent = F.floor(F.log10(F.abs(c)))
+            rounded = F.when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(F.expr(f"format_string('%.5e', cast(`{f.name}` as double))"), r"(\.\d*?)0+e", "$1e"), r"\.e", "e"))
+            # fixed notation from 1e-4 below 1e6, as many places as make six digits
+            fixed = reduce(lambda a, k: F.when(exponent == k, F.regexp_replace(F.regexp_replace(F.format_string(f"%.{5 - k}f", c), r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(a), range(-4, 6), F.lit(None).cast("string"))
+            c = F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).when(c == 0, "0").when(exponent.between(-4, 5), fixed).otherwise(rounded)
+        return F.coalesce(c.cast("string"), F.lit("")).alias(f.name)
+
+    return rows.select(*map(text, rows.schema.fields))
+
+
 # AutoDock types of elements.
 AUTODOCK = {"C": "C", "N": "NA", "O": "OA", "S": "SA", "H": "HD", "F": "F", "CL": "Cl", "BR": "Br", "I": "I", "P": "P", "ZN": "Zn", "FE": "Fe", "MG": "Mg", "CA": "Ca"}
 
