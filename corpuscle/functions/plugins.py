@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,15 @@ class PluginApi:
     def log(self, *values: object) -> None:
         self.messages.append(" ".join(map(str, values)))
 
-    def export(self, df: DataFrame, path: str, kind: str = "json") -> None:
-        getattr(df.write, {"json": "json", "csv": "csv", "parquet": "parquet"}[kind])(path)
+    def export(self, value: object, path: str, kind: str = "json") -> None:
+        """A table in a format of Spark's; on the driver an array as .npy, a dict or list as JSON, all else as text."""
+        if isinstance(value, DataFrame):
+            getattr(value.write, {"json": "json", "csv": "csv", "parquet": "parquet"}[kind])(path)
+        elif isinstance(value, np.ndarray):
+            np.save(path, value)
+        else:
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(json.dumps(value) if isinstance(value, dict | list | tuple) else str(value))
 
 
 def run_plugin(function: Callable[[PluginApi], object], api: PluginApi) -> object:

@@ -12,6 +12,7 @@ from corpuscle import model as m
 from corpuscle.functions.geometry import cross, minus, norm, once, point
 from corpuscle.operators.interactions import clashes, hbonds, hydrophobic
 from corpuscle.operators.spatial import cell_join
+from corpuscle.sources.lines import running
 from corpuscle.sources.store import materialize
 
 
@@ -155,6 +156,41 @@ def water_box(system: DataFrame, buffer: float = 10.0, water: str = "tip3p", mos
     return sites.select("frame", "residue_id", "x", "y", "z", F.inline(atoms)).select("frame", "residue_id", F.lit("HOH").alias("resname"), F.lit("W").alias("chain_id"), "name", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"))
 
 
+def _places(system: DataFrame) -> DataFrame:
+    """system with place: the number of each atom in its frame by rising idx, from 0."""
+    rows = running(system.withColumn("_bucket", F.floor(F.col("idx") / 65536)), ["frame"], "_bucket", "idx", F.lit(1), "place")
+    return rows.withColumn("place", F.col("place") - 1).drop("_bucket")
+
+
+_ATOM = ("element", "name", "resname", "residue_id", "chain_id", "x", "y", "z")
+
+
+def solvate(system: DataFrame, buffer: float = 10.0, water: str = "tip3p", most: int = 10_000) -> DataFrame:
+    """The atoms of the system and of the waters of its box, numbered anew in each frame: the solute's first, then water by water."""
+    solute = _places(system).select("frame", F.col("place").alias("idx"), *_ATOM)
+    n = system.groupBy("frame").agg(F.count("*").alias("_n"))
+    order = F.when(F.col("name") == "OW", 0).when(F.col("name") == "HW1", 1).otherwise(2)
+    waters = water_box(system, buffer, water, most).join(n, "frame")
+    waters = waters.select("frame", (F.col("_n") + 3 * (F.col("residue_id") - 1) + order).cast("bigint").alias("idx"), F.substring("name", 1, 1).alias("element"), *_ATOM[1:])
+    return solute.unionByName(waters.withColumn("residue_id", F.col("residue_id").cast(solute.schema["residue_id"].dataType)))
+
+
+def capped_structure(system: DataFrame) -> DataFrame:
+    """The atoms with their chains' caps, numbered anew in each frame: ACE caps first, the last chain's before the others', then
+    the atoms as they were, then NME caps in order of the chains (that of their first atoms)."""
+    chains = system.where("residue_id is not null and chain_id is not null").groupBy("frame", "chain_id").agg(F.min("idx").alias("first"))
+    caps = cap_termini(system).join(chains, ["frame", "chain_id"])
+    rank = F.row_number().over(Window.partitionBy("frame", "resname").orderBy("first")) - 1  # as many as a frame has chains
+    front = F.count(F.when(F.col("resname") == "ACE", 1)).over(Window.partitionBy("frame"))
+    caps = caps.select("frame", "chain_id", "residue_id", "resname", "name", "x", "y", "z", rank.alias("rank"), front.alias("front"))
+    n = system.groupBy("frame").agg(F.count("*").alias("n"))
+    at = F.when(F.col("resname") == "ACE", F.col("front") - 1 - F.col("rank")).otherwise(F.col("front") + F.col("n") + F.col("rank"))
+    added = caps.join(n, "frame").select("frame", at.cast("bigint").alias("idx"), F.when(F.col("resname") == "ACE", "C").otherwise("N").alias("element"), *_ATOM[1:])
+    fronts = caps.groupBy("frame").agg(F.max("front").alias("front"))
+    own = _places(system).join(fronts, "frame", "left").select("frame", (F.col("place") + F.coalesce("front", F.lit(0))).cast("bigint").alias("idx"), *_ATOM)
+    return own.unionByName(added.withColumn("residue_id", F.col("residue_id").cast(own.schema["residue_id"].dataType)))
+
+
 #: An atom farther than this from a residue has no interaction that the residue's change to ALA can alter: the beta carbon lies
 #: within 1.93 of CA, contacts reach 4.0, and a donor's hydrogen is within 1.2 of it.
 SCAN_REACH = 8.0

@@ -90,6 +90,13 @@ def pharmacophore(system: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def pharmacophore_json(features: DataFrame, digits: int = 4) -> DataFrame:
+    """frame and one JSON text of its features (as pharmacophore gives them): n_features, and of each its type, centre, key and atoms."""
+    number = f"decimal(18,{digits})"
+    one = F.struct(F.col("kind").alias("type"), "key", F.array(*(F.round(c, digits).cast(number) for c in "xyz")).alias("center"), F.col("n").cast("bigint").alias("n_atoms"))
+    return features.groupBy("frame").agg(F.to_json(F.struct(F.count("*").alias("n_features"), F.array_sort(F.collect_list(one)).alias("features"))).alias("json"))
+
+
 def hydrophobic_regions(system: DataFrame, cutoff: float = 4.0) -> DataFrame:
     """frame, root, centre, radius and size of the connected regions of carbon and sulphur atoms of each frame."""
     own = system.where(F.upper("element").isin("C", "S")).select("frame", "idx", "x", "y", "z")

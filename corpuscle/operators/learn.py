@@ -247,10 +247,28 @@ def predict(model: PipelineModel, rows: DataFrame, features: list[str], name: st
     return model.transform(filled).select(*rows.columns, F.when(known, F.col("prediction")).alias(name))
 
 
+def describe_clusters(positions: DataFrame, labels: DataFrame) -> DataFrame:
+    """cluster, size, medoid (the frame nearest the mean of its frames) and inertia (squares to that mean) of labelled frames."""
+    rows = positions.select("frame", "idx", "x", "y", "z").join(labels.select("frame", "cluster"), "frame")
+    centre = rows.groupBy("cluster", "idx").agg(*(F.avg(c).alias(f"c{c}") for c in "xyz"))
+    d2 = reduce(lambda a, b: a + b, ((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"))
+    each = rows.join(centre, ["cluster", "idx"]).groupBy("cluster", "frame").agg(F.sum(d2).alias("d2"))
+    return each.groupBy("cluster").agg(F.count("*").alias("size"), F.min(F.struct("d2", "frame"))["frame"].alias("medoid"), F.sum("d2").alias("inertia"))
+
+
+def cluster_atoms(system: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """frame, idx and cluster: k-means over the positions of all atoms."""
+    rows = system.select("frame", "idx", array_to_vector(F.array(*(F.col(c).cast("double") for c in "xyz"))).alias("v"))
+    return KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(rows).transform(rows).select("frame", "idx", "cluster")
+
+
 def fit_frames(positions: DataFrame, kind: str = "ridge") -> DataFrame:
-    """One row of scores: the distance of the first and last atom from the first atoms' coordinates."""
-    wide = pack_frames(positions).select("frame", *(F.element_at("coords", k + 1).alias(f"f{k}") for k in range(9)), F.sqrt(F.pow(F.element_at("coords", 1) - F.element_at("coords", 4), 2)).alias("y"))
-    _, scores = fit_model(wide, [f"f{k}" for k in range(9)], "y", "frame", kind)
+    """One row of scores: the distance of the first and the last atom from the coordinates of all atoms."""
+    packed = materialize(pack_frames(positions), "packed")
+    n = packed.agg(F.max(F.size("coords"))).first()[0] or 0
+    far = reduce(lambda a, b: a + b, (F.pow(F.element_at("coords", k + 1) - F.element_at("coords", k - 3), F.lit(2.0)) for k in range(3)))
+    wide = packed.select("frame", *(F.col("coords")[k].alias(f"f{k}") for k in range(n)), F.sqrt(far).alias("y"))
+    _, scores = fit_model(wide, [f"f{k}" for k in range(n)], "y", "frame", kind)
     return positions.sparkSession.createDataFrame([tuple(round(v, 6) for v in scores.values())], ", ".join(f"{k} double" for k in scores))
 
 

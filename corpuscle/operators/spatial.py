@@ -77,3 +77,29 @@ def nearest_atom(system: DataFrame, x: float, y: float, z: float) -> DataFrame:
     d2 = sum((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip("xyz", (x, y, z), strict=True))
     best = system.select("frame", F.struct(d2.alias("d2"), F.col("idx").alias("idx")).alias("n")).groupBy("frame").agg(F.min("n").alias("n"))
     return best.select("frame", F.col("n.idx").alias("idx"), F.sqrt("n.d2").alias("d"))
+
+
+def picked_atom(system: DataFrame, bonds: DataFrame, x: float, y: float, z: float, most: int = 8) -> DataFrame:
+    """The atom nearest to a point in each frame, its distance and the first `most` atoms that bonds (frame, i, j) join it with."""
+    near = nearest_atom(system, x, y, z)
+    ends = bonds.select("frame", F.col("i").alias("idx"), F.col("j").alias("other")).unionByName(bonds.select("frame", F.col("j").alias("idx"), F.col("i").alias("other")))
+    held = ends.join(near.select("frame", "idx"), ["frame", "idx"]).groupBy("frame", "idx").agg(F.slice(F.array_sort(F.collect_set("other")), 1, most).alias("bonded"))
+    return near.join(held, ["frame", "idx"], "left").select("frame", "idx", "d", F.coalesce("bonded", F.array().cast("array<bigint>")).alias("bonded"))
+
+
+def line_array(bonds: DataFrame) -> DataFrame:
+    """Bonds as cells of a line mesh: the number of points, then the two ends."""
+    return bonds.select(F.array(F.lit(2).cast("bigint"), F.col("i").cast("bigint"), F.col("j").cast("bigint")).alias("cell"))
+
+
+def line_pairs(cells: DataFrame) -> DataFrame:
+    """i and j of the cells of a line mesh."""
+    return cells.select(F.col("cell")[1].alias("i"), F.col("cell")[2].alias("j"))
+
+
+def effective_colors(atoms: DataFrame, base: tuple[Column, Column, Column], selected: Column, highlight: tuple[float, float, float] = (1.0, 0.85, 0.2)) -> DataFrame:
+    """idx and colour: selected atoms are highlighted and all others dimmed to a fifth; all keep theirs where none is selected."""
+    own = atoms.select("idx", F.coalesce(selected, F.lit(False)).alias("_s"), *(c.alias(n) for c, n in zip(base, "rgb", strict=True)))
+    some = atoms.agg(F.coalesce(F.max(selected), F.lit(False)).alias("_any"))
+    rows = own.crossJoin(F.broadcast(some))  # one row
+    return rows.select("idx", *(F.when(~F.col("_any"), F.col(n)).when(F.col("_s"), F.lit(h)).otherwise(F.col(n) * 0.2).alias(n) for n, h in zip("rgb", highlight, strict=True)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.geometry import once
+from corpuscle.sources.lines import running
 
 AXES = "xyz"
 
@@ -152,6 +153,19 @@ def superimpose_trajectory(positions: DataFrame, ref_frame: int = 0, fit_on: Dat
     return paired.groupBy("frame").applyInPandas(move, f"frame {kinds['frame']}, idx {kinds['idx']}, x double, y double, z double")
 
 
+def divergent_pairs(matrix: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The `top` most different pairs of frames of a matrix, and the mean over all pairs that differ."""
+    return matrix.orderBy(F.desc("rmsd"), "i", "j").limit(top), matrix.where("rmsd > 0").agg(F.avg("rmsd").alias("mean"))
+
+
+def subsample(positions: DataFrame, most: int) -> DataFrame:
+    """Every (n div most)-th of the n frames by their places, the first `most` of those."""
+    frames = running(positions.select("frame").distinct().withColumn("_bucket", F.floor(F.col("frame") / 65536)).withColumn("_all", F.lit(0)), ["_all"], "_bucket", "frame", F.lit(1), "_place")
+    n = frames.agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.lit(most))).alias("_step"))
+    kept = frames.crossJoin(F.broadcast(n)).where((F.col("_place") - 1) % F.col("_step") == 0).where((F.col("_place") - 1) / F.col("_step") < most)
+    return positions.join(kept.select("frame"), "frame", "left_semi")
+
+
 def pack_frames(positions: DataFrame) -> DataFrame:
     """frame and the coordinates of all its atoms in order of idx, for frame-wise linear algebra."""
     rows = positions.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "z"))).alias("p"))

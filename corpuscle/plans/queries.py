@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from corpuscle import model as m
 from corpuscle.functions import geometry as g
+from corpuscle.functions import plugins
 from corpuscle.functions.selection import compile_selection, index_range
 from corpuscle.operators import edit, grids, interactions, learn, molecules, residues, spatial, surface, trajectory
 from corpuscle.plans import files
 from corpuscle.plans.adapters import EMB_SQL, PART_SQL, conformers, embeddings_system, fragments, part_system
+from corpuscle.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -250,6 +252,40 @@ _emb("qsar_ridge", lambda s: learn.fit_frames(s))
 _emb("qsar_forest", lambda s: learn.fit_frames(s, "forest"))
 _add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d))))
 
+# selections of residues, frames and plugins
+_part("residue_range", lambda s: s.where(index_range("2-9, 14", "residue_id")).select("idx", "residue_id"), "SELECT idx, residue_id FROM s WHERE residue_id BETWEEN 2 AND 9 OR residue_id = 14")
+_part("residue_atoms", lambda s: edit.residue_atoms(s, 5).select("idx", "name"), "SELECT idx, name FROM s WHERE residue_id = 5")
+_emb("one_frame", lambda s: plugins.PluginApi(s).frame(7).select("idx", *(_r(c, c) for c in "xyz")), "SELECT idx, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s WHERE frame = 7")
+_emb("subsampled_frames", lambda s: trajectory.subsample(s, 50).select("frame", "idx"), ", f AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS place, greatest(1, count(*) OVER () // 50) AS step FROM (SELECT DISTINCT frame FROM s)) SELECT frame, idx FROM s JOIN f USING (frame) WHERE place % step = 0 AND place / step < 50")
+_part("sorted_atoms", lambda s: s.orderBy(F.desc("z"), "idx").limit(50).select("idx", _r("z", "z")), "SELECT idx, round(z, 4) AS z FROM (SELECT * FROM s ORDER BY z DESC, idx LIMIT 50)")
+
+
+def _plugin(api: plugins.PluginApi) -> DataFrame:
+    """A user function: it marks rings, adds a bad selection, which selects nothing, and counts what it marked."""
+    api.highlight("ring", F.col("resname").isin("PHE", "TYR", "TRP"))
+    return api.system.where(api.selection("named ring AND element == C") | api.selection("nonsense ==")).groupBy("resname").agg(F.count("*").alias("n"))
+
+
+_part("plugin_marks", lambda s: plugins.run_plugin(_plugin, plugins.PluginApi(s)), "SELECT resname, count(*) AS n FROM s WHERE resname IN ('PHE', 'TYR', 'TRP') AND element = 'C' GROUP BY 1")
+_part("frame_map", lambda s: plugins.map_frames(s.select("frame", "x"), lambda p: p.groupby("frame", as_index=False).agg(widest=("x", "max")), "frame bigint, widest double").select("frame", _r("widest", "widest")), "SELECT frame, round(max(x), 4) AS widest FROM s GROUP BY 1")
+
+# what the added operators give
+_emb("picked_atom", lambda s: spatial.picked_atom(s, spatial.bonds_within(s, 3.0), 0.5, 0.5, 0.5).select("frame", "idx", _r("d", "d"), F.array_join(F.transform("bonded", lambda b: b.cast("string")), ",").alias("bonded")), f", near AS (SELECT frame, idx, sqrt(d2) AS d FROM (SELECT frame, idx, (x - 0.5e0) * (x - 0.5e0) + (y - 0.5e0) * (y - 0.5e0) + (z - 0.5e0) * (z - 0.5e0) AS d2 FROM s) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY d2, idx) = 1), bo AS (SELECT a.frame, a.idx, b.idx AS other FROM s a JOIN s b ON a.frame = b.frame AND a.idx <> b.idx WHERE {D2} <= 9e0) SELECT n.frame, n.idx, round(n.d, 4) AS d, coalesce((SELECT string_agg(other::VARCHAR, ',' ORDER BY other) FROM (SELECT other FROM bo WHERE bo.frame = n.frame AND bo.idx = n.idx ORDER BY other LIMIT 8)), '') AS bonded FROM near n")
+_part("line_cells", lambda s: spatial.line_array(spatial.bonds_within(s, 1.8)).select(F.array_join(F.transform("cell", lambda c: c.cast("string")), " ").alias("cell")), f"SELECT '2 ' || a.idx || ' ' || b.idx AS cell FROM s a JOIN s b ON a.idx < b.idx WHERE {D2} <= 1.8e0 * 1.8e0")
+_part("line_pairs", lambda s: spatial.line_pairs(spatial.line_array(spatial.bonds_within(s, 1.8))), f"SELECT a.idx AS i, b.idx AS j FROM s a JOIN s b ON a.idx < b.idx WHERE {D2} <= 1.8e0 * 1.8e0")
+_part("effective_colors", lambda s: spatial.effective_colors(s, tuple((F.col("type_id") % k) / float(k) for k in (2, 3, 5)), F.col("chain_id") == "B").select("idx", *(_r(c, c) for c in "rgb")), "SELECT idx, " + ", ".join(f"round(CASE WHEN chain_id = 'B' THEN {h}e0 WHEN EXISTS (SELECT 1 FROM s WHERE chain_id = 'B') THEN (type_id % {k}) / {k}e0 * 0.2e0 ELSE (type_id % {k}) / {k}e0 END, 4) AS {c}" for c, k, h in zip("rgb", (2, 3, 5), (1.0, 0.85, 0.2), strict=True)) + " FROM s")
+_emb("pharmacophore_json", lambda s: grids.pharmacophore_json(grids.pharmacophore(s)), f""", {_PH} SELECT frame, '{{"n_features":' || count(*) || ',"features":[' || string_agg('{{"type":"' || kind || '","key":"' || key || '","center":[' || round(x, 4)::DECIMAL(18,4) || ',' || round(y, 4)::DECIMAL(18,4) || ',' || round(z, 4)::DECIMAL(18,4) || '],"n_atoms":' || n || '}}', ',' ORDER BY kind, key) || ']}}' AS json FROM p GROUP BY frame""")
+_emb("divergent_mean", lambda s: trajectory.divergent_pairs(trajectory.rmsd_matrix(s, align=False))[1].select(_r("mean", "mean")), f"SELECT round(avg(r), 4) AS mean FROM (SELECT sqrt(sum({D2}) / count(*)) AS r {_PAIRS} GROUP BY a.frame, b.frame) WHERE r > 0")
+_emb("top_flexible", lambda s: trajectory.rmsf_per_residue(s).orderBy(F.desc("rmsf"), "residue_id").limit(3).select("residue_id", _r("rmsf", "rmsf")), f"SELECT residue_id, round(r, 4) AS rmsf FROM (SELECT residue_id, avg(r) AS r FROM (SELECT residue_id, idx, {_RMSF} AS r FROM s GROUP BY 1, 2) GROUP BY 1) ORDER BY r DESC, residue_id LIMIT 3")
+_emb("rmsf_report", lambda s: sinks.text_report(trajectory.rmsf(s), "idx", "rmsf", "RMSF by atom", 5).select(F.col("n").cast("bigint").alias("n"), "line"), f", f AS (SELECT idx, {_RMSF} AS r FROM s GROUP BY idx), h AS (SELECT count(*) AS c, min(r) AS lo, avg(r) AS mid, max(r) AS hi FROM f) SELECT 0::BIGINT AS n, 'RMSF by atom' AS line UNION ALL SELECT 1, 'n ' || c FROM h UNION ALL SELECT 2, 'min ' || printf('%.4f', lo) FROM h UNION ALL SELECT 3, 'mean ' || printf('%.4f', mid) FROM h UNION ALL SELECT 4, 'max ' || printf('%.4f', hi) FROM h UNION ALL SELECT n + 4, line FROM (SELECT row_number() OVER (ORDER BY r DESC, idx) AS n, idx || '  ' || printf('%.4f', r) AS line FROM f QUALIFY n <= 5)")
+_emb("cluster_medoids", lambda s: learn.describe_clusters(s, s.select("frame", (F.col("frame") % 5).alias("cluster")).distinct()).select("cluster", "size", "medoid", F.round("inertia", 2).alias("inertia")), ", c AS (SELECT frame % 5 AS cluster, idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM s GROUP BY 1, 2), e AS (SELECT cluster, frame, sum((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) + (s.z - c.z) * (s.z - c.z)) AS d2 FROM s JOIN c ON c.cluster = s.frame % 5 AND c.idx = s.idx GROUP BY 1, 2) SELECT cluster, count(*) AS size, arg_min(frame, d2) AS medoid, round(sum(d2), 2) AS inertia FROM e GROUP BY 1")
+_part("box_from_extent", lambda s: sinks.box_nm(s).select(*(_r(f"l{c}", f"l{c}") for c in "xyz")), "SELECT " + ", ".join(f"round((max({c}) - min({c})) / 10 + 2, 4) AS l{c}" for c in "xyz") + " FROM s")
+_emb("solvated_system", lambda s: edit.solvate(s).groupBy("frame", "name").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"), _r(F.avg("x"), "x")), f", {_GRID}, w AS (SELECT frame, x, row_number() OVER (PARTITION BY frame ORDER BY ix, iy, iz) AS r FROM {_FREE} QUALIFY r <= 10000), o AS (SELECT frame, name, row_number() OVER (PARTITION BY frame ORDER BY idx) - 1 AS idx, x FROM s), n AS (SELECT frame, count(*) AS n FROM s GROUP BY 1), a AS (SELECT * FROM o UNION ALL SELECT w.frame, v.name, n.n + 3 * (r - 1) + k, w.x + dx FROM w JOIN n USING (frame), (VALUES ('OW', 0, 0e0), ('HW1', 1, 0.957e0), ('HW2', 2, -0.239e0)) v(name, k, dx)) SELECT frame, name, count(*) AS n, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last, round(avg(x), 4) AS x FROM a GROUP BY 1, 2")
+_CHAINS = "ch AS (SELECT frame, chain_id, min(idx) AS first FROM s GROUP BY 1, 2)"
+_emb("capped_structure", lambda s: edit.capped_structure(s).select("frame", "idx", "name", "resname", "residue_id", *(_r(c, c) for c in "xyz")), f", ends AS (SELECT frame, chain_id, min(residue_id) AS first_id, max(residue_id) AS last_id FROM s GROUP BY 1, 2), {_CHAINS}, caps AS (SELECT frame, chain_id, residue_id, resname, name, x, y, z FROM ({_CAP('p', 'q', 'first_id', '- 1', 'ACE', 'CH3')} UNION ALL {_CAP('p', 'q', 'last_id', '+ 1', 'NME', 'N')})), k AS (SELECT caps.*, row_number() OVER (PARTITION BY frame, resname ORDER BY first) - 1 AS rank, count(CASE WHEN resname = 'ACE' THEN 1 END) OVER (PARTITION BY frame) AS front FROM caps JOIN ch USING (frame, chain_id)), n AS (SELECT frame, count(*) AS n FROM s GROUP BY 1), fr AS (SELECT frame, max(front) AS front FROM k GROUP BY 1) SELECT frame, (row_number() OVER (PARTITION BY frame ORDER BY idx) - 1 + coalesce(front, 0))::BIGINT AS idx, name, resname, residue_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s LEFT JOIN fr USING (frame) UNION ALL SELECT frame, (CASE WHEN resname = 'ACE' THEN front - 1 - rank ELSE front + n + rank END)::BIGINT, name, resname, residue_id, x, y, z FROM k JOIN n USING (frame)")
+_emb("mutations_in_turn", lambda s: edit.apply_mutations(s, [(2, "G"), (3, "GLY")]).select("frame", "idx", "name", "resname", *(_r(c, c) for c in "xyz")), "SELECT frame, idx, name, CASE WHEN residue_id IN (2, 3) THEN 'GLY' ELSE resname END AS resname, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s WHERE residue_id NOT IN (2, 3) OR name IN ('N', 'CA', 'C', 'O', 'OXT')")
+ORACLE_SQL["diverse_conformers"] = "WITH RECURSIVE c AS (SELECT vec_id // 50 AS mol, vec_id AS conformer, embedding[64]::DOUBLE * 20 AS energy, list_transform(embedding[1:63], lambda x: x::DOUBLE * 20) AS coords FROM embeddings), lim AS (SELECT mol, coalesce(min(CASE WHEN energy <> 0 THEN energy END), 0) + 8e0 AS most FROM c GROUP BY 1), o AS (SELECT c.*, row_number() OVER (PARTITION BY mol ORDER BY energy, conformer) AS n FROM c JOIN lim USING (mol) WHERE energy = 0 OR energy <= most), near AS (SELECT b.mol, b.conformer, list(a.conformer) AS close FROM o a JOIN o b ON a.mol = b.mol AND a.n < b.n WHERE list_distance(a.coords, b.coords) * sqrt(3 / 63e0) < 5e0 GROUP BY 1, 2), od AS (SELECT o.mol, o.conformer, o.energy, o.n, coalesce(close, []) AS close FROM o LEFT JOIN near USING (mol, conformer)), r(mol, n, kept) AS (SELECT DISTINCT mol, 0::BIGINT, []::BIGINT[] FROM od UNION ALL SELECT r.mol, r.n + 1, CASE WHEN list_has_any(r.kept, od.close) THEN r.kept ELSE list_append(r.kept, od.conformer) END FROM r JOIN od ON od.mol = r.mol AND od.n = r.n + 1), done AS (SELECT mol, arg_max(kept, n) AS kept FROM r GROUP BY 1) SELECT od.mol, od.conformer, od.energy, list_position(kept, od.conformer)::INT AS rank FROM od JOIN done USING (mol) WHERE list_contains(kept, od.conformer)"
+
 # readers and writers
 QUERIES.update(files.QUERIES)
 ORACLE_SQL.update(files.ORACLE_SQL)

@@ -132,10 +132,26 @@ def pdbqt_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return atoms.select(F.concat(F.rpad(F.substring(line, 1, 66), 66, " "), F.lit("    +0.000 "), F.rpad(m.lookup(AUTODOCK, element, "C"), 2, " ")).alias("line"))
 
 
-def md_inputs(system: DataFrame, temperature: float = 300.0, step_ps: float = 0.002, ns: float = 10.0) -> dict[str, str]:
-    """GROMACS and AMBER input texts by file name; the box and hydrogens come from one aggregate."""
-    row = system.agg(*((F.max(c) - F.min(c)).alias(c) for c in "xyz"), F.max((F.upper("element") == "H").cast("int")).alias("h")).first()
-    box = " ".join(f"{(row[c] or 0) / 10 + 2:.3f}" for c in "xyz")
+def box_nm(system: DataFrame, box: tuple[float, float, float] | None = None) -> DataFrame:
+    """lx, ly, lz in nanometres: of the given box (in Angstrom), else the atoms' extent and two more."""
+    if box is not None:
+        return system.sparkSession.createDataFrame([tuple(v / 10 for v in box)], "lx double, ly double, lz double")
+    return system.agg(*((F.coalesce(F.max(c) - F.min(c), F.lit(0.0)) / 10 + 2).alias(f"l{c}") for c in "xyz"))
+
+
+def text_report(rows: DataFrame, label: str, value: str, title: str, top: int = 10) -> DataFrame:
+    """n and line of a report: the title, the number, least, mean and greatest value, then the `top` greatest by label."""
+    stats = rows.agg(F.count(value).alias("c"), *(F.coalesce(f(value), F.lit(0.0)).alias(n) for f, n in ((F.min, "lo"), (F.avg, "mid"), (F.max, "hi"))))
+    head = stats.select(F.posexplode(F.array(F.lit(title), F.concat(F.lit("n "), F.col("c").cast("string")), *(F.concat(F.lit(f"{w} "), F.format_string("%.4f", F.col(c))) for w, c in (("min", "lo"), ("mean", "mid"), ("max", "hi"))))).alias("n", "line"))
+    best = rows.where(F.col(value).isNotNull()).orderBy(F.desc(value), label).limit(top)
+    best = best.select((F.row_number().over(Window.orderBy(F.desc(value), label)) + 4).alias("n"), F.concat(F.col(label).cast("string"), F.lit("  "), F.format_string("%.4f", F.col(value))).alias("line"))
+    return head.unionByName(best)
+
+
+def md_inputs(system: DataFrame, temperature: float = 300.0, step_ps: float = 0.002, ns: float = 10.0, box: tuple[float, float, float] | None = None) -> dict[str, str]:
+    """GROMACS and AMBER input texts by file name; the box is the given one, else from the atoms' extent."""
+    row = system.agg(F.max((F.upper("element") == "H").cast("int")).alias("h")).first()
+    box = " ".join(f"{v:.3f}" for v in box_nm(system, box).first())
     steps = int(ns * 1000 / step_ps)
     common = f"cutoff-scheme = Verlet\ncoulombtype = PME\nrcoulomb = 1.0\nrvdw = 1.0\npbc = xyz\n; box {box}\n"
     heat = f"tcoupl = V-rescale\ntc-grps = System\ntau_t = 0.1\nref_t = {temperature:g}\n"
