@@ -89,17 +89,50 @@ def pi_stacks(system: DataFrame) -> DataFrame:
     return _pair(cell_join(own.where("in_a"), own.where("in_b"), m.PI_STACK))
 
 
+def contacts(system: DataFrame) -> DataFrame:
+    """frame, i, j, distance and for each kind but pi whether the pair is one: a single cell join for all kinds."""
+    e = F.upper("element")
+    yes = lambda c, n: F.coalesce(c, F.lit(False)).alias(n)
+    flags = [
+        yes(e.isin("N", "O", "S"), "donor"), yes(e.isin("N", "O", "S", "F"), "acceptor"), yes(m.among(F.col("resname"), m.POSITIVE), "plus"), yes(m.among(F.col("resname"), m.NEGATIVE), "minus"),
+        (F.col("element").isNull() | (e != "H")).alias("heavy"), yes(e.isin("C", "S"), "oily"), yes(e.isin("F", "CL", "BR", "I"), "halogen"),
+    ]
+    atoms = _atoms(system, *flags, m.lookup(m.CONTACT_RADIUS, F.col("element"), m.DEFAULT_RADIUS).alias("r"))
+    places = lambda test: system.where(test).select("frame", "idx", "x", "y", "z")
+    near = cell_join(places(e.isin("N", "O", "S")), places(e == "H"), m.HYDROGEN_DISTANCE, strict=True)
+    near = near.groupBy("frame", F.col("l_idx").alias("idx")).agg(F.min(F.struct("d2", F.col("r_idx").alias("h"), *(F.col(f"r_{c}").alias(c) for c in "xyz"))).alias("n"))
+    bound = cell_join(places(e.isin("F", "CL", "BR", "I")), places(e == "C"), m.HALOGEN_CARBON, condition=F.col("l_idx") != F.col("r_idx"), strict=True)
+    bound = bound.select("frame", F.col("l_idx").alias("idx"), F.lit(True).alias("bound")).distinct()
+    left = atoms.join(near, ["frame", "idx"], "left").join(bound, ["frame", "idx"], "left")
+    reach = max(m.HBOND_DISTANCE, m.SALT_BRIDGE, m.HYDROPHOBIC_CONTACT, m.HALOGEN_BOND, 2 * max(m.CONTACT_RADIUS.values()) - m.VDW_OVERLAP)
+    pairs = cell_join(left, atoms, reach, condition=_across())  # which every kind asks for
+    two, a_b = F.col("l_idx") != F.col("r_idx"), F.col("l_in_a") & F.col("r_in_b")
+    within = lambda c: F.col("d2") <= c * c
+    bend = F.when(F.col("l_n").isNotNull(), angle(point("l_"), point(struct="l_n"), point("r_")))
+    found = {
+        "hbonds": F.col("l_donor") & F.col("r_acceptor") & two & within(m.HBOND_DISTANCE) & F.coalesce(bend >= m.HBOND_ANGLE, F.lit(True)),
+        "salt_bridges": F.col("l_plus") & F.col("r_minus") & within(m.SALT_BRIDGE),
+        "clashes": a_b & two & F.col("l_heavy") & F.col("r_heavy") & (F.sqrt("d2") < F.col("l_r") + F.col("r_r") - F.lit(m.VDW_OVERLAP)),
+        "hydrophobic": a_b & F.col("l_oily") & F.col("r_oily") & within(m.HYDROPHOBIC_CONTACT),
+        "halogen": F.col("l_halogen") & F.coalesce("l_bound", F.lit(False)) & F.col("r_donor") & (F.col("l_in_a") != F.col("r_in_a")) & within(m.HALOGEN_BOND),
+    }
+    return _pair(pairs, *(c.alias(k) for k, c in found.items()))
+
+
 def all_interactions(system: DataFrame) -> DataFrame:
     """kind, frame, i, j and distance of every interaction."""
-    found = dict(zip(KINDS, (hbonds, salt_bridges, clashes, hydrophobic, halogen_bonds, pi_stacks), strict=True))
-    parts = [f(system).select(F.lit(k).alias("kind"), "frame", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance") for k, f in found.items()]
-    return reduce(DataFrame.unionByName, parts)
+    kinds = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in KINDS[:-1])), lambda k: k.isNotNull())
+    near = contacts(system).select(F.explode(kinds).alias("kind"), "frame", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance")
+    return near.unionByName(pi_stacks(system).select(F.lit("pi").alias("kind"), "frame", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance"))
 
 
 def interaction_counts(system: DataFrame) -> DataFrame:
     """frame, the count of each kind and their total; frames without any have zeros."""
-    each = all_interactions(system).groupBy("frame").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS), F.count("*").alias("total"))
-    return system.select("frame").distinct().join(each, "frame", "left").na.fill(0)
+    count = lambda c: F.count(F.when(c, 1))
+    near = contacts(system).groupBy("frame").agg(*(count(F.col(k)).alias(k) for k in KINDS[:-1]))
+    pi = pi_stacks(system).groupBy("frame").agg(F.count("*").alias("pi"))
+    each = system.select("frame").distinct().join(near, "frame", "left").join(pi, "frame", "left").na.fill(0)
+    return each.withColumn("total", reduce(lambda a, b: a + b, map(F.col, KINDS)))
 
 
 def interaction_summary(system: DataFrame) -> DataFrame:

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,28 +16,47 @@ from corpuscle import model as m
 from corpuscle.operators.spatial import cell_join
 
 
-def sasa(system: DataFrame, probe: float = m.PROBE, points: int = m.SPHERE_POINTS, largest: float = max(m.SURFACE_RADIUS.values())) -> DataFrame:
+#: Distances from sphere points to neighbours that are computed at once.
+CHUNK = 1_000_000
+
+
+def _areas(batches: Iterator[pa.RecordBatch], sphere: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """In: frame, idx, residue_id, x, y, z, r, near (x, y, z, r of each neighbour, flat). Out: frame, idx, residue_id, area."""
+    for batch in batches:
+        x, y, z, r = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7))
+        n = pc.fill_null(pc.list_value_length(batch.column(7)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        near = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+        free, ends = np.full(batch.num_rows, len(sphere)), np.cumsum(n)
+        step = max(1, CHUNK // len(sphere))
+        at = 0
+        while at < batch.num_rows:
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at] - n[at]) + step, "right")))
+            own = np.repeat(np.arange(at, until), n[at:until])
+            if len(own):
+                other = near[ends[at] - n[at] : ends[until - 1]]
+                dx, dy, dz = ((v[own][:, None] + r[own][:, None] * sphere[:, k]) - other[:, k : k + 1] for k, v in enumerate((x, y, z)))
+                covered = np.sqrt(dx * dx + dy * dy + dz * dz) < other[:, 3:]
+                some = np.flatnonzero(n[at:until]) + at
+                free[some] = len(sphere) - np.logical_or.reduceat(covered, (ends - n)[some] - (ends[at] - n[at])).sum(1)
+            at = until
+        area = free / float(len(sphere)) * (4 * math.pi) * r * r
+        yield pa.record_batch([*batch.columns[:3], pa.array(area)], names=["frame", "idx", "residue_id", "area"])
+
+
+def sasa(system: DataFrame, probe: float = m.PROBE, points: int = m.SPHERE_POINTS) -> DataFrame:
     """frame, idx, residue_id and area by sphere points that lie in no neighbour's extended sphere.
 
-    Neighbours come from a cell join and are gathered for each atom (their number is bounded by packing); the points stay an
-    array literal, so no row is made for a point. largest: the greatest radius that occurs.
+    Cells are as wide as the greatest radius that occurs asks for. Neighbours come from a cell join and are gathered for
+    each atom (their number is bounded by packing); no row is made for a point.
     """
-    own = system.select("frame", "idx", "residue_id", "x", "y", "z", (m.lookup(m.SURFACE_RADIUS, F.col("element"), m.DEFAULT_RADIUS) + F.lit(probe)).alias("r"))
-    pairs = cell_join(own.select("frame", "idx", "x", "y", "z", "r"), own.select("frame", "idx", "x", "y", "z", "r"), 2 * (largest + probe), condition=F.col("l_idx") != F.col("r_idx"))
+    own = system.select("frame", "idx", "residue_id", *(F.col(c).cast("double").alias(c) for c in "xyz"), (m.lookup(m.SURFACE_RADIUS, F.col("element"), m.DEFAULT_RADIUS) + F.lit(probe)).cast("double").alias("r"))
+    largest = own.agg(F.max("r")).first()[0] or probe
+    pairs = cell_join(own.select("frame", "idx", "x", "y", "z", "r"), own.select("frame", "idx", "x", "y", "z", "r"), 2 * largest, condition=F.col("l_idx") != F.col("r_idx"))
     pairs = pairs.where((F.sqrt("d2") > 1e-6) & (F.sqrt("d2") < F.col("l_r") + F.col("r_r")))
-    around = pairs.groupBy("frame", F.col("l_idx").alias("idx")).agg(F.collect_list(F.struct(*(F.col(f"r_{c}").alias(c) for c in ("x", "y", "z", "r")))).alias("near"))
-    unit = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("xyz", p, strict=True))) for p in m.sphere(points)))
-
-    def free(p: Column) -> Column:
-        def covers(a: Column) -> Column:
-            dx, dy, dz = (F.col(c) + F.col("r") * p[c] - a[c] for c in "xyz")
-            return F.sqrt(dx * dx + dy * dy + dz * dz) < a["r"]
-
-        return ~F.exists("near", covers)
-
-    n = F.when(F.col("near").isNull(), F.lit(points)).otherwise(F.size(F.filter(unit, free)))
-    area = n / F.lit(float(points)) * F.lit(4 * math.pi) * F.col("r") * F.col("r")
-    return own.join(around, ["frame", "idx"], "left").select("frame", "idx", "residue_id", area.alias("area"))
+    around = pairs.groupBy("frame", F.col("l_idx").alias("idx")).agg(F.flatten(F.collect_list(F.array(*(F.col(f"r_{c}") for c in "xyzr")))).alias("near"))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    rows = own.join(around, ["frame", "idx"], "left").select("frame", "idx", "residue_id", "x", "y", "z", "r", "near")
+    return rows.mapInArrow(partial(_areas, sphere=np.array(m.sphere(points))), ", ".join(f"{c} {kinds[c]}" for c in ("frame", "idx", "residue_id")) + ", area double")
 
 
 def sasa_per_residue(areas: DataFrame) -> DataFrame:

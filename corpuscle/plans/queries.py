@@ -167,8 +167,7 @@ _emb("interaction_summary", interactions.interaction_summary, f", {_ALL} SELECT
 # surface
 _SPHERE = "sphere(px, py, pz) AS (VALUES " + ", ".join(f"({x!r}, {y!r}, {z!r})" for x, y, z in m.sphere()).replace("e-", "e-") + ")"
 _SASA = f"t AS (SELECT *, {_case(m.SURFACE_RADIUS, 'element', '1.7e0')} + 1.4e0 AS r FROM s), {_SPHERE}, free AS (SELECT a.frame, a.idx, a.residue_id, a.r, p.px, bool_or(b.idx IS NOT NULL) AS covered FROM t a CROSS JOIN sphere p LEFT JOIN t b ON a.frame = b.frame AND a.idx <> b.idx AND {D} > 1e-6 AND {D} < a.r + b.r AND sqrt((a.x + a.r * p.px - b.x) * (a.x + a.r * p.px - b.x) + (a.y + a.r * p.py - b.y) * (a.y + a.r * p.py - b.y) + (a.z + a.r * p.pz - b.z) * (a.z + a.r * p.pz - b.z)) < b.r GROUP BY 1, 2, 3, 4, 5, p.py), area AS (SELECT frame, idx, residue_id, count(CASE WHEN NOT covered THEN 1 END) / 92e0 * {4 * math.pi!r} * r * r AS area FROM free GROUP BY frame, idx, residue_id, r)"
-_small = max(r for e, r in m.SURFACE_RADIUS.items() if e in ("H", "C", "N", "O", "CL"))
-_areas = lambda s: surface.sasa(s, largest=_small)
+_areas = surface.sasa
 _emb("sasa_atom", lambda s: _areas(s).select("frame", "idx", _r("area", "area")), f", {_SASA} SELECT frame, idx, round(area, 4) AS area FROM area")
 _emb("sasa_residue", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")), f", {_SASA} SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2")
 _emb("top_exposed", lambda s: surface.sasa_per_residue(_areas(s)).select("frame", "residue_id", _r("area", "area")).orderBy(F.desc("area"), "frame", "residue_id").limit(20), f", {_SASA}, r AS (SELECT frame, residue_id, round(sum(area), 4) AS area FROM area GROUP BY 1, 2) SELECT * FROM r ORDER BY area DESC, frame, residue_id LIMIT 20")
