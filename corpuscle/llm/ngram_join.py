@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscle.llm.common import by_bytes, hold_cache, join_counted, materialize, narrow, unused
+from corpuscle.llm.common import by_bytes, discard, hold_cache, join_counted, materialize, narrow, unused
 
 TOKEN = re.compile(r"\w+")
 BANDS, ROWS, STEP = 24, 4, 16
@@ -223,7 +223,10 @@ def _link(batches: Iterator[pa.RecordBatch], n: int, threshold: float, tolerance
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and root (the least id of its component) for each id of edges (columns id, root: the two ends)."""
+    """id and root (the least id of its component) for each id of edges (columns id, root: the two ends).
+
+    A step's table goes when the next one is written.
+    """
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -233,13 +236,15 @@ def components(edges: DataFrame) -> DataFrame:
         near = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = materialize(near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
         total = least.agg(F.sum("n")).first()[0] or 0
-        least = least.withColumn("m", F.least("a", "m"))
-        joined = join_counted(near, least, ["a"], "n", total)
+        low = least.withColumn("m", F.least("a", "m"))
+        joined = join_counted(near, low, ["a"], "n", total)
         if large:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        out = materialize(out.where("a <> b").distinct(), "edges")
+        discard(least, e)
+        return out
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -247,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("id", "root").alias("a"), F.least("id", "root").alias("b")).where("a <> b").distinct(), "edges")
     before, after = None, mark(now)
     while before != after:
-        now = materialize(star(materialize(star(now, True), "edges"), False), "edges")
+        now = star(star(now, True), False)
         before, after = after, mark(now)
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
@@ -276,6 +281,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tup
     dealt = dealt.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "sig", "text")
     dealt = dealt.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
     linked = materialize(dealt.mapInArrow(partial(_link, n=n, threshold=threshold, tolerance=tolerance), "id string, root string, links bigint"), "links")
+    discard(members, kept)
     roots = components(linked)
     links = linked.groupBy("id").agg(F.sum("links").alias("n_links"))
     named = sets.select("id", "s0", "s1", "copies", "rep").join(roots, "id", "left").join(links, "id", "left")
