@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import bpe, decontamination, ngram_join, quality_rules, secret_scan
-from corpuscle.llm.common import materialize
+from corpuscle.llm.common import discard, materialize
 
 #: After the stages before it, executors have little memory left for the encoder's caches.
 CACHE, CHARS = 150_000, 1_000_000
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents, each written and read again; what a stage read goes once its own rows are written."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

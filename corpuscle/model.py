@@ -39,6 +39,7 @@ SEQUENCE_LETTER = ONE_LETTER | {"DA": "A", "DT": "T", "DG": "G", "DC": "C", "A":
 # Atomic numbers by element, for the type ids of file formats.
 ATOMIC_NUMBER = {"H": 1, "C": 6, "N": 7, "O": 8, "F": 9, "NA": 11, "MG": 12, "P": 15, "S": 16, "CL": 17, "K": 19, "CA": 20, "MN": 25, "FE": 26, "CU": 29, "ZN": 30, "SE": 34, "BR": 35, "I": 53}
 
+# Distances and angle of interactions, probe radius and points of surfaces.
 HBOND_DISTANCE, HBOND_ANGLE, HYDROGEN_DISTANCE = 3.5, 120.0, 1.2
 SALT_BRIDGE, HALOGEN_BOND, HALOGEN_CARBON, PI_STACK, VDW_OVERLAP, HYDROPHOBIC_CONTACT = 4.0, 3.5, 2.1, 5.5, 0.4, 4.0
 PROBE, SPHERE_POINTS = 1.4, 92
