@@ -268,13 +268,13 @@ def _classes(docs: DataFrame, n: int, threshold: float, tolerance: float) -> tup
     name = F.concat(F.lpad(F.hex("s0"), 16, "0"), F.lpad(F.hex("s1"), 16, "0"))
     sets = rows.groupBy("s0", "s1").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("rep"), F.min("sig").alias("sig"), F.max(F.octet_length("text")).alias("size"))
     sets = materialize(sets.select(name.alias("id"), "s0", "s1", "copies", "rep", "sig", "size"), "sets")
-    bands = sets.select("id", "s0", "s1", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, 4 * ROWS)))).alias("band", "key"))
+    bands = sets.select("s0", "s1", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, 4 * ROWS)))).alias("band", "key"))
     full = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor("s0").alias("x"), F.bit_xor("s1").alias("y")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("at.size") / BLOCK_BYTES)).cast("int")
     kept = materialize(full.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key", "size")).alias("at")).select("at.band", "at.key", "n", blocks.alias("blocks")), "bands")
     total = kept.agg(F.sum("n")).first()[0] or 0
-    members = join_counted(bands.select("id", "band", "key"), kept, ["band", "key"], "n", total)
-    members = materialize(members.select("id", "band", "key", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own")), "members")
+    members = join_counted(bands.select("s0", "s1", "band", "key"), kept, ["band", "key"], "n", total)
+    members = materialize(members.select(name.alias("id"), "band", "key", "blocks", F.pmod(F.xxhash64("s0", "s1"), "blocks").cast("int").alias("own")), "members")
     needed = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "sig", F.col("rep.rid").alias("rid"))
     loaded = needed.join(rows.select("rid", "text"), "rid").select("id", "sig", "text")
     dealt = members.join(loaded, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
