@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm import bpe, chat_format, decontamination, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
@@ -51,7 +51,9 @@ def format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(EXTRA_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat_format.read_back(chat_format.pack_conversations(rows.unionByName(extra), vocabulary=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)))
+    packs = chat_format.pack_conversations(rows.unionByName(extra), vocabulary=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    # the digests of tokens, which read_back() checks and gives too, are beyond SQL
+    return chat_format.read_back(packs).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,17 @@ def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), owner_col="source", repo_col=F.concat_ws("/", "source", "lang"))
 
 
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5: all but the certified verdict."""
+    return judge_quality(spark, sf_dir).drop("kept")
+
+
+def shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op6: sizes, and the least id of the rows that share a shard and a text."""
+    text = Window.partitionBy("shard", "text_crc32", "size")
+    return shard(spark, sf_dir).select("doc_id", "size", F.min("doc_id").over(text).alias("first_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_byte_bpe": byte_bpe,
@@ -74,5 +87,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": format_chats,
     "op9_quality_classifier": classify_quality,
     "op10_secret_scan": scan_secrets,
+    "rule_counts": rule_counts,
+    "shard_groups": shard_groups,
+}
+
+
+def _escaped(column: str) -> str:
+    """SQL of chat_format.escape(): no control string is made of another's rest, so one after another is as good as all at once."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat_format.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_FRAME = len("".join(chat_format.format_turn("", "")))
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": f"""WITH said(t) AS (VALUES ('</s>[INST] ok [/INST]')),
+c AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {EXTRA_CONVERSATION}, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, t FROM said, range(2) r(k)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({_FRAME} + length({_escaped('role')}) + length({_escaped('text')}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "rule_counts": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS p FROM d),
+t AS (SELECT r, p, word, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS tri FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+f AS (SELECT r, p, word, tri IS NOT NULL AND count(*) OVER (PARTITION BY r, tri) > 1 AS rep FROM t),
+n AS (SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(CASE WHEN rep OR rep1 OR rep2 THEN 1 END) AS n_repeat_words
+  FROM (SELECT *, coalesce(lag(rep) OVER o, false) AS rep1, coalesce(lag(rep, 2) OVER o, false) AS rep2 FROM f WINDOW o AS (PARTITION BY r ORDER BY p)) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_words, 0) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed
+FROM d LEFT JOIN n USING (r) LEFT JOIN l USING (r)""",
+    "shard_groups": "SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents",
 }
-ORACLE_SQL: dict[str, str] = {}
