@@ -67,8 +67,10 @@ def _topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names from a PDB file of the first frame, all frames from XYZ."""
     system, top, frames = embeddings_system(spark, sf_dir), new_path(spark, "top.pdb"), new_path(spark, "frames.xyz")
     sinks.write_frames(sinks.pdb_models(system.where("frame = 0")), top, 1)
-    sinks.write_frames(sinks.xyz_frames(system), frames, 1 << 40)
-    rows = formats.load(spark, f"{top}/part=*", suffix=".pdb").with_trajectory(formats.load(spark, f"{frames}/part=*", suffix=".xyz")).system()
+    sinks.write_frames(sinks.xyz_frames(system), frames, FRAMES)
+    moves = formats.load(spark, f"{frames}/part=*", suffix=".xyz")
+    moves.positions = moves.positions.withColumn("frame", F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint") * FRAMES + F.col("frame"))
+    rows = formats.load(spark, f"{top}/part=*", suffix=".pdb").with_trajectory(moves).system()
     return rows.select(F.col("frame").cast("bigint").alias("frame"), "idx", "name", "resname", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
 
 
