@@ -165,16 +165,16 @@ def conversation_text(text: str, nodes: list[dict], leaf: int) -> tuple[str, str
     return formatted, "".join(unescape(text[n["loss_start"] : n["loss_stop"]]) for n in own if n["loss_start"] is not None)
 
 
-def conversation_ids(ids: list[int], nodes: list[dict], leaf: int) -> tuple[list[int], list[int], list[bool]]:
+def conversation_ids(ids: np.ndarray, nodes: list[dict], leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, position ids and loss mask of a conversation, as its leaf attends to them."""
-    own, positions, mask = [], [], []
-    for s in nodes[leaf]["tokens"]["attend"]:
-        own += ids[s["start"] : s["stop"]]
-    for n in (x["tokens"] for x in path_of(nodes, leaf)):
-        size = n["stop"] - n["start"]
-        positions += range(n["position"], n["position"] + size)
-        lost = range(n["loss_start"], n["loss_stop"]) if n["loss_start"] is not None else ()
-        mask += [k in lost for k in range(n["start"], n["stop"])]
+    own = np.concatenate([ids[s["start"] : s["stop"]] for s in nodes[leaf]["tokens"]["attend"]])
+    path = [n["tokens"] for n in path_of(nodes, leaf)]
+    positions = np.concatenate([np.arange(n["stop"] - n["start"]) + n["position"] for n in path])
+    mask, at = np.zeros(len(positions), bool), 0
+    for n in path:
+        if n["loss_start"] is not None:
+            mask[at + n["loss_start"] - n["start"] : at + n["loss_stop"] - n["start"]] = True
+        at += n["stop"] - n["start"]
     return own, positions, mask
 
 
@@ -183,7 +183,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
         for k in range(batch.num_rows):
-            text, ids, nodes, conversations = (batch.column(c)[k].as_py() for c in range(4))
+            text, nodes, conversations = (batch.column(c)[k].as_py() for c in (0, 2, 3))
+            ids = batch.column(1)[k].values.to_numpy() if batch.column(1)[k].is_valid else None
             out = []
             for c in conversations:
                 formatted, loss = conversation_text(text, nodes, c["leaf"])
@@ -192,9 +193,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = (None, None, None)
                 if ids is not None:
                     own, positions, mask = conversation_ids(ids, nodes, c["leaf"])
-                    if positions != list(range(len(own))):
+                    if len(positions) != len(own) or (positions != np.arange(len(own))).any():
                         raise ValueError("attention intervals and position ids differ")
-                    tokens = len(own), sum(mask), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest()
+                    tokens = len(own), int(mask.sum()), hashlib.sha256(own.astype("<u4").tobytes()).hexdigest()
                 out.append((c["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), *tokens))
             yield pa.record_batch([pa.array(col, kind) for col, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 

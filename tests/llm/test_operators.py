@@ -247,7 +247,7 @@ def test_chat_tokens(spark):
         assert starts == sorted(set(starts)) and p["nodes"][-1]["tokens"]["stop"] == len(p["ids"])  # each once, depth first
         for c in p["conversations"]:
             seen += 1
-            ids, positions, mask = chat_format.conversation_ids(p["ids"], p["nodes"], c["leaf"])
+            ids, positions, mask = (x.tolist() for x in chat_format.conversation_ids(np.array(p["ids"]), p["nodes"], c["leaf"]))
             formatted, _ = chat_format.conversation_text(p["text"], p["nodes"], c["leaf"])
             assert library.decode(ids) == formatted and positions == list(range(len(ids)))
             said = [x[3] for x in rows if x[0] == c["conv_id"] and x[2] == "assistant"]
