@@ -16,6 +16,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.operators.kernels import SupportVectorRegressor
 from corpuscle.operators.residues import reindex
 from corpuscle.operators.trajectory import pack_frames, superimpose_packed
 from corpuscle.sources.store import materialize
@@ -216,7 +217,7 @@ def ward_frames(positions: DataFrame, k: int = 5, group: int = WARD_GROUP, align
 
 
 def fit_model(rows: DataFrame, features: list[str], label: str, order: str, kind: str = "ridge", alpha: float = 1.0, folds: int = 5, seed: int = 42) -> tuple[Pipeline, dict[str, float]]:
-    """A ridge or forest model on standardised features, with training R2 and the mean R2 and RMSE over contiguous folds.
+    """A ridge, forest or svr (radial support vectors) model on standardised features, with training R2 and the mean R2 and RMSE over contiguous folds.
 
     Folds are runs of rows by the integer column `order`, equal but for one row. Rows with a missing value don't count.
     """
@@ -231,6 +232,8 @@ def fit_model(rows: DataFrame, features: list[str], label: str, order: str, kind
     rows = rows.withColumn("fold", F.when(at < edge, F.floor(at / (size + 1))).otherwise(F.lit(longer) + F.floor((at - edge) / F.lit(size))))
     if kind == "forest":
         last = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=100, seed=seed)
+    elif kind == "svr":
+        last = SupportVectorRegressor()
     else:
         last = LinearRegression(featuresCol="x", labelCol="y", regParam=alpha / n, elasticNetParam=0.0, standardization=False)
     pipeline = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="x", withMean=True), last])

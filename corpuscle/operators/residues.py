@@ -16,9 +16,9 @@ def _chain(default: str = ""):
 
 
 def list_residues(atoms: DataFrame) -> DataFrame:
-    """chain_id, residue_id, resname of the first atom and number of atoms."""
+    """chain_id, residue_id, resname of the first atom and number of atoms, in the order of the first two."""
     first = F.coalesce(F.min_by("resname", "idx"), F.lit("UNK"))
-    return atoms.groupBy(_chain().alias("chain_id"), F.coalesce("residue_id", F.lit(0)).alias("residue_id")).agg(first.alias("resname"), F.count("*").alias("n_atoms"))
+    return atoms.groupBy(_chain().alias("chain_id"), F.coalesce("residue_id", F.lit(0)).alias("residue_id")).agg(first.alias("resname"), F.count("*").alias("n_atoms")).orderBy("chain_id", "residue_id")
 
 
 def renumber(atoms: DataFrame, start: int = 1) -> DataFrame:

@@ -74,12 +74,12 @@ def surface_patches(system: DataFrame, areas: DataFrame, threshold: float = 5.0)
 
 
 def estimate_pka(system: DataFrame, areas: DataFrame, buried: float = 10.0) -> DataFrame:
-    """chain_id, residue_id, resname, pka and whether the residue is buried, of the ionisable residues of each frame."""
+    """chain_id, residue_id, resname, pka and whether the residue is buried, of the ionisable residues of each frame, in the order of chain and residue."""
     own = system.where(m.among(F.col("resname"), tuple(m.MODEL_PKA))).groupBy("frame", F.coalesce("chain_id", F.lit("")).alias("chain_id"), "residue_id").agg(F.upper(F.min_by("resname", "idx")).alias("resname"))
     shift = F.when(m.among(F.col("resname"), ("ASP", "GLU", "CYS", "TYR")), 1.5).otherwise(-1.5)
     out = own.join(sasa_per_residue(areas), ["frame", "residue_id"], "left").withColumn("buried", F.coalesce(F.col("area") < buried, F.lit(False)))
     pka = m.lookup(m.MODEL_PKA, F.col("resname")) + F.when(F.col("buried"), shift).otherwise(0.0)
-    return out.select("frame", "chain_id", "residue_id", "resname", F.round(pka, 2).alias("pka"), "buried")
+    return out.select("frame", "chain_id", "residue_id", "resname", F.round(pka, 2).alias("pka"), "buried").orderBy("frame", "chain_id", F.coalesce("residue_id", F.lit(0)))
 
 
 def protonation(pkas: DataFrame, ph: float = 7.4) -> DataFrame:

@@ -15,7 +15,7 @@ from corpuscle.functions.selection import compile_selection, index_range
 from corpuscle.operators import edit, grids, interactions, learn, molecules, residues, spatial, surface, trajectory
 from corpuscle.plans import files
 from corpuscle.plans.adapters import EMB_SQL, PART_SQL, conformers, embeddings_system, fragments, part_system
-from corpuscle.sources import sinks
+from corpuscle.sources import simulation, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -249,6 +249,7 @@ _emb("kmeans_frames", lambda s: learn.cluster_frames(s, 5))
 _emb("ward_frames", lambda s: learn.ward_frames(s, 3))
 _emb("qsar_ridge", lambda s: learn.fit_frames(s))
 _emb("qsar_forest", lambda s: learn.fit_frames(s, "forest"))
+_emb("qsar_svr", lambda s: learn.fit_frames(s, "svr"))
 _add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d))))
 
 # selections of residues, frames and plugins
@@ -279,6 +280,7 @@ _emb("top_flexible", lambda s: trajectory.rmsf_per_residue(s).orderBy(F.desc("rm
 _emb("rmsf_report", lambda s: sinks.text_report(trajectory.rmsf(s), "idx", "rmsf", "RMSF by atom", 5).select(F.col("n").cast("bigint").alias("n"), "line"), f", f AS (SELECT idx, {_RMSF} AS r FROM s GROUP BY idx), h AS (SELECT count(*) AS c, min(r) AS lo, avg(r) AS mid, max(r) AS hi FROM f) SELECT 0::BIGINT AS n, 'RMSF by atom' AS line UNION ALL SELECT 1, 'n ' || c FROM h UNION ALL SELECT 2, 'min ' || printf('%.4f', lo) FROM h UNION ALL SELECT 3, 'mean ' || printf('%.4f', mid) FROM h UNION ALL SELECT 4, 'max ' || printf('%.4f', hi) FROM h UNION ALL SELECT n + 4, line FROM (SELECT row_number() OVER (ORDER BY r DESC, idx) AS n, idx || '  ' || printf('%.4f', r) AS line FROM f QUALIFY n <= 5)")
 _emb("cluster_medoids", lambda s: learn.describe_clusters(s, s.select("frame", (F.col("frame") % 5).alias("cluster")).distinct()).select("cluster", "size", "medoid", F.round("inertia", 2).alias("inertia")), ", c AS (SELECT frame % 5 AS cluster, idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM s GROUP BY 1, 2), e AS (SELECT cluster, frame, sum((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) + (s.z - c.z) * (s.z - c.z)) AS d2 FROM s JOIN c ON c.cluster = s.frame % 5 AND c.idx = s.idx GROUP BY 1, 2) SELECT cluster, count(*) AS size, arg_min(frame, d2) AS medoid, round(sum(d2), 2) AS inertia FROM e GROUP BY 1")
 _part("box_from_extent", lambda s: sinks.box_nm(s).select(*(_r(f"l{c}", f"l{c}") for c in "xyz")), "SELECT " + ", ".join(f"round((max({c}) - min({c})) / 10 + 2, 4) AS l{c}" for c in "xyz") + " FROM s")
+_part("missing_hydrogens", lambda s: simulation.missing_hydrogens(s), "SELECT count(CASE WHEN upper(element) = 'H' THEN 1 END) = 0 AS missing FROM s")
 _emb("solvated_system", lambda s: edit.solvate(s).groupBy("frame", "name").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"), _r(F.avg("x"), "x")), f", {_GRID}, w AS (SELECT frame, x, row_number() OVER (PARTITION BY frame ORDER BY ix, iy, iz) AS r FROM {_FREE} QUALIFY r <= 10000), o AS (SELECT frame, name, row_number() OVER (PARTITION BY frame ORDER BY idx) - 1 AS idx, x FROM s), n AS (SELECT frame, count(*) AS n FROM s GROUP BY 1), a AS (SELECT * FROM o UNION ALL SELECT w.frame, v.name, n.n + 3 * (r - 1) + k, w.x + dx FROM w JOIN n USING (frame), (VALUES ('OW', 0, 0e0), ('HW1', 1, 0.957e0), ('HW2', 2, -0.239e0)) v(name, k, dx)) SELECT frame, name, count(*) AS n, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last, round(avg(x), 4) AS x FROM a GROUP BY 1, 2")
 _CHAINS = "ch AS (SELECT frame, chain_id, min(idx) AS first FROM s GROUP BY 1, 2)"
 _emb("capped_structure", lambda s: edit.capped_structure(s).select("frame", "idx", "name", "resname", "residue_id", *(_r(c, c) for c in "xyz")), f", ends AS (SELECT frame, chain_id, min(residue_id) AS first_id, max(residue_id) AS last_id FROM s GROUP BY 1, 2), {_CHAINS}, caps AS (SELECT frame, chain_id, residue_id, resname, name, x, y, z FROM ({_CAP('p', 'q', 'first_id', '- 1', 'ACE', 'CH3')} UNION ALL {_CAP('p', 'q', 'last_id', '+ 1', 'NME', 'N')})), k AS (SELECT caps.*, row_number() OVER (PARTITION BY frame, resname ORDER BY first) - 1 AS rank, count(CASE WHEN resname = 'ACE' THEN 1 END) OVER (PARTITION BY frame) AS front FROM caps JOIN ch USING (frame, chain_id)), n AS (SELECT frame, count(*) AS n FROM s GROUP BY 1), fr AS (SELECT frame, max(front) AS front FROM k GROUP BY 1) SELECT frame, (row_number() OVER (PARTITION BY frame ORDER BY idx) - 1 + coalesce(front, 0))::BIGINT AS idx, name, resname, residue_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s LEFT JOIN fr USING (frame) UNION ALL SELECT frame, (CASE WHEN resname = 'ACE' THEN front - 1 - rank ELSE front + n + rank END)::BIGINT, name, resname, residue_id, x, y, z FROM k JOIN n USING (frame)")

@@ -1,4 +1,4 @@
-"""Writers: CSV, PDB and PDBQT lines, and inputs of simulation programs."""
+"""Writers: CSV, PDB, PDBQT and other formats, and text reports."""
 
 from __future__ import annotations
 
@@ -148,29 +148,6 @@ def text_report(rows: DataFrame, label: str, value: str, title: str, top: int =
     return head.unionByName(best)
 
 
-def md_inputs(system: DataFrame, temperature: float = 300.0, step_ps: float = 0.002, ns: float = 10.0, box: tuple[float, float, float] | None = None) -> dict[str, str]:
-    """GROMACS and AMBER input texts by file name; the box is the given one, else from the atoms' extent."""
-    row = system.agg(F.max((F.upper("element") == "H").cast("int")).alias("h")).first()
-    box = " ".join(f"{v:.3f}" for v in box_nm(system, box).first())
-    steps = int(ns * 1000 / step_ps)
-    common = f"cutoff-scheme = Verlet\ncoulombtype = PME\nrcoulomb = 1.0\nrvdw = 1.0\npbc = xyz\n; box {box}\n"
-    heat = f"tcoupl = V-rescale\ntc-grps = System\ntau_t = 0.1\nref_t = {temperature:g}\n"
-    press = "pcoupl = Parrinello-Rahman\ntau_p = 2.0\nref_p = 1.0\ncompressibility = 4.5e-5\n"
-    run = f"integrator = md\ndt = {step_ps:g}\nconstraints = h-bonds\n"
-    files = {
-        "em.mdp": f"integrator = steep\nemtol = 1000.0\nnsteps = 50000\n{common}",
-        "nvt.mdp": f"{run}nsteps = 50000\n{common}{heat}pcoupl = no\ngen_vel = yes\ngen_temp = {temperature:g}\n",
-        "npt.mdp": f"{run}nsteps = 50000\n{common}{heat}{press}gen_vel = no\n",
-        "md.mdp": f"{run}nsteps = {steps}\n{common}{heat}{press}gen_vel = no\n",
-        "tleap.in": "source leaprc.protein.ff14SB\nsource leaprc.water.tip3p\nmol = loadpdb input.pdb\nsolvatebox mol TIP3PBOX 10.0\nsaveamberparm mol system.prmtop system.inpcrd\nquit\n",
-        "min.in": "minimise\n &cntrl imin=1, maxcyc=5000, ncyc=2500, ntb=1, cut=10.0 /\n",
-        "heat.in": f"heat\n &cntrl imin=0, nstlim=25000, dt={step_ps:g}, ntt=3, tempi=0.0, temp0={temperature:g}, ntb=1, ntc=2, ntf=2 /\n",
-        "equil.in": f"equilibrate\n &cntrl imin=0, irest=1, ntx=5, nstlim=50000, dt={step_ps:g}, ntt=3, temp0={temperature:g}, ntb=2, ntp=1, ntc=2, ntf=2 /\n",
-        "prod.in": f"produce\n &cntrl imin=0, irest=1, ntx=5, nstlim={steps}, dt={step_ps:g}, ntt=3, temp0={temperature:g}, ntb=2, ntp=1, ntc=2, ntf=2 /\n",
-    }
-    return files | {"README.txt": "".join(f"{n}\n" for n in sorted(files)) + ("" if row["h"] else "The structure has no hydrogens: add them first.\n")}
-
-
 def pdbqt_poses(lines: DataFrame, value: str = "value", order: str = "n") -> DataFrame:
     """Pose number and score of a docking program's output lines (value, and n as their order)."""
     line = F.col(value)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from corpuscle.functions import geometry as g
 from corpuscle.functions.plugins import PluginApi, run_plugin
 from corpuscle.functions.selection import SelectionError, compile_selection, index_range
-from corpuscle.operators import edit, grids, interactions, learn, molecules, residues, spatial, surface, trajectory
-from corpuscle.sources import formats, sinks
+from corpuscle.operators import edit, grids, interactions, kernels, learn, molecules, residues, spatial, surface, trajectory
+from corpuscle.sources import formats, simulation, sinks
 
 SCHEMA = "frame int, idx long, type_id int, element string, x double, y double, z double, residue_id int, chain_id string, name string, resname string, in_a boolean, in_b boolean"
 
@@ -109,7 +109,7 @@ AG9 = [(e, p, r, n, res, "A", "A") for e, p, r, n, res in (("N", (0, 0, 0), 1, "
 
 def test_residues_and_edits(spark):
     ag = system(spark, AG9)
-    assert [(r["residue_id"], r["resname"], r["n_atoms"]) for r in residues.list_residues(ag).orderBy("residue_id").collect()] == [(1, "ALA", 5), (2, "GLY", 4)]
+    assert [(r["residue_id"], r["resname"], r["n_atoms"]) for r in residues.list_residues(ag).collect()] == [(1, "ALA", 5), (2, "GLY", 4)]
     assert residues.extract_sequence(ag).first()["sequence"] == "AG"
     rama = {r["residue_id"]: (r["phi"], r["psi"]) for r in residues.ramachandran(ag).collect()}
     assert rama[1][0] is None and rama[1][1] is not None and rama[2][0] is not None and rama[2][1] is None
@@ -255,10 +255,49 @@ def test_formats(spark, tmp_path):
     assert len(cif.atoms) == 2 and cif.box == (50, 50, 50) and cif.atoms[0]["chain_id"] == "A"
     sdf = formats.parse_sdf("m\n\n\n  2  1  0  0  0  0            999 V2000\n    0.0000    0.0000    0.0000 C   0\n    1.0000    0.0000    0.0000 O   0\n  1  2  1  0\nM  END\n$$$$\n")
     assert sdf.bonds == [(0, 1)] and sdf.atoms[1]["element"] == "O"
-    assert "em.mdp" in sinks.md_inputs(ag) and "no hydrogens" in sinks.md_inputs(ag)["README.txt"]
     assert sinks.csv_rows(ag).first()["x"] == "0.0000"
 
 
+def test_simulation_inputs(spark):
+    bare = system(spark, [("C", (0, 0, 0), 1, "CA", "ALA", "A", "A"), ("N", (10, 20, 30), 1, "N", "ALA", "A", "A"), (None, (5, 5, 5), 1, "X", "ALA", "A", "A")])
+    files = simulation.gromacs_inputs(bare, "CHARMM36", "spce", "NVT", n_prod=7)
+    assert set(files) == {"em.mdp", "nvt.mdp", "npt.mdp", "md.mdp", "README.txt"}
+    read = {n: dict(line.split(" = ", 1) for line in t.splitlines() if " = " in line) for n, t in files.items()}
+    assert read["md.mdp"]["nsteps"] == "7" and read["md.mdp"]["pcoupl"] == "no" and "tau_p" not in read["md.mdp"]
+    assert read["npt.mdp"]["pcoupl"] == "Parrinello-Rahman" and read["npt.mdp"]["define"] == "-DPOSRES" and read["nvt.mdp"]["nsteps"] == "100000"
+    assert "-box 3.000 4.000 5.000" in files["README.txt"] and "-ff charmm36-jul2021 -water spce" in files["README.txt"] and simulation.HYDROGEN_WARNING in files["README.txt"]
+    assert "-box 1.000 2.000 3.000" in simulation.gromacs_inputs(bare, box=(10, 20, 30))["README.txt"]
+    assert "-box 2.000 2.000 2.000" in simulation.gromacs_inputs(bare.limit(0))["README.txt"]
+    files = simulation.amber_inputs(bare.withColumn("element", F.lit("h")), "FF19SB", "tip4p")
+    assert "source leaprc.protein.ff19SB\nsource leaprc.water.tip4pew" in files["tleap.in"] and "TIP4PEWBOX" in files["tleap.in"]
+    assert simulation.HYDROGEN_WARNING not in files["README.txt"] and "-c min.rst -r heat.rst -x heat.nc" in files["README.txt"]
+    assert "restraint_wt = 10.0," in files["heat.in"] and "nstlim = 5000000," in files["prod.in"] and "ntr = 0," in files["equil.in"]
+    assert "ff14SB" in simulation.amber_inputs(bare, "none", "none")["tleap.in"]
+
+
+@pytest.mark.parametrize("n", [1, 5, 80])
+def test_support_weights_are_optimal(n):
+    """Primal and dual agree, which only the optimum does."""
+    r = np.random.default_rng(n)
+    x = np.repeat(r.normal(size=(n, 3)), 2, axis=0)  # with repeated rows
+    y = np.sin(2 * x[:, 0]) + x[:, 1] + r.normal(size=2 * n) / 5
+    k = kernels.radial(x, x, 1 / 3)
+    w, b = kernels.support_weights(k, y, 1.0, 0.1)
+    assert abs(w.sum()) < 1e-9 and abs(w).max() <= 1
+    loss = w @ k @ w / 2 + np.maximum(abs(y - k @ w - b) - 0.1, 0).sum()
+    assert loss - (y @ w - w @ k @ w / 2 - 0.1 * abs(w).sum()) == pytest.approx(0, abs=2e-4 * n + 1e-4)
+
+
+def test_support_vectors(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 2))
+    rows = spark.createDataFrame([(k, float(a), float(b), float(np.sin(a) + b)) for k, (a, b) in enumerate(x)] + [(999, None, 0.0, 0.0)], "n int, a double, b double, y double")
+    model, scores = learn.fit_model(rows, ["a", "b"], "y", "n", "svr")
+    assert scores["train_r2"] > 0.95 and scores["cv_r2"] > 0.9
+    predicted = {p["n"]: p["predicted"] for p in learn.predict(model, rows, ["a", "b"]).collect()}
+    assert predicted[999] is None and np.mean([abs(predicted[k] - np.sin(a) - b) for k, (a, b) in enumerate(x)]) < 0.2
+
+
 def test_queries_equal_their_sql(spark):
     entry, data = importlib.import_module("__spark_entry__"), "/root/testdata/sf0.001"
     con = duckdb.connect()
