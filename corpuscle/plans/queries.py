@@ -222,7 +222,11 @@ _GRID = "b AS (SELECT frame, " + ", ".join(f"min({c}) AS lo{c}, greatest(1, floo
 _FREE = "gr a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.frame = b.frame AND b.element <> 'H' AND {D2} < 2.4e0 * 2.4e0)".replace("{D2}", D2)
 _emb("water_sites", lambda s: edit.water_sites(s).select("frame", "ix", "iy", "iz"), f", {_GRID} SELECT frame, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM {_FREE}")
 _emb("water_box", lambda s: edit.water_box(s).groupBy("frame", "name").agg(F.count("*").alias("n"), _r(F.avg("x"), "x")), f", {_GRID}, w AS (SELECT frame, x FROM {_FREE} QUALIFY row_number() OVER (PARTITION BY frame ORDER BY ix, iy, iz) <= 10000) SELECT frame, name, count(*) AS n, round(avg(x + dx), 4) AS x FROM w, (VALUES ('OW', 0e0), ('HW1', 0.957e0), ('HW2', -0.239e0)) v(name, dx) GROUP BY 1, 2")
-_emb("alanine_scan", lambda s: edit.alanine_scan(s).select("frame", "residue_id", "resname", *(F.col(c).cast("long").alias(c) for c in ("d_hbonds", "d_hydrophobic", "d_clashes")), "score"))
+# each scanned residue's frame twice, as it is and cut to ALA (both have their beta carbon); counted whole, not by neighbourhood
+_VARIANTS = "s AS (SELECT s0.* REPLACE (s0.frame * 100 + k.rid * 2 + k.cut AS frame) FROM s0 CROSS JOIN (VALUES (1, 0), (1, 1), (3, 0), (3, 1)) k(rid, cut) WHERE k.cut = 0 OR s0.residue_id <> k.rid OR s0.name IN ('N', 'CA', 'C', 'O', 'OXT', 'CB'))"
+_LOST = "lo AS (SELECT frame // 100 AS frame, frame % 100 // 2 AS residue_id, " + ", ".join(f"sum(CASE WHEN kind = '{k}' THEN 1 - frame % 2 * 2 ELSE 0 END)::BIGINT AS {k}" for k in ("hb", "hy", "cl")) + " FROM (SELECT frame, 'hb' AS kind FROM hbonds UNION ALL SELECT frame, 'hy' FROM hydrophobic UNION ALL SELECT frame, 'cl' FROM clashes) GROUP BY 1, 2)"
+_emb("alanine_scan", lambda s: edit.alanine_scan(s).select("frame", "residue_id", "resname", *(F.col(c).cast("long").alias(c) for c in ("d_hbonds", "d_hydrophobic", "d_clashes")), "score"), f", {_VARIANTS}, {_HB_ALL}, {_CLASH}, {_HYDRO}, {_LOST}, r AS (SELECT frame, residue_id, upper(arg_min(resname, idx)) AS resname FROM s0 WHERE in_a GROUP BY 1, 2) SELECT r.frame, r.residue_id, resname, coalesce(hb, 0) AS d_hbonds, coalesce(hy, 0) AS d_hydrophobic, coalesce(cl, 0) AS d_clashes, (2 * coalesce(hb, 0) + coalesce(hy, 0) - 0.5e0 * coalesce(cl, 0))::DOUBLE AS score FROM r LEFT JOIN lo USING (frame, residue_id)")
+ORACLE_SQL["alanine_scan"] = ORACLE_SQL["alanine_scan"].replace(", s AS (SELECT e.", ", s0 AS (SELECT e.", 1)
 _ATOM_R = _case(m.CONTACT_RADIUS, "element", "1.7e0")
 _POCKET = (
     "bx AS (SELECT " + ", ".join(f"min({c}) - 3.4e0 AS lo{c}, max({c}) + 3.4e0 - (min({c}) - 3.4e0) AS w{c}" for c in "xyz") + " FROM s), "
@@ -233,7 +237,16 @@ _POCKET = (
     "pts AS (SELECT gx, gy, gz FROM near GROUP BY gx, gy, gz, step HAVING count(CASE WHEN gap < 1.4e0 THEN 1 END) = 0 AND count(*) >= greatest(3, floor(5e0 / step)))"
 )
 _part("pocket_points", lambda s: grids.pocket_points(s).select("gx", "gy", "gz"), f", {_POCKET} SELECT gx::INT AS gx, gy::INT AS gy, gz::INT AS gz FROM pts")
-_part("binding_sites", lambda s: grids.binding_sites(s).select("rank", _r("volume", "volume"), _r("score", "score"), "lining"))
+_SITES = (
+    "cp AS MATERIALIZED (SELECT (gx::BIGINT * 1024 + gy) * 1024 + gz AS id, gx, " + ", ".join(f"lo{c} + g{c} * step AS {c}" for c in "xyz") + ", step FROM pts, st), "
+    f"ed AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM cp a JOIN cp b ON a.id <> b.id AND b.gx BETWEEN a.gx - 3 AND a.gx + 3 WHERE {D2} < 9 * a.step * a.step), "
+    "rt(id, root) USING KEY (id) AS (SELECT id, id AS root FROM cp UNION SELECT ed.a, min(rt.root) FROM rt JOIN ed ON ed.b = rt.id JOIN recurring.rt AS old ON old.id = ed.a WHERE rt.root < old.root GROUP BY ed.a), "
+    "po AS (SELECT root, count(*) * any_value(step) ** 3 AS volume, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM (SELECT id, min(root) AS root FROM rt GROUP BY 1) JOIN cp USING (id) GROUP BY 1 HAVING volume >= 100), "
+    f"li AS (SELECT a.root, any_value(a.volume) AS volume, count(b.x) AS lining, count(CASE WHEN upper(b.element) = 'C' THEN 1 END) AS carbon FROM po a LEFT JOIN s b ON {D2} < 100 GROUP BY 1), "
+    "sc AS (SELECT *, volume * 0.01e0 + carbon::DOUBLE / greatest(lining, 1) * 10e0 AS score FROM li)"
+)
+_part("binding_sites", lambda s: grids.binding_sites(s).select("rank", _r("volume", "volume"), _r("score", "score"), "lining"), f", {_POCKET}, {_SITES} SELECT row_number() OVER (ORDER BY score DESC, root)::INT AS rank, round(volume, 4) AS volume, round(score, 4) AS score, lining FROM sc QUALIFY rank <= 10")
+ORACLE_SQL["binding_sites"] = ORACLE_SQL["binding_sites"].replace("WITH", "WITH RECURSIVE", 1)
 
 # molecules
 _add(
