@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, chat_format, decontamination, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
+from corpuscle.llm import bpe, chat_format, decontamination, ngram_join, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
 
 SHARDS = 8
 END_ID = 1
@@ -65,6 +65,16 @@ def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), owner_col="source", repo_col=F.concat_ws("/", "source", "lang"))
 
 
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents whose id's checksum ends in 0, the tail is made periodic; a null id's text stays as it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g = F.floor(F.col("h") / 10)
+    first = lambda n: (g % n).cast("int")
+    period = lambda n: (1 + F.floor((n - first(n)) / (3 + g % 8))).cast("int")
+    text = F.when(F.col("h") % 10 == 0, periodic_runs.repeat_tail(F.coalesce("text", F.lit("")), first, period)).otherwise(F.col("text"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs.select("doc_id", text.alias("text"))))
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op5: all but the certified verdict."""
     return judge_quality(spark, sf_dir).drop("kept")
@@ -87,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": format_chats,
     "op9_quality_classifier": classify_quality,
     "op10_secret_scan": scan_secrets,
+    "op12_periodic_runs": periodic,
     "rule_counts": rule_counts,
     "shard_groups": shard_groups,
 }
