@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, chat_format, decontamination, ngram_join, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
+from corpuscle.llm import bpe, centroids, chat_format, decontamination, ngram_join, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
 
 SHARDS = 8
 END_ID = 1
@@ -75,6 +75,10 @@ def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(docs.select("doc_id", text.alias("text"))))
 
 
+def cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op5: all but the certified verdict."""
     return judge_quality(spark, sf_dir).drop("kept")
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": classify_quality,
     "op10_secret_scan": scan_secrets,
     "op12_periodic_runs": periodic,
+    "op13_centroid_clustering": cluster_vectors,
     "rule_counts": rule_counts,
     "shard_groups": shard_groups,
 }
@@ -111,6 +116,21 @@ def _escaped(column: str) -> str:
     return out
 
 
+def _lloyd() -> str:
+    """SQL of plain Lloyd rounds: every vector is compared with every centroid each time."""
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, v, d, c FROM (SELECT vec_id, e.v, c, list_sum(list_transform(list_zip(e.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM e, c{r})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    move = """c{n} AS MATERIALIZED (SELECT c, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v
+  FROM (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{r}) GROUP BY c, j) GROUP BY c) m USING (c))"""
+    steps = [x.format(r=r, n=r + 1) for r in range(centroids.ROUNDS) for x in (near, move)] + [near.format(r=centroids.ROUNDS)]
+    return f"""WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.SIZE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS c, v FROM e QUALIFY c < {centroids.CLUSTERS}),
+{(',' + chr(10)).join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(z.v, ',')) AS centroid_sha256 FROM a{centroids.ROUNDS} JOIN c{centroids.ROUNDS} z USING (c)"""
+
+
 _FRAME = len("".join(chat_format.format_turn("", "")))
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": f"""WITH said(t) AS (VALUES ('</s>[INST] ok [/INST]')),
@@ -120,6 +140,7 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum({_FRAME} + length({_escaped('role')}) + length({_escaped('text')}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op13_centroid_clustering": _lloyd(),
     "rule_counts": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS p FROM d),
 t AS (SELECT r, p, word, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS tri FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
