@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, centroids, chat_format, decontamination, ngram_join, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store
+from corpuscle.llm import bpe, centroids, chat_format, decontamination, ngram_join, periodic_runs, quality_classifier, quality_rules, secret_scan, sharding, token_counts, token_store, warc
 
 SHARDS = 8
 END_ID = 1
@@ -65,6 +65,13 @@ def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), owner_col="source", repo_col=F.concat_ws("/", "source", "lang"))
 
 
+def capture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is written, looked up by its URL and id, and read at the place that the index gives."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    return warc.resolve(warc.read_records(archive, warc.lookup(archive, pages, "url", "page_id")))
+
+
 def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the documents whose id's checksum ends in 0, the tail is made periodic; a null id's text stays as it is."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": format_chats,
     "op9_quality_classifier": classify_quality,
     "op10_secret_scan": scan_secrets,
+    "op11_warc": capture_pages,
     "op12_periodic_runs": periodic,
     "op13_centroid_clustering": cluster_vectors,
     "rule_counts": rule_counts,
@@ -140,6 +148,9 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum({_FRAME} + length({_escaped('role')}) + length({_escaped('text')}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op11_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), q AS (SELECT *, strlen(html)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN payload_bytes >= {warc.LEAST} AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.LEAST} AND page_id < top THEN top END AS refers_to FROM q""",
     "op13_centroid_clustering": _lloyd(),
     "rule_counts": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS p FROM d),
