@@ -1,14 +1,16 @@
 """Schemas and fixed dimension tables.
 
 A system is a DataFrame with frame, idx, type_id, element, x, y, z, residue_id, chain_id, name and resname: atoms joined with
-their positions. Lookups become map literals, so they need no join at all.
+their positions. Where several are loaded together, a column sys or path tells them apart, and every operator keeps it: what it
+groups, joins, numbers and returns is keyed by those of sys, path and frame that its input has.
+Lookups become map literals, so they need no join at all.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ATOMS = "idx bigint, id bigint, type_id int, element string, charge double, mass double, residue_id int, chain_id string, name string, resname string"
@@ -45,6 +47,26 @@ SALT_BRIDGE, HALOGEN_BOND, HALOGEN_CARBON, PI_STACK, VDW_OVERLAP, HYDROPHOBIC_CO
 PROBE, SPHERE_POINTS = 1.4, 92
 
 
+#: Columns that tell systems apart, and with the frame what keeps atoms together.
+SYSTEM_KEYS = ("sys", "path")
+KEYS = (*SYSTEM_KEYS, "frame")
+
+
+def keys(*tables: DataFrame) -> list[str]:
+    """The keys that all tables have."""
+    return [k for k in KEYS if all(k in t.columns for t in tables)]
+
+
+def system_keys(*tables: DataFrame) -> list[str]:
+    return [k for k in SYSTEM_KEYS if all(k in t.columns for t in tables)]
+
+
+def beside(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """rows with the columns of few, which has one row for each system; without systems, one row."""
+    on = system_keys(rows, few)
+    return rows.join(few, on) if on else rows.crossJoin(F.broadcast(few))
+
+
 def lookup(table: dict[str, object], key: Column, default: object = None) -> Column:
     """The value of upper(key), else default."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

@@ -89,7 +89,7 @@ def mutate(system: DataFrame, which: Column, target: str) -> DataFrame:
     cut = system.where(change & name.isin(*kept)).withColumn("resname", F.lit(target))
     if target != "ALA":
         return stay.unionByName(cut)
-    keys = [c for c in ("scan_residue", "frame", "chain_id", "residue_id") if c in system.columns]
+    keys = [*m.keys(system), *(c for c in ("scan_residue", "chain_id", "residue_id") if c in system.columns)]
     at = lambda a: F.min_by(F.struct("x", "y", "z"), F.when(name == a, F.col("idx"))).alias(a)
     bare = cut.groupBy(*keys).agg(at("N"), at("CA"), at("C"), F.count(F.when(name == "CB", 1)).alias("cb"), *(F.first(c).alias(c) for c in system.columns if c not in (*keys, "idx", "x", "y", "z", "name", "element", "type_id", "resname"))).where("cb = 0 and CA is not null")
     whole = F.col("N").isNotNull() & F.col("C").isNotNull()
@@ -116,16 +116,17 @@ def apply_mutations(system: DataFrame, mutations: list[tuple[int, str]]) -> Data
 def cap_termini(system: DataFrame) -> DataFrame:
     """chain_id, residue_id, resname, name and position of the caps of each chain: 1.33 beyond its first N and last C."""
     own = system.where(F.col("residue_id").isNotNull() & F.col("chain_id").isNotNull())
-    ends = own.groupBy("frame", "chain_id").agg(F.min("residue_id").alias("first"), F.max("residue_id").alias("last"))
-    rows = own.join(ends, ["frame", "chain_id"])
+    keys = m.keys(system)
+    ends = own.groupBy(*keys, "chain_id").agg(F.min("residue_id").alias("first"), F.max("residue_id").alias("last"))
+    rows = own.join(ends, [*keys, "chain_id"])
     name = F.trim("name")
     at = lambda a, end: F.min_by(F.struct("x", "y", "z"), F.when((name == a) & (F.col("residue_id") == F.col(end)), F.col("idx"))).alias(f"{a}_{end}")
-    rows = rows.groupBy("frame", "chain_id", "first", "last").agg(at("N", "first"), at("CA", "first"), at("CA", "last"), at("C", "last"))
+    rows = rows.groupBy(*keys, "chain_id", "first", "last").agg(at("N", "first"), at("CA", "first"), at("CA", "last"), at("C", "last"))
 
     def cap(of: str, away: str, rid: Column, resname: str, atom: str) -> DataFrame:
         a, b = point(struct=of), point(struct=away)
         way = _unit(minus(a, b))
-        return rows.where(F.col(of).isNotNull() & F.col(away).isNotNull()).select("frame", "chain_id", rid.cast("int").alias("residue_id"), F.lit(resname).alias("resname"), F.lit(atom).alias("name"), *((p + 1.33 * w).alias(c) for p, w, c in zip(a, way, "xyz", strict=True)))
+        return rows.where(F.col(of).isNotNull() & F.col(away).isNotNull()).select(*keys, "chain_id", rid.cast("int").alias("residue_id"), F.lit(resname).alias("resname"), F.lit(atom).alias("name"), *((p + 1.33 * w).alias(c) for p, w, c in zip(a, way, "xyz", strict=True)))
 
     return cap("N_first", "CA_first", F.col("first") - 1, "ACE", "CH3").unionByName(cap("C_last", "CA_last", F.col("last") + 1, "NME", "N"))
 
@@ -136,29 +137,35 @@ WATER_SPACING, WATER_CLEARANCE = 3.1, 2.4
 
 
 def water_sites(system: DataFrame, buffer: float = 10.0) -> DataFrame:
-    """ix, iy, iz and oxygen position of the grid waters of each frame that no heavy atom is too near to."""
-    box = system.groupBy("frame").agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"))
+    """ix, iy, iz and oxygen position of the grid waters of each frame that no heavy atom is too near to.
+
+    A frame's grid is dealt to the tasks by its planes, so one frame's is made by many.
+    """
+    keys = m.keys(system)
+    box = system.groupBy(*keys).agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"))
     grid = box
     for c in "xyz":
         n = F.greatest(F.lit(1), F.floor((F.col(f"hi{c}") + buffer - (F.col(f"lo{c}") - buffer)) / WATER_SPACING).cast("int"))
         grid = grid.withColumn(f"i{c}", F.explode(F.sequence(F.lit(0), n - 1)))
-    grid = grid.select("frame", "ix", "iy", "iz", *((F.col(f"lo{c}") - buffer + (F.col(f"i{c}") + 0.5) * WATER_SPACING).alias(c) for c in "xyz"))
-    heavy = system.where("element is null or upper(element) <> 'H'").select("frame", "x", "y", "z")
+        grid = grid.repartition(*keys, "ix") if c == "x" else grid
+    grid = grid.select(*keys, "ix", "iy", "iz", *((F.col(f"lo{c}") - buffer + (F.col(f"i{c}") + 0.5) * WATER_SPACING).alias(c) for c in "xyz"))
+    heavy = system.where("element is null or upper(element) <> 'H'").select(*keys, "x", "y", "z")
     return cell_join(grid, heavy, WATER_CLEARANCE, how="left_anti", strict=True)
 
 
 def water_box(system: DataFrame, buffer: float = 10.0, water: str = "tip3p", most: int = 10_000) -> DataFrame:
     """frame, residue_id, name and position of the atoms of at most `most` waters a frame (a parameter of the box), in grid order."""
-    order = F.row_number().over(Window.partitionBy("frame").orderBy("ix", "iy", "iz"))
-    sites = water_sites(system, buffer).withColumn("residue_id", order).where(F.col("residue_id") <= most)
+    keys = m.keys(system)
+    sites = water_sites(system, buffer).withColumn("_in", F.struct("iy", "iz"))
+    sites = running(sites, keys, "ix", "_in", F.lit(1), "residue_id").where(F.col("residue_id") <= most)
     shape = WATER_MODELS.get("spc" if water == "spce" else water, WATER_MODELS["tip3p"])
     atoms = F.array(*(F.struct(F.lit(n).alias("name"), *(F.lit(v).alias(f"d{c}") for c, v in zip("xyz", d, strict=True))) for n, d in zip(("OW", "HW1", "HW2"), shape, strict=True)))
-    return sites.select("frame", "residue_id", "x", "y", "z", F.inline(atoms)).select("frame", "residue_id", F.lit("HOH").alias("resname"), F.lit("W").alias("chain_id"), "name", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"))
+    return sites.select(*keys, F.col("residue_id").cast("int").alias("residue_id"), "x", "y", "z", F.inline(atoms)).select(*keys, "residue_id", F.lit("HOH").alias("resname"), F.lit("W").alias("chain_id"), "name", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"))
 
 
 def _places(system: DataFrame) -> DataFrame:
     """system with place: the number of each atom in its frame by rising idx, from 0."""
-    rows = running(system.withColumn("_bucket", F.floor(F.col("idx") / 65536)), ["frame"], "_bucket", "idx", F.lit(1), "place")
+    rows = running(system.withColumn("_bucket", F.floor(F.col("idx") / 65536)), m.keys(system), "_bucket", "idx", F.lit(1), "place")
     return rows.withColumn("place", F.col("place") - 1).drop("_bucket")
 
 
@@ -167,27 +174,29 @@ _ATOM = ("element", "name", "resname", "residue_id", "chain_id", "x", "y", "z")
 
 def solvate(system: DataFrame, buffer: float = 10.0, water: str = "tip3p", most: int = 10_000) -> DataFrame:
     """The atoms of the system and of the waters of its box, numbered anew in each frame: the solute's first, then water by water."""
-    solute = _places(system).select("frame", F.col("place").alias("idx"), *_ATOM)
-    n = system.groupBy("frame").agg(F.count("*").alias("_n"))
+    keys = m.keys(system)
+    solute = _places(system).select(*keys, F.col("place").alias("idx"), *_ATOM)
+    n = system.groupBy(*keys).agg(F.count("*").alias("_n"))
     order = F.when(F.col("name") == "OW", 0).when(F.col("name") == "HW1", 1).otherwise(2)
-    waters = water_box(system, buffer, water, most).join(n, "frame")
-    waters = waters.select("frame", (F.col("_n") + 3 * (F.col("residue_id") - 1) + order).cast("bigint").alias("idx"), F.substring("name", 1, 1).alias("element"), *_ATOM[1:])
+    waters = water_box(system, buffer, water, most).join(n, keys)
+    waters = waters.select(*keys, (F.col("_n") + 3 * (F.col("residue_id") - 1) + order).cast("bigint").alias("idx"), F.substring("name", 1, 1).alias("element"), *_ATOM[1:])
     return solute.unionByName(waters.withColumn("residue_id", F.col("residue_id").cast(solute.schema["residue_id"].dataType)))
 
 
 def capped_structure(system: DataFrame) -> DataFrame:
     """The atoms with their chains' caps, numbered anew in each frame: ACE caps first, the last chain's before the others', then
     the atoms as they were, then NME caps in order of the chains (that of their first atoms)."""
-    chains = system.where("residue_id is not null and chain_id is not null").groupBy("frame", "chain_id").agg(F.min("idx").alias("first"))
-    caps = cap_termini(system).join(chains, ["frame", "chain_id"])
-    rank = F.row_number().over(Window.partitionBy("frame", "resname").orderBy("first")) - 1  # as many as a frame has chains
-    front = F.count(F.when(F.col("resname") == "ACE", 1)).over(Window.partitionBy("frame"))
-    caps = caps.select("frame", "chain_id", "residue_id", "resname", "name", "x", "y", "z", rank.alias("rank"), front.alias("front"))
-    n = system.groupBy("frame").agg(F.count("*").alias("n"))
+    keys = m.keys(system)
+    chains = system.where("residue_id is not null and chain_id is not null").groupBy(*keys, "chain_id").agg(F.min("idx").alias("first"))
+    caps = cap_termini(system).join(chains, [*keys, "chain_id"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "resname").orderBy("first")) - 1  # as many as a frame has chains
+    front = F.count(F.when(F.col("resname") == "ACE", 1)).over(Window.partitionBy(*keys))
+    caps = caps.select(*keys, "chain_id", "residue_id", "resname", "name", "x", "y", "z", rank.alias("rank"), front.alias("front"))
+    n = system.groupBy(*keys).agg(F.count("*").alias("n"))
     at = F.when(F.col("resname") == "ACE", F.col("front") - 1 - F.col("rank")).otherwise(F.col("front") + F.col("n") + F.col("rank"))
-    added = caps.join(n, "frame").select("frame", at.cast("bigint").alias("idx"), F.when(F.col("resname") == "ACE", "C").otherwise("N").alias("element"), *_ATOM[1:])
-    fronts = caps.groupBy("frame").agg(F.max("front").alias("front"))
-    own = _places(system).join(fronts, "frame", "left").select("frame", (F.col("place") + F.coalesce("front", F.lit(0))).cast("bigint").alias("idx"), *_ATOM)
+    added = caps.join(n, keys).select(*keys, at.cast("bigint").alias("idx"), F.when(F.col("resname") == "ACE", "C").otherwise("N").alias("element"), *_ATOM[1:])
+    fronts = caps.groupBy(*keys).agg(F.max("front").alias("front"))
+    own = _places(system).join(fronts, keys, "left").select(*keys, (F.col("place") + F.coalesce("front", F.lit(0))).cast("bigint").alias("idx"), *_ATOM)
     return own.unionByName(added.withColumn("residue_id", F.col("residue_id").cast(own.schema["residue_id"].dataType)))
 
 
@@ -203,20 +212,21 @@ def alanine_scan(system: DataFrame) -> DataFrame:
     the work grows with the residues and their surroundings, not with residues times atoms.
     """
     scanned = system.where("in_a and residue_id is not null")
-    own = scanned.select("frame", F.col("residue_id").alias("scan_residue"), "x", "y", "z")
-    near = cell_join(own, system.select("frame", "idx", "x", "y", "z"), SCAN_REACH).select("frame", F.col("l_scan_residue").alias("scan_residue"), F.col("r_idx").alias("idx")).distinct()
-    before = system.join(near, ["frame", "idx"]).select("scan_residue", *system.columns)
+    keys = m.keys(system)
+    own = scanned.select(*keys, F.col("residue_id").alias("scan_residue"), "x", "y", "z")
+    near = cell_join(own, system.select(*keys, "idx", "x", "y", "z"), SCAN_REACH).select(*keys, F.col("l_scan_residue").alias("scan_residue"), F.col("r_idx").alias("idx")).distinct()
+    before = system.join(near, [*keys, "idx"]).select("scan_residue", *system.columns)
     before = materialize(before, "scan")
     after = mutate(before, (F.col("residue_id") == F.col("scan_residue")) & F.col("in_a"), "ALA").select(*before.columns)
     every = before.withColumn("new", F.lit(False)).unionByName(after.withColumn("new", F.lit(True)))
     # frame, residue and side are what keeps variants apart in the joins
     every = every.withColumn("frame", F.struct(F.col("frame").alias("f"), F.col("scan_residue").alias("v"), F.col("new").alias("new"))).withColumn("idx", F.coalesce("idx", F.lit(-1)))
     every = materialize(every, "variants")
-    counts = reduce(DataFrame.unionByName, [f(every).select("frame", F.lit(k).alias("kind")) for k, f in (("hb", hbonds), ("cl", clashes), ("hy", hydrophobic))])
+    counts = reduce(DataFrame.unionByName, [f(every).select(*keys, F.lit(k).alias("kind")) for k, f in (("hb", hbonds), ("cl", clashes), ("hy", hydrophobic))])
     lost = lambda k: F.sum(F.when(F.col("kind") == k, F.when(F.col("frame.new"), -1).otherwise(1)).otherwise(0)).alias(k)
-    wide = counts.groupBy(F.col("frame.f").alias("frame"), F.col("frame.v").alias("residue_id")).agg(*(lost(k) for k in ("hb", "cl", "hy")))
-    first = scanned.groupBy("frame", "residue_id").agg(F.upper(F.min_by("resname", "idx")).alias("resname"))
-    rows = first.join(wide, ["frame", "residue_id"], "left")
+    wide = counts.groupBy(*m.system_keys(system), F.col("frame.f").alias("frame"), F.col("frame.v").alias("residue_id")).agg(*(lost(k) for k in ("hb", "cl", "hy")))
+    first = scanned.groupBy(*keys, "residue_id").agg(F.upper(F.min_by("resname", "idx")).alias("resname"))
+    rows = first.join(wide, [*keys, "residue_id"], "left")
     skip = F.col("resname").isin("ALA", "GLY")
     d = {k: F.when(skip, F.lit(0)).otherwise(F.coalesce(k, F.lit(0))) for k in ("hb", "cl", "hy")}
-    return rows.select("frame", "residue_id", "resname", d["hb"].alias("d_hbonds"), d["hy"].alias("d_hydrophobic"), d["cl"].alias("d_clashes"), (2 * d["hb"] + d["hy"] - 0.5 * d["cl"]).cast("double").alias("score"))
+    return rows.select(*keys, "residue_id", "resname", d["hb"].alias("d_hbonds"), d["hy"].alias("d_hydrophobic"), d["cl"].alias("d_clashes"), (2 * d["hb"] + d["hy"] - 0.5 * d["cl"]).cast("double").alias("score"))

@@ -32,52 +32,55 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pocket_points(system: DataFrame, spacing: float = 1.0, probe: float = 1.4, reach: float = 5.0, most: int = 60) -> DataFrame:
     """Grid points (gx, gy, gz, id, x, y, z) in no atom's extended sphere that enough atoms surround, in each frame.
 
-    A frame's grid is made from its aggregate, has at most `most` points an axis, and meets the atoms by cells.
+    A frame's grid is made from its aggregate, plane by plane in many tasks, has at most `most` points an axis, and meets the atoms by cells.
     """
-    atoms = system.select("frame", "x", "y", "z", m.lookup(m.CONTACT_RADIUS, F.col("element"), m.DEFAULT_RADIUS).alias("r"))
+    keys = m.keys(system)
+    atoms = system.select(*keys, "x", "y", "z", m.lookup(m.CONTACT_RADIUS, F.col("element"), m.DEFAULT_RADIUS).alias("r"))
     pad = probe + 2.0
-    box = atoms.groupBy("frame").agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"))
-    box = box.select("frame", *((F.col(f"lo{c}") - pad).alias(f"lo{c}") for c in "xyz"), *((F.col(f"hi{c}") + pad - (F.col(f"lo{c}") - pad)).alias(f"w{c}") for c in "xyz"))
+    box = atoms.groupBy(*keys).agg(*(F.min(c).alias(f"lo{c}") for c in "xyz"), *(F.max(c).alias(f"hi{c}") for c in "xyz"))
+    box = box.select(*keys, *((F.col(f"lo{c}") - pad).alias(f"lo{c}") for c in "xyz"), *((F.col(f"hi{c}") + pad - (F.col(f"lo{c}") - pad)).alias(f"w{c}") for c in "xyz"))
     widest = F.greatest("wx", "wy", "wz")
     box = box.withColumn("step", F.when(F.ceil(widest / spacing) + 1 > most, widest / (most - 1)).otherwise(F.lit(spacing)))
     grid = box
     for c in "xyz":
         grid = grid.withColumn(f"g{c}", F.explode(F.sequence(F.lit(0), F.ceil(F.col(f"w{c}") / F.col("step")).cast("int"))))
-    grid = grid.select("frame", "gx", "gy", "gz", "step", *((F.col(f"lo{c}") + F.col(f"g{c}") * F.col("step")).alias(c) for c in "xyz"))
+        grid = grid.repartition(*keys, "gx") if c == "x" else grid
+    grid = grid.select(*keys, "gx", "gy", "gz", "step", *((F.col(f"lo{c}") + F.col(f"g{c}") * F.col("step")).alias(c) for c in "xyz"))
     near = cell_join(grid, atoms, max(m.CONTACT_RADIUS.values()) + reach)
     d = F.sqrt("d2")
-    counted = near.groupBy("frame", *(F.col(f"l_{c}").alias(c) for c in ("gx", "gy", "gz", "x", "y", "z", "step"))).agg(F.count(F.when(d < F.col("r_r") + probe, 1)).alias("inside"), F.count(F.when(d < F.col("r_r") + reach, 1)).alias("around"))
+    counted = near.groupBy(*keys, *(F.col(f"l_{c}").alias(c) for c in ("gx", "gy", "gz", "x", "y", "z", "step"))).agg(F.count(F.when(d < F.col("r_r") + probe, 1)).alias("inside"), F.count(F.when(d < F.col("r_r") + reach, 1)).alias("around"))
     enough = F.greatest(F.lit(3), F.floor(F.lit(reach) / F.col("step")))
     code = (F.col("gx").cast("long") * 1024 + F.col("gy")) * 1024 + F.col("gz")
-    return counted.where((F.col("inside") == 0) & (F.col("around") >= enough)).select("frame", "gx", "gy", "gz", code.alias("id"), "x", "y", "z", "step")
+    return counted.where((F.col("inside") == 0) & (F.col("around") >= enough)).select(*keys, "gx", "gy", "gz", code.alias("id"), "x", "y", "z", "step")
 
 
 def binding_sites(system: DataFrame, spacing: float = 1.0, least: float = 100.0, most: int = 10) -> DataFrame:
     """frame, rank, centre, volume, score and number of lining atoms of the `most` best pockets of each frame."""
+    keys = m.keys(system)
     points = materialize(pocket_points(system, spacing), "pockets")
     widest = points.agg(F.max("step").alias("s")).first()["s"] or spacing
-    own = points.select("frame", "id", "x", "y", "z", "step")
+    own = points.select(*keys, "id", "x", "y", "z", "step")
     near = cell_join(own, own, 3 * widest, condition=F.col("l_id") < F.col("r_id"), strict=True).where(F.col("d2") < 9 * F.col("l_step") * F.col("l_step"))
-    node = lambda c: F.struct("frame", F.col(c).alias("id"))
+    node = lambda c: F.struct(*keys, F.col(c).alias("id"))
     roots = components(points.select(node("id").alias("id")), near.select(node("l_id").alias("a"), node("r_id").alias("b")))
-    roots = roots.select("id.frame", "id.id", F.col("root.id").alias("root"))
-    pockets = points.join(roots, ["frame", "id"]).groupBy("frame", "root").agg((F.count("*") * F.pow(F.first("step"), F.lit(3.0))).alias("volume"), *(F.avg(c).alias(c) for c in "xyz")).where(F.col("volume") >= least)
-    atoms = system.select("frame", F.upper("element").alias("e"), "x", "y", "z")
-    lining = cell_join(pockets.select("frame", "root", "volume", "x", "y", "z"), atoms, 10.0, how="left", strict=True)
-    scored = lining.groupBy("frame", F.col("l_root").alias("root"), F.col("l_volume").alias("volume"), *(F.col(f"l_{c}").alias(c) for c in "xyz")).agg(F.count("r_x").alias("lining"), F.count(F.when(F.col("r_e") == "C", 1)).alias("carbon"))
+    roots = roots.select(*(f"id.{k}" for k in keys), "id.id", F.col("root.id").alias("root"))
+    pockets = points.join(roots, [*keys, "id"]).groupBy(*keys, "root").agg((F.count("*") * F.pow(F.first("step"), F.lit(3.0))).alias("volume"), *(F.avg(c).alias(c) for c in "xyz")).where(F.col("volume") >= least)
+    atoms = system.select(*keys, F.upper("element").alias("e"), "x", "y", "z")
+    lining = cell_join(pockets.select(*keys, "root", "volume", "x", "y", "z"), atoms, 10.0, how="left", strict=True)
+    scored = lining.groupBy(*keys, F.col("l_root").alias("root"), F.col("l_volume").alias("volume"), *(F.col(f"l_{c}").alias(c) for c in "xyz")).agg(F.count("r_x").alias("lining"), F.count(F.when(F.col("r_e") == "C", 1)).alias("carbon"))
     scored = scored.withColumn("score", F.col("volume") * 0.01 + F.col("carbon") / F.greatest("lining", F.lit(1)) * 10.0)
-    rank = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("score"), "root"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("frame", "rank", "x", "y", "z", "volume", "score", "lining")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "root"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(*keys, "rank", "x", "y", "z", "volume", "score", "lining")
 
 
 def pharmacophore(system: DataFrame) -> DataFrame:
     """kind, key (atom or residue), centre and number of atoms of donors, acceptors, charges and aromatic residues in each frame."""
-    e, empty = F.upper("element"), F.lit("")
-    single = lambda kind, elements: system.where(e.isin(*elements)).select("frame", F.lit(kind).alias("kind"), F.col("idx").cast("string").alias("key"), "x", "y", "z", F.lit(1).cast("long").alias("n"))
+    e, empty, keys = F.upper("element"), F.lit(""), m.keys(system)
+    single = lambda kind, elements: system.where(e.isin(*elements)).select(*keys, F.lit(kind).alias("kind"), F.col("idx").cast("string").alias("key"), "x", "y", "z", F.lit(1).cast("long").alias("n"))
     key = F.concat_ws(":", F.coalesce("chain_id", empty), F.col("residue_id").cast("string"))
 
     def grouped(kind: str, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("frame", key.alias("key")).agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n")).select("frame", F.lit(kind).alias("kind"), "key", "x", "y", "z", "n")
+        return rows.groupBy(*keys, key.alias("key")).agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n")).select(*keys, F.lit(kind).alias("kind"), "key", "x", "y", "z", "n")
 
     name = F.col("resname")
     parts = [
@@ -94,14 +97,15 @@ def pharmacophore_json(features: DataFrame, digits: int = 4) -> DataFrame:
     """frame and one JSON text of its features (as pharmacophore gives them): n_features, and of each its type, centre, key and atoms."""
     number = f"decimal(18,{digits})"
     one = F.struct(F.col("kind").alias("type"), "key", F.array(*(F.round(c, digits).cast(number) for c in "xyz")).alias("center"), F.col("n").cast("bigint").alias("n_atoms"))
-    return features.groupBy("frame").agg(F.to_json(F.struct(F.count("*").alias("n_features"), F.array_sort(F.collect_list(one)).alias("features"))).alias("json"))
+    return features.groupBy(*m.keys(features)).agg(F.to_json(F.struct(F.count("*").alias("n_features"), F.array_sort(F.collect_list(one)).alias("features"))).alias("json"))
 
 
 def hydrophobic_regions(system: DataFrame, cutoff: float = 4.0) -> DataFrame:
     """frame, root, centre, radius and size of the connected regions of carbon and sulphur atoms of each frame."""
-    own = system.where(F.upper("element").isin("C", "S")).select("frame", "idx", "x", "y", "z")
-    node = lambda c: F.struct("frame", F.col(c).alias("idx"))
+    keys = m.keys(system)
+    own = system.where(F.upper("element").isin("C", "S")).select(*keys, "idx", "x", "y", "z")
+    node = lambda c: F.struct(*keys, F.col(c).alias("idx"))
     edges = cell_join(own, own, cutoff, condition=F.col("l_idx") < F.col("r_idx"), strict=True).select(node("l_idx").alias("a"), node("r_idx").alias("b"))
-    roots = components(own.select(node("idx").alias("id")), edges).select("id.frame", "id.idx", F.col("root.idx").alias("root"))
+    roots = components(own.select(node("idx").alias("id")), edges).select(*(f"id.{k}" for k in keys), "id.idx", F.col("root.idx").alias("root"))
     n = F.count("*")
-    return own.join(roots, ["frame", "idx"]).groupBy("frame", "root").agg(*(F.avg(c).alias(c) for c in "xyz"), F.greatest(F.lit(1.5), n * 0.3).alias("radius"), n.alias("n"))
+    return own.join(roots, [*keys, "idx"]).groupBy(*keys, "root").agg(*(F.avg(c).alias(c) for c in "xyz"), F.greatest(F.lit(1.5), n * 0.3).alias("radius"), n.alias("n"))

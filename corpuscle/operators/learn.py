@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle import model as m
 from corpuscle.operators.kernels import SupportVectorRegressor
 from corpuscle.operators.residues import reindex
 from corpuscle.operators.trajectory import pack_frames, superimpose_packed
@@ -31,6 +32,28 @@ def _packed(positions: DataFrame, align_first: bool) -> DataFrame:
     return materialize(superimpose_packed(frames), "superposed") if align_first else frames
 
 
+def by_system(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator for each system apart, with the system's keys in its result: a model a system, so a fit a system.
+
+    The names of the systems pass the driver, which fits one after another; a result has the columns of one system's, and its keys.
+    """
+
+    @wraps(operator)
+    def each(rows: DataFrame, *args: object, **options: object) -> DataFrame:
+        own = m.system_keys(rows)
+        if not own:
+            return operator(rows, *args, **options)
+        parts = []
+        for system in rows.select(*own).distinct().orderBy(*own).collect():
+            alone = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.lit(system[k])), own, F.lit(True))
+            found = operator(rows.where(alone).drop(*own), *args, **options)
+            parts.append(found.select(*(F.lit(system[k]).alias(k) for k in own), *found.columns))
+        return reduce(DataFrame.unionByName, parts) if parts else operator(rows.drop(*own), *args, **options)
+
+    return each
+
+
+@by_system
 def cluster_frames(positions: DataFrame, k: int = 5, seed: int = 42, align_first: bool = True) -> DataFrame:
     """frame, cluster, and whether the frame is its cluster's medoid (the member nearest the centre).
 
@@ -168,6 +191,7 @@ def _joined_clusters(step: DataFrame) -> DataFrame:
     return step.select(F.col("into").alias("id"), F.when(F.size("members") == 1, F.struct(a["n"].alias("n"), a["h"].alias("h"), a["c"].alias("c"))).otherwise(both).alias("s"), (F.size("members") == 2).alias("new"), F.element_at("members", -1)["id"].alias("gone")).select("id", "s.*", "new", "gone")
 
 
+@by_system
 def ward_frames(positions: DataFrame, k: int = 5, group: int = WARD_GROUP, align_first: bool = True) -> DataFrame:
     """frame and cluster by Ward's linkage of all frames, superposed on the first (align_first) before they are clustered.
 
@@ -252,19 +276,22 @@ def predict(model: PipelineModel, rows: DataFrame, features: list[str], name: st
 
 def describe_clusters(positions: DataFrame, labels: DataFrame) -> DataFrame:
     """cluster, size, medoid (the frame nearest the mean of its frames) and inertia (squares to that mean) of labelled frames."""
-    rows = positions.select("frame", "idx", "x", "y", "z").join(labels.select("frame", "cluster"), "frame")
-    centre = rows.groupBy("cluster", "idx").agg(*(F.avg(c).alias(f"c{c}") for c in "xyz"))
+    keys, own = m.keys(positions, labels), m.system_keys(positions, labels)
+    rows = positions.select(*keys, "idx", "x", "y", "z").join(labels.select(*keys, "cluster"), keys)
+    centre = rows.groupBy(*own, "cluster", "idx").agg(*(F.avg(c).alias(f"c{c}") for c in "xyz"))
     d2 = reduce(lambda a, b: a + b, ((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"))
-    each = rows.join(centre, ["cluster", "idx"]).groupBy("cluster", "frame").agg(F.sum(d2).alias("d2"))
-    return each.groupBy("cluster").agg(F.count("*").alias("size"), F.min(F.struct("d2", "frame"))["frame"].alias("medoid"), F.sum("d2").alias("inertia"))
+    each = rows.join(centre, [*own, "cluster", "idx"]).groupBy(*own, "cluster", "frame").agg(F.sum(d2).alias("d2"))
+    return each.groupBy(*own, "cluster").agg(F.count("*").alias("size"), F.min(F.struct("d2", "frame"))["frame"].alias("medoid"), F.sum("d2").alias("inertia"))
 
 
+@by_system
 def cluster_atoms(system: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """frame, idx and cluster: k-means over the positions of all atoms."""
     rows = system.select("frame", "idx", array_to_vector(F.array(*(F.col(c).cast("double") for c in "xyz"))).alias("v"))
     return KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(rows).transform(rows).select("frame", "idx", "cluster")
 
 
+@by_system
 def fit_frames(positions: DataFrame, kind: str = "ridge") -> DataFrame:
     """One row of scores: the distance of the first and the last atom from the coordinates of all atoms."""
     packed = materialize(pack_frames(positions), "packed")
@@ -340,6 +367,8 @@ def align_pairs(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", local: boo
 
 def align_chains(sequences: DataFrame) -> DataFrame:
     """All pairs of a structure's chains."""
-    a = sequences.select(F.col("chain_id").alias("chain_a"), F.col("sequence").alias("seq_a"))
-    b = sequences.select(F.col("chain_id").alias("chain_b"), F.col("sequence").alias("seq_b"))
-    return align_pairs(a.join(b, F.col("chain_a") < F.col("chain_b"))).select("chain_a", "chain_b", "score", "identity", "similarity")
+    keys = m.keys(sequences)
+    a = sequences.select(*keys, F.col("chain_id").alias("chain_a"), F.col("sequence").alias("seq_a"))
+    b = sequences.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("chain_id").alias("chain_b"), F.col("sequence").alias("seq_b"))
+    on = reduce(lambda c, k: c & (F.col(k) == F.col(f"_{k}")), keys, F.col("chain_a") < F.col("chain_b"))
+    return align_pairs(a.join(b, on)).select(*keys, "chain_a", "chain_b", "score", "identity", "similarity")

@@ -1,7 +1,7 @@
 """Distance joins by grid cells.
 
 Points within a cutoff lie in the same or adjacent cells of that size. The right side is copied to its 27 cells and meets the
-left side in an equi-join on (keys, cell), which shuffles or broadcasts like any other; the exact distance is a condition of
+left side in an equi-join on (keys, cell), keys being those of system and frame that both sides have, which shuffles or broadcasts like any other; the exact distance is a condition of
 the join. A pair meets in exactly one cell, so nothing is removed afterwards, and no pair beyond adjacent cells is made.
 """
 
@@ -12,16 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle import model as m
+
 
 def _cell(axis: str, cutoff: float) -> Column:
     return F.floor(F.col(axis) / F.lit(float(cutoff)))
 
 
-def cell_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence[str] = ("frame",), how: str = "inner", condition: Column | None = None, strict: bool = False) -> DataFrame:
+def cell_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence[str] | None = None, how: str = "inner", condition: Column | None = None, strict: bool = False) -> DataFrame:
     """Pairs of left and right within cutoff (inclusive, or strictly).
 
     Columns of left are named l_<name>, of right r_<name>; keys keep theirs, and d2 is the squared distance (inner).
     """
+    keys = m.keys(left, right) if keys is None else list(keys)
     own = [c for c in left.columns if c not in keys]
     other = [c for c in right.columns if c not in keys]
     a = left.select(*keys, *(F.col(c).alias(f"l_{c}") for c in own), *(_cell(c, cutoff).alias(f"_c{c}") for c in "xyz"))
@@ -46,60 +49,67 @@ def cell_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence[s
 
 def bonds_within(system: DataFrame, cutoff: float) -> DataFrame:
     """frame, i, j of atoms within cutoff, i < j."""
-    own = system.select("frame", "idx", "x", "y", "z")
-    return cell_join(own, own, cutoff, condition=F.col("l_idx") < F.col("r_idx")).select("frame", F.col("l_idx").alias("i"), F.col("r_idx").alias("j"))
+    keys = m.keys(system)
+    own = system.select(*keys, "idx", "x", "y", "z")
+    return cell_join(own, own, cutoff, condition=F.col("l_idx") < F.col("r_idx")).select(*keys, F.col("l_idx").alias("i"), F.col("r_idx").alias("j"))
 
 
 def covalent_bonds(system: DataFrame, tolerance: float = 0.45, longest: float = 3.0, shortest: float = 0.4) -> DataFrame:
     """frame, i, j with shortest < d < min(sum of covalent radii + tolerance, longest)."""
-    from corpuscle.model import COVALENT_RADIUS, DEFAULT_COVALENT, lookup
-
-    own = system.select("frame", "idx", "x", "y", "z", lookup(COVALENT_RADIUS, F.col("element"), DEFAULT_COVALENT).alias("r"))
+    keys = m.keys(system)
+    own = system.select(*keys, "idx", "x", "y", "z", m.lookup(m.COVALENT_RADIUS, F.col("element"), m.DEFAULT_COVALENT).alias("r"))
     pairs = cell_join(own, own, longest, condition=F.col("l_idx") < F.col("r_idx"), strict=True)
     most = F.least(F.col("l_r") + F.col("r_r") + F.lit(tolerance), F.lit(longest))
-    return pairs.where((F.sqrt("d2") > shortest) & (F.sqrt("d2") < most)).select("frame", F.col("l_idx").alias("i"), F.col("r_idx").alias("j"))
+    return pairs.where((F.sqrt("d2") > shortest) & (F.sqrt("d2") < most)).select(*keys, F.col("l_idx").alias("i"), F.col("r_idx").alias("j"))
 
 
 def bonds_between(bonds: DataFrame, selected: DataFrame) -> DataFrame:
     """Bonds with both ends in selected (a column idx)."""
-    a, b = selected.select(F.col("idx").alias("i")), selected.select(F.col("idx").alias("j"))
-    return bonds.join(a, "i", "left_semi").join(b, "j", "left_semi").select(*bonds.columns)
+    keys = m.keys(bonds, selected)
+    a, b = selected.select(*keys, F.col("idx").alias("i")), selected.select(*keys, F.col("idx").alias("j"))
+    return bonds.join(a, [*keys, "i"], "left_semi").join(b, [*keys, "j"], "left_semi").select(*bonds.columns)
 
 
 def missing_bonds(pairs: DataFrame, bonds: DataFrame) -> DataFrame:
     """Rows of pairs (i, j) that no bond joins, in either direction."""
-    known = bonds.select(F.least("i", "j").alias("_i"), F.greatest("i", "j").alias("_j"))
-    return pairs.join(known, (F.least("i", "j") == F.col("_i")) & (F.greatest("i", "j") == F.col("_j")), "left_anti")
+    keys = m.keys(pairs, bonds)
+    known = bonds.select(*(F.col(k).alias(f"_{k}") for k in keys), F.least("i", "j").alias("_i"), F.greatest("i", "j").alias("_j"))
+    on = (F.least("i", "j") == F.col("_i")) & (F.greatest("i", "j") == F.col("_j"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return pairs.join(known, on, "left_anti")
 
 
 def nearest_atom(system: DataFrame, x: float, y: float, z: float) -> DataFrame:
     """idx and distance of the atom nearest to a point in each frame, the lowest index of several."""
     d2 = sum((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip("xyz", (x, y, z), strict=True))
-    best = system.select("frame", F.struct(d2.alias("d2"), F.col("idx").alias("idx")).alias("n")).groupBy("frame").agg(F.min("n").alias("n"))
-    return best.select("frame", F.col("n.idx").alias("idx"), F.sqrt("n.d2").alias("d"))
+    keys = m.keys(system)
+    best = system.select(*keys, F.struct(d2.alias("d2"), F.col("idx").alias("idx")).alias("n")).groupBy(*keys).agg(F.min("n").alias("n"))
+    return best.select(*keys, F.col("n.idx").alias("idx"), F.sqrt("n.d2").alias("d"))
 
 
 def picked_atom(system: DataFrame, bonds: DataFrame, x: float, y: float, z: float, most: int = 8) -> DataFrame:
     """The atom nearest to a point in each frame, its distance and the first `most` atoms that bonds (frame, i, j) join it with."""
     near = nearest_atom(system, x, y, z)
-    ends = bonds.select("frame", F.col("i").alias("idx"), F.col("j").alias("other")).unionByName(bonds.select("frame", F.col("j").alias("idx"), F.col("i").alias("other")))
-    held = ends.join(near.select("frame", "idx"), ["frame", "idx"]).groupBy("frame", "idx").agg(F.slice(F.array_sort(F.collect_set("other")), 1, most).alias("bonded"))
-    return near.join(held, ["frame", "idx"], "left").select("frame", "idx", "d", F.coalesce("bonded", F.array().cast("array<bigint>")).alias("bonded"))
+    keys = m.keys(bonds, near)
+    ends = bonds.select(*keys, F.col("i").alias("idx"), F.col("j").alias("other")).unionByName(bonds.select(*keys, F.col("j").alias("idx"), F.col("i").alias("other")))
+    held = ends.join(near.select(*keys, "idx"), [*keys, "idx"]).groupBy(*keys, "idx").agg(F.slice(F.array_sort(F.collect_set("other")), 1, most).alias("bonded"))
+    return near.join(held, [*keys, "idx"], "left").select(*m.keys(near), "idx", "d", F.coalesce("bonded", F.array().cast("array<bigint>")).alias("bonded"))
 
 
 def line_array(bonds: DataFrame) -> DataFrame:
     """Bonds as cells of a line mesh: the number of points, then the two ends."""
-    return bonds.select(F.array(F.lit(2).cast("bigint"), F.col("i").cast("bigint"), F.col("j").cast("bigint")).alias("cell"))
+    return bonds.select(*m.system_keys(bonds), F.array(F.lit(2).cast("bigint"), F.col("i").cast("bigint"), F.col("j").cast("bigint")).alias("cell"))
 
 
 def line_pairs(cells: DataFrame) -> DataFrame:
     """i and j of the cells of a line mesh."""
-    return cells.select(F.col("cell")[1].alias("i"), F.col("cell")[2].alias("j"))
+    return cells.select(*m.system_keys(cells), F.col("cell")[1].alias("i"), F.col("cell")[2].alias("j"))
 
 
 def effective_colors(atoms: DataFrame, base: tuple[Column, Column, Column], selected: Column, highlight: tuple[float, float, float] = (1.0, 0.85, 0.2)) -> DataFrame:
     """idx and colour: selected atoms are highlighted and all others dimmed to a fifth; all keep theirs where none is selected."""
-    own = atoms.select("idx", F.coalesce(selected, F.lit(False)).alias("_s"), *(c.alias(n) for c, n in zip(base, "rgb", strict=True)))
-    some = atoms.agg(F.coalesce(F.max(selected), F.lit(False)).alias("_any"))
-    rows = own.crossJoin(F.broadcast(some))  # one row
-    return rows.select("idx", *(F.when(~F.col("_any"), F.col(n)).when(F.col("_s"), F.lit(h)).otherwise(F.col(n) * 0.2).alias(n) for n, h in zip("rgb", highlight, strict=True)))
+    keys = m.system_keys(atoms)
+    own = atoms.select(*keys, "idx", F.coalesce(selected, F.lit(False)).alias("_s"), *(c.alias(n) for c, n in zip(base, "rgb", strict=True)))
+    rows = m.beside(own, atoms.groupBy(*keys).agg(F.coalesce(F.max(selected), F.lit(False)).alias("_any")))
+    return rows.select(*keys, "idx", *(F.when(~F.col("_any"), F.col(n)).when(F.col("_s"), F.lit(h)).otherwise(F.col(n) * 0.2).alias(n) for n, h in zip("rgb", highlight, strict=True)))

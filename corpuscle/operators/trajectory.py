@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle import model as m
 from corpuscle.functions.geometry import once
 from corpuscle.sources.lines import running
 
@@ -16,26 +17,28 @@ AXES = "xyz"
 
 
 def _to_reference(positions: DataFrame, ref_frame: int) -> DataFrame:
-    """Every position beside that of the same atom in the reference frame; one frame is what is broadcast or shuffled."""
-    ref = positions.where(F.col("frame") == ref_frame).select("idx", *(F.col(c).alias(f"r{c}") for c in AXES))
-    return positions.join(ref, "idx")
+    """Every position beside that of the same atom in its system's reference frame; one frame is what is broadcast or shuffled."""
+    own = m.system_keys(positions)
+    ref = positions.where(F.col("frame") == ref_frame).select(*own, "idx", *(F.col(c).alias(f"r{c}") for c in AXES))
+    return positions.join(ref, [*own, "idx"])
 
 
 def rmsd_to_frame(positions: DataFrame, ref_frame: int = 0) -> DataFrame:
     """frame and RMSD to the reference frame, without superposition."""
     d = sum((F.col(c) - F.col(f"r{c}")) * (F.col(c) - F.col(f"r{c}")) for c in AXES)
-    return _to_reference(positions, ref_frame).groupBy("frame").agg(F.sqrt(F.sum(d) / F.count("*")).alias("rmsd"))
+    return _to_reference(positions, ref_frame).groupBy(*m.keys(positions)).agg(F.sqrt(F.sum(d) / F.count("*")).alias("rmsd"))
 
 
 def rmsf(positions: DataFrame) -> DataFrame:
     """idx and RMSF over all frames: one pass of partial variances."""
-    return positions.groupBy("idx").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
+    return positions.groupBy(*m.system_keys(positions), "idx").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
 
 
 def rmsf_per_residue(system: DataFrame) -> DataFrame:
     """residue_id and the mean RMSF of its atoms; rows without residue don't count."""
-    each = system.where("residue_id is not null").groupBy("residue_id", "idx").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("r"))
-    return each.groupBy("residue_id").agg(F.avg("r").alias("rmsf"))
+    own = m.system_keys(system)
+    each = system.where("residue_id is not null").groupBy(*own, "residue_id", "idx").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("r"))
+    return each.groupBy(*own, "residue_id").agg(F.avg("r").alias("rmsf"))
 
 
 def _sums(p: str, q: str) -> list[Column]:
@@ -79,7 +82,7 @@ def closed_rmsd(p: str, q: str) -> Column:
 
 def kabsch_rmsd_to_frame(positions: DataFrame, ref_frame: int = 0) -> DataFrame:
     """frame and RMSD to the reference frame after superposition, all in built-in aggregates."""
-    return _to_reference(positions, ref_frame).groupBy("frame").agg(*_sums("", "r")).select("frame", closed_rmsd("", "r").alias("rmsd"))
+    return _to_reference(positions, ref_frame).groupBy(*m.keys(positions)).agg(*_sums("", "r")).select(*m.keys(positions), closed_rmsd("", "r").alias("rmsd"))
 
 
 #: Coordinates of a block of frames at most, and frames in it.
@@ -101,34 +104,46 @@ def block_rmsd(a: np.ndarray, b: np.ndarray, align: bool) -> np.ndarray:
     return np.sqrt(np.maximum(squares - 2 * both, 0.0) / a.shape[1])
 
 
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    """The named columns as the start of a schema."""
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
+def one_size(packed: DataFrame) -> tuple[int, int]:
+    """The most frames of a system and the most values of a frame; frames of a system that differ in their number of atoms are an error."""
+    each = packed.groupBy(*m.system_keys(packed)).agg(F.count("*").alias("n"), F.min(F.size("coords")).alias("least"), F.max(F.size("coords")).alias("most"))
+    n, most, mixed = each.agg(F.max("n"), F.max("most"), F.count(F.when(F.col("least") != F.col("most"), 1))).first()
+    if mixed:
+        raise ValueError("frames differ in their number of atoms")
+    return n or 0, most or 0
+
+
 def rmsd_matrix(positions: DataFrame, align: bool = True, block: int | None = None) -> DataFrame:
-    """i, j, rmsd of all frame pairs i < j, which is what the operator asks for.
+    """i, j, rmsd of all frame pairs i < j of a system, which is what the operator asks for.
 
     Frames are dealt to blocks of bounded size, and each pair of blocks is one group, so the pairs spread over as many tasks
     as there are pairs of blocks whatever the number of atoms. Frames of different atom counts are an error.
     """
-    packed = pack_frames(positions)
-    n, least, most = packed.agg(F.count("*"), F.min(F.size("coords")), F.max(F.size("coords"))).first()
-    if n and least != most:
-        raise ValueError("frames differ in their number of atoms")
+    packed, keys = pack_frames(positions), m.system_keys(positions)
+    n, most = one_size(packed)
     block = block or max(1, min(BLOCK_FRAMES, BLOCK_VALUES // max(1, most or 1)))
     blocks = max(1, -(-n // block))
     own = packed.withColumn("own", F.pmod(F.xxhash64("frame"), F.lit(blocks)).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "frame", "coords")
+    dealt = dealt.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "frame", "coords")
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
         a, b = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
         if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "rmsd": []})
+            return pd.DataFrame({c: [] for c in (*keys, "i", "j", "rmsd")})
         xyz = [np.stack(t["coords"].to_numpy()).reshape(len(t), -1, 3) for t in (a, b)]
         i, j = (x.ravel() for x in np.meshgrid(a["frame"].to_numpy(), b["frame"].to_numpy(), indexing="ij"))
         keep = i < j if low == high else i != j
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "rmsd": block_rmsd(*xyz, align).ravel()[keep]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * int(keep.sum()) for k in keys}, "i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "rmsd": block_rmsd(*xyz, align).ravel()[keep]})
 
     kind = packed.schema["frame"].dataType.simpleString()
-    return dealt.groupBy("low", "high").applyInPandas(pair, f"i {kind}, j {kind}, rmsd double")
+    return dealt.groupBy(*keys, "low", "high").applyInPandas(pair, f"{_kinds(packed, keys)}i {kind}, j {kind}, rmsd double")
 
 
 def rotation(mobile: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,63 +157,77 @@ def rotation(mobile: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.
 def superimpose_trajectory(positions: DataFrame, ref_frame: int = 0, fit_on: DataFrame | None = None) -> DataFrame:
     """positions with every frame rotated and moved onto the reference frame; fit_on: the atoms (idx) that are fitted."""
     paired = _to_reference(positions, ref_frame)
-    paired = paired.join(fit_on.select("idx").withColumn("fit", F.lit(True)), "idx", "left") if fit_on is not None else paired.withColumn("fit", F.lit(True))
+    keys, own = m.keys(positions), [*m.system_keys(positions, *([fit_on] if fit_on is not None else [])), "idx"]
+    paired = paired.join(fit_on.select(*own).withColumn("fit", F.lit(True)), own, "left") if fit_on is not None else paired.withColumn("fit", F.lit(True))
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         xyz, fit = pdf[["x", "y", "z"]].to_numpy(float), pdf["fit"].notna().to_numpy()
         r, t = rotation(xyz[fit], pdf[["rx", "ry", "rz"]].to_numpy(float)[fit])
-        return pdf[["frame", "idx"]].join(pd.DataFrame(xyz @ r.T + t, columns=list(AXES), index=pdf.index))
+        return pdf[[*keys, "idx"]].join(pd.DataFrame(xyz @ r.T + t, columns=list(AXES), index=pdf.index))
 
-    kinds = {f.name: f.dataType.simpleString() for f in positions.schema.fields}
-    return paired.groupBy("frame").applyInPandas(move, f"frame {kinds['frame']}, idx {kinds['idx']}, x double, y double, z double")
+    return paired.groupBy(*keys).applyInPandas(move, f"{_kinds(positions, [*keys, 'idx'])}x double, y double, z double")
 
 
 def divergent_pairs(matrix: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The `top` most different pairs of frames of a matrix, and the mean over all pairs that differ."""
-    return matrix.orderBy(F.desc("rmsd"), "i", "j").limit(top), matrix.where("rmsd > 0").agg(F.avg("rmsd").alias("mean"))
+    """The `top` most different pairs of frames of a matrix, and the mean over all pairs that differ, of each system."""
+    own, mean = m.system_keys(matrix), F.avg("rmsd").alias("mean")
+    if not own:
+        return matrix.orderBy(F.desc("rmsd"), "i", "j").limit(top), matrix.where("rmsd > 0").agg(mean)
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("rmsd"), "i", "j"))  # Spark keeps `top` rows a task before it shuffles
+    return matrix.withColumn("_place", place).where(F.col("_place") <= top).drop("_place"), matrix.where("rmsd > 0").groupBy(*own).agg(mean)
 
 
 def subsample(positions: DataFrame, most: int) -> DataFrame:
-    """Every (n div most)-th of the n frames by their places, the first `most` of those."""
-    frames = running(positions.select("frame").distinct().withColumn("_bucket", F.floor(F.col("frame") / 65536)).withColumn("_all", F.lit(0)), ["_all"], "_bucket", "frame", F.lit(1), "_place")
-    n = frames.agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.lit(most))).alias("_step"))
-    kept = frames.crossJoin(F.broadcast(n)).where((F.col("_place") - 1) % F.col("_step") == 0).where((F.col("_place") - 1) / F.col("_step") < most)
-    return positions.join(kept.select("frame"), "frame", "left_semi")
+    """Every (n div most)-th of a system's n frames by their places, the first `most` of those."""
+    own, keys = m.system_keys(positions), m.keys(positions)
+    frames = running(positions.select(*keys).distinct().withColumn("_bucket", F.floor(F.col("frame") / 65536)).withColumn("_all", F.lit(0)), [*own, "_all"], "_bucket", "frame", F.lit(1), "_place")
+    n = frames.groupBy(*own).agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.lit(most))).alias("_step"))
+    kept = m.beside(frames, n).where((F.col("_place") - 1) % F.col("_step") == 0).where((F.col("_place") - 1) / F.col("_step") < most)
+    return positions.join(kept.select(*keys), keys, "left_semi")
 
 
 def pack_frames(positions: DataFrame) -> DataFrame:
     """frame and the coordinates of all its atoms in order of idx, for frame-wise linear algebra."""
-    rows = positions.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "z"))).alias("p"))
-    return rows.select("frame", F.flatten(F.transform("p", lambda q: F.array(q["x"], q["y"], q["z"]))).alias("coords"))
+    keys = m.keys(positions)
+    rows = positions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "z"))).alias("p"))
+    return rows.select(*keys, F.flatten(F.transform("p", lambda q: F.array(q["x"], q["y"], q["z"]))).alias("coords"))
 
 
 def superimpose_packed(frames: DataFrame) -> DataFrame:
-    """frames, as pack_frames gives them, each superposed on the frame of least number; atoms are paired in order of idx."""
-    n, least, most, ref = frames.agg(F.count("*"), F.min(F.size("coords")), F.max(F.size("coords")), F.min_by("coords", "frame")).first()
-    if n and least != most:
-        raise ValueError("frames differ in their number of atoms")
-    shared = frames.sparkSession.sparkContext.broadcast(np.reshape(ref or [], (-1, 3)))
+    """frames, as pack_frames gives them, each superposed on its system's frame of least number; atoms are paired in order of idx.
+
+    One system's reference is broadcast; with several, each frame is joined with its own.
+    """
+    one_size(frames)
+    keys, own, shared = m.keys(frames), m.system_keys(frames), None
+    if own:
+        frames = frames.join(frames.groupBy(*own).agg(F.min_by("coords", "frame").alias("ref")), own)
+    else:
+        ref = frames.agg(F.min_by("coords", "frame")).first()[0]
+        shared = frames.sparkSession.sparkContext.broadcast(np.reshape(ref or [], (-1, 3)))
 
     def move(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to = shared.value - shared.value.mean(0)
         for pdf in parts:
-            for k in range(0, len(pdf), step := max(1, BLOCK_VALUES // max(1, to.size))):
-                part = pdf.iloc[k : k + step]
-                xyz = np.stack(part["coords"].to_numpy()).reshape(len(part), -1, 3)
-                xyz = xyz - xyz.mean(1, keepdims=True)
-                u, _, vt = np.linalg.svd(np.einsum("ika,kb->iab", xyz, to))
-                u[..., 2] *= np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)[:, None]
-                yield pd.DataFrame({"frame": part["frame"].to_numpy(), "coords": list((xyz @ (u @ vt) + shared.value.mean(0)).reshape(len(part), -1))})
+            for _, same in pdf.groupby(own, sort=False, dropna=False) if own else [(None, pdf)]:
+                to = shared.value if shared else np.reshape(same["ref"].iloc[0], (-1, 3))
+                mean = to.mean(0) if len(to) else np.zeros(3)
+                for k in range(0, len(same), step := max(1, BLOCK_VALUES // max(1, to.size))):
+                    part = same.iloc[k : k + step]
+                    xyz = np.stack(part["coords"].to_numpy()).reshape(len(part), -1, 3)
+                    xyz = xyz - xyz.mean(1, keepdims=True)
+                    u, _, vt = np.linalg.svd(np.einsum("ika,kb->iab", xyz, to - mean))
+                    u[..., 2] *= np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)[:, None]
+                    yield part[keys].assign(coords=list((xyz @ (u @ vt) + mean).reshape(len(part), -1)))
 
-    return frames.mapInPandas(move, f"frame {frames.schema['frame'].dataType.simpleString()}, coords array<double>")
+    return frames.mapInPandas(move, f"{_kinds(frames, keys)}coords array<double>")
 
 
 def unpack_frames(frames: DataFrame) -> DataFrame:
     third = F.transform(F.sequence(F.lit(0), F.expr("size(coords) div 3 - 1")), lambda k: F.struct(k.cast("long").alias("idx"), *(F.element_at("coords", (k * 3 + n + 1).cast("int")).alias(c) for n, c in enumerate(AXES))))
-    return frames.select("frame", F.inline(third))
+    return frames.select(*m.keys(frames), F.inline(third))
 
 
 def iter_frames(positions: DataFrame) -> Iterator[pd.DataFrame]:
-    """Frames in order, one at a time on the driver (playback)."""
-    for row in pack_frames(positions).orderBy("frame").toLocalIterator():
+    """Frames in order of system and number, one at a time on the driver (playback)."""
+    for row in pack_frames(positions).orderBy(*m.keys(positions)).toLocalIterator():
         yield pd.DataFrame(np.reshape(row["coords"], (-1, 3)), columns=list(AXES))

@@ -77,11 +77,12 @@ def _topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["topology_trajectory"] = _topology
 ORACLE_SQL["topology_trajectory"] = f"WITH {EMB_SQL} SELECT frame, idx, name, resname, " + ", ".join(f"printf('%.6f', {c})::DOUBLE + 0e0 AS {c}" for c in "xyz") + " FROM s"
 
-_CHANGED = "CASE WHEN lag(chain_id) OVER (PARTITION BY frame ORDER BY idx) <> chain_id THEN 'TER' || chr(10) ELSE '' END"
-_RECORD = "printf('ATOM  %5d %-4s %3s %s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s', idx + 1, CASE WHEN length(name) < 4 THEN ' ' || name ELSE name END, resname, chain_id, residue_id, x, y, z, element)"
+_LAST = "lag({}) OVER (PARTITION BY frame ORDER BY idx)"
+_CHANGED = f"CASE WHEN {_LAST.format('chain_id')} <> chain_id THEN printf('TER   %5d      %-4s%s%4d', idx % 100000, {_LAST.format('resname')}, {_LAST.format('chain_id')}, {_LAST.format('residue_id')} % 10000) || chr(10) ELSE '' END"
+_RECORD = "printf('ATOM  %5d %-4s %-4s%s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s', (idx + 1) % 100000, CASE WHEN length(name) < 4 AND length(element) = 1 THEN ' ' || name ELSE name END, resname, chain_id, residue_id % 10000, x, y, z, element)"
 QUERIES["pdb_lines"] = lambda spark, d: sinks.pdb_lines(part_system(spark, d)).select("idx", "line")
 ORACLE_SQL["pdb_lines"] = f"WITH {PART_SQL} SELECT idx, {_CHANGED} || {_RECORD} AS line FROM s"
-QUERIES["pdbqt_lines"] = lambda spark, d: sinks.pdbqt_lines(sinks.pdb_lines(part_system(spark, d)).select(F.regexp_replace("line", "^TER\n", "").alias("value")))
+QUERIES["pdbqt_lines"] = lambda spark, d: sinks.pdbqt_lines(sinks.pdb_lines(part_system(spark, d)).select(F.regexp_replace("line", "^TER.*\n", "").alias("value")))
 _AD = "CASE element " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sinks.AUTODOCK.items()) + " ELSE 'C' END"
 ORACLE_SQL["pdbqt_lines"] = f"WITH {PART_SQL} SELECT substr({_RECORD}, 1, 66) || '    +0.000 ' || printf('%-2s', {_AD}) AS line FROM s WHERE resname NOT IN ({', '.join(repr(w) for w in m.WATERS)})"
 QUERIES["csv_rows"] = lambda spark, d: sinks.csv_rows(part_system(spark, d))

@@ -182,10 +182,10 @@ _emb("hydration_sites", lambda s: surface.hydration_sites(surface.water_density(
 
 # residues
 _FIRST = "SELECT chain_id, residue_id, arg_min(resname, idx) AS resname, count(*) AS n_atoms FROM s GROUP BY 1, 2"
-_part("residues", residues.list_residues, _FIRST)
-_part("sequence", residues.extract_sequence, "SELECT chain_id, string_agg(CASE substr(resname, 1, 3) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.SEQUENCE_LETTER.items()) + " ELSE 'X' END, '' ORDER BY residue_id) AS sequence FROM (SELECT chain_id, residue_id, arg_min(resname, idx) AS resname FROM s WHERE name IN ('CA') GROUP BY 1, 2) GROUP BY 1")
-_part("renumber", lambda s: residues.renumber(s, 5).select("idx", F.col("new_id").cast("long").alias("new_id")), ", f AS (SELECT chain_id, residue_id, row_number() OVER (ORDER BY min(idx)) + 4 AS new_id FROM s GROUP BY 1, 2) SELECT idx, new_id FROM s JOIN f USING (chain_id, residue_id)")
-_part("residue_gaps", residues.residue_gaps, "SELECT chain_id, prev_id, residue_id FROM (SELECT chain_id, residue_id, lag(residue_id) OVER (PARTITION BY chain_id ORDER BY residue_id) AS prev_id FROM (SELECT DISTINCT chain_id, residue_id FROM s)) WHERE residue_id - prev_id > 1")
+_part("residues", lambda s: residues.list_residues(s.drop("frame")), _FIRST)
+_part("sequence", lambda s: residues.extract_sequence(s.drop("frame")), "SELECT chain_id, string_agg(CASE substr(resname, 1, 3) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.SEQUENCE_LETTER.items()) + " ELSE 'X' END, '' ORDER BY residue_id) AS sequence FROM (SELECT chain_id, residue_id, arg_min(resname, idx) AS resname FROM s WHERE name IN ('CA') GROUP BY 1, 2) GROUP BY 1")
+_part("renumber", lambda s: residues.renumber(s.drop("frame"), 5).select("idx", F.col("new_id").cast("long").alias("new_id")), ", f AS (SELECT chain_id, residue_id, row_number() OVER (ORDER BY min(idx)) + 4 AS new_id FROM s GROUP BY 1, 2) SELECT idx, new_id FROM s JOIN f USING (chain_id, residue_id)")
+_part("residue_gaps", lambda s: residues.residue_gaps(s.drop("frame")), "SELECT chain_id, prev_id, residue_id FROM (SELECT chain_id, residue_id, lag(residue_id) OVER (PARTITION BY chain_id ORDER BY residue_id) AS prev_id FROM (SELECT DISTINCT chain_id, residue_id FROM s)) WHERE residue_id - prev_id > 1")
 _RA = f"o AS (SELECT frame, residue_id, {', '.join(f'arg_max(CASE WHEN name = {n!r} THEN row(x, y, z) END, CASE WHEN name = {n!r} THEN idx END) AS {a}' for n, a in (('N', 'n'), ('CA', 'ca'), ('C', 'c')))} FROM s WHERE name IN ('N', 'CA', 'C') GROUP BY 1, 2)"
 _XYZ = lambda n: f"(SELECT frame, residue_id, max(CASE WHEN name = '{n}' THEN x END) AS x, max(CASE WHEN name = '{n}' THEN y END) AS y, max(CASE WHEN name = '{n}' THEN z END) AS z FROM s GROUP BY 1, 2 HAVING count(CASE WHEN name = '{n}' THEN 1 END) > 0)"
 _on = lambda t, d: f"{t}.frame = o.frame AND {t}.residue_id = o.residue_id{d}"
@@ -194,10 +194,10 @@ _emb("phi_psi", lambda s: residues.ramachandran(s).select("frame", "residue_id",
 _AA = m.AMINO_ACIDS + m.AMINO_VARIANTS
 _RES = f"r AS (SELECT chain_id, residue_id, arg_min(resname, idx) AS resname, list(DISTINCT name) AS names, count(*) AS n FROM s GROUP BY 1, 2), gaps AS (SELECT chain_id, prev_id, residue_id FROM (SELECT chain_id, residue_id, lag(residue_id) OVER (PARTITION BY chain_id ORDER BY residue_id) AS prev_id FROM r) WHERE residue_id - prev_id > 1)"
 _LACK = "list_filter(['C', 'CA', 'N', 'O'], lambda q: NOT list_contains(names, q))"
-_part("structure_counts", lambda s: residues.structure_counts(s), f", {_RES} SELECT sum(n)::BIGINT AS n_atoms, count(*) AS n_residues, count(DISTINCT chain_id) AS n_chains, count(CASE WHEN resname IN {_in(m.WATERS)} THEN 1 END) AS n_waters, count(CASE WHEN resname IN {_in(_AA)} AND len({_LACK}) > 0 THEN 1 END) AS missing_backbone, (SELECT count(*) FROM gaps) AS missing_loops FROM r")
-_part("structure_issues", residues.structure_issues, f", {_RES} SELECT 'NON_STANDARD_RESIDUE' AS issue, chain_id, residue_id, resname AS detail FROM r WHERE resname NOT IN {_in(_AA + m.NUCLEOTIDES + m.WATERS)} UNION ALL SELECT 'MISSING_BACKBONE', chain_id, residue_id, array_to_string({_LACK}, ',') FROM r WHERE resname IN {_in(_AA)} AND len({_LACK}) > 0 UNION ALL SELECT 'MISSING_LOOP', chain_id, prev_id, residue_id::VARCHAR FROM gaps UNION ALL SELECT 'BAD_COORDINATES', a.chain_id, a.residue_id, a.idx || '-' || b.idx FROM s a JOIN s b ON b.idx BETWEEN a.idx + 1 AND a.idx + 19 WHERE {D} < 0.5e0 UNION ALL SELECT 'NO_HYDROGENS', '', NULL, '' FROM s HAVING count(CASE WHEN element = 'H' THEN 1 END) = 0")
+_part("structure_counts", lambda s: residues.structure_counts(s.drop("frame")), f", {_RES} SELECT sum(n)::BIGINT AS n_atoms, count(*) AS n_residues, count(DISTINCT chain_id) AS n_chains, count(CASE WHEN resname IN {_in(m.WATERS)} THEN 1 END) AS n_waters, count(CASE WHEN resname IN {_in(_AA)} AND len({_LACK}) > 0 THEN 1 END) AS missing_backbone, (SELECT count(*) FROM gaps) AS missing_loops FROM r")
+_part("structure_issues", lambda s: residues.structure_issues(s.drop("frame")), f", {_RES} SELECT 'NON_STANDARD_RESIDUE' AS issue, chain_id, residue_id, resname AS detail FROM r WHERE resname NOT IN {_in(_AA + m.NUCLEOTIDES + m.WATERS)} UNION ALL SELECT 'MISSING_BACKBONE', chain_id, residue_id, array_to_string({_LACK}, ',') FROM r WHERE resname IN {_in(_AA)} AND len({_LACK}) > 0 UNION ALL SELECT 'MISSING_LOOP', chain_id, prev_id, residue_id::VARCHAR FROM gaps UNION ALL SELECT 'BAD_COORDINATES', a.chain_id, a.residue_id, a.idx || '-' || b.idx FROM s a JOIN s b ON b.idx BETWEEN a.idx + 1 AND a.idx + 19 WHERE {D} < 0.5e0 UNION ALL SELECT 'NO_HYDROGENS', '', NULL, '' FROM s HAVING count(CASE WHEN element = 'H' THEN 1 END) = 0")
 _NET = f"net AS (SELECT sum(CASE WHEN resname IN ('ARG', 'LYS', 'HIS', 'HSD', 'HSE') THEN 1 WHEN resname IN ('ASP', 'GLU') THEN -1 ELSE 0 END)::BIGINT AS q FROM ({_FIRST}))"
-_part("ion_estimate", lambda s: residues.ion_estimate(s, 1000), f", {_NET} SELECT q AS net_charge, greatest(-q, 0) + 2 AS n_na, greatest(q, 0) + 2 AS n_cl FROM net")
+_part("ion_estimate", lambda s: residues.ion_estimate(s.drop("frame"), 1000), f", {_NET} SELECT q AS net_charge, greatest(-q, 0) + 2 AS n_na, greatest(q, 0) + 2 AS n_cl FROM net")
 _BEADS = "beads(res, o, bead, kind, names) AS (VALUES " + ", ".join(f"('{r}', {o}, '{b}', '{t}', [{', '.join(repr(x) for x in n)}])" for r, o, b, t, n in residues.bead_table()) + ")"
 _CG = f"{_BEADS}, j AS (SELECT s.*, coalesce(b.o, 0) AS bead_order, coalesce(b.bead, 'BB') AS bead, coalesce(b.kind, 'P2') AS bead_type, coalesce(list_contains(b.names, s.name), false) AS inside FROM s LEFT JOIN beads b ON b.res = s.resname), c AS (SELECT frame, chain_id, residue_id, bead_order, bead, bead_type, " + ", ".join(f"coalesce(avg(CASE WHEN inside THEN {c} END), arg_min({c}, CASE WHEN name = 'CA' THEN -1 ELSE idx END)) AS {c}" for c in "xyz") + " FROM j GROUP BY ALL)"
 _emb("cg_beads", lambda s: residues.cg_beads(s).select("frame", "chain_id", "residue_id", "bead_order", "bead", "bead_type", *(_r(c, c) for c in "xyz")), f", {_CG} SELECT frame, chain_id, residue_id, bead_order, bead, bead_type, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM c")
@@ -263,7 +263,7 @@ _emb("ward_frames", lambda s: learn.ward_frames(s, 3))
 _emb("qsar_ridge", lambda s: learn.fit_frames(s))
 _emb("qsar_forest", lambda s: learn.fit_frames(s, "forest"))
 _emb("qsar_svr", lambda s: learn.fit_frames(s, "svr"))
-_add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d))))
+_add("seq_align", lambda spark, d: learn.align_chains(residues.extract_sequence(part_system(spark, d).drop("frame"))))
 
 # selections of residues, frames and plugins
 _part("residue_range", lambda s: s.where(index_range("2-9, 14", "residue_id")).select("idx", "residue_id"), "SELECT idx, residue_id FROM s WHERE residue_id BETWEEN 2 AND 9 OR residue_id = 14")

@@ -15,7 +15,7 @@ def csv_rows(system: DataFrame) -> DataFrame:
     """The columns of the CSV export as text; a missing value, and residue 0, is empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     number = F.when(F.coalesce("residue_id", F.lit(0)) == 0, "").otherwise(F.col("residue_id").cast("string"))
-    return system.select(F.col("idx").alias("id"), text("element").alias("element"), text("resname").alias("resname"), number.alias("residue_id"), text("chain_id").alias("chain_id"), text("name").alias("name"), *(F.format_string("%.4f", F.col(c)).alias(c) for c in "xyz"))
+    return system.select(*m.system_keys(system), F.col("idx").alias("id"), text("element").alias("element"), text("resname").alias("resname"), number.alias("residue_id"), text("chain_id").alias("chain_id"), text("name").alias("name"), *(F.format_string("%.4f", F.col(c)).alias(c) for c in "xyz"))
 
 
 def write_csv(system: DataFrame, path: str) -> None:
@@ -23,29 +23,44 @@ def write_csv(system: DataFrame, path: str) -> None:
 
 
 def pdb_lines(system: DataFrame) -> DataFrame:
-    """idx and the record of each atom, with a TER line before it where the chain changes."""
-    name = F.coalesce("name", F.lit("CA"))
-    name = F.when(F.length(name) < 4, F.concat(F.lit(" "), name)).otherwise(name)
+    """idx and the record of each atom, after a TER record of the atom before it where the chain changes.
+
+    Columns are fixed: serial numbers start again after 99999 and residue numbers after 9999, as is usual in longer files; a residue name of four
+    letters takes the blank column before the chain, longer names, atom names and chains are cut. The atom before is found by
+    ranges of idx, so no task orders all atoms of a frame.
+    """
+    keys = m.keys(system)
+    name = F.trim(F.coalesce("name", F.lit("CA")))
+    element = F.upper(F.trim(F.coalesce("element", F.lit("C"))))
+    name = F.rpad(F.when((F.length(name) < 4) & (F.length(element) == 1), F.concat(F.lit(" "), name)).otherwise(name), 4, " ")
     chain = F.substring(F.coalesce("chain_id", F.lit("A")), 1, 1)
-    part = lambda c, n: F.rpad(c, n, " ")
+    residue = F.rpad(F.upper(F.trim(F.coalesce("resname", F.lit("UNK")))), 4, " ")
+    number = F.format_string("%4d", F.coalesce("residue_id", F.lit(1)).cast("int") % 10000)
+    rows = system.withColumn("_of", F.struct(chain.alias("chain"), F.concat(residue, F.rpad(chain, 1, " "), number).alias("text"))).withColumn("_bucket", F.floor(F.col("idx") / 65536))
+    last = rows.groupBy(*keys, "_bucket").agg(F.max_by("_of", "idx").alias("_last"))
+    last = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_last"))
+    own = F.lag("_of").over(Window.partitionBy(*keys, "_bucket").orderBy("idx"))
+    rows = rows.withColumn("_own", own).join(last, [*keys, "_bucket"]).withColumn("_before", F.coalesce("_own", "_last"))
     record = F.concat(
-        F.lit("ATOM  "), F.lpad((F.col("idx") + 1).cast("string"), 5, " "), F.lit(" "), part(name, 4), F.lit(" "), F.lpad(F.coalesce("resname", F.lit("UNK")), 3, " "), F.lit(" "), chain,
-        F.lpad(F.coalesce("residue_id", F.lit(1)).cast("string"), 4, " "), F.lit("    "), *(F.format_string("%8.3f", F.col(c)) for c in "xyz"), F.lit("  1.00  0.00          "), F.lpad(F.coalesce("element", F.lit("C")), 2, " "),
+        F.format_string("ATOM  %5d ", (F.col("idx") + 1) % 100000), name, F.lit(" "), F.col("_of.text"), F.lit("    "), *(F.format_string("%8.3f", F.col(c)) for c in "xyz"),
+        F.lit("  1.00  0.00          "), F.lpad(element, 2, " "),
     )
-    before = F.lag(chain).over(Window.partitionBy("frame").orderBy("idx"))
-    return system.select("frame", "idx", F.when(before != chain, F.concat(F.lit("TER\n"), record)).otherwise(record).alias("line"))
+    ended = F.concat(F.format_string("TER   %5d      ", F.col("idx") % 100000), F.col("_before.text"), F.lit("\n"))
+    return rows.select(*keys, "idx", F.when(F.col("_before.chain") != chain, F.concat(ended, record)).otherwise(record).alias("line"))
 
 
 def write_pdb(system: DataFrame, path: str) -> None:
-    """One frame as text; the lines are range-partitioned by atom, so part files follow one another."""
-    pdb_lines(system).repartitionByRange("idx").sortWithinPartitions("idx").select("line").write.text(path)
+    """One frame as text, with END; the lines are range-partitioned by atom, so part files follow one another."""
+    end = system.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("idx"), F.lit("END").alias("line"))
+    pdb_lines(system).select("idx", "line").unionByName(end).repartitionByRange("idx").sortWithinPartitions("idx").select("line").write.text(path)
 
 
 def frame_texts(system: DataFrame, line: Column, head: Column, tail: Column | None = None) -> DataFrame:
     """frame and the text of each: head, a line for each atom in order of idx, tail. head and tail may use n, the number of atoms."""
-    each = system.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("rows"), F.count("*").alias("n"))
+    keys = m.keys(system)
+    each = system.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("rows"), F.count("*").alias("n"))
     parts = [F.array(head), F.transform("rows", lambda r: r["line"]), *([F.array(tail)] if tail is not None else [])]
-    return each.select("frame", F.array_join(F.concat(*parts), "\n").alias("value"))
+    return each.select(*keys, F.array_join(F.concat(*parts), "\n").alias("value"))
 
 
 def _number(c: Column | str, digits: int = 6, width: int = 0) -> Column:
@@ -100,8 +115,9 @@ def mol2_files(system: DataFrame) -> DataFrame:
 
 def write_frames(texts: DataFrame, path: str, frames: int) -> None:
     """Texts of frames as files of that many frames each, in folders part=0, part=1 ... of path."""
-    dealt = texts.withColumn("part", F.floor(F.col("frame") / frames)).repartition("part").sortWithinPartitions("part", "frame")
-    dealt.select("part", "value").write.partitionBy("part").text(path)
+    own = [*m.system_keys(texts), "part"]
+    dealt = texts.withColumn("part", F.floor(F.col("frame") / frames)).repartition(*own).sortWithinPartitions(*own, "frame")
+    dealt.select(*own, "value").write.partitionBy(*own).text(path)
 
 
 def generic_csv(rows: DataFrame) -> DataFrame:
