@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle import model as m
+from corpuscle.operators import interactions, residues, spatial, trajectory
+from corpuscle.operators.trajectory import pack_frames
 from corpuscle.plans.adapters import EMB_SQL, PART_SQL, embeddings_system, part_system
-from corpuscle.sources import formats, sinks
+from corpuscle.sources import binary, binary_sinks, formats, sinks
 from corpuscle.sources.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +56,39 @@ _add("read_data", part_system, PART_SQL, sinks.data_files, ".data", {"id": "idx"
 _add("read_mol2", part_system, PART_SQL, sinks.mol2_files, ".mol2", _some("element", "type_id", "name", "resname", "residue_id"), 6)
 
 
+def _binary(suffix: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_path(spark, f"files{suffix}")
+        binary_sinks.write_binary(embeddings_system(spark, sf_dir), path, suffix, FRAMES)
+        rows = formats.load(spark, f"{path}/part=*", suffix=suffix, split=64 << 10).positions
+        part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")
+        return rows.select((part * FRAMES + F.col("frame")).alias("frame"), "idx", *((F.round(c, 4) + 0.0).alias(c) for c in "xyz"))
+
+    return query
+
+
+for _suffix, _sql in ((".dcd", "{c}::FLOAT::DOUBLE"), (".nc", "{c}::FLOAT::DOUBLE"), (".trr", "({c} / 10e0)::FLOAT::DOUBLE * 10e0"), (".xtc", "trunc({c} * 100e0 + CASE WHEN {c} < 0 THEN -0.5e0 ELSE 0.5e0 END) / 1000e0 * 10e0")):
+    QUERIES[f"read_{_suffix[1:]}"] = _binary(_suffix)
+    ORACLE_SQL[f"read_{_suffix[1:]}"] = f"WITH {EMB_SQL} SELECT frame, idx, " + ", ".join(f"round({_sql.format(c=c)}, 4) + 0e0 AS {c}" for c in "xyz") + " FROM s"
+
+
+def _mdcrd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text trajectories of AMBER, whose lines are made here: ten columns of eight characters."""
+    packed, path = pack_frames(embeddings_system(spark, sf_dir)), new_path(spark, "files.mdcrd")
+    cells = F.transform("coords", lambda x: F.format_string("%8.3f", x))
+    rows = F.transform(F.sequence(F.lit(0), F.expr("(size(coords) - 1) div 10")), lambda k: F.array_join(F.slice(cells, k * 10 + 1, 10), ""))
+    files = packed.groupBy(F.floor(F.col("frame") / FRAMES).alias("part")).agg(F.array_sort(F.collect_list(F.struct("frame", F.array_join(rows, "\n").alias("text")))).alias("f"))
+    text = F.concat(F.lit("title\n"), F.array_join(F.transform("f", lambda f: f["text"]), "\n"))
+    files.select("part", text.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    rows = formats.load(spark, f"{path}/part=*", parser=partial(binary.parse_mdcrd, n_atoms=21, has_box=False)).positions
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")
+    return rows.select((part * FRAMES + F.col("frame")).alias("frame"), "idx", "x", "y", "z")
+
+
+QUERIES["read_mdcrd"] = _mdcrd
+ORACLE_SQL["read_mdcrd"] = f"WITH {EMB_SQL} SELECT frame, idx, " + ", ".join(f"printf('%.3f', {c})::DOUBLE + 0e0 AS {c}" for c in "xyz") + " FROM s"
+
+
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "files.lammpstrj")
     sinks.write_frames(sinks.dump_frames(embeddings_system(spark, sf_dir), 25.0), path, FRAMES)
@@ -77,6 +113,31 @@ def _topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["topology_trajectory"] = _topology
 ORACLE_SQL["topology_trajectory"] = f"WITH {EMB_SQL} SELECT frame, idx, name, resname, " + ", ".join(f"printf('%.6f', {c})::DOUBLE + 0e0 AS {c}" for c in "xyz") + " FROM s"
 
+def _several(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The operator over many files that are loaded together: an XYZ file of FRAMES frames is a system, whose names come from one PDB file."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        system, top, path = embeddings_system(spark, sf_dir), new_path(spark, "top.pdb"), new_path(spark, "several.xyz")
+        sinks.write_frames(sinks.pdb_models(system.where("frame = 0")), top, 1)
+        sinks.write_frames(sinks.xyz_frames(system), path, FRAMES)
+        files = formats.load(spark, f"{top}/part=*", suffix=".pdb").with_trajectory(formats.load(spark, f"{path}/part=*", suffix=".xyz"))
+        found = operator(files.system().withColumn("sys", F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")).drop("path"))
+        return found.select(*(F.round(c, 4).alias(c) if k == "double" else c for c, k in found.dtypes))
+
+    return query
+
+
+_FILES = f"WITH {EMB_SQL}, f AS (SELECT frame // {FRAMES} AS sys, (frame % {FRAMES})::INT AS frame, idx, element, resname, residue_id, " + ", ".join(f"printf('%.6f', {c})::DOUBLE AS {c}" for c in "xyz") + " FROM s)"
+_GAP = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+for _name, _operator, _sql in (
+    ("files_rmsd", trajectory.rmsd_to_frame, f"SELECT a.sys, a.frame, round(sqrt(sum({_GAP}) / count(*)), 4) AS rmsd FROM f a JOIN f b ON a.sys = b.sys AND a.idx = b.idx AND b.frame = 0 GROUP BY a.sys, a.frame"),
+    ("files_rmsf", trajectory.rmsf, "SELECT sys, idx, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 4) AS rmsf FROM f GROUP BY sys, idx"),
+    ("files_bonds", lambda s: spatial.bonds_within(s, 2.5), f"SELECT a.sys, a.frame, a.idx AS i, b.idx AS j FROM f a JOIN f b ON a.sys = b.sys AND a.frame = b.frame AND a.idx < b.idx WHERE {_GAP} <= 6.25e0"),
+    ("files_residues", residues.list_residues, "SELECT sys, frame, chain_id, residue_id, resname, n_atoms FROM (SELECT frame // {n} AS sys, (frame % {n})::INT AS frame, chain_id, residue_id::INT AS residue_id, arg_min(resname, idx) AS resname, count(*) AS n_atoms FROM s GROUP BY 1, 2, 3, 4)".format(n=FRAMES)),
+    ("files_salt_bridges", lambda s: interactions.salt_bridges(s.withColumn("in_a", F.col("residue_id") <= 2).withColumn("in_b", F.lit(True))).select("sys", "frame", "i", "j", "distance"), f"SELECT a.sys, a.frame, a.idx AS i, b.idx AS j, round(sqrt({_GAP}), 4) AS distance FROM f a JOIN f b ON a.sys = b.sys AND a.frame = b.frame WHERE a.resname IN {m.POSITIVE} AND b.resname IN {m.NEGATIVE} AND (a.residue_id <= 2 OR b.residue_id <= 2) AND {_GAP} <= 16e0"),
+):
+    QUERIES[_name], ORACLE_SQL[_name] = _several(_operator), f"{_FILES} {_sql}"
+
 _LAST = "lag({}) OVER (PARTITION BY frame ORDER BY idx)"
 _CHANGED = f"CASE WHEN {_LAST.format('chain_id')} <> chain_id THEN printf('TER   %5d      %-4s%s%4d', idx % 100000, {_LAST.format('resname')}, {_LAST.format('chain_id')}, {_LAST.format('residue_id')} % 10000) || chr(10) ELSE '' END"
 _RECORD = "printf('ATOM  %5d %-4s %-4s%s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s', (idx + 1) % 100000, CASE WHEN length(name) < 4 AND length(element) = 1 THEN ' ' || name ELSE name END, resname, chain_id, residue_id % 10000, x, y, z, element)"

@@ -84,9 +84,7 @@ def parse_trr(data: bytes) -> Structure:
         *sizes, n, _, _ = struct.unpack_from(">13i", data, at)
         at += 52
         box_size, x_size = sizes[2], sizes[7]
-        real = (x_size or sizes[8] or sizes[9]) // (3 * n) if n and (x_size or sizes[8] or sizes[9]) else box_size // 9
-        if real not in (4, 8):
-            raise FormatError("numbers of a TRR frame are neither single nor double")
+        real = _real(sizes, n)
         at += 2 * real
         start, end = at + sum(sizes[:7]), at + sum(sizes)
         if end > len(data):
@@ -100,6 +98,87 @@ def parse_trr(data: bytes) -> Structure:
     return _structure(frames, box)
 
 
+def dcd_header(file, size: int) -> dict:
+    """Byte order, atoms n, free atoms (None: all), whether frames have a cell and a fourth axis, where they start, and the bytes of the first and of each other."""
+    for order in "<>":
+        if size >= 92 and struct.unpack(f"{order}i4s", file.read_at(8, 0)) == (84, b"CORD"):
+            break
+    else:
+        raise FormatError("no DCD header")
+    at, bodies = 0, []
+
+    def record() -> bytes:
+        nonlocal at
+        if at + 4 > size:
+            raise FormatError("the DCD header is cut short")
+        (n,) = struct.unpack(f"{order}i", file.read_at(4, at))
+        if n < 0 or at + n + 8 > size:
+            raise FormatError("the DCD header is cut short")
+        body = bytes(file.read_at(n, at + 4))
+        at += n + 8
+        return body
+
+    bodies = [record() for _ in range(3)]
+    head = struct.unpack(f"{order}20i", bodies[0][4:84])
+    (n,), fixed, cell, fourth = struct.unpack(f"{order}i", bodies[2][:4]), head[8], bool(head[10]), head[11] == 1
+    free = np.frombuffer(record(), f"{order}i4") - 1 if fixed else None
+    bytes_of = lambda k: (56 if cell else 0) + (4 if fourth else 3) * (4 * k + 8)
+    return {"order": order, "n": n, "free": free, "cell": cell, "fourth": fourth, "start": at, "wide": bytes_of(n), "width": bytes_of(n - fixed)}
+
+
+def dcd_frame(file, header: dict, at: int, first: bool) -> np.ndarray:
+    """Positions of the frame at a place: of all atoms in the first, else of the free ones."""
+    n = header["n"] if first or header["free"] is None else len(header["free"])
+    data, order = bytes(file.read_at(header["wide" if first else "width"], at)), header["order"]
+    skip, out = 56 if header["cell"] else 0, []
+    for k in range(3):
+        begin = skip + k * (4 * n + 8)
+        if struct.unpack_from(f"{order}i", data, begin) != (4 * n,) or struct.unpack_from(f"{order}i", data, begin + 4 + 4 * n) != (4 * n,):
+            raise FormatError("a frame has another number of atoms than the header says")
+        out.append(np.frombuffer(data, f"{order}f4", n, begin + 4))
+    return np.stack(out, 1).astype(float)
+
+
+def trr_header(file, size: int, at: int) -> dict | None:
+    """Atoms, box, end and whether there are positions of the frame at a place; None where no whole frame is left."""
+    if at + 12 > size:
+        return None
+    magic, _, text = struct.unpack(">3i", file.read_at(12, at))
+    if magic != 1993:
+        raise FormatError("no TRR frame")
+    head = at + 12 + -(-text // 4) * 4
+    if head + 52 > size:
+        return None
+    *sizes, n, _, _ = struct.unpack(">13i", file.read_at(52, head))
+    real = _real(sizes, n)
+    start = head + 52 + 2 * real
+    end = start + sum(sizes)
+    if end > size:
+        return None
+    box = None
+    if sizes[2]:
+        cell = np.frombuffer(file.read_at(9 * real, start + sizes[0] + sizes[1]), f">f{real}") * 10.0
+        box = tuple(float(cell[k]) for k in (0, 4, 8))
+    return {"n": n, "end": end, "box": box, "has_points": bool(sizes[7])}
+
+
+def _real(sizes: list[int], n: int) -> int:
+    """Bytes of a number in a TRR frame."""
+    some = sizes[7] or sizes[8] or sizes[9]
+    real = some // (3 * n) if n and some else sizes[2] // 9
+    if real not in (4, 8):
+        raise FormatError("numbers of a TRR frame are neither single nor double")
+    return real
+
+
+def trr_points(frame: bytes) -> np.ndarray:
+    (text,) = struct.unpack_from(">i", frame, 8)
+    at = 12 + -(-text // 4) * 4
+    *sizes, n, _, _ = struct.unpack_from(">13i", frame, at)
+    real = _real(sizes, n)
+    return np.frombuffer(frame, f">f{real}", 3 * n, at + 52 + 2 * real + sum(sizes[:7])).astype(float).reshape(n, 3) * 10
+
+
 @dataclass
 class Variable:
     kind: str
@@ -116,10 +195,12 @@ _KINDS = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 class NetCdf:
     """Variables of a classic or 64-bit-offset NetCDF-3 file."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, size: int | None = None):
+        """data: the file, or its head where size tells how long it is."""
+        size = len(data) if size is None else size
         if data[:3] != b"CDF" or data[3:4] not in (b"\x01", b"\x02"):
             raise FormatError("no NetCDF-3 file")
-        self.data, self.at, wide = data, 4, data[3] == 2
+        self.data, self.at, self.size, wide = data, 4, size, data[3] == 2
         self.records = self._int()
         dims = [(self._name(), self._int()) for _ in range(self._list())]
         self._attributes()
@@ -137,7 +218,7 @@ class NetCdf:
         # a single record variable isn't padded
         self.stride = np.dtype(recorded[0].kind).itemsize * int(np.prod(recorded[0].shape)) if len(recorded) == 1 else sum(v.size for v in recorded)
         if recorded and self.records < 0:
-            self.records = (len(data) - min(v.begin for v in recorded)) // self.stride
+            self.records = (self.size - min(v.begin for v in recorded)) // self.stride
 
     def _int(self) -> int:
         (value,) = struct.unpack_from(">i", self.data, self.at)
@@ -160,13 +241,17 @@ class NetCdf:
             size = np.dtype(_KINDS[self._int()]).itemsize * self._int()
             self.at += -(-size // 4) * 4
 
+    def places(self, name: str) -> list[int]:
+        """Where the records of a variable begin, or its one value; records that are cut short are left out."""
+        v = self.variables[name]
+        width = int(np.prod(v.shape)) * np.dtype(v.kind).itemsize
+        starts = [v.begin + k * self.stride for k in range(self.records)] if v.is_record else [v.begin]
+        return [s for s in starts if s + width <= self.size]
+
     def read(self, name: str) -> list[np.ndarray]:
         """The records of a variable, or its one value; records that are cut short are left out."""
         v = self.variables[name]
-        n = int(np.prod(v.shape))
-        starts = [v.begin + k * self.stride for k in range(self.records)] if v.is_record else [v.begin]
-        width = np.dtype(v.kind).itemsize
-        return [np.frombuffer(self.data, v.kind, n, s).reshape(v.shape) for s in starts if s + n * width <= len(self.data)]
+        return [np.frombuffer(self.data, v.kind, int(np.prod(v.shape)), s).reshape(v.shape) for s in self.places(name)]
 
 
 def parse_netcdf(data: bytes) -> Structure:

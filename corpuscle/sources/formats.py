@@ -1,8 +1,8 @@
 """Structure and trajectory files as DataFrames.
 
-Text trajectories of any length (XYZ, PDB, LAMMPS dumps) are split: XYZ and PDB line by line in corpuscle.sources.lines, dumps at
-their frames. For all other formats a parser turns one file into atoms, frames, bonds and a box on the executors, so a
-folder of files is read in parallel. What is parsed is written once, and all tables come from there.
+Trajectories of any length and SDF files are split and read lazily by corpuscle.sources.datasource. For all other formats a
+parser turns one file into atoms, frames, bonds and a box on the executors, so a folder of files is read in parallel. What is
+parsed is written once, and all tables come from there.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.model import ATOMIC_NUMBER
-from corpuscle.sources import lines
 from corpuscle.sources.store import materialize
 
 ATOM_FIELDS = ("idx", "id", "type_id", "element", "charge", "mass", "residue_id", "chain_id", "name", "resname")
@@ -92,6 +91,11 @@ def parse_xyz(text: str, compat_lattice: bool = False) -> Structure:
     return out
 
 
+def pdb_resname(line: str) -> str | None:
+    """The residue name of a record: three columns, and the one before the chain where names of four letters are written."""
+    return line[17:21].strip().upper() or None
+
+
 def parse_pdb(text: str) -> Structure:
     """ATOM and HETATM records in fixed columns; each MODEL is a frame, filled with zeros or cut to the atoms of the first."""
     out, points = Structure(), []
@@ -112,7 +116,7 @@ def parse_pdb(text: str) -> Structure:
                 name = line[12:16].strip()
                 e = (line[76:78].strip() or element_of(name)).upper()
                 number = line[22:26].strip()
-                out.add(element=e, type_id=_number(e), name=name, resname=line[17:20].strip().upper() or None, chain_id=line[21:22].strip() or None, residue_id=int(number) if number else None)
+                out.add(element=e, type_id=_number(e), name=name, resname=pdb_resname(line), chain_id=line[21:22].strip() or None, residue_id=int(number) if number else None)
         elif kind in ("MODEL", "ENDMDL"):
             close()
         elif kind == "CRYST1":
@@ -271,6 +275,32 @@ def parse_sdf(text: str) -> Structure:
     return out
 
 
+def sdf_counts(record: str) -> tuple[int, int, int] | None:
+    """The counts line's place in a V2000 record, and its numbers of atoms and bonds."""
+    rows = record.splitlines()[:7]
+    at = next((k for k, x in enumerate(rows) if "V2000" in x), None)
+    return None if at is None else (at, int(rows[at][:3]), int(rows[at][3:6]))
+
+
+def sdf_molecule(record: str) -> tuple[str, list[dict], list[dict]] | None:
+    """Name, atoms (idx, element, charge, x, y, z) and bonds (i, j, order) of a V2000 record; None for another version."""
+    if (counts := sdf_counts(record)) is None:
+        return None
+    at, n, bonds = counts
+    rows = record.splitlines()
+    atoms = []
+    for k, row in enumerate(rows[at + 1 : at + 1 + n]):
+        p = row.split()
+        atoms.append({"idx": k, "element": p[3].upper(), "charge": {1: 3, 2: 2, 3: 1, 5: -1, 6: -2, 7: -3}.get(int(p[5]), 0) if len(p) > 5 and p[5].isdigit() else 0, "x": float(p[0]), "y": float(p[1]), "z": float(p[2])})
+    found = [{"i": int(x[:3]) - 1, "j": int(x[3:6]) - 1, "order": int(x[6:9])} for x in rows[at + 1 + n : at + 1 + n + bonds]]
+    for row in rows[at + 1 + n + bonds :]:
+        if row.startswith("M  CHG"):
+            p = list(map(int, row[6:].split()))
+            for a, c in zip(p[1::2], p[2::2], strict=False):
+                atoms[a - 1]["charge"] = c
+    return rows[0].strip() if at else "", atoms, found
+
+
 def parse_mol2(text: str) -> Structure:
     """Sections ATOM and BOND of the first molecule."""
     out, section, points = Structure(), "", []
@@ -297,13 +327,17 @@ PARSERS: dict[str, Callable[[str], Structure]] = {
 }
 #: Formats whose parsers take bytes, by the name of the parser in corpuscle.sources.binary.
 BINARY = {".dcd": "parse_dcd", ".trr": "parse_trr", ".nc": "parse_netcdf", ".ncdf": "parse_netcdf", ".rst7": "parse_restart", ".rst": "parse_restart", ".restrt": "parse_restart"}
-#: Formats that aren't read without more: the packed one not at all, the others with a parser that knows the atom count.
-UNREAD = {".xtc": "packed coordinates", ".mdcrd": "pass parser=partial(parse_mdcrd, n_atoms=...)", ".crd": "pass parser=partial(parse_mdcrd, n_atoms=...)"}
+#: Formats that aren't read without more: with a parser that knows the atom count.
+UNREAD = {".mdcrd": "pass parser=partial(parse_mdcrd, n_atoms=...)", ".crd": "pass parser=partial(parse_mdcrd, n_atoms=...)"}
 
 
-def detect(path: str) -> Callable:
+def suffix_of(path: str) -> str:
     found = re.search(r"\.[^./]+$", path.lower())
-    suffix = found[0] if found else ""
+    return found[0] if found else ""
+
+
+def detect(path: str) -> Callable:
+    suffix = suffix_of(path)
     if suffix in BINARY:
         from corpuscle.sources import binary
 
@@ -330,30 +364,40 @@ class Dataset:
         return self.positions.join(self.atoms, ["path", "idx"])
 
     def with_trajectory(self, other: Dataset) -> Dataset:
-        """Atoms and bonds of this topology, frames and box of other; they join by ordinal."""
-        path = F.broadcast(self.atoms.select(F.col("path").alias("_p")).limit(1))
-        moved = lambda df: df.crossJoin(path).withColumn("path", F.col("_p")).drop("_p")
-        return Dataset(self.atoms, moved(other.positions), self.bonds, moved(other.box).unionByName(self.box).groupBy("path").agg(*(F.first(c).alias(c) for c in ("lx", "ly", "lz"))))
+        """Atoms and bonds of this topology, frames and box of other; they join by ordinal.
+
+        One topology serves all trajectories of other; of several, each serves the trajectories of its name without folder and ending.
+        The result's systems are the trajectories, whose frames keep their numbers.
+        """
+        stem = lambda c: F.regexp_replace(F.regexp_replace(c, "^.*/", ""), r"\.[^.]*$", "")
+        names = self.atoms.select("path").distinct()
+        one = names.limit(2).count() < 2
+        runs = other.atoms.select("path").distinct()
+        if one:
+            pairs = names.select(F.col("path").alias("_top")).crossJoin(F.broadcast(runs))  # of one row
+        else:
+            pairs = names.select(F.col("path").alias("_top"), stem("path").alias("_stem")).join(runs.withColumn("_stem", stem("path")), "_stem").drop("_stem")
+        served = lambda df: df.withColumnRenamed("path", "_top").join(pairs, "_top").drop("_top")
+        box = other.box.withColumn("_k", F.lit(0)).unionByName(served(self.box).withColumn("_k", F.lit(1)))
+        box = box.groupBy("path").agg(*(F.min_by(c, "_k").alias(c) for c in ("lx", "ly", "lz")))
+        return Dataset(served(self.atoms).select("path", *ATOM_FIELDS), other.positions, served(self.bonds).select("path", "i", "j"), box)
 
 
 _BOND = pa.struct([("i", pa.int64()), ("j", pa.int64())])
 _KINDS = {"idx": pa.int64(), "id": pa.int64(), "type_id": pa.int32(), "element": pa.string(), "charge": pa.float64(), "mass": pa.float64(), "residue_id": pa.int32(), "chain_id": pa.string(), "name": pa.string(), "resname": pa.string()}
-_PARSED = pa.schema([("path", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("frame", pa.int32()), ("timestep", pa.int64()), ("coords", pa.list_(pa.float64())), ("atoms", pa.list_(pa.struct(list(_KINDS.items())))), ("bonds", pa.list_(_BOND)), ("box", pa.list_(pa.float64()))])
+_PARSED = pa.schema([("path", pa.string()), ("frame", pa.int32()), ("timestep", pa.int64()), ("coords", pa.list_(pa.float64())), ("atoms", pa.list_(pa.struct(list(_KINDS.items())))), ("bonds", pa.list_(_BOND)), ("box", pa.list_(pa.float64()))])
 
 
-def _parse(batches: Iterator[pa.RecordBatch], parser: Callable, split: bool) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], parser: Callable) -> Iterator[pa.RecordBatch]:
     """A row for each frame; the file's atoms and bonds stand in that of the first."""
-    started = set()
     for batch in batches:
-        for path, block, seq, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first = not split or block == 0 and path not in started
-            started.add(path)
-            s = parser(value, with_atoms=first) if split else parser(value)
+        for path, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            s = parser(value)
             for k, (step, points) in enumerate(s.frames):
-                head = first and k == 0
+                head = k == 0
                 atoms = [{f: a.get(f) for f in ATOM_FIELDS} for a in s.atoms] if head else None
                 bonds = [{"i": i, "j": j} for i, j in s.bonds] if head else None
-                row = [path, block, seq, k, step, np.asarray(points, float).ravel(), atoms, bonds, s.box if split or head else None]
+                row = [path, k, step, np.asarray(points, float).ravel(), atoms, bonds, s.box if head else None]
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _PARSED, strict=True)], schema=_PARSED)
 
 
@@ -367,30 +411,29 @@ def is_data_file(head: list[str]) -> bool:
     return False
 
 
-def load(spark: SparkSession, path: str, parser: Callable[[str], Structure] | None = None, suffix: str | None = None) -> Dataset:
-    """Reads a file, a folder or a pattern of files of one format, which its ending tells, or else suffix or parser."""
-    default, parser = parser is None, parser or detect(suffix or path)
-    if default and parser in (parse_xyz, parse_pdb):
-        rows = lines.numbered_lines(spark, path)
-        atoms, positions, box = (lines.read_xyz if parser is parse_xyz else lines.read_pdb)(rows, FormatError)
-        return Dataset(atoms, positions, spark.createDataFrame([], BOND_SCHEMA), box)
-    if default and parser in (parse_lammps_frame, parse_lammps_data):
-        parser = parse_lammps_data if is_data_file([r["value"] for r in spark.read.text(path).limit(20).collect()]) else parse_lammps_frame
-    split = parser is parse_lammps_frame
+def load(spark: SparkSession, path: str, parser: Callable[[str], Structure] | None = None, suffix: str | None = None, split: int = 64 << 20, frames: tuple[int, int] | None = None, check: bool = True) -> Dataset:
+    """Reads a file, a folder or a pattern of files of one format, which its ending tells, or else suffix.
+
+    Trajectories, PDB and SDF files are read in ranges of `split` bytes by corpuscle.sources.datasource, lazily; frames (the first, and one beyond
+    the last) leaves the ranges of others unread, and check=False puts off the errors of text until it is read. A parser, and the other formats,
+    take whole files, which are parsed once; that is written, and all tables come from there.
+    """
+    ending = (suffix or suffix_of(path)).lower()
+    if parser is None:
+        from corpuscle.sources import datasource, ranges
+
+        if ending in (".data", ".lammps", ".lammpstrj", ".traj"):
+            ending = ".data" if is_data_file([r["value"] for r in spark.read.text(path).limit(20).collect()]) else ".lammpstrj"
+        if ending in ranges.TEXT or ending in ranges.BINARY:
+            return datasource.read_files(spark, path, ending, split, frames, check)
+    parser = parser or detect(ending)
     if takes_bytes(parser):
         files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("value"))
-    elif not split:
-        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    if split:
-        rows = lines.pieces(spark, path, "ITEM: TIMESTEP").where("trim(value) <> ''")
     else:
-        rows = files.select("path", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("seq"), "value")
+        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     kinds = ", ".join(f"{f}: {ATOM_TYPES[f]}" for f in ATOM_FIELDS)
-    schema = f"path string, block bigint, seq bigint, frame int, timestep bigint, coords array<double>, atoms array<struct<{kinds}>>, bonds array<struct<i: bigint, j: bigint>>, box array<double>"
-    parsed = materialize(rows.mapInArrow(partial(_parse, parser=parser, split=split), schema), "parsed")
-    if split:  # frames are numbered by their places in the file, whatever their timesteps
-        number = lines.running(parsed.select("path", "block", "seq"), ["path"], "block", "seq", F.lit(1), "number")
-        parsed = parsed.join(number, ["path", "block", "seq"]).withColumn("frame", (F.col("number") - 1).cast("int"))
+    schema = f"path string, frame int, timestep bigint, coords array<double>, atoms array<struct<{kinds}>>, bonds array<struct<i: bigint, j: bigint>>, box array<double>"
+    parsed = materialize(files.mapInArrow(partial(_parse, parser=parser), schema), "parsed")
     point = F.expr("transform(sequence(0, size(coords) div 3 - 1), k -> struct(cast(k as bigint) as idx, coords[3 * k] as x, coords[3 * k + 1] as y, coords[3 * k + 2] as z))")
     positions = parsed.where(F.size("coords") > 0).select("path", "frame", "timestep", F.inline(point))
     atoms = parsed.select("path", F.inline("atoms"))

@@ -1,19 +1,10 @@
-"""Formats of lines, XYZ and PDB, read by Spark's own text source: files of any size are split, and no task sees a whole one.
-
-Lines are written once with their number in the file (from the places of the splits), so all tables come from the same rows.
-"""
+"""Numbers that run over rows in order, without one task that orders them all."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle import model as m
-from corpuscle.sources.store import materialize
-
-#: Lines of a file whose marks are counted in one task.
-BUCKET = 1 << 20
-
 
 def running(rows: DataFrame, keys: list[str], bucket: str, order: str, value: Column, name: str) -> DataFrame:
     """rows with the sum of value over all rows before and with each: in a bucket by a window, over buckets by their sums."""
@@ -21,103 +12,3 @@ def running(rows: DataFrame, keys: list[str], bucket: str, order: str, value: Co
     before = sums.select(*keys, bucket, (F.sum("_n").over(Window.partitionBy(*keys).orderBy(bucket)) - F.col("_n")).alias("_before"))
     own = F.sum(value).over(Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_own", own).join(before, [*keys, bucket]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before")
-
-
-def pieces(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """path, block (the split's place in the file), seq (order in the split) and value of each line or separated piece."""
-    reader = spark.read.option("lineSep", separator) if separator else spark.read
-    meta = F.col("_metadata")
-    return reader.text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("seq"), "value")
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 0 in each file) and value."""
-    rows = materialize(pieces(spark, path), "lines")
-    # lines of a split were read one after another, so its least seq and the lines of the splits before it are enough
-    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    before = splits.select("path", "block", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
-    return rows.join(before, ["path", "block"]).select("path", (F.col("before") + F.col("seq") - F.col("first")).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
-
-
-def _number(element: Column) -> Column:
-    return m.lookup(m.ATOMIC_NUMBER, F.upper(element), 0).cast("int")
-
-
-def _atom_columns(rows: DataFrame, **own: Column) -> DataFrame:
-    """Rows with path and idx as atoms; what isn't given is null."""
-    kinds = {"id": "bigint", "type_id": "int", "element": "string", "charge": "double", "mass": "double", "residue_id": "int", "chain_id": "string", "name": "string", "resname": "string"}
-    return rows.select("path", "idx", *(own.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
-
-
-def read_xyz(lines: DataFrame, error: type[Exception], compat_lattice: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Atoms, positions and box: each frame is a count, a comment and as many rows. All lines are checked before that."""
-    text = F.trim(F.regexp_replace("value", r"\s+", " "))
-    size = lines.groupBy("path").agg(F.max(F.when(text != "", F.col("line"))).alias("last"), F.max(F.when(F.col("line") == 0, F.expr("try_cast(trim(value) AS bigint)"))).alias("n"))
-    size = materialize(size, "sizes")
-    first = size.agg(F.count("*").alias("files"), F.count(F.when(F.col("last").isNull(), 1)).alias("empty"), F.count(F.when(F.col("last").isNotNull() & F.coalesce(F.col("n") < 0, F.lit(True)), 1)).alias("uncounted")).first()
-    if not first["files"] or first["empty"]:
-        raise error("No frames")
-    if first["uncounted"]:
-        raise error("no atom count")
-    width = F.col("n") + 2
-    rows = lines.join(size, "path").where("line <= last").select("path", F.col("n"), F.floor(F.col("line") / width).cast("int").alias("frame"), F.pmod("line", width).alias("row"), "value", F.split(text, " ").alias("p"), (F.col("last") % width).alias("rest"))
-    xyz = F.array(*(F.expr(f"try_cast(get(p, {k}) AS double)") for k in (1, 2, 3)))
-    rows = materialize(rows.select("path", "n", "frame", "row", "rest", "value", F.get("p", F.lit(0)).alias("symbol"), F.when(F.col("row") >= 2, xyz).alias("xyz")), "rows")
-    bad = rows.agg(
-        F.first(F.when((F.col("row") == 0) & ~F.expr("try_cast(trim(value) AS bigint)").eqNullSafe(F.col("n")), F.col("value")), True).alias("count"),
-        F.first(F.when(F.exists("xyz", lambda v: v.isNull()), F.col("value")), True).alias("place"),
-        F.max(F.col("rest") != F.col("n") + 1).alias("short"),
-    ).first()
-    for value, words in ((bad["count"], "the atom count changes"), (bad["place"], "Bad coordinate")):
-        if value is not None:
-            raise error(f"{words}: {value!r}")
-    if bad["short"]:
-        raise error("the last frame is cut short")
-    whole, named = F.regexp_extract("value", r"^\s*(\d+)\s*$", 1), F.regexp_extract("value", r"(?i)(?:step|time|frame|i)\s*[=:]\s*(\d+)", 1)
-    step = F.coalesce(F.nullif(whole, F.lit("")), F.nullif(named, F.lit(""))).cast("bigint")
-    heads = rows.where("row = 1").select("path", "frame", F.coalesce(step, F.col("frame")).alias("timestep"), F.split(F.trim(F.regexp_extract("value", 'Lattice="([^"]*)"', 1)), r"\s+").alias("cell"))
-    body = rows.where("row >= 2").withColumn("idx", F.col("row") - 2)
-    positions = body.join(heads.select("path", "frame", "timestep"), ["path", "frame"]).select("path", "frame", "timestep", "idx", *(F.col("xyz")[k].alias(c) for k, c in enumerate("xyz")))
-    element = F.upper(F.regexp_replace("symbol", r"\d+$", ""))
-    atoms = _atom_columns(body.where("frame = 0"), id=F.col("idx"), type_id=_number(element), element=element)
-    sides = (0, 3, 6) if compat_lattice else (0, 4, 8)
-    box = heads.where(F.size("cell") == 9).groupBy("path").agg(F.max_by("cell", "frame").alias("cell")).select("path", *(F.col("cell")[k].cast("double").alias(c) for k, c in zip(sides, ("lx", "ly", "lz"), strict=True)))
-    return atoms, positions, box
-
-
-def element_of(name: Column) -> Column:
-    """The element that an atom name stands for: without leading digits, two letters if they name one, else the first."""
-    bare = F.upper(F.regexp_replace(F.trim(name), r"^\d+", ""))
-    known = list(m.ATOMIC_NUMBER)
-    # names of protein atoms such as CA and CD start with carbon, not calcium or cadmium
-    two, one = F.substring(bare, 1, 2), F.substring(bare, 1, 1)
-    return F.when((F.length(bare) >= 2) & two.isin(known) & ~two.isin("CA", "NA"), two).when(one.isin(known), one).otherwise("C")
-
-
-def read_pdb(lines: DataFrame, error: type[Exception]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Atoms, positions and box: ATOM and HETATM records in fixed columns; each MODEL is a frame, filled with zeros or cut to
-    the atoms of the first."""
-    kind, at = F.trim(F.substring("value", 1, 6)), lambda a, b: F.substring("value", a + 1, b - a)
-    rows = lines.select("path", "line", F.floor(F.col("line") / BUCKET).alias("bucket"), kind.alias("kind"), "value").where(F.col("kind").isin("ATOM", "HETATM", "MODEL", "ENDMDL", "CRYST1"))
-    rows = running(rows, ["path"], "bucket", "line", F.col("kind").isin("MODEL", "ENDMDL").cast("int"), "group")
-    text = lambda a, b: F.nullif(F.trim(at(a, b)), F.lit(""))
-    own = rows.where(F.col("kind").isin("ATOM", "HETATM") & at(16, 17).isin(" ", "", "A", "1"))
-    own = own.withColumn("idx", (F.row_number().over(Window.partitionBy("path", "group").orderBy("line")) - 1).cast("bigint"))
-    xyz = [F.expr(f"try_cast(trim(substring(value, {a + 1}, 8)) AS double)").alias(c) for c, a in zip("xyz", (30, 38, 46), strict=True)]
-    own = materialize(own.select("path", "group", "idx", "value", *xyz), "records")
-    if (bad := own.where("x is null or y is null or z is null").select("value").first()) is not None:
-        raise error(f"Bad coordinate: {bad['value']!r}")
-    models = own.groupBy("path", "group").agg(F.count("*").alias("n"))
-    frame = (F.row_number().over(Window.partitionBy("path").orderBy("group")) - 1).cast("int")
-    models = materialize(models.withColumn("frame", frame), "models")
-    if models.isEmpty():
-        raise error("no ATOM records")
-    most = models.where("frame = 0").select("path", F.col("n").alias("most"))
-    placed = own.join(models.select("path", "group", "frame"), ["path", "group"]).join(most, "path").where("idx < most")
-    lacking = models.join(most, "path").where("n < most").select("path", "frame", F.explode(F.sequence(F.col("n"), F.col("most") - 1)).alias("idx"), *(F.lit(0.0).alias(c) for c in "xyz"))
-    positions = placed.select("path", "frame", "idx", "x", "y", "z").unionByName(lacking)
-    positions = positions.select("path", "frame", F.col("frame").cast("bigint").alias("timestep"), "idx", "x", "y", "z")
-    element = F.upper(F.coalesce(text(76, 78), element_of(at(12, 16))))
-    atoms = _atom_columns(placed.where("frame = 0"), id=F.col("idx"), element=element, type_id=_number(element), name=F.trim(at(12, 16)), resname=F.upper(text(17, 20)), chain_id=text(21, 22), residue_id=F.expr("try_cast(trim(substring(value, 23, 4)) AS int)"))
-    cell = rows.where("kind = 'CRYST1'").groupBy("path").agg(F.max_by("value", "line").alias("value"))
-    return atoms, positions, cell.select("path", *(F.expr(f"try_cast(trim(substring(value, {a + 1}, 9)) AS double)").alias(c) for c, a in zip(("lx", "ly", "lz"), (6, 15, 24), strict=True)))
