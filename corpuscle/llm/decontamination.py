@@ -4,8 +4,10 @@ Texts and items are lower-cased word sequences (a Han or Kana character is a wor
 seeds. A bitmap of the items' seeds, of bounded size whatever their number, tells in one pass over the texts which windows
 may be shared; what is left of a text are its runs of such windows, which hold all its tiles. Texts with the same runs are
 one class from then on, so a passage that many texts share is looked at once. Classes and items are joined on their seeds;
-an item's most frequent seeds are left out as long as a covered item must share another one, which loses no pair. Running
-Karp-Rabin then finds the longest matches of unmarked words of each joined pair, marks them, and repeats, so that passages in
+an item's most frequent seeds are left out as long as a covered item must share another one, which loses no pair. A class that
+shares seeds with many items goes to many tasks, each with some of the items, and an item is compared with the words alone that lie
+in windows it has itself. The bitmap has 2 ** MOST_BITS bits at most; beyond some four million seeds it lets more words through,
+which costs time and changes nothing. Running Karp-Rabin then finds the longest matches of unmarked words of each joined pair, marks them, and repeats, so that passages in
 another order still count. An item is leaked into a text if its tiles cover at least `coverage` of it.
 
 Neither items nor texts are collected: tables are joined, and broadcast only below BROADCAST rows or bytes, as counted.
@@ -39,6 +41,8 @@ TOKEN, _PLAIN, _SOME = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+"), re.compile(r"\
 MIN_TILE, COVERAGE = 5, 0.6
 #: Rows, or bytes, of a table up to which it is broadcast; bits of the bitmap for each seed, and at least and most (as powers of two).
 BROADCAST_ROWS, BROADCAST_BYTES, BITS_PER_SEED, LEAST_BITS, MOST_BITS = 1_000_000, 32_000_000, 16, 12, 26
+#: Items of one class that are tiled in one task.
+PART_ITEMS = 500
 #: Characters at once, entries of the cache of word hashes.
 CHARS, CACHE = 2_000_000, 400_000
 BASE = 0x9E3779B97F4A7C15
@@ -211,18 +215,44 @@ def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "bits"])
 
 
+class Shared:
+    """A class's words with its windows in order, so that what an item shares is found without a walk over the text."""
+
+    def __init__(self, text: np.ndarray, min_tile: int):
+        self.text, self.min_tile = text, min_tile
+        hashes = window_hashes(text, min_tile)
+        self.places = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.places]
+
+    def part(self, item: np.ndarray) -> tuple[np.ndarray, int]:
+        """The words that lie in windows of the item, a 0 between stretches of them, and how many of the item's words lie in windows of the text.
+
+        All words of a match lie in such windows, and stretches keep their order, so an item's tiles in the part are those in the text.
+        """
+        own = window_hashes(item, self.min_tile)
+        low, high = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
+        mine = np.flatnonzero(high > low)
+        steps = np.arange(self.min_tile)
+        known = len(np.unique(mine[:, None] + steps))
+        _, first = np.unique(own[mine], return_index=True)
+        at = [self.places[low[k] : high[k]] for k in mine[first].tolist()]
+        words = np.unique((np.concatenate(at)[:, None] + steps).ravel()) if at else np.zeros(0, np.int64)
+        apart = np.flatnonzero(np.diff(words) > 1) + 1
+        return np.insert(self.text[words], apart, np.uint64(0)), known
+
+
 def _tiled(batches: Iterator[pa.RecordBatch], min_tile: int, coverage: float) -> Iterator[pa.RecordBatch]:
-    """In, sorted by key and form: key, form, words; a class's own row (form null) stands before its items. Out: the leaks."""
-    text = windows = None
+    """In, sorted by key, part and form: key, part, form, words; a class's own row (form null) stands before its items. Out: the leaks."""
+    shared = None
     for batch in batches:
         out = []
-        for key, form, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for key, form, words in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
             ids = np.frombuffer(words, np.uint64)
             if form is None:
-                text, windows = ids, np.unique(window_hashes(ids, min_tile))
+                shared = Shared(ids, min_tile)
                 continue
-            shared = np.flatnonzero(np.isin(window_hashes(ids, min_tile), windows))
-            if len(np.unique(shared[:, None] + np.arange(min_tile))) < coverage * len(ids):
+            text, known = shared.part(ids)
+            if known < coverage * len(ids):
                 continue
             tiles = tile(ids, text, min_tile)
             size = sum(n for *_, n in tiles)
@@ -284,8 +314,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, text_col: str, keep: list[str]
     size = forms.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     total = per.agg(F.sum("n")).first()[0] or 0
     joined = pairs.join(F.broadcast(forms), "form") if size <= BROADCAST_BYTES else join_counted(pairs, forms.join(per, "form"), ["form"], "n", total)
-    rows = classes.select("key", F.lit(None).cast("string").alias("form"), "words").unionByName(joined.select("key", "form", "words"))
-    rows = rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("form"))
+    # a class with many items is dealt to parts of about PART_ITEMS, and its words go to each
+    deal = pairs.groupBy("key").agg((F.floor((F.count("*") - 1) / PART_ITEMS) + 1).cast("int").alias("parts"))
+    own = classes.select("key", "words").join(deal, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("string").alias("form"), "words")
+    items_of = joined.join(deal, "key").select("key", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int").alias("part"), "form", "words")
+    rows = own.unionByName(items_of).repartition("key", "part").sortWithinPartitions("key", "part", F.asc_nulls_first("form"))
     found = rows.mapInArrow(partial(_tiled, min_tile=min_tile, coverage=coverage), "key string, form string, coverage double, matched_words bigint, n_tiles bigint")
     return marked, key, materialize(found.join(classes.select("key", "n"), "key"), "leaks"), items.select("item_id", "form")
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -105,3 +106,30 @@ def test_leaks_equal_brute_force(spark, corpus, limit, monkeypatch):
     for none in (table.limit(0), table):
         nothing = bench if none.isEmpty() else bench.limit(0)
         assert decontamination.find_leaks(none, nothing).count() == 0 and decontamination.drop_leaks(none, nothing).count() == none.count()
+
+
+def test_part_of_a_text_has_all_tiles():
+    """Tiles in the words that an item shares equal those in the whole text."""
+    rng = random.Random(12)
+    for _ in range(400):
+        item = np.array([rng.randint(1, 4) for _ in range(rng.randint(3, 25))], np.uint64)
+        text = np.array([rng.randint(0, 4) for _ in range(rng.randint(0, 80))], np.uint64)
+        part, known = decontamination.Shared(text, 3).part(item)
+        whole, own = decontamination.tile(item, text, 3), decontamination.tile(item, part, 3)
+        assert [(i, n) for i, _, n in whole] == [(i, n) for i, _, n in own]
+        windows = {tuple(text[k : k + 3]) for k in range(len(text) - 2)}
+        assert known == len({i for k in range(len(item) - 2) if tuple(item[k : k + 3]) in windows for i in range(k, k + 3)})
+
+
+def test_a_whole_benchmark_in_one_text(spark):
+    """10,000 items quoted by one text, some with their halves swapped, and a text that quotes none."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    items = [[rng.choice(words) for _ in range(70)] for _ in range(10_000)]
+    quoted = [i[35:] + i[:35] if k % 10 == 0 else i for k, i in enumerate(items)]
+    docs = spark.createDataFrame([(1, " ".join(w for i in quoted for w in i)), (2, " ".join(rng.choice(words) for _ in range(300)))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    began = time.time()
+    found = decontamination.find_leaks(docs, benchmark).collect()
+    assert time.time() - began < 60
+    assert {(r["doc_id"], r["item_id"], r["matched_words"], r["n_tiles"]) for r in found} == {(1, k, 70, 2 if k % 10 == 0 else 1) for k in range(10_000)}
