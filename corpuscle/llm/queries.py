@@ -61,8 +61,8 @@ def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no column for repositories: a source is an owner, a source's language a repository."""
-    return secret_scan.scan(table(spark, sf_dir, "documents"), owner_col="source", repo_col=F.concat_ws("/", "source", "lang"))
+    """The documents have no column for repositories: a source is an owner, and what all sources have of a language one repository and its copies."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), owner_col="source", repo_col="lang")
 
 
 def capture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Base spans (assign, access, hex) are found in every whole text. Long tokens that mix digits, capitals and small letters are
 further candidates. The hash of each candidate's value is counted over the corpus by distinct owners and repositories. A
-value of at least `copied` owners and as many repositories is a widely copied example. Any other looks live: one that
-several owners hold in too few repositories is their shared credential, not an example. Base spans always stay; further
+value of at least `copied` owners and `repos` repositories is a widely copied example. Any other looks live: repositories are
+told apart by a name that copies of one share, so a value that many owners hold in copies of one repository is a credential that
+went along with it, and one that a single owner holds in many repositories is that owner's. Base spans always stay; further
 tokens are added as spans of kind `live` if they look live and touch no base span.
 
 Positions are code points, ends exclusive. Null and empty texts have no span. Null owners and repositories count as one.
@@ -29,7 +30,7 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "live")
 LIVE = r"[A-Za-z0-9+/_-]{20,}"
 #: Owners, and repositories, from which a value counts as widely copied.
-COPIED = 3
+COPIED, REPOS = 3, 2
 #: Values in a block of a running sum; code points in a block of a text.
 BLOCK, CHARS = 256, 256
 
@@ -130,14 +131,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return each.groupBy("h").agg(F.sum("n").alias("n"), F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"))
 
 
-def classified(rows: DataFrame, copied: int) -> DataFrame:
+def classified(rows: DataFrame, copied: int, repos: int) -> DataFrame:
     """rows: rid, owner, repo, found. For each rid with candidates all spans that stay, as found, each with its class."""
     empty = F.lit("")
     each = rows.where(F.size("found") > 0).select("rid", F.coalesce("owner", empty).alias("owner"), F.coalesce("repo", empty).alias("repo"), F.explode("found").alias("c")).select("rid", "owner", "repo", "c.*")
     owned = materialize(ownership(each), "ownership")
     total = owned.agg(F.sum("n")).first()[0] or 0
     joined = join_counted(each.select("rid", "s", "k", "e", "h"), owned, ["h"], "n", total)
-    joined = joined.withColumn("copied", (F.col("n_owners") >= copied) & (F.col("n_repos") >= copied))
+    joined = joined.withColumn("copied", (F.col("n_owners") >= copied) & (F.col("n_repos") >= repos))
     stay = joined.where((F.col("k") < 3) | ~F.col("copied"))
     return stay.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "copied", "n_owners", "n_repos"))).alias("found"))
 
@@ -151,14 +152,14 @@ def _is(k: int) -> Callable[[Column], Column]:
     return lambda x: x["k"] == k
 
 
-def scan(docs: DataFrame, owner_col: str = "source", repo_col: str | Column = "source", id_col: str = "doc_id", text_col: str = "text", copied: int = COPIED) -> DataFrame:
+def scan(docs: DataFrame, owner_col: str = "source", repo_col: str | Column = "source", id_col: str = "doc_id", text_col: str = "text", copied: int = COPIED, repos: int = REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans; then n_live and n_copied (spans whose value looks live, or is
     copied) and owners: the owners and repositories of each span's value, as spans are listed."""
     repo = F.col(repo_col) if isinstance(repo_col, str) else repo_col
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), repo.cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the row number is written with the row, so it holds whatever runs again later
     rows = materialize(given.select("doc_id", "owner", "repo", candidates(F.col("text")).alias("found"), F.monotonically_increasing_id().alias("rid")), "candidates")
-    stay = classified(rows, copied)
+    stay = classified(rows, copied, repos)
     one = "array<struct<s:int,k:int,e:int,copied:boolean,n_owners:bigint,n_repos:bigint>>"
     none = rows.where(F.size("found") == 0).select("doc_id", F.array().cast(one).alias("found"))
     some = rows.where(F.size("found") > 0).select("rid", "doc_id").join(stay, "rid", "left").select("doc_id", F.coalesce("found", F.array().cast(one)).alias("found"))
@@ -196,7 +197,7 @@ def blanked(text: Column, spans: Column, mark: str) -> Column:
     return _once(spans, lambda x: _once(running(F.transform(x, lambda y: y["e"]), lambda a, b: F.greatest(a, b)), lambda u: _once(blocks, lambda t: pieces(x, u, t))))
 
 
-def redact(docs: DataFrame, owner_col: str = "source", repo_col: str | Column = "source", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]", copied: int = COPIED) -> DataFrame:
+def redact(docs: DataFrame, owner_col: str = "source", repo_col: str | Column = "source", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]", copied: int = COPIED, repos: int = REPOS) -> DataFrame:
     """docs with every span that looks live replaced by mark; widely copied examples stay.
 
     Only rows with candidates are joined with what the corpus says of them; all other rows pass where they are.
@@ -207,7 +208,7 @@ def redact(docs: DataFrame, owner_col: str = "source", repo_col: str | Column =
     clean = marked.where(F.size(found) == 0).select(*(f"`{c}`" for c in docs.columns))
     some = materialize(marked.where(F.size(found) > 0).withColumn(rid, F.monotonically_increasing_id()).withColumn(own, repo.cast("string")), "suspects")
     rows = some.select(F.col(rid).alias("rid"), F.col(owner_col).cast("string").alias("owner"), F.col(own).alias("repo"), F.col(found).alias("found"))
-    stay = classified(rows, copied).select(F.col("rid").alias(rid), F.filter("found", lambda x: ~x["copied"]).alias(spans))
+    stay = classified(rows, copied, repos).select(F.col("rid").alias(rid), F.filter("found", lambda x: ~x["copied"]).alias(spans))
     new = F.when(F.size(spans) > 0, blanked(F.col(text_col), F.col(spans), mark)).otherwise(F.col(text_col))
     out = some.join(stay, rid, "left").withColumn(text_col, new)
     if chars_col and chars_col in docs.columns:

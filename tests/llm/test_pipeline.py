@@ -34,7 +34,7 @@ def brute_pipeline(docs, items):
     kept = [r for r in kept if r["doc_id"] in first]
     words = lambda t: f" {' '.join(re.findall(chr(92) + 'w+', t.lower()))} "
     kept = [r for r in kept if not any(words(t) in words(r["text"]) for t in items)]
-    found, owners = {}, {}
+    found, owners, repos = {}, {}, {}
     for r in kept:
         t = r["text"]
         spans = [(a, e, re.search(secret_scan.ASSIGN, t[a:e], re.A)[2] if k == 0 else t[a:e]) for a, k, e in brute_spans(t)]
@@ -44,11 +44,12 @@ def brute_pipeline(docs, items):
         found[r["doc_id"]] = spans
         for *_, v in spans:
             owners.setdefault(v, set()).add(r["source"])
+            repos.setdefault(v, set()).add(r["lang"])
     out = {}
     for r in kept:
         text, at = "", 0
         for a, e, v in sorted(found[r["doc_id"]]):
-            if len(owners[v]) < secret_scan.COPIED:
+            if len(owners[v]) < secret_scan.COPIED or len(repos[v]) < secret_scan.REPOS:
                 text, at = (text + r["text"][at:a] + "[secret]", e) if a >= at else (text, max(at, e))
         out[r["doc_id"]] = text + r["text"][at:]
     return out

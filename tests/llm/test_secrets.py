@@ -31,7 +31,7 @@ def brute_scan(rows):
         for *_, v in base + live:
             owners.setdefault(v, set()).add(owner or "")
             repos.setdefault(v, set()).add(repo or "")
-    copied = {v for v in owners if len(owners[v]) >= secret_scan.COPIED and len(repos[v]) >= secret_scan.COPIED}
+    copied = {v for v in owners if len(owners[v]) >= secret_scan.COPIED and len(repos[v]) >= secret_scan.REPOS}
     out = []
     for (doc, text, *_), (base, live) in zip(rows, found, strict=True):
         stay = sorted(base + [x for x in live if x[3] not in copied])
@@ -76,3 +76,15 @@ def test_a_very_long_text_takes_linear_time(spark):
     assert row["n_hex"] == 100_000 and time.time() - began < 20
     began = time.time()
     assert len(secret_scan.redact(table).collect()[0]["text"]) == len(text) - 8 * 100_000 and time.time() - began < 40
+
+
+def test_owners_and_repositories_both_decide(spark):
+    """What flips the verdict: a third owner, and a second repository."""
+    value = lambda k: f"Zk9{k}" + "aB3" * 8
+    held = {0: [("a", "r"), ("b", "r"), ("c", "r")], 1: [("a", "r"), ("b", "r"), ("c", "q")], 2: [("a", "r"), ("a", "q"), ("a", "p"), ("b", "o")], 3: [("a", "r"), ("b", "q"), ("c", "p"), ("c", "p")], 4: [("a", "r")] * 9}
+    rows = [(10 * k + n, f"see {value(k)}", owner, repo) for k, own in held.items() for n, (owner, repo) in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = {(r["doc_id"] // 10, r["n_live"]) for r in secret_scan.scan(docs, repo_col="lang").collect()}
+    assert found == {(0, 1), (1, 0), (2, 1), (3, 0), (4, 1)}
+    texts = {(r["doc_id"] // 10, r["text"]) for r in secret_scan.redact(docs, repo_col="lang").collect()}
+    assert texts == {(k, "see [secret]" if k in (0, 2, 4) else f"see {value(k)}") for k in held}
