@@ -1,10 +1,12 @@
 """Quality classifier: multiple-instance learning with gated attention.
 
-A text is a bag of passages of PASSAGE words. Every passage is encoded (a learnt layer over rates and hashed word endings);
-gated attention, softmax(w . (tanh(V h) * sigmoid(U h))), is learnt from document labels alone, and the weighted passage
-representation is scored. Training takes at most `sample` labelled rows, those of least hash, encoded on the executors, and
-of each at most `most` passages, spread evenly over the whole text, so the driver, which trains by numpy, gets a bounded
-number of rows of bounded size. Scores take all passages of whole texts, in Arrow batches with the weights alone broadcast.
+A text is a bag of passages of PASSAGE words. Every passage is encoded: hashed words, pairs of words and word endings have
+learnt embeddings, whose mean, with that of some rates, is a passage's representation h. Gated attention,
+softmax(w . (tanh(V h) * sigmoid(U h))), is learnt from document labels alone, and the weighted passage representation is
+scored. Training takes a sample of labelled rows, those of least hash: at most `sample` rows and, with all their passages, at most
+`budget` of these; the first row that would go beyond is where the sample ends (the first row always counts). They are encoded on the
+executors, so the driver, which trains by numpy, gets a bounded number of bounded rows. budget=None: rows alone are bounded.
+Scores take all passages of whole texts, in Arrow batches with the weights alone broadcast.
 
 Null and empty texts are one empty passage and get a score too. Labels that are null don't train, and rows of held-out ids
 never do; without any label, or with one class only, the score is the share of label 1 (0.5 without labels). Repeated
@@ -23,26 +25,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import WORD, by_bytes, narrow
+from corpuscle.llm.common import WORD, by_bytes, hold_cache, materialize, narrow
 
-PASSAGE, HASHED, HIDDEN, GATE = 64, 64, 24, 12
+PASSAGE, HIDDEN, GATE = 64, 24, 12
+#: Buckets of word endings, words and pairs of words.
+ENDINGS, WORDS, PAIRS = 64, 192, 256
 SYMBOLS = frozenset("#*$%&|<>")
 STATS = 8
-WIDTH = STATS + HASHED
-SAMPLE, MOST, EPOCHS, CHARS = 3000, 64, 60, 2_000_000
+WIDTH = STATS + ENDINGS + WORDS + PAIRS
+SAMPLE, BUDGET, EPOCHS, CHARS = 3000, 40_000, 30, 2_000_000
+#: Odd multiplier that mixes the hashes of two words into a pair's.
+MIX = 0x9E3779B97F4A7C15
 
-_ENDINGS: dict[str, int] = {}
+_HASHES: dict[str, int] = {}
 
 
-def _ending(end: str) -> int:
-    """The feature of a word's last two characters; the cache is bounded."""
-    if (k := _ENDINGS.get(end)) is None:
-        if len(_ENDINGS) > 100_000:
-            _ENDINGS.clear()
-        k = _ENDINGS[end] = xxhash.xxh32_intdigest(end) % HASHED
+def _hash(text: str) -> int:
+    """A word's 64-bit hash; the cache is bounded."""
+    if (k := _HASHES.get(text)) is None:
+        if len(_HASHES) > 400_000:
+            _HASHES.clear()
+        k = _HASHES[text] = xxhash.xxh64_intdigest(text)
     return k
 
 
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """The hash of each word with the next one."""
+    with np.errstate(over="ignore"):
+        return (words[:-1] * np.uint64(MIX) ^ words[1:]) * np.uint64(MIX)
+
+
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each passage of each whole text, and the passages of each text."""
     cut = [WORD.findall(t) for t in texts]
@@ -67,9 +79,20 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         total(np.fromiter((w.isalpha() for w in words), float, len(words))) * per,
         1 - np.bincount(place[_firsts(place, words)], minlength=rows) * per,
     ]
-    ends = np.fromiter((_ending(w[-2:]) for w in words), np.int64, len(words))
-    hashed = np.bincount(place * HASHED + ends, minlength=rows * HASHED).reshape(rows, HASHED)
-    return np.c_[np.stack(stats, 1), np.sqrt(hashed * per[:, None])].astype(np.float32), bags
+    hold_cache("classifier", _HASHES.clear)
+    ends = np.fromiter((_hash(w[-2:]) for w in words), np.uint64, len(words))
+    own = np.fromiter(map(_hash, words), np.uint64, len(words))
+    # pairs within a passage
+    inside = np.flatnonzero(place[:-1] == place[1:]) if len(words) else np.zeros(0, np.int64)
+    parts = [(place, ends >> np.uint64(40), ENDINGS), (place, own >> np.uint64(40), WORDS), (place[inside], pair_hashes(own)[inside] >> np.uint64(40), PAIRS)]
+    out = np.empty((rows, WIDTH), np.float32)
+    out[:, :STATS] = np.stack(stats, 1)
+    at = STATS
+    for where, hashes, n in parts:
+        counts = np.bincount(where * n + (hashes % np.uint64(n)).astype(np.int64), minlength=rows * n).reshape(rows, n)
+        out[:, at : at + n] = np.sqrt(counts * per[:, None])
+        at += n
+    return out, bags
 
 
 def _firsts(place: np.ndarray, words: list[str]) -> np.ndarray:
@@ -148,25 +171,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """In: text, y, h. Out: the features of at most `most` passages of each text, y, h."""
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In: text, y, h. Out: the number of passages of each text and the features of all of them, y, h."""
     for batch in batches:
         at = 0
         for texts in by_bytes(batch.column(0).to_pylist(), CHARS):
             x, bags = passages(texts)
             ends = np.cumsum(bags)
-            chosen = [np.linspace(e - n, e - 1, min(n, most)).round().astype(np.int64) for e, n in zip(ends, bags, strict=True)]
-            yield pa.record_batch([pa.array([x[c].tobytes() for c in chosen], pa.binary()), batch.column(1).slice(at, len(texts)), batch.column(2).slice(at, len(texts))], names=["x", "y", "h"])
+            own = [x[e - n : e].tobytes() for e, n in zip(ends, bags, strict=True)]
+            yield pa.record_batch([pa.array(bags.astype(np.int64)), pa.array(own, pa.binary()), batch.column(1).slice(at, len(texts)), batch.column(2).slice(at, len(texts))], names=["n", "x", "y", "h"])
             at += len(texts)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", sample: int = SAMPLE, most: int = MOST) -> GatedAttention | Constant:
-    """Trains on at most sample rows of docs whose ids are labelled and not held out, and at most `most` passages of each."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", sample: int = SAMPLE, budget: int | None = BUDGET) -> GatedAttention | Constant:
+    """Trains on whole rows of docs whose ids are labelled and not held out: at most sample rows, with at most budget passages."""
     marks = narrow(labels, _id="doc_id", y=label_col).where(F.col("y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.min("y").cast("int").alias("y")).withColumn("h", F.xxhash64("_id")).orderBy("h", "_id").limit(sample)
     # at most `sample` rows of three numbers, so the documents stay where they are
     rows = narrow(docs, doc_id="doc_id", text=text_col).join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("text", "y", "h")
-    rows = rows.mapInArrow(partial(_encode, most=most), "x binary, y int, h bigint").orderBy("h", "x").limit(sample).collect()
+    rows = materialize(rows.mapInArrow(_encode, "n bigint, x binary, y int, h bigint").withColumn("k", F.md5("x")), "bags")
+    sizes = rows.select("h", "k", "n").orderBy("h", "k").limit(sample).collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    fit = len(sizes) if budget is None else max(1, int(np.searchsorted(total, budget, "right")))
+    last = F.lit(sizes[min(fit, len(sizes)) - 1]["h"]) if sizes else F.lit(0)
+    rows = rows.where(F.col("h") <= last).select("x", "y", "h", "k").orderBy("h", "k").limit(min(fit, len(sizes))).collect()
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
