@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpuscle.llm import bpe, decontamination, ngram_join, quality_rules, secret_scan
 from corpuscle.llm.common import discard, materialize
@@ -34,7 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans that look live are replaced in the texts; all documents stay."""
-    return secret_scan.redact(docs, repo_col=F.concat_ws("/", "source", "lang"))
+    return secret_scan.redact(docs, repo_col="lang")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
