@@ -19,10 +19,26 @@ def _cell(axis: str, cutoff: float) -> Column:
     return F.floor(F.col(axis) / F.lit(float(cutoff)))
 
 
-def cell_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence[str] | None = None, how: str = "inner", condition: Column | None = None, strict: bool = False) -> DataFrame:
+#: Points of the left side from which a cell is hot (and at least one in SHARE of all, so there are no more hot cells than that), and points of a part of it.
+HOT_CELL, SHARE, PART = 4096, 10_000, 1024
+DEAL = "spark.corpuscle.dealHotCells"
+
+
+def hot_cells(cells: DataFrame, on: list[str]) -> DataFrame:
+    """The hot cells of points with the columns `on`, at most SHARE of them, and the parts that each is dealt to."""
+    counts = cells.groupBy(*on).agg(F.count("*").alias("n"))
+    total = counts.agg((F.sum("n") / F.lit(SHARE)).alias("_least"))
+    large = counts.where(F.col("n") >= HOT_CELL).crossJoin(F.broadcast(total))  # of one row
+    return large.where(F.col("n") >= F.col("_least")).select(*on, F.ceil(F.col("n") / PART).cast("int").alias("_parts"))
+
+
+def cell_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence[str] | None = None, how: str = "inner", condition: Column | None = None, strict: bool = False, deal: bool | None = None) -> DataFrame:
     """Pairs of left and right within cutoff (inclusive, or strictly).
 
     Columns of left are named l_<name>, of right r_<name>; keys keep theirs, and d2 is the squared distance (inner).
+    deal: the cells of left are counted first, and the points of a hot one, as models filled with zeros have, are dealt to parts
+    that each meet its neighbours, so that no task has them all. It costs an aggregation and changes no result; where it isn't given, the
+    session's setting spark.corpuscle.dealHotCells tells (false if unset), so that all operators can be told at once.
     """
     keys = m.keys(left, right) if keys is None else list(keys)
     own = [c for c in left.columns if c not in keys]
@@ -31,6 +47,14 @@ def cell_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence[s
     steps = F.array(*(F.struct(*(F.lit(s).alias(n) for n, s in zip("abc", (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     b = right.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(c).alias(f"r_{c}") for c in other), *(_cell(c, cutoff).alias(f"_b{c}") for c in "xyz"), F.explode(steps).alias("_s"))
     b = b.select("*", *((F.col(f"_b{c}") + F.col(f"_s.{s}")).alias(f"_n{c}") for c, s in zip("xyz", "abc", strict=True))).drop("_s", "_bx", "_by", "_bz")
+    parts = []
+    if deal if deal is not None else left.sparkSession.conf.get(DEAL, "false") == "true":
+        at = [f"_c{c}" for c in "xyz"]
+        hot = hot_cells(a.select(*keys, *at), [*keys, *at])
+        a = a.join(F.broadcast(hot), [*keys, *at], "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*(f"l_{c}" for c in own)), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+        near = hot.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(f"_c{c}").alias(f"_n{c}") for c in "xyz"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_deal"))
+        b = b.join(F.broadcast(near), [*(f"_k_{k}" for k in keys), *(f"_n{c}" for c in "xyz")], "left").withColumn("_deal", F.coalesce("_deal", F.lit(0)))
+        parts = [F.col("_part") == F.col("_deal")]
     dx, dy, dz = (F.col(f"l_{c}") - F.col(f"r_{c}") for c in "xyz")
     d2 = dx * dx + dy * dy + dz * dz
     limit = F.lit(float(cutoff) * float(cutoff))
@@ -39,6 +63,8 @@ def cell_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence[s
         on = on & (F.col(k) == F.col(f"_k_{k}"))
     for c in "xyz":
         on = on & (F.col(f"_c{c}") == F.col(f"_n{c}"))
+    for p in parts:
+        on = on & p
     if condition is not None:
         on = on & condition
     out = a.join(b, on, how)
