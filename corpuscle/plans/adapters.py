@@ -60,6 +60,33 @@ def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+#: Elements of a part's chain, by its key.
+CHAIN = ("C", "N", "O", "C", "S")
+
+
+def ring_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SDF records, a molecule a part: a ring of six carbon atoms, its double bonds drawn one way or the other, a chain of one to four atoms at one and a halogen at another."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    n = (F.col("k") % 4 + 1).cast("int")
+    chain = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.element_at(F.array(*map(F.lit, CHAIN)), ((F.floor(F.col("k") / 4) + c) % 5 + 1).cast("int")))
+    elements = F.concat(F.array(*[F.lit("C")] * 6), chain, F.array(F.when(F.col("k") % 3 == 0, "F").when(F.col("k") % 3 == 1, "Cl").otherwise("Br")))
+    atoms = F.transform(elements, lambda e, i: F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", i.cast("double"), (F.col("k") % 10).cast("double"), F.lit(0.0), e))
+    bond = lambda i, j, o: F.format_string("%3d%3d%3d", i.cast("int"), j.cast("int"), o.cast("int"))
+    ring = F.array(*(bond(F.lit(i + 1), F.lit((i + 1) % 6 + 1), F.lit(1) + (F.col("k") + i) % 2) for i in range(6)))
+    line = F.transform(F.sequence(F.lit(0), n - 1), lambda c: bond(F.when(c == 0, 1).otherwise(c + 6), c + 7, F.lit(1)))
+    bonds = F.concat(ring, line, F.array(bond(F.col("k") % 5 + 2, n + 7, F.lit(1))))
+    counts = F.format_string("%3d%3d  0  0  0  0            999 V2000", F.size(elements), F.size(bonds))
+    return part.select("k", F.concat_ws("\n", F.format_string("part%d\n\n", F.col("k")), counts, F.array_join(atoms, "\n"), F.array_join(bonds, "\n"), F.lit("M  END"), F.lit("$$$$")).alias("value"))
+
+
+#: The same as tables a (mol, idx, element, hydrogens) and b (mol, i, j, o, ring).
+RING_SQL = (
+    f"p AS (SELECT p_partkey AS k, p_partkey % 4 + 1 AS n FROM part), e AS (SELECT k, c - 1 AS idx, 'C' AS element FROM p, range(1, 7) r(c) UNION ALL SELECT k, 6 + c, {_sql_list(CHAIN)}[(k // 4 + c) % 5 + 1] FROM p, range(0, 4) r(c) WHERE c < n "
+    "UNION ALL SELECT k, 6 + n, ['F', 'CL', 'BR'][k % 3 + 1] FROM p), b AS (SELECT k, c AS i, (c + 1) % 6 AS j, 1 + (k + c) % 2 AS o, true AS ring FROM p, range(0, 6) r(c) "
+    "UNION ALL SELECT k, CASE c WHEN 0 THEN 0 ELSE c + 5 END, c + 6, 1, false FROM p, range(0, 4) r(c) WHERE c < n UNION ALL SELECT k, k % 5 + 1, 6 + n, 1, false FROM p), "
+    "d AS (SELECT k, idx, o, other FROM (SELECT k, i AS idx, j AS other, o FROM b UNION ALL SELECT k, j, i, o FROM b)), v AS (SELECT k, idx, sum(o) AS used, count(*) AS degree FROM d GROUP BY ALL), "
+    "a AS (SELECT e.k, e.idx, e.element, (CASE e.element WHEN 'C' THEN 4 WHEN 'N' THEN 3 WHEN 'O' THEN 2 WHEN 'S' THEN 2 ELSE 1 END - used)::INT AS hydrogens, degree, e.idx < 6 AS ring FROM e JOIN v USING (k, idx))"
+)
 EMB_SQL = (
     "emb_atoms(idx, residue_id, chain_id, resname, name, element, type_id) AS (VALUES "
     + ", ".join(f"({i}::BIGINT, {r}, '{c}', '{res}', '{n}', '{e}', {ATOMIC_NUMBER[e]})" for i, r, c, res, n, e in EMB_ATOMS)

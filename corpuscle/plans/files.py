@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle import model as m
-from corpuscle.operators import interactions, residues, spatial, trajectory
+from corpuscle.operators import bondgraph, interactions, residues, spatial, trajectory
 from corpuscle.operators.trajectory import pack_frames
-from corpuscle.plans.adapters import EMB_SQL, PART_SQL, embeddings_system, part_system
-from corpuscle.sources import binary, binary_sinks, formats, sinks
+from corpuscle.plans.adapters import EMB_SQL, PART_SQL, RING_SQL, embeddings_system, part_system, ring_molecules
+from corpuscle.sources import binary, binary_sinks, datasource, formats, sinks
 from corpuscle.sources.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,47 @@ QUERIES["read_mdcrd"] = _mdcrd
 ORACLE_SQL["read_mdcrd"] = f"WITH {EMB_SQL} SELECT frame, idx, " + ", ".join(f"printf('%.3f', {c})::DOUBLE + 0e0 AS {c}" for c in "xyz") + " FROM s"
 
 
+def _molecules(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The operator over molecules that are written as SDF records and read in ranges; k is the number in a record's name."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_path(spark, "molecules.sdf")
+        ring_molecules(spark, sf_dir).select("value").write.text(path)
+        rows = datasource.read_molecules(spark, path, 64 << 10)
+        rows = rows.select("path", F.regexp_extract("name", r"(\d+)", 1).cast("bigint").alias("mol"), "name", "atoms", "bonds")
+        return operator(bondgraph.heavy(rows)).drop("path").withColumnRenamed("mol", "k")
+
+    return query
+
+
+def _bits(radius: int = 2) -> str:
+    """SQL of fingerprints() over the tables of RING_SQL."""
+    steps = ["h0 AS (SELECT k, idx, md5(concat_ws(',', element, '0', hydrogens, ring::INT, degree)) AS h FROM a)"]
+    steps += [f"h{r} AS (SELECT x.k, x.idx, md5(any_value(x.h) || string_agg(d.o || y.h, '' ORDER BY d.o || y.h)) AS h FROM h{r - 1} x JOIN d USING (k, idx) JOIN h{r - 1} y ON y.k = x.k AND y.idx = d.other GROUP BY x.k, x.idx)" for r in range(1, radius + 1)]
+    every = " UNION ALL ".join(f"SELECT k, h FROM h{r}" for r in range(radius + 1))
+    return f"WITH {RING_SQL}, {', '.join(steps)}, f AS (SELECT DISTINCT k, ('0x' || substr(h, 1, 8))::BIGINT % 2048 AS bit FROM ({every}))"
+
+
+_NUMBERS = ("MolWt", "HeavyAtomCount", "NumHDonors", "NumHeteroatoms", "FractionCSP3", "NumValenceElectrons", "NumRotatableBonds", "NumAromaticAtoms", "RingCount")
+QUERIES["molecule_descriptors"] = _molecules(lambda h: bondgraph.descriptors(h).select("path", "mol", F.round("MolWt", 3).alias("MolWt"), *(F.col(c).cast("bigint").alias(c) if c != "FractionCSP3" else F.round(c, 6).alias(c) for c in _NUMBERS[1:])))
+_OF = lambda table: "CASE element " + " ".join(f"WHEN '{e}' THEN {v}" for e, v in table.items()) + " END"
+ORACLE_SQL["molecule_descriptors"] = f"""WITH {RING_SQL}, t AS (SELECT b.k, count(*) AS turns FROM b JOIN v x ON x.k = b.k AND x.idx = b.i JOIN v y ON y.k = b.k AND y.idx = b.j WHERE NOT ring AND x.degree > 1 AND y.degree > 1 GROUP BY b.k)
+SELECT k, round(sum({_OF(bondgraph.MASS)} + hydrogens * 1.008e0), 3) AS MolWt, count(*) AS HeavyAtomCount, count(CASE WHEN element = 'N' AND hydrogens > 0 OR element IN ('O', 'S') AND hydrogens = 1 THEN 1 END) AS NumHDonors,
+  count(CASE WHEN element <> 'C' THEN 1 END) AS NumHeteroatoms, round(count(CASE WHEN element = 'C' AND NOT ring THEN 1 END) / count(CASE WHEN element = 'C' THEN 1 END)::DOUBLE, 6) AS FractionCSP3,
+  sum({_OF(bondgraph.OUTER)} + hydrogens)::BIGINT AS NumValenceElectrons, coalesce(any_value(turns), 0) AS NumRotatableBonds, 6::BIGINT AS NumAromaticAtoms, 1::BIGINT AS RingCount FROM a LEFT JOIN t USING (k) GROUP BY k"""
+QUERIES["fingerprint_bits"] = _molecules(lambda h: bondgraph.fingerprints(h).select("path", "mol", F.explode(F.col("bits").cast("array<bigint>")).alias("bit")))
+ORACLE_SQL["fingerprint_bits"] = f"{_bits()} SELECT k, bit FROM f"
+QUERIES["fingerprint_similarity"] = _molecules(lambda h: bondgraph.tanimoto(p := bondgraph.fingerprints(h), p.where("mol % 100 = 0"), 0.6).select("mol_a", "mol_b", F.round("similarity", 6).alias("similarity")))
+ORACLE_SQL["fingerprint_similarity"] = f"{_bits()}, n AS (SELECT k, count(*) AS n FROM f GROUP BY k) SELECT mol_a, mol_b, round(s, 6) AS similarity FROM (SELECT x.k AS mol_a, y.k AS mol_b, count(*) / (any_value(nx.n) + any_value(ny.n) - count(*))::DOUBLE AS s FROM f x JOIN f y USING (bit) JOIN n nx ON nx.k = x.k JOIN n ny ON ny.k = y.k WHERE x.k % 100 = 0 GROUP BY x.k, y.k) WHERE s >= 0.6e0"
+# two parts are one molecule if their chains and halogens are the same, and these stand as far apart on the ring, either way round
+ORACLE_SQL["molecule_names"] = "SELECT count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_partkey % 4, p_partkey // 4 % 5, p_partkey % 3, least(p_partkey % 5, 4 - p_partkey % 5)"
+QUERIES["molecule_names"] = _molecules(lambda h: bondgraph.names(h).groupBy("smiles").agg(F.count("*").alias("n"), F.min("mol").alias("first")).drop("smiles"))
+QUERIES["molecule_cuts"] = _molecules(lambda h: bondgraph.fragments(h).groupBy("mol").agg(F.count("*").alias("cuts"), F.min("group_heavy").cast("bigint").alias("least"), F.max("group_heavy").cast("bigint").alias("most")))
+ORACLE_SQL["molecule_cuts"] = f"WITH {RING_SQL}, c AS (SELECT b.k, b.j, n, idx FROM b JOIN p USING (k) JOIN a x ON x.k = b.k AND x.idx = b.i JOIN (SELECT k, idx AS at, element FROM a) y ON y.k = b.k AND y.at = b.j WHERE NOT b.ring AND (x.element = 'C' OR y.element = 'C')) SELECT k, 2 * count(*) AS cuts, min(CASE WHEN j = 6 + n THEN 1 ELSE 6 + n - j END) AS least, max(7 + n - CASE WHEN j = 6 + n THEN 1 ELSE 6 + n - j END) AS most FROM c GROUP BY k"
+QUERIES["torsion_lines"] = _molecules(lambda h: bondgraph.torsion_lines(h).where("line LIKE 'TORSDOF%' OR line LIKE 'ATOM%'").groupBy("mol").agg(F.max(F.when(F.col("line").startswith("TORSDOF"), F.substring("line", 9, 9).cast("bigint"))).alias("torsions"), F.count(F.when(F.col("line").startswith("ATOM"), 1)).alias("atoms")))
+ORACLE_SQL["torsion_lines"] = f"WITH {RING_SQL} SELECT k, (SELECT count(*) FROM b JOIN v x ON x.k = b.k AND x.idx = b.i JOIN v y ON y.k = b.k AND y.idx = b.j WHERE b.k = p.k AND NOT ring AND x.degree > 1 AND y.degree > 1) AS torsions, 7 + n AS atoms FROM p"
+
+
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "files.lammpstrj")
     sinks.write_frames(sinks.dump_frames(embeddings_system(spark, sf_dir), 25.0), path, FRAMES)
