@@ -303,7 +303,12 @@ def fit_frames(positions: DataFrame, kind: str = "ridge") -> DataFrame:
 
 
 def align(a: str, b: str, local: bool = False, match: float = 2, mismatch: float = -1, gap_open: float = -0.5, gap_extend: float = -0.1) -> tuple[float, str, str]:
-    """Score and aligned strings with affine gaps; ties prefer the diagonal, then a gap in b, then one in a."""
+    """Score and aligned strings with affine gaps; ties prefer the diagonal, then a gap in b, then one in a.
+
+    Rows are computed whole: what a gap along a row costs is a running maximum. Opening a gap must cost at least as much as extending one.
+    """
+    if gap_open > gap_extend:
+        raise ValueError("opening a gap costs less than extending one")
     n, k = len(a), len(b)
     low = -1e18
     best, up, left = np.full((n + 1, k + 1), low), np.full((n + 1, k + 1), low), np.full((n + 1, k + 1), low)
@@ -314,12 +319,16 @@ def align(a: str, b: str, local: bool = False, match: float = 2, mismatch: float
     for j in range(1, k + 1):
         left[0, j] = gap_open + (j - 1) * gap_extend
         best[0, j] = 0 if local else left[0, j]
+    text, steps = np.frombuffer(b.encode("utf-32-le"), np.uint32), np.arange(k + 1) * gap_extend
     for i in range(1, n + 1):
-        for j in range(1, k + 1):
-            up[i, j] = max(best[i - 1, j] + gap_open, up[i - 1, j] + gap_extend)
-            left[i, j] = max(best[i, j - 1] + gap_open, left[i, j - 1] + gap_extend)
-            best[i, j] = max(best[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), up[i, j], left[i, j], *([0] if local else []))
-    i, j = np.unravel_index(int(np.argmax(best)), best.shape) if local else (n, k)
+        # a gap that another gap in the same row would open anew costs more, so the greatest opening so far is enough
+        up[i, 1:] = np.maximum(best[i - 1, 1:] + gap_open, up[i - 1, 1:] + gap_extend)
+        row = np.maximum(best[i - 1, :-1] + np.where(text == ord(a[i - 1]), match, mismatch), up[i, 1:])
+        row = np.maximum(row, 0) if local else row
+        best[i, 1:] = row
+        left[i, 1:] = np.maximum.accumulate(best[i, :-1] - steps[:-1]) + (gap_open - gap_extend) + steps[1:]
+        best[i, 1:] = np.maximum(row, left[i, 1:])
+    i, j = np.unravel_index(int(np.argmax(best.round(9))), best.shape) if local else (n, k)
     score, x, y, at = float(best[i, j]), [], [], "best"
     while i or j:
         if at == "best":

@@ -159,7 +159,10 @@ _RING = lambda side: f"(SELECT frame, residue_id AS idx, avg(x) AS x, avg(y) AS
 _PI = f"pi AS (SELECT a.frame, a.idx AS i, b.idx AS j, {D} AS distance FROM {_RING('in_a')} a JOIN {_RING('in_b')} b ON a.frame = b.frame WHERE {D2} <= 5.5e0 * 5.5e0)"
 _everyone = lambda s: s.withColumn("in_a", F.col("idx") < 11).withColumn("in_b", F.col("idx") >= 11).withColumn("resname", F.lit("PHE")).withColumn("residue_id", F.floor(F.col("idx") / 6).cast("int"))
 _SHIFTED = "t AS (SELECT frame, idx, element, x, y, z, idx < 11 AS in_a, idx >= 11 AS in_b, 'PHE' AS resname, (idx // 6)::INT AS residue_id FROM s)"
-_emb("pi_stacks", lambda s: _out(interactions.pi_stacks)(_everyone(s)), f", {_SHIFTED}, {_PI.replace('FROM s WHERE', 'FROM t WHERE')} SELECT frame, i, j, round(distance, 4) AS distance FROM pi")
+# every seven atoms are a residue here, so that there are rings
+_stacked = lambda s: s.withColumn("in_a", F.col("idx") < 7).withColumn("in_b", F.col("idx") >= 7).withColumn("resname", F.lit("PHE")).withColumn("residue_id", F.floor(F.col("idx") / 7).cast("int"))
+_SHIFTED = _SHIFTED.replace("< 11", "< 7").replace(">= 11", ">= 7").replace("idx // 6", "idx // 7")
+_emb("pi_stacks", lambda s: _out(interactions.pi_stacks)(_stacked(s)), f", {_SHIFTED}, {_PI.replace('FROM s WHERE', 'FROM t WHERE')} SELECT frame, i, j, round(distance, 4) AS distance FROM pi")
 _ALL = f"{_HB_ALL}, {_SALT}, {_CLASH}, {_HYDRO}, {_HALO}, {_PI}, kinds AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, frame FROM {k}" for k in interactions.KINDS) + ")"
 _emb("interaction_counts", interactions.interaction_counts, f", {_ALL} SELECT f.frame, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS {k}" for k in interactions.KINDS) + ", count(kind) AS total FROM (SELECT DISTINCT frame FROM s) f LEFT JOIN kinds USING (frame) GROUP BY f.frame")
 _emb("interaction_summary", interactions.interaction_summary, f", {_ALL} SELECT kind, count(*) AS n FROM kinds GROUP BY kind")
@@ -209,7 +212,7 @@ _part("hydropathy", lambda s: s.groupBy("residue_id").agg(_r(F.avg(m.lookup(m.HY
 _PH = "p AS (SELECT frame, 'donor' AS kind, idx::VARCHAR AS key, x, y, z, 1 AS n FROM s WHERE element IN ('N', 'S') UNION ALL SELECT frame, 'acceptor', idx::VARCHAR, x, y, z, 1 FROM s WHERE element IN ('N', 'O', 'S', 'F')" + "".join(f" UNION ALL SELECT frame, '{k}', chain_id || ':' || residue_id, avg(x), avg(y), avg(z), count(*) FROM s WHERE {w} GROUP BY frame, chain_id, residue_id" for k, w in (("positive", f"resname IN {_in(m.POSITIVE)}"), ("negative", f"resname IN {_in(m.NEGATIVE)}"), ("aromatic", f"resname IN {_in(m.AROMATIC[:-1])} AND element IN ('C', 'N')"))) + ")"
 _emb("pharmacophore_points", lambda s: grids.pharmacophore(s).select("frame", "kind", "key", *(_r(c, c) for c in "xyz"), "n"), f", {_PH} SELECT frame, kind, key, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, n::BIGINT AS n FROM p")
 _emb("pharmacophore_counts", lambda s: grids.pharmacophore(s).groupBy("kind").agg(F.count("*").alias("n")), f", {_PH} SELECT kind, count(*) AS n FROM p GROUP BY 1")
-_emb("hydrophobic_regions", lambda s: grids.hydrophobic_regions(s).select("frame", "root", "n", _r("radius", "radius"), _r("x", "x")), f", RECURSIVE_REACH SELECT frame, root, count(*) AS n, round(greatest(1.5e0, count(*) * 0.3e0), 4) AS radius, round(avg(x), 4) AS x FROM (SELECT f AS frame, b AS idx, min(a) AS root FROM reach GROUP BY f, b) JOIN s USING (frame, idx) GROUP BY frame, root")
+_emb("hydrophobic_regions", lambda s: grids.hydrophobic_regions(s).select("frame", "root", "n", _r("radius", "radius"), *(_r(c, c) for c in "xyz")), f", RECURSIVE_REACH SELECT frame, root, count(*) AS n, round(greatest(1.5e0, count(*) * 0.3e0), 4) AS radius, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM (SELECT f AS frame, b AS idx, min(a) AS root FROM reach GROUP BY f, b) JOIN s USING (frame, idx) GROUP BY frame, root")
 ORACLE_SQL["hydrophobic_regions"] = ORACLE_SQL["hydrophobic_regions"].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_REACH", f"near AS (SELECT a.frame AS f, a.idx AS a, b.idx AS b FROM s a JOIN s b ON a.frame = b.frame WHERE a.element IN ('C', 'S') AND b.element IN ('C', 'S') AND {D2} < 16e0), reach(f, a, b) AS (SELECT frame, idx, idx FROM s WHERE element IN ('C', 'S') UNION SELECT r.f, r.a, n.b FROM reach r JOIN near n ON n.f = r.f AND n.a = r.b)")
 
 # editing
@@ -220,8 +223,9 @@ _CAP = lambda of, away, end, step, res, atom: f"SELECT frame, chain_id, ({end} {
 _emb("cap_termini", lambda s: edit.cap_termini(s).select("frame", "chain_id", "residue_id", "resname", "name", *(_r(c, c) for c in "xyz")), f", ends AS (SELECT frame, chain_id, min(residue_id) AS first_id, max(residue_id) AS last_id FROM s GROUP BY 1, 2) {_CAP('p', 'q', 'first_id', '- 1', 'ACE', 'CH3')} UNION ALL {_CAP('p', 'q', 'last_id', '+ 1', 'NME', 'N')}")
 _GRID = "b AS (SELECT frame, " + ", ".join(f"min({c}) AS lo{c}, greatest(1, floor((max({c}) - min({c}) + 20) / 3.1e0))::BIGINT AS n{c}" for c in "xyz") + " FROM s GROUP BY frame), gr AS (SELECT frame, ix, iy, iz, " + ", ".join(f"lo{c} - 10 + (i{c} + 0.5e0) * 3.1e0 AS {c}" for c in "xyz") + " FROM b, " + ", ".join(f"unnest(range(n{c})) t{c}(i{c})" for c in "xyz") + ")"
 _FREE = "gr a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.frame = b.frame AND b.element <> 'H' AND {D2} < 2.4e0 * 2.4e0)".replace("{D2}", D2)
-_emb("water_sites", lambda s: edit.water_sites(s).select("frame", "ix", "iy", "iz"), f", {_GRID} SELECT frame, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM {_FREE}")
-_emb("water_box", lambda s: edit.water_box(s).groupBy("frame", "name").agg(F.count("*").alias("n"), _r(F.avg("x"), "x")), f", {_GRID}, w AS (SELECT frame, x FROM {_FREE} QUALIFY row_number() OVER (PARTITION BY frame ORDER BY ix, iy, iz) <= 10000) SELECT frame, name, count(*) AS n, round(avg(x + dx), 4) AS x FROM w, (VALUES ('OW', 0e0), ('HW1', 0.957e0), ('HW2', -0.239e0)) v(name, dx) GROUP BY 1, 2")
+_emb("water_sites", lambda s: edit.water_sites(s).select("frame", "ix", "iy", "iz", *(_r(c, c) for c in "xyz")), f", {_GRID} SELECT frame, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, " + ", ".join(f"round({c}, 4) AS {c}" for c in "xyz") + f" FROM {_FREE}")
+_emb("water_box", lambda s: edit.water_box(s).groupBy("frame", "name").agg(F.count("*").alias("n"), *(_r(F.avg(c), c) for c in "xyz"), F.sum("residue_id").alias("numbers")),
+    f", {_GRID}, w AS (SELECT frame, x, y, z, row_number() OVER (PARTITION BY frame ORDER BY ix, iy, iz) AS r FROM {_FREE} QUALIFY r <= 10000) SELECT frame, name, count(*) AS n, round(avg(x + dx), 4) AS x, round(avg(y + dy), 4) AS y, round(avg(z), 4) AS z, sum(r)::BIGINT AS numbers FROM w, (VALUES ('OW', 0e0, 0e0), ('HW1', 0.957e0, 0e0), ('HW2', -0.239e0, 0.927e0)) v(name, dx, dy) GROUP BY 1, 2")
 # each scanned residue's frame twice, as it is and cut to ALA (both have their beta carbon); counted whole, not by neighbourhood
 _VARIANTS = "s AS (SELECT s0.* REPLACE (s0.frame * 100 + k.rid * 2 + k.cut AS frame) FROM s0 CROSS JOIN (VALUES (1, 0), (1, 1), (3, 0), (3, 1)) k(rid, cut) WHERE k.cut = 0 OR s0.residue_id <> k.rid OR s0.name IN ('N', 'CA', 'C', 'O', 'OXT', 'CB'))"
 _LOST = "lo AS (SELECT frame // 100 AS frame, frame % 100 // 2 AS residue_id, " + ", ".join(f"sum(CASE WHEN kind = '{k}' THEN 1 - frame % 2 * 2 ELSE 0 END)::BIGINT AS {k}" for k in ("hb", "hy", "cl")) + " FROM (SELECT frame, 'hb' AS kind FROM hbonds UNION ALL SELECT frame, 'hy' FROM hydrophobic UNION ALL SELECT frame, 'cl' FROM clashes) GROUP BY 1, 2)"
@@ -303,3 +307,18 @@ ORACLE_SQL["diverse_conformers"] = "WITH RECURSIVE c AS (SELECT vec_id // 50 AS
 # readers and writers
 QUERIES.update(files.QUERIES)
 ORACLE_SQL.update(files.ORACLE_SQL)
+
+# a beta carbon for a residue without one: outward of the backbone, as the mutation places it
+_bare = lambda s: s.where("NOT (residue_id = 2 AND name = 'CB')")
+_VECTORS = ["w AS (SELECT n.frame, " + ", ".join(f"a.{c} AS a{c}, n.{c} - a.{c} AS n{c}, c.{c} - a.{c} AS c{c}" for c in "xyz") + " FROM s n JOIN s a ON a.frame = n.frame AND a.residue_id = 2 AND a.name = 'CA' JOIN s c ON c.frame = n.frame AND c.residue_id = 2 AND c.name = 'C' WHERE n.residue_id = 2 AND n.name = 'N')"]
+_length = lambda v: f"sqrt({v}x * {v}x + {v}y * {v}y + {v}z * {v}z)"
+_VECTORS.append(f"u AS (SELECT *, {', '.join(f'n{c} / {_length(chr(110))} AS u{c}, c{c} / {_length(chr(99))} AS v{c}' for c in 'xyz')} FROM w)")
+_VECTORS.append("o AS (SELECT *, " + ", ".join(f"-(u{c} + v{c}) AS o{c}" for c in "xyz") + ", uy * vz - uz * vy AS px, uz * vx - ux * vz AS py, ux * vy - uy * vx AS pz FROM u)")
+_VECTORS.append(f"q AS (SELECT *, {', '.join(f'0.58e0 * o{c} / {_length(chr(111))} + 0.82e0 * p{c} / {_length(chr(112))} AS q{c}' for c in 'xyz')} FROM o)")
+_emb(
+    "mutate_to_alanine",
+    lambda s: edit.mutate_residue(_bare(s), 2, "ALA").where("residue_id = 2").select("frame", "name", "resname", *(_r(c, c) for c in "xyz")),
+    f", {', '.join(_VECTORS)} SELECT frame, name, 'ALA' AS resname, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM s WHERE residue_id = 2 AND name <> 'CB' UNION ALL SELECT frame, 'CB', 'ALA', "
+    + ", ".join(f"round(a{c} + 1.52e0 * q{c} / {_length('q')}, 4)" for c in "xyz")
+    + " FROM q",
+)
