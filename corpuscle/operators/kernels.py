@@ -61,16 +61,17 @@ class SupportVectorModel(Model):
 
 
 class SupportVectorRegressor(Estimator):
-    """Fits y by the vector x. Training takes at most `most` rows, those of least hash, as its kernel is quadratic in them;
-    predictions take all rows. gamma is one over the features times the variance of all their values."""
+    """Fits y by the vector x. Training takes at most `most` rows, those of least hash, as its kernel is quadratic in them and is solved on the
+    driver; most=None takes all. Predictions take all rows. gamma is one over the features times the variance of all their values."""
 
-    def __init__(self, c: float = 1.0, epsilon: float = 0.1, most: int = 2000):
+    def __init__(self, c: float = 1.0, epsilon: float = 0.1, most: int | None = 2000):
         super().__init__()
         self.c, self.epsilon, self.most = c, epsilon, most
 
     def _fit(self, dataset: DataFrame) -> SupportVectorModel:
         rows = dataset.select(vector_to_array("x").alias("x"), "y")
-        rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(self.most).collect()
+        rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y")
+        rows = (rows if self.most is None else rows.limit(self.most)).collect()
         if not rows:
             raise ValueError("no rows to fit")
         x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])

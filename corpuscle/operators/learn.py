@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle import model as m
@@ -240,12 +240,19 @@ def ward_frames(positions: DataFrame, k: int = 5, group: int = WARD_GROUP, align
     return labels.select(F.col("into").cast(kind).alias("frame"), "cluster")
 
 
-def fit_model(rows: DataFrame, features: list[str], label: str, order: str, kind: str = "ridge", alpha: float = 1.0, folds: int = 5, seed: int = 42) -> tuple[Pipeline, dict[str, float]]:
+def _features(features: list[str] | str) -> Column:
+    """The features as one array column."""
+    return F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(c).cast("double") for c in features))
+
+
+def fit_model(rows: DataFrame, features: list[str] | str, label: str, order: str, kind: str = "ridge", alpha: float = 1.0, folds: int = 5, seed: int = 42, most: int | None = 2000) -> tuple[Pipeline, dict[str, float]]:
     """A ridge, forest or svr (radial support vectors) model on standardised features, with training R2 and the mean R2 and RMSE over contiguous folds.
 
-    Folds are runs of rows by the integer column `order`, equal but for one row. Rows with a missing value don't count.
+    features: names of columns, or of one array column of numbers. Folds are runs of rows by the integer column `order`, equal but
+    for one row. Rows with a missing value don't count. most: rows that support vectors are trained on, all of them if None.
     """
-    rows = reindex(rows.dropna(subset=[*features, label, order]).select(F.array(*(F.col(c).cast("double") for c in features)).alias("f"), F.col(label).cast("double").alias("y"), F.col(order).cast("long").alias("idx")))
+    rows = rows.select(_features(features).alias("f"), label, order)
+    rows = reindex(rows.where(F.col("f").isNotNull() & ~F.exists("f", lambda x: x.isNull() | F.isnan(x))).dropna(subset=[label, order]).select("f", F.col(label).cast("double").alias("y"), F.col(order).cast("long").alias("idx")))
     rows = materialize(rows.select(array_to_vector("f").alias("raw"), "y", "new_idx"), "rows")
     n = rows.count()
     if n < 5:
@@ -257,7 +264,7 @@ def fit_model(rows: DataFrame, features: list[str], label: str, order: str, kind
     if kind == "forest":
         last = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=100, seed=seed)
     elif kind == "svr":
-        last = SupportVectorRegressor()
+        last = SupportVectorRegressor(most=most)
     else:
         last = LinearRegression(featuresCol="x", labelCol="y", regParam=alpha / n, elasticNetParam=0.0, standardization=False)
     pipeline = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="x", withMean=True), last])
@@ -267,10 +274,11 @@ def fit_model(rows: DataFrame, features: list[str], label: str, order: str, kind
     return model, {"train_r2": metric(model.transform(rows), "r2"), "cv_r2": float(np.mean([metric(h, "r2") for h in held])), "cv_rmse": float(np.mean([metric(h, "rmse") for h in held]))}
 
 
-def predict(model: PipelineModel, rows: DataFrame, features: list[str], name: str = "predicted") -> DataFrame:
+def predict(model: PipelineModel, rows: DataFrame, features: list[str] | str, name: str = "predicted") -> DataFrame:
     """rows with the model's prediction, null where a feature is missing."""
-    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in features))
-    filled = rows.withColumn("raw", array_to_vector(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features))))
+    given = _features(features)
+    known = given.isNotNull() & ~F.exists(given, lambda x: x.isNull())
+    filled = rows.withColumn("raw", array_to_vector(F.transform(given, lambda x: F.coalesce(x, F.lit(0.0)))))
     return model.transform(filled).select(*rows.columns, F.when(known, F.col("prediction")).alias(name))
 
 
@@ -295,10 +303,8 @@ def cluster_atoms(system: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
 def fit_frames(positions: DataFrame, kind: str = "ridge") -> DataFrame:
     """One row of scores: the distance of the first and the last atom from the coordinates of all atoms."""
     packed = materialize(pack_frames(positions), "packed")
-    n = packed.agg(F.max(F.size("coords"))).first()[0] or 0
     far = reduce(lambda a, b: a + b, (F.pow(F.element_at("coords", k + 1) - F.element_at("coords", k - 3), F.lit(2.0)) for k in range(3)))
-    wide = packed.select("frame", *(F.col("coords")[k].alias(f"f{k}") for k in range(n)), F.sqrt(far).alias("y"))
-    _, scores = fit_model(wide, [f"f{k}" for k in range(n)], "y", "frame", kind)
+    _, scores = fit_model(packed.select("frame", "coords", F.sqrt(far).alias("y")), "coords", "y", "frame", kind)
     return positions.sparkSession.createDataFrame([tuple(round(v, 6) for v in scores.values())], ", ".join(f"{k} double" for k in scores))
 
 

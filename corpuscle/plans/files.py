@@ -31,9 +31,9 @@ def _read(spark: SparkSession, texts: DataFrame, suffix: str, extra: tuple[str,
     return rows.select((part * frames + F.col("frame")).alias("frame"), "idx", *extra, *((F.round(c, digits) + 0.0).alias(c) for c in "xyz"))
 
 
-def _add(name: str, system: Callable, sql: str, texts: Callable[[DataFrame], DataFrame], suffix: str, extra: dict[str, str], digits: int, scale: int = 1) -> None:
+def _add(name: str, system: Callable, sql: str, texts: Callable[[DataFrame], DataFrame], suffix: str, extra: dict[str, str], digits: int, scale: int = 1, frames: int = FRAMES) -> None:
     """extra: columns of the atoms and what they are in SQL. scale: by how much written coordinates are smaller."""
-    QUERIES[name] = lambda spark, d: _read(spark, texts(system(spark, d)), suffix, tuple(extra), digits - (scale > 1))
+    QUERIES[name] = lambda spark, d: _read(spark, texts(system(spark, d)), suffix, tuple(extra), digits - (scale > 1), frames)
     written = ", ".join(f"round(printf('%.{digits}f', {c} / {scale}e0)::DOUBLE * {scale}, {digits - (scale > 1)}) + 0e0 AS {c}" for c in "xyz")
     ORACLE_SQL[name] = f"WITH {sql} SELECT frame, {_place(system)} AS idx, {', '.join(f'{v} AS {k}' for k, v in extra.items())}{', ' if extra else ''}{written} FROM s"
 
@@ -49,11 +49,15 @@ _add("read_xyz", embeddings_system, EMB_SQL, sinks.xyz_frames, ".xyz", _some("el
 _add("read_dump", embeddings_system, EMB_SQL, sinks.dump_frames, ".lammpstrj", {"id": "idx", **_some("type_id")}, 6)
 _add("read_pdb", embeddings_system, EMB_SQL, sinks.pdb_models, ".pdb", _some("element", "type_id", "name", "resname", "chain_id", "residue_id"), 3)
 _add("read_sdf", embeddings_system, EMB_SQL, sinks.sdf_records, ".sdf", _some("element", "type_id"), 4)
+#: Atoms of a frame, and so of a file of a format that holds one.
+PART_ATOMS = 500
+_part_frames = lambda spark, d: part_system(spark, d).withColumn("frame", F.floor(F.col("idx") / PART_ATOMS))
+_FRAMES_SQL = PART_SQL.replace("0::BIGINT AS frame", f"p_partkey // {PART_ATOMS} AS frame")
 # names of these atoms don't tell hydrogen or chlorine, so elements of the format without them are left out
-_add("read_gro", part_system, PART_SQL, sinks.gro_frames, ".gro", _some("name", "resname", "residue_id"), 3, 10)
-_add("read_cif", part_system, PART_SQL, sinks.cif_blocks, ".cif", {"id": "idx", **_NAMES}, 6)
-_add("read_data", part_system, PART_SQL, sinks.data_files, ".data", {"id": "idx", "type_id": "(type_id - 1)::INT", "residue_id": "residue_id::INT"}, 6)
-_add("read_mol2", part_system, PART_SQL, sinks.mol2_files, ".mol2", _some("element", "type_id", "name", "resname", "residue_id"), 6)
+_add("read_gro", _part_frames, _FRAMES_SQL, sinks.gro_frames, ".gro", _some("name", "resname", "residue_id"), 3, 10, frames=1)
+_add("read_cif", _part_frames, _FRAMES_SQL, sinks.cif_blocks, ".cif", {"id": "idx", **_NAMES}, 6, frames=1)
+_add("read_data", _part_frames, _FRAMES_SQL, sinks.data_files, ".data", {"id": "idx", "type_id": "(type_id - 1)::INT", "residue_id": "residue_id::INT"}, 6, frames=1)
+_add("read_mol2", _part_frames, _FRAMES_SQL, sinks.mol2_files, ".mol2", _some("element", "type_id", "name", "resname", "residue_id"), 6, frames=1)
 
 
 def _binary(suffix: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from corpuscle import model as m
 from corpuscle.functions import geometry as g
-from corpuscle.functions import plugins
+from corpuscle.functions import plugins, sql
 from corpuscle.functions.selection import compile_selection, index_range
 from corpuscle.operators import edit, grids, interactions, learn, molecules, residues, spatial, surface, trajectory
 from corpuscle.plans import files
 from corpuscle.plans.adapters import EMB_SQL, PART_SQL, conformers, embeddings_system, fragments, part_system
 from corpuscle.sources import simulation, sinks
+from corpuscle.sources.store import new_path
+from corpuscle.streaming import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -322,3 +324,42 @@ _emb(
     + ", ".join(f"round(a{c} + 1.52e0 * q{c} / {_length('q')}, 4)" for c in "xyz")
     + " FROM q",
 )
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fluctuations of a trajectory that arrives in eight files, two a batch, over a restart."""
+    source, out, kept = (new_path(spark, n) for n in ("arriving", "rmsf", "rmsf-state"))
+    system = embeddings_system(spark, sf_dir)
+    rows = system.select("frame", "idx", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    schema = ", ".join(f"{n} {k}" for n, k in rows.dtypes)
+    for half in (0, 1):
+        rows.where(F.col("frame") % 2 == half).repartition(4, "frame").write.mode("append").parquet(source)
+        frames.stream_rmsf(spark, source, schema, out, kept, files=2, once=True).awaitTermination()
+    return frames.latest_rmsf(spark, out).select("idx", "frames", _r("rmsf", "rmsf"))
+
+
+_add("stream_rmsf", _streamed, f"WITH {EMB_SQL} SELECT idx, count(*) AS frames, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 4) AS rmsf FROM s GROUP BY idx")
+
+
+def _by_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query in SQL over the view `particles`, with the functions that sql.register() gives."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql.register(spark)
+        return spark.sql(text, particles=embeddings_system(spark, sf_dir))
+
+    return query
+
+
+_add("sql_selection", _by_sql("SELECT frame, idx, name FROM {particles} WHERE is_backbone(name) AND NOT is_water(resname)"), f"WITH {EMB_SQL} SELECT frame, idx, name FROM s WHERE name IN ('N', 'CA', 'C', 'O') AND resname <> 'HOH'")
+_add(
+    "sql_circular_mean",
+    _by_sql("SELECT idx, round(circular_mean(degrees(atan2(y, x))), 4) AS angle FROM {particles} GROUP BY idx"),
+    f"WITH {EMB_SQL} SELECT idx, round(degrees(atan2(avg(sin(atan2(y, x))), avg(cos(atan2(y, x))))), 4) AS angle FROM s GROUP BY idx",
+)
+_CENTRED = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY frame) AS {c}" for c in "xyz")
+_add(
+    "sql_frame_shape",
+    _by_sql("SELECT frame, n, round(gyration, 4) AS gyration, round(long * long + middle * middle + short * short, 3) AS total FROM frame_shape(TABLE (SELECT frame, x, y, z FROM {particles}) PARTITION BY frame)"),
+    f"WITH {EMB_SQL} SELECT frame, count(*)::INT AS n, round(sqrt(avg(x * x + y * y + z * z)), 4) AS gyration, round(avg(x * x + y * y + z * z), 3) AS total FROM (SELECT frame, {_CENTRED} FROM s) GROUP BY frame",
+)

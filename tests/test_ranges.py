@@ -184,3 +184,13 @@ def test_names_and_patterns(tmp_path):
     assert names(f"{tmp_path}/{{a,b}}.xyz") == ["a.xyz", "b.xyz"] and names(f"{tmp_path}/part=*") == ["d.xyz"] and names(f"{tmp_path}/a.xyz") == ["a.xyz"]
     with pytest.raises(FileNotFoundError):
         ranges.list_files(f"{tmp_path}/none.xyz")
+
+
+def test_mol2_text(spark, tmp_path):
+    """Two molecules, of which the first counts, with the sections and columns of the format as it is written elsewhere."""
+    text = "# made by hand\n@<TRIPOS>MOLECULE\nethanol\n 3 2 1 0 0\nSMALL\nUSER_CHARGES\n\n@<TRIPOS>ATOM\n      1 C1         -0.0010    1.0300    2.5000 C.3     1  LIG        -0.1040\n      2 C2          1.5000    0.0000    0.0000 C.3     1  LIG         0.1450\n      3 O1          2.1000    1.2000   -0.7000 O.3     2  lig2       -0.6830\n@<TRIPOS>BOND\n     1     2     1    1\n     2     3     2    1\n@<TRIPOS>MOLECULE\nother\n 1 0\n@<TRIPOS>ATOM\n 1 N 0 0 0 N.3\n"
+    (tmp_path / "a.mol2").write_text(text)
+    data = formats.load(spark, f"{tmp_path}/a.mol2")
+    atoms = data.atoms.orderBy("idx").collect()
+    assert [(r["name"], r["element"], r["residue_id"], r["resname"], r["charge"]) for r in atoms] == [("C1", "C", 1, "LIG", -0.104), ("C2", "C", 1, "LIG", 0.145), ("O1", "O", 2, "LIG2", -0.683)]
+    assert [tuple(r)[1:] for r in data.bonds.orderBy("i").collect()] == [(0, 1), (1, 2)] and data.positions.where("idx = 0").first()["z"] == 2.5
