@@ -1,4 +1,4 @@
-"""Molecules as bond graphs: names, fragments, fingerprints, descriptors and torsion trees.
+"""Molecules as bond graphs: names, fragments, fingerprints, descriptors, torsion trees and common substructures.
 
 Input: a row a molecule with mol (and path, where several files are read), name, atoms (idx, element, charge, x, y, z) and bonds (i, j, order), as
 datasource.read_molecules() gives them. A molecule is one row, so what concerns its own graph is a small helper over Arrow
@@ -11,6 +11,7 @@ keep their row with an empty name, no bits and counts of zero; a bond to an atom
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpuscle import model as m
 from corpuscle.sources.sinks import AUTODOCK
+from corpuscle.sources.store import discard, materialize
 
 # Valences, the least that holds an atom's bonds counts; masses and outer electrons.
 VALENCES = {"B": (3,), "C": (4,), "N": (3,), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "CL": (1,), "BR": (1,), "I": (1,), "SI": (4,), "SE": (2, 4, 6)}
@@ -27,7 +29,8 @@ MASS = {"H": 1.008, "B": 10.811, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.
 OUTER = {"H": 1, "B": 3, "C": 4, "N": 5, "O": 6, "F": 7, "SI": 4, "P": 5, "S": 6, "CL": 7, "SE": 6, "BR": 7, "I": 7}
 #: Atoms whose valence falls with a positive charge; that of all others rises.
 ELECTRON_POOR = ("C", "SI")
-MARKS = {1: "", 2: "=", 3: "#", 4: ":"}
+#: How bonds are written by their order; 10 more: in a ring.
+MARKS = {1: "", 2: "=", 3: "#", 4: ":", 11: "@", 12: "=@", 13: "#@", 14: ":@"}
 HEAVY = "array<struct<idx: int, element: string, charge: int, hydrogens: int, ring: boolean, x: double, y: double, z: double>>"
 BOND = "array<struct<i: int, j: int, order: int, ring: boolean>>"
 
@@ -244,7 +247,7 @@ def names(molecules: DataFrame) -> DataFrame:
     """The canonical name of each molecule of heavy(): atoms in brackets, ring closures as %n, aromatic bonds as colons."""
 
     def work(atoms, bonds, cyclic, flat):
-        return [(canonical_name([_label(a["element"], a["charge"], a["hydrogens"]) for a in atoms], bonds),)]
+        return [(_named(tuple(_label(a["element"], a["charge"], a["hydrogens"]) for a in atoms), tuple(bonds))[0],)]
 
     return _per_molecule(molecules, work, "smiles string")
 
@@ -268,7 +271,7 @@ def fragments(molecules: DataFrame) -> DataFrame:
                 place = {a: k for k, a in enumerate(kept)}
                 labels = [_label(atoms[a]["element"], atoms[a]["charge"], atoms[a]["hydrogens"]) + "*" * (a == start) for a in kept]
                 own = [(place[x], place[y], w) for k, (x, y, w) in enumerate(bonds) if k != cut and x in place and y in place]
-                parts.append((canonical_name(labels, own), len(kept)))
+                parts.append((_named(tuple(labels), tuple(own))[0], len(kept)))
             (a, na), (b, nb) = parts
             out += [(n, a, b, nb), (n, b, a, na)]
         return sorted(set(out))
@@ -395,3 +398,63 @@ def torsion_lines(molecules: DataFrame) -> DataFrame:
         return list(enumerate(lines))
 
     return _per_molecule(molecules, work, "n int, line string")
+
+
+@lru_cache(1 << 16)
+def _named(labels: tuple[str, ...], bonds: tuple[tuple[int, int, int], ...]) -> tuple[str, bool]:
+    """The name of a graph, and whether its ring bonds are in whole rings; molecules share most of their parts."""
+    closed = ring_bonds(len(labels), list(bonds))
+    return canonical_name(list(labels), list(bonds)), all(k in closed for k, b in enumerate(bonds) if b[2] > 10)
+
+
+def _subgraph(labels: list[str], bonds: Bonds, chosen: list[int]) -> tuple[str, bool]:
+    """As _named(), of the atoms and bonds of a chosen set of bonds."""
+    place = {a: k for k, a in enumerate(sorted({x for k in chosen for x in bonds[k][:2]}))}
+    return _named(tuple(labels[a] for a in place), tuple((place[i], place[j], o) for i, j, o in (bonds[k] for k in chosen)))
+
+
+def common_substructure(molecules: DataFrame, whole_rings: bool = True) -> DataFrame:
+    """The largest connected set of bonds that all molecules of heavy() have: smarts, n_atoms, n_bonds, n_molecules, and of each molecule its keys
+    and atom_map (the atoms of one place where it has it, the least). No row if they share no bond.
+
+    Atoms match by element, bonds by order and by whether they are in a ring; whole_rings: a ring is shared as a whole or not at all.
+    Sets grow bond by bond: a level's sets are those of the level before and a neighbouring bond, each once, named alike in all
+    molecules, and only names that every molecule has grow on. A part of a shared set is shared, so none is missed; of equally
+    large ones the least name counts. The sets of a molecule are many where much of it is shared, so this is for molecules, not polymers.
+    """
+    keys = mol_keys(molecules)
+    n = molecules.count()
+    if n < 2:
+        raise ValueError("a common substructure needs two molecules at least")
+    graph = materialize(molecules.select(*keys, F.monotonically_increasing_id().alias("_m"), "atoms", "bonds"), "graphs")
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for mol, sets, (atoms, bonds, cyclic, _) in zip(batch.column("_m").to_pylist(), batch.column("sets").to_pylist(), _graphs(batch), strict=True):
+                labels = [f"[{a['element'].capitalize()}]" for a in atoms]
+                bonds = [(i, j, o + 10 * (k in cyclic)) for k, (i, j, o) in enumerate(bonds)]
+                near = neighbours(len(atoms), bonds)
+                new = {(k,) for k in range(len(bonds))} if sets is None else {tuple(sorted((*s, k))) for s in sets for b in s for x in bonds[b][:2] for _, k in near[x] if k not in s}
+                rows += [(mol, list(s), *_subgraph(labels, bonds, list(s)), sorted({x for k in s for x in bonds[k][:2]})) for s in new]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_m", "bond_set", "name", "whole", "atom_set"])
+
+    best, held = None, graph.withColumn("sets", F.lit(None).cast("array<array<int>>"))
+    while True:
+        level = materialize(held.mapInArrow(grow, "_m bigint, bond_set array<int>, name string, whole boolean, atom_set array<int>"), "level")
+        names = level.groupBy("name", "whole").agg(F.countDistinct("_m").alias("n")).where(F.col("n") == n)
+        shared = materialize(level.join(names.select("name"), "name"), "shared")
+        discard(level)
+        if shared.isEmpty():
+            break
+        good = shared.where("whole") if whole_rings else shared
+        if (first := good.agg(F.min("name")).first()[0]) is not None:
+            best = good.where(F.col("name") == first).groupBy("_m").agg(F.min(F.struct("atom_set", "bond_set")).alias("s")), first
+        held = graph.join(shared.groupBy("_m").agg(F.collect_list("bond_set").alias("sets")), "_m")
+    if best is None:
+        return graph.limit(0).select(F.lit("").alias("smarts"), *(F.lit(0).alias(c) for c in ("n_atoms", "n_bonds")), F.lit(0).cast("bigint").alias("n_molecules"), *keys, F.array().cast("array<int>").alias("atom_map"))
+    places, name = best
+    found = graph.select("_m", *keys).join(places, "_m")
+    return found.select(F.lit(name).alias("smarts"), F.size("s.atom_set").alias("n_atoms"), F.size("s.bond_set").alias("n_bonds"), F.lit(n).cast("bigint").alias("n_molecules"), *keys, F.col("s.atom_set").alias("atom_map"))

@@ -130,6 +130,9 @@ ORACLE_SQL["molecule_names"] = "SELECT count(*) AS n, min(p_partkey) AS first FR
 QUERIES["molecule_names"] = _molecules(lambda h: bondgraph.names(h).groupBy("smiles").agg(F.count("*").alias("n"), F.min("mol").alias("first")).drop("smiles"))
 QUERIES["molecule_cuts"] = _molecules(lambda h: bondgraph.fragments(h).groupBy("mol").agg(F.count("*").alias("cuts"), F.min("group_heavy").cast("bigint").alias("least"), F.max("group_heavy").cast("bigint").alias("most")))
 ORACLE_SQL["molecule_cuts"] = f"WITH {RING_SQL}, c AS (SELECT b.k, b.j, n, idx FROM b JOIN p USING (k) JOIN a x ON x.k = b.k AND x.idx = b.i JOIN (SELECT k, idx AS at, element FROM a) y ON y.k = b.k AND y.at = b.j WHERE NOT b.ring AND (x.element = 'C' OR y.element = 'C')) SELECT k, 2 * count(*) AS cuts, min(CASE WHEN j = 6 + n THEN 1 ELSE 6 + n - j END) AS least, max(7 + n - CASE WHEN j = 6 + n THEN 1 ELSE 6 + n - j END) AS most FROM c GROUP BY k"
+QUERIES["common_substructure"] = _molecules(lambda h: bondgraph.common_substructure(h).select("path", "mol", F.col("n_atoms").cast("bigint").alias("n_atoms"), F.col("n_bonds").cast("bigint").alias("n_bonds"), "n_molecules", F.element_at("atom_map", -1).cast("bigint").alias("last")))
+# chains begin with any element, so all molecules share the ring alone
+ORACLE_SQL["common_substructure"] = "SELECT p_partkey AS k, 6::BIGINT AS n_atoms, 6::BIGINT AS n_bonds, count(*) OVER () AS n_molecules, 5::BIGINT AS last FROM part"
 QUERIES["torsion_lines"] = _molecules(lambda h: bondgraph.torsion_lines(h).where("line LIKE 'TORSDOF%' OR line LIKE 'ATOM%'").groupBy("mol").agg(F.max(F.when(F.col("line").startswith("TORSDOF"), F.substring("line", 9, 9).cast("bigint"))).alias("torsions"), F.count(F.when(F.col("line").startswith("ATOM"), 1)).alias("atoms")))
 ORACLE_SQL["torsion_lines"] = f"WITH {RING_SQL} SELECT k, (SELECT count(*) FROM b JOIN v x ON x.k = b.k AND x.idx = b.i JOIN v y ON y.k = b.k AND y.idx = b.j WHERE b.k = p.k AND NOT ring AND x.degree > 1 AND y.degree > 1) AS torsions, 7 + n AS atoms FROM p"
 

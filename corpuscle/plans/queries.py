@@ -363,3 +363,8 @@ _add(
     _by_sql("SELECT frame, n, round(gyration, 4) AS gyration, round(long * long + middle * middle + short * short, 3) AS total FROM frame_shape(TABLE (SELECT frame, x, y, z FROM {particles}) PARTITION BY frame)"),
     f"WITH {EMB_SQL} SELECT frame, count(*)::INT AS n, round(sqrt(avg(x * x + y * y + z * z)), 4) AS gyration, round(avg(x * x + y * y + z * z), 3) AS total FROM (SELECT frame, {_CENTRED} FROM s) GROUP BY frame",
 )
+
+
+# superposed coordinates: their distance to the first frame is the least that any rotation gives
+_emb("aligned_rmsd", lambda s: trajectory.rmsd_to_frame(trajectory.superimpose_trajectory(s)).select("frame", (F.round("rmsd", 3) + 0.0).alias("rmsd")))
+ORACLE_SQL["aligned_rmsd"] = ORACLE_SQL["kabsch_rmsd_traj"]

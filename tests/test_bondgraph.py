@@ -171,3 +171,57 @@ def test_molecules_of_a_file(spark, tmp_path):
     text = "one\n\n\n  2  1  0  0  0  0            999 V2000\n    0.0000    0.0000    0.0000 C   0  0\n    1.0000    0.0000    0.0000 O   0  0\n  1  2  1\nM  END\n$$$$\n"
     (tmp_path / "a.sdf").write_text(text * 3)
     assert {(r["mol"], r["smiles"]) for r in g.names(g.heavy(datasource.read_molecules(spark, f"{tmp_path}/a.sdf", 100))).collect()} == {(k, "[CH3][OH1]") for k in range(3)}
+
+
+def brute_common(graphs, whole_rings):
+    """The greatest number of bonds of a connected part of the first graph that every other one has, by all sets of bonds and all maps."""
+
+    def marked(labels, bonds):
+        cyclic = g.ring_bonds(len(labels), bonds)
+        return labels, [(i, j, (o, k in cyclic)) for k, (i, j, o) in enumerate(bonds)]
+
+    def connected(part):
+        seen, todo = set(part[0][:2]), True
+        while todo:
+            new = {x for i, j, _ in part for x in (i, j) if i in seen or j in seen}
+            todo, seen = new - seen, seen | new
+        return all(i in seen for i, _, _ in part)
+
+    def held(labels, part, other):
+        names, bonds = other
+        edges = {frozenset((i, j)): o for i, j, o in bonds}
+        atoms = sorted({x for i, j, _ in part for x in (i, j)})
+        return any(all(labels[a] == names[q[a]] for a in atoms) and all(edges.get(frozenset((q[i], q[j]))) == o for i, j, o in part) for p in itertools.permutations(range(len(names)), len(atoms)) for q in [dict(zip(atoms, p))])
+
+    (labels, bonds), *others = [marked(*x) for x in graphs]
+    for size in range(len(bonds), 0, -1):
+        for part in itertools.combinations(bonds, size):
+            own = g.ring_bonds(len(labels), [(i, j, 1) for i, j, _ in part])
+            if connected(part) and (not whole_rings or all(k in own for k, b in enumerate(part) if b[2][1])) and all(held(labels, part, o) for o in others):
+                return size
+    return 0
+
+
+def test_common_substructures_equal_brute_force(spark):
+    rng = random.Random(9)
+    for case in range(4):
+        graphs = [random_graph(rng, rng.randint(3, 6)) for _ in range(3)]
+        graphs = [(labels, [(i, j, 1 if rng.random() < 0.7 else o) for i, j, o in bonds]) for labels, bonds in graphs]
+        heavy = g.heavy(spark.createDataFrame([row(k, *x) for k, x in enumerate(graphs)], SCHEMA).coalesce(1))
+        for whole in (True, False):
+            found = g.common_substructure(heavy, whole).collect()
+            want = brute_common(graphs, whole)
+            assert {r["n_bonds"] for r in found} == ({want} if want else set()) and len(found) == (3 if want else 0)
+            for r in found:
+                assert r["n_molecules"] == 3 and len(r["atom_map"]) == r["n_atoms"] == r["smarts"].count("[")
+    with pytest.raises(ValueError, match="two molecules"):
+        g.common_substructure(heavy.limit(1))
+
+
+def test_rings_are_shared_as_a_whole(spark):
+    """Toluene and chlorobenzene share the ring, and cyclohexane with a chain nothing of it."""
+    heavy = g.heavy(spark.createDataFrame([row(0, *CASES[4]), row(1, *CASES[5]), row(2, ["C"] * 6 + ["N"], [(i, j, 3 - o) for i, j, o in BENZENE] + [(2, 6, 1)])], SCHEMA))
+    assert {(r["n_atoms"], r["n_bonds"], tuple(r["atom_map"])) for r in g.common_substructure(heavy).collect()} == {(6, 6, (0, 1, 2, 3, 4, 5))}
+    ring = [(k, (k + 1) % 6, 1) for k in range(6)]
+    other = g.heavy(spark.createDataFrame([row(0, ["C"] * 8, ring + [(0, 6, 1), (6, 7, 1)]), row(1, ["C"] * 5, [(k, k + 1, 1) for k in range(4)])], SCHEMA))
+    assert {r["n_bonds"] for r in g.common_substructure(other).collect()} == {2}
