@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpuscle.sources import formats, lines
+from corpuscle.sources import formats
 
 DUMP = "ITEM: TIMESTEP\n{t}\nITEM: NUMBER OF ATOMS\n{n}\nITEM: BOX BOUNDS pp pp pp\n0 {b}\n0 10\n0 10\nITEM: ATOMS id type x y z\n{rows}\n"
 
@@ -46,7 +46,7 @@ def test_xyz_in_many_splits(spark, tmp_path, small_splits):
             text += f"{n}\n{comment}\n" + "".join(f"{r.choice(['O', 'C1', 'cl'])}  {r.random():.4f}\t{r.random():.4f} {r.random():.4f} extra\n" for _ in range(n))
         (tmp_path / f"{f}.xyz").write_text(text + "\n" * f)
     assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 6
-    same(formats.load(spark, f"{tmp_path}/*.xyz"), parsed(tmp_path, formats.parse_xyz), "id", "element", "type_id")
+    same(formats.load(spark, f"{tmp_path}/*.xyz", split=400), parsed(tmp_path, formats.parse_xyz), "id", "element", "type_id")
 
 
 @pytest.mark.parametrize("text, words", [("2\n\nO 0 0 0\nH a 0 0\n", "Bad coordinate"), ("2\n\nO 0 0 0\nH 0 0\n", "Bad coordinate"), ("\n\n", "No frames"), ("1\n\nO 0 0 0\n2\n\nO 0 0 0\nO 0 0 0\n", "atom count"), ("2\n\nO 0 0 0\n", "cut short"), ("x\n", "no atom count")])
@@ -60,8 +60,7 @@ def pdb_record(k, name, x, alt=" ", element="  "):
     return f"ATOM  {k:5d} {name:<4s}{alt}ALA A{k // 4 + 1:4d}    {x:8.3f}{x / 2:8.3f}{-x:8.3f}  1.00  0.00          {element}\n"
 
 
-def test_pdb_in_many_splits(spark, tmp_path, small_splits, monkeypatch):
-    monkeypatch.setattr(lines, "BUCKET", 7)
+def test_pdb_in_many_splits(spark, tmp_path, small_splits):
     r = random.Random(2)
     for f in range(2):
         text = "HEADER\nCRYST1   50.000   40.000   30.000  90.00  90.00  90.00\n"
@@ -70,7 +69,7 @@ def test_pdb_in_many_splits(spark, tmp_path, small_splits, monkeypatch):
             text += f"MODEL     {k + 1:4d}\n" + "".join(pdb_record(a, r.choice([" CA", " CB", "2HB", "CL1", " N"]), r.random() * 9, r.choice(" AB1"), r.choice(["  ", " C"])) for a in range(n)) + "TER\nENDMDL\n"
         (tmp_path / f"{f}.pdb").write_text(text + "END\n")
     (tmp_path / "one.pdb").write_text(pdb_record(0, " CA", 1.5) + pdb_record(1, " N", 2.5))
-    same(formats.load(spark, f"{tmp_path}/*.pdb"), parsed(tmp_path, formats.parse_pdb), "element", "type_id", "name", "resname", "chain_id", "residue_id")
+    same(formats.load(spark, f"{tmp_path}/*.pdb", split=400), parsed(tmp_path, formats.parse_pdb), "element", "type_id", "name", "resname", "chain_id", "residue_id")
     (tmp_path / "none.pdb").write_text("HEADER\n")
     with pytest.raises(formats.FormatError, match="no ATOM"):
         formats.load(spark, f"{tmp_path}/none.pdb")
@@ -80,7 +79,7 @@ def test_dump_frames_rows_and_boxes(spark, tmp_path, small_splits):
     rows = lambda t: "\n".join(f"{a + 1} {a % 3 + 1} {t}.{a} {a} 0" for a in (3, 1, 0, 2))
     text = "".join(DUMP.format(t=t, n=4, b=10 + k, rows=rows(k)) for k, t in enumerate([0, 100, 200, 200, 100] * 12))  # a restart repeats timesteps
     (tmp_path / "a.lammpstrj").write_text(text)
-    data = formats.load(spark, f"{tmp_path}/a.lammpstrj")
+    data = formats.load(spark, f"{tmp_path}/a.lammpstrj", split=300)
     assert sorted({(r["frame"], r["timestep"]) for r in data.positions.collect()}) == [(k, t) for k, t in enumerate([0, 100, 200, 200, 100] * 12)]
     assert {(r["frame"], r["idx"], r["x"]) for r in data.positions.collect()} == {(k, i, float(f"{k}.{a}")) for k in range(60) for i, a in enumerate((3, 1, 0, 2))}
     assert atoms(data, "id", "type_id") == [("a.lammpstrj", i, a, a % 3 + 1) for i, a in enumerate((3, 1, 0, 2))]
