@@ -1,14 +1,41 @@
-"""Support vector regression with a radial kernel."""
+"""Support vector regression with a radial kernel, over rows of any number.
+
+The dual's optimum is found by decomposition. Each round takes from all rows those whose slopes disagree most, a bounded
+number, solves the dual in their weights alone in a task, and adds what their change means to the values of all rows in one
+pass. It ends where no two slopes of any two rows disagree, so no row is left out, and nothing that grows with the rows meets
+in one task or on the driver. All folds are fitted in the same passes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from itertools import islice
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.sources.store import discard, materialize
+
+#: Rows of a working set and numbers in their features, rows of a kernel's block, and steps in a round for each row of the set.
+WORKING, VALUES, BLOCK, STEPS = 2000, 4_000_000, 1024, 50
+
+
+class Scale(NamedTuple):
+    """How one fit sees raw features."""
+
+    mean: np.ndarray
+    factor: np.ndarray
+    gamma: float
+
+    def of(self, raw: np.ndarray) -> np.ndarray:
+        return (raw - self.mean) * self.factor
+
 
 def radial(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     """exp(-gamma d2) of all pairs of rows."""
@@ -16,18 +43,30 @@ def radial(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(d2, 0))
 
 
-def support_weights(kernel: np.ndarray, y: np.ndarray, c: float, epsilon: float, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights in [-c, c] that sum to zero, and the offset, at the optimum of the dual.
+def weighted(raw: np.ndarray, points: np.ndarray, weights: np.ndarray, scale: Scale) -> np.ndarray:
+    """What weights at points add to the value of each row."""
+    own = scale.of(points)
+    parts = [radial(scale.of(raw[k : k + BLOCK]), own, scale.gamma) @ weights for k in range(0, len(raw), BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def slopes(w: np.ndarray, gain: np.ndarray, c: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a weight gains by rising, and loses by falling; infinite at its bound."""
+    rise = np.where(w < c, gain - np.where(w >= 0, epsilon, -epsilon), -np.inf)
+    return rise, np.where(w > -c, gain - np.where(w > 0, epsilon, -epsilon), np.inf)
+
+
+def support_weights(kernel: np.ndarray, y: np.ndarray, c: float, epsilon: float, tolerance: float = 1e-4, w: np.ndarray | None = None, f: np.ndarray | None = None, steps: int | None = None) -> tuple[np.ndarray, float]:
+    """Weights in [-c, c] that keep the sum of w (else zero), and the offset, at the optimum of the dual or after so many steps.
 
     A step moves weight from one point to another, the two whose slopes disagree most. Slopes are one-sided: beyond zero a
     weight costs epsilon more, or less on its way back. It ends where no two slopes disagree by more than the tolerance.
+    w and f: weights to start from and the values at the points, in which points outside may have a part.
     """
-    w, f = np.zeros(len(y)), np.zeros(len(y))
+    w, f = (np.zeros(len(y)) if v is None else v.copy() for v in (w, f))
     diagonal = np.diag(kernel)
-    for _ in range(1000 * len(y) + 100_000):
-        gain = y - f
-        rise = np.where(w < c, gain - np.where(w >= 0, epsilon, -epsilon), -np.inf)
-        fall = np.where(w > -c, gain - np.where(w > 0, epsilon, -epsilon), np.inf)
+    for _ in range(1000 * len(y) + 100_000 if steps is None else steps):
+        rise, fall = slopes(w, y - f, c, epsilon)
         i, j = int(rise.argmax()), int(fall.argmin())
         gap = rise[i] - fall[j]
         if gap <= tolerance:
@@ -38,45 +77,108 @@ def support_weights(kernel: np.ndarray, y: np.ndarray, c: float, epsilon: float,
         w[i] += step
         w[j] -= step
         f += step * (kernel[i] - kernel[j])
+    rise, fall = slopes(w, y - f, c, epsilon)
     return w, float((rise.max() + fall.min()) / 2) if np.isfinite([rise.max(), fall.min()]).all() else float((y - f).mean())
 
 
+_STATE = "id bigint, raw array<double>, y double, fold int, w array<double>, f array<double>"
+_WORST = "fit int, side int, value double, id bigint, raw array<double>, y double, w double, f double"
+_CHANGE = "fit int, id bigint, raw array<double>, w double, change double, gap double, offset double"
+
+
+def _worst(batches: Iterator[pd.DataFrame], fits: int, count: int, c: float, epsilon: float) -> Iterator[pd.DataFrame]:
+    """Of each fit the task's `count` rows that gain most by rising, and as many by falling."""
+    kept = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        w, f, y, fold = np.stack(pdf["w"]), np.stack(pdf["f"]), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
+        for k in range(fits):
+            rise, fall = slopes(w[:, k], y - f[:, k], c, epsilon)
+            for side, value in ((0, rise), (1, -fall)):
+                at = np.flatnonzero((fold != k) & np.isfinite(value))
+                at = at[np.lexsort((pdf["id"].to_numpy()[at], -value[at]))[:count]]
+                own = pdf.iloc[at]
+                kept.append(pd.DataFrame({"fit": k, "side": side, "value": value[at], "id": own["id"], "raw": own["raw"], "y": own["y"], "w": w[at, k], "f": f[at, k]}))
+        kept = [pd.concat(kept).sort_values(["fit", "side", "value", "id"], ascending=[True, True, False, True]).groupby(["fit", "side"]).head(count)]
+    yield from kept
+
+
+def _solved(pdf: pd.DataFrame, scales: list[Scale], c: float, epsilon: float, tolerance: float) -> pd.DataFrame:
+    """New weights of one fit's working set; the first row also if it stays, for the gap and the offset of all rows."""
+    rise, fall = pdf["value"][pdf["side"] == 0].max(), -pdf["value"][pdf["side"] == 1].max()
+    k, pdf = int(pdf["fit"].iloc[0]), pdf.drop_duplicates("id").sort_values("id")
+    w, x = pdf["w"].to_numpy(), scales[k].of(np.stack(pdf["raw"]))
+    new = w
+    if rise - fall > tolerance:
+        new, _ = support_weights(radial(x, x, scales[k].gamma), pdf["y"].to_numpy(), c, epsilon, tolerance / 2, w, pdf["f"].to_numpy(), STEPS * len(w))
+    out = pd.DataFrame({"fit": k, "id": pdf["id"], "raw": pdf["raw"], "w": new, "change": new - w, "gap": rise - fall, "offset": (rise + fall) / 2})
+    return out[(out["change"] != 0) | (np.arange(len(out)) == 0)]
+
+
+def _moved(batches: Iterator[pd.DataFrame], changes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], scales: list[Scale]) -> Iterator[pd.DataFrame]:
+    """Rows after changes, which are a fit, and ids in order, raw features, new weights and their change."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        raw, w, f, ids = np.stack(pdf["raw"]), np.stack(pdf["w"]), np.stack(pdf["f"]), pdf["id"].to_numpy()
+        for k, own, points, new, change in changes:
+            f[:, k] += weighted(raw, points, change, scales[k])
+            at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+            w[:, k] = np.where(own[at] == ids, new[at], w[:, k])
+        yield pdf.assign(w=list(w), f=list(f))
+
+
+def fit_support(rows: DataFrame, scales: list[Scale], c: float = 1.0, epsilon: float = 0.1, tolerance: float = 1e-3, working: int = WORKING) -> tuple[DataFrame, list[float]]:
+    """rows (id, raw, y, fold) with w and f, the weight and value in each fit, and the fits' offsets; a prediction is f and the offset.
+
+    Fit k leaves fold k out; a fit with no fold of its number takes all rows. working: rows of a working set, less if features are many.
+    """
+    fits, width = len(scales), max(1, len(scales[0].mean))
+    count = max(1, min(working, VALUES // width) // 2)
+    zeros = F.array_repeat(F.lit(0.0), fits)
+    state = materialize(rows.select("id", "raw", "y", F.col("fold").cast("int").alias("fold"), zeros.alias("w"), zeros.alias("f")), "support")
+    first = Window.partitionBy("fit", "side").orderBy(F.desc("value"), "id")
+    while True:
+        worst = state.mapInPandas(partial(_worst, fits=fits, count=count, c=c, epsilon=epsilon), _WORST)
+        worst = worst.withColumn("n", F.row_number().over(first)).where(F.col("n") <= count).drop("n")
+        solved = worst.groupBy("fit").applyInPandas(lambda pdf: _solved(pdf, scales, c, epsilon, tolerance), _CHANGE).toPandas()
+        open_fits = solved[solved["gap"] > tolerance]
+        if not len(open_fits):
+            offsets = solved.groupby("fit")["offset"].first()
+            return state, [float(offsets.get(k, 0.0)) for k in range(fits)]
+        changes = [(int(k), g["id"].to_numpy(), np.stack(g["raw"]), g["w"].to_numpy(), g["change"].to_numpy()) for k, g in open_fits.sort_values("id").groupby("fit")]
+        shared = rows.sparkSession.sparkContext.broadcast(changes)
+        moved = materialize(state.mapInPandas(lambda batches, shared=shared: _moved(batches, shared.value, scales), _STATE), "support")
+        shared.destroy()
+        discard(state)
+        state = moved
+
+
 class SupportVectorModel(Model):
-    """Adds `prediction` to rows with the vector x."""
+    """Adds `prediction` to rows with the vector raw.
+
+    support: a written table of raw and weight. A block of it at a time is sent to the rows, and predictions are written between blocks.
+    """
 
-    def __init__(self, points: np.ndarray, weights: np.ndarray, offset: float, gamma: float):
+    def __init__(self, support: DataFrame, offset: float, scale: Scale):
         super().__init__()
-        self.points, self.weights, self.offset, self.gamma = points, weights, offset, gamma
+        self.support, self.offset, self.scale = support, offset, scale
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        points, weights, offset, gamma = self.points, self.weights, self.offset, self.gamma
+        size, rows = max(1, min(WORKING, VALUES // max(1, len(self.scale.mean)))), self.support.toLocalIterator()
+        out, blocks = dataset.withColumn("prediction", F.lit(self.offset)), 0
+        while block := list(islice(rows, size)):
+            out = materialize(out, "predictions") if blocks else out
+            out = out.withColumn("prediction", F.col("prediction") + self._part(block)(vector_to_array("raw")))
+            blocks += 1
+        return out
+
+    def _part(self, block: list):
+        points, weights, scale = np.array([r["raw"] for r in block]), np.array([r["weight"] for r in block]), self.scale
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            rows = x.to_list()
-            parts = [radial(np.array(rows[k : k + 1024]), points, gamma) @ weights + offset for k in range(0, len(rows), 1024)]
-            return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-        return dataset.withColumn("prediction", score(vector_to_array("x")))
-
+            return pd.Series(weighted(np.stack(x), points, weights, scale) if len(x) else np.zeros(0))
 
-class SupportVectorRegressor(Estimator):
-    """Fits y by the vector x. Training takes at most `most` rows, those of least hash, as its kernel is quadratic in them and is solved on the
-    driver; most=None takes all. Predictions take all rows. gamma is one over the features times the variance of all their values."""
-
-    def __init__(self, c: float = 1.0, epsilon: float = 0.1, most: int | None = 2000):
-        super().__init__()
-        self.c, self.epsilon, self.most = c, epsilon, most
-
-    def _fit(self, dataset: DataFrame) -> SupportVectorModel:
-        rows = dataset.select(vector_to_array("x").alias("x"), "y")
-        rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y")
-        rows = (rows if self.most is None else rows.limit(self.most)).collect()
-        if not rows:
-            raise ValueError("no rows to fit")
-        x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-        spread = x.var() * x.shape[1]
-        gamma = 1 / spread if spread > 0 else 1.0
-        weights, offset = support_weights(radial(x, x, gamma), y, self.c, self.epsilon)
-        used = weights != 0
-        return SupportVectorModel(x[used] if used.any() else x[:1], weights[used] if used.any() else np.zeros(1), offset, gamma)
+        return score

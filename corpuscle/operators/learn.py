@@ -11,16 +11,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle import model as m
-from corpuscle.operators.kernels import SupportVectorRegressor
+from corpuscle.operators.kernels import WORKING, Scale, SupportVectorModel, fit_support
 from corpuscle.operators.residues import reindex
 from corpuscle.operators.trajectory import pack_frames, superimpose_packed
-from corpuscle.sources.store import materialize
+from corpuscle.sources.store import discard, materialize
 
 # Amino acids that count as similar.
 SIMILAR = ("DE", "KR", "KH", "RH", "IL", "IV", "LV", "IM", "LM", "FY", "FW", "YW", "ST", "NQ", "ND", "QE")
@@ -245,11 +245,12 @@ def _features(features: list[str] | str) -> Column:
     return F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(c).cast("double") for c in features))
 
 
-def fit_model(rows: DataFrame, features: list[str] | str, label: str, order: str, kind: str = "ridge", alpha: float = 1.0, folds: int = 5, seed: int = 42, most: int | None = 2000) -> tuple[Pipeline, dict[str, float]]:
+def fit_model(rows: DataFrame, features: list[str] | str, label: str, order: str, kind: str = "ridge", alpha: float = 1.0, folds: int = 5, seed: int = 42, working: int = WORKING) -> tuple[PipelineModel, dict[str, float]]:
     """A ridge, forest or svr (radial support vectors) model on standardised features, with training R2 and the mean R2 and RMSE over contiguous folds.
 
     features: names of columns, or of one array column of numbers. Folds are runs of rows by the integer column `order`, equal but
-    for one row. Rows with a missing value don't count. most: rows that support vectors are trained on, all of them if None.
+    for one row. Rows with a missing value don't count. Support vectors are exact over all rows (gamma is one over the
+    features times the variance of all their values); working: rows of their working set.
     """
     rows = rows.select(_features(features).alias("f"), label, order)
     rows = reindex(rows.where(F.col("f").isNotNull() & ~F.exists("f", lambda x: x.isNull() | F.isnan(x))).dropna(subset=[label, order]).select("f", F.col(label).cast("double").alias("y"), F.col(order).cast("long").alias("idx")))
@@ -264,14 +265,37 @@ def fit_model(rows: DataFrame, features: list[str] | str, label: str, order: str
     if kind == "forest":
         last = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=100, seed=seed)
     elif kind == "svr":
-        last = SupportVectorRegressor(most=most)
+        return _fit_svr(rows, folds, working)
     else:
         last = LinearRegression(featuresCol="x", labelCol="y", regParam=alpha / n, elasticNetParam=0.0, standardization=False)
     pipeline = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="x", withMean=True), last])
-    metric = lambda df, name: RegressionEvaluator(labelCol="y", metricName=name).evaluate(df)
     model = pipeline.fit(rows)
-    held = [pipeline.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)) for k in range(folds)]
-    return model, {"train_r2": metric(model.transform(rows), "r2"), "cv_r2": float(np.mean([metric(h, "r2") for h in held])), "cv_rmse": float(np.mean([metric(h, "rmse") for h in held]))}
+    return model, _scores(model.transform(rows), [pipeline.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)) for k in range(folds)])
+
+
+def _scores(trained: DataFrame, held: list[DataFrame]) -> dict[str, float]:
+    """Measures of y and prediction, over the rows of training and each fold that was left out."""
+    metric = lambda df, name: RegressionEvaluator(labelCol="y", metricName=name).evaluate(df)
+    return {"train_r2": metric(trained, "r2"), "cv_r2": float(np.mean([metric(h, "r2") for h in held])), "cv_rmse": float(np.mean([metric(h, "rmse") for h in held]))}
+
+
+def _fit_svr(rows: DataFrame, folds: int, working: int) -> tuple[PipelineModel, dict[str, float]]:
+    """Support vectors of all folds and of all rows, fitted together; rows: raw, y, new_idx and fold."""
+    scaler, scales = StandardScaler(inputCol="raw", outputCol="x", withMean=True), []
+    for k in range(folds + 1):
+        own = rows.where(F.col("fold") != k)
+        n, seen = own.count(), scaler.fit(own)
+        deviation = seen.std.toArray()
+        spread = np.count_nonzero(deviation) * (n - 1) / n
+        factor = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 0)
+        scales.append(Scale(seen.mean.toArray(), factor, float(1 / spread) if spread > 0 else 1.0))
+    given = rows.select(F.col("new_idx").cast("long").alias("id"), vector_to_array("raw").alias("raw"), "y", "fold")
+    state, offsets = fit_support(given, scales, working=working)
+    seen_by = lambda k: state.select("y", "fold", (F.col("f")[k] + offsets[k]).alias("prediction"))
+    scores = _scores(seen_by(folds), [seen_by(k).where(F.col("fold") == k) for k in range(folds)])
+    support = materialize(state.where(F.col("w")[folds] != 0).select("raw", F.col("w")[folds].alias("weight")), "vectors")
+    discard(state)
+    return PipelineModel(stages=[SupportVectorModel(support, offsets[folds], scales[folds])]), scores
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str] | str, name: str = "predicted") -> DataFrame:
