@@ -111,7 +111,7 @@ def _solved(pdf: pd.DataFrame, scales: list[Scale], c: float, epsilon: float, to
     w, x = pdf["w"].to_numpy(), scales[k].of(np.stack(pdf["raw"]))
     new = w
     if rise - fall > tolerance:
-        new, _ = support_weights(radial(x, x, scales[k].gamma), pdf["y"].to_numpy(), c, epsilon, tolerance / 2, w, pdf["f"].to_numpy(), STEPS * len(w))
+        new, _ = support_weights(radial(x, x, scales[k].gamma), pdf["y"].to_numpy(), c, epsilon, max(tolerance / 2, (rise - fall) / 2), w, pdf["f"].to_numpy(), STEPS * len(w))
     out = pd.DataFrame({"fit": k, "id": pdf["id"], "raw": pdf["raw"], "w": new, "change": new - w, "gap": rise - fall, "offset": (rise + fall) / 2})
     return out[(out["change"] != 0) | (np.arange(len(out)) == 0)]
 
