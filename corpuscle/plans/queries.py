@@ -368,3 +368,42 @@ _add(
 # superposed coordinates: their distance to the first frame is the least that any rotation gives
 _emb("aligned_rmsd", lambda s: trajectory.rmsd_to_frame(trajectory.superimpose_trajectory(s)).select("frame", (F.round("rmsd", 3) + 0.0).alias("rmsd")))
 ORACLE_SQL["aligned_rmsd"] = ORACLE_SQL["kabsch_rmsd_traj"]
+
+
+def _report_sql(query: str, title: tuple[str, str], cells: dict[str, str], order: str, top: int, tail: str | None = None) -> str:
+    """SQL of a report's lines. cells: headings, right-aligned, and the expressions below them; tail: an aggregate."""
+    heading = "  ".join(cells)
+    last = f" UNION ALL SELECT {top + 4}, {tail} FROM q" if tail else ""
+    return f"""WITH q AS ({query}) SELECT 0::BIGINT AS n, '{title[0]}  (' || count(*) || ' {title[1]})' AS line FROM q
+UNION ALL SELECT 1, '{heading}' UNION ALL SELECT 2, '{"-" * len(heading)}'
+UNION ALL SELECT n + 2, line FROM (SELECT row_number() OVER (ORDER BY {order}) AS n, {" || '  ' || ".join(cells.values())} AS line FROM q QUALIFY n <= {top})
+UNION ALL SELECT {top + 3}, '... ' || (count(*) - {top}) || ' more' FROM q HAVING count(*) > {top}{last}"""
+
+
+_lines = lambda report: report.select(F.col("n").cast("bigint").alias("n"), "line")
+_emb("scan_report", lambda s: _lines(sinks.scan_report(edit.alanine_scan(s))))
+ORACLE_SQL["scan_report"] = _report_sql(
+    ORACLE_SQL["alanine_scan"],
+    ("ALANINE SCAN", "residues"),
+    {
+        " FRAME": "printf('%6d', frame)",
+        " RESID": "printf('%6d', residue_id)",
+        " RES": "printf('%4s', resname)",
+        "  ΔHB": "printf('%5d', d_hbonds)",
+        "ΔHYDRO": "printf('%6d', d_hydrophobic)",
+        "ΔCLASH": "printf('%6d', d_clashes)",
+        "  SCORE": "printf('%7.2f', score) || CASE WHEN score >= 1.5e0 THEN '  ★' ELSE '' END",
+    },
+    "score DESC, frame, residue_id",
+    1000,
+    "'HOT-SPOT RESIDUES: ' || count(CASE WHEN score >= 1.5e0 THEN 1 END)",
+)
+_emb("bead_report", lambda s: _lines(sinks.bead_report(residues.cg_beads(s))))
+ORACLE_SQL["bead_report"] = _report_sql(
+    ORACLE_SQL["cg_beads"],
+    ("BEAD MAPPING", "beads"),
+    {" FRAME": "printf('%6d', frame)", " RESID": "printf('%6d', residue_id)", " BEAD": "printf('%5s', bead)", "  TYPE": "printf('%6s', bead_type)"},
+    "frame, chain_id, residue_id, bead_order",
+    50,
+    "'TYPES: ' || (SELECT string_agg(bead_type || ' ' || k, ', ' ORDER BY k DESC, bead_type) FROM (SELECT bead_type, count(*) AS k FROM q GROUP BY 1)) || left(min(bead_type), 0)",
+)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle import model as m
+from corpuscle.sources.store import materialize
 
 
 def csv_rows(system: DataFrame) -> DataFrame:
@@ -164,6 +165,63 @@ def text_report(rows: DataFrame, label: str, value: str, title: str, top: int =
     return head.unionByName(best)
 
 
+def _fixed(c: str, digits: int) -> Column:
+    return F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double")))
+
+
+def table_report(rows: DataFrame, title: str, columns: list[tuple[str, int, Column]], order: list[Column | str], top: int, none: str, tail: Column | None = None) -> DataFrame:
+    """n and line of a report: title and number of rows, headings, a rule, the `top` first rows by order (which must tell rows apart), how many more there are, and the tail.
+
+    columns: heading, width and cell; cells are right-aligned and never cut, null ones are "-". title has a %d for the number. tail: an
+    aggregate. Without rows the report is the line none.
+    """
+    rows = materialize(rows, "report")
+    heading = "  ".join(f"{h:>{w}}" for h, w, _ in columns)
+    texts = [F.format_string(title, F.col("c")), F.lit(heading), F.lit("-" * len(heading))]
+    counts = rows.agg(F.count("*").alias("c"), (F.lit("") if tail is None else tail).alias("tail"))
+    head = counts.select(F.posexplode(F.when(F.col("c") > 0, F.array(*texts)).otherwise(F.array(F.lit(none)))).alias("n", "line"))
+    line = F.concat_ws("  ", *(F.format_string(f"%{w}s", F.coalesce(cell.cast("string"), F.lit("-"))) for _, w, cell in columns))
+    body = rows.orderBy(*order).limit(top).select((F.row_number().over(Window.orderBy(*order)) + len(texts) - 1).alias("n"), line.alias("line"))
+    more = counts.where(F.col("c") > top).select(F.lit(top + len(texts)).alias("n"), F.format_string("... %d more", F.col("c") - top).alias("line"))
+    last = counts.where((F.col("tail") != "") & (F.col("c") > 0)).select(F.lit(top + len(texts) + 1).alias("n"), F.col("tail").alias("line"))
+    return reduce(DataFrame.unionByName, (body, more, last), head)
+
+
+# Titles, headings, widths and numbers of rows of the reports below, and the least score of a hot spot.
+HOT_SPOT = 1.5
+
+
+def scan_report(scan: DataFrame, top: int = 1000) -> DataFrame:
+    """An alanine scan by falling score; hot spots have a star, and the last line is their number."""
+    hot = F.col("score") >= HOT_SPOT
+    score = F.concat(F.format_string("%7s", _fixed("score", 2)), F.when(hot, "  ★").otherwise(""))
+    columns = [("FRAME", 6, F.col("frame")), ("RESID", 6, F.col("residue_id")), ("RES", 4, F.col("resname")), ("ΔHB", 5, F.col("d_hbonds")), ("ΔHYDRO", 6, F.col("d_hydrophobic")), ("ΔCLASH", 6, F.col("d_clashes")), ("SCORE", 7, score)]
+    tail = F.concat(F.lit("HOT-SPOT RESIDUES: "), F.count(F.when(hot, 1)).cast("string"))
+    return table_report(scan, "ALANINE SCAN  (%d residues)", columns, [F.desc("score"), *m.keys(scan), "residue_id"], top, "NO RESULTS", tail)
+
+
+def bead_report(beads: DataFrame, top: int = 50) -> DataFrame:
+    """Beads in order; the last line has the number of each type, the commonest first."""
+    kinds = beads.groupBy("bead_type").agg(F.count("*").alias("k")).agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "bead_type"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: F.concat(x["bead_type"], F.lit(" "), (-x["k"]).cast("string"))), ", ")
+    columns = [("FRAME", 6, F.col("frame")), ("RESID", 6, F.col("residue_id")), ("BEAD", 5, F.col("bead")), ("TYPE", 6, F.col("bead_type"))]
+    rows = beads.crossJoin(kinds.select(text.alias("kinds")))  # one row
+    order = [*m.keys(beads), "chain_id", "residue_id", "bead_order"]
+    return table_report(rows, "BEAD MAPPING  (%d beads)", columns, order, top, "NO BEAD MAPPING AVAILABLE", F.concat(F.lit("TYPES: "), F.max("kinds")))
+
+
+def sites_report(sites: DataFrame, top: int = 20) -> DataFrame:
+    """Binding sites by rank: volume, score, number of lining atoms and centre."""
+    columns = [("RANK", 5, F.col("rank")), ("VOLUME", 12, _fixed("volume", 1)), ("SCORE", 7, _fixed("score", 2)), ("LINING", 8, F.col("lining")), *((c.upper(), 8, _fixed(c, 2)) for c in "xyz")]
+    return table_report(sites, "BINDING SITES  (%d found)", columns, [*m.keys(sites), "rank"], top, "NO BINDING SITES FOUND")
+
+
+def density_report(sites: DataFrame, top: int = 20) -> DataFrame:
+    """Hydration sites (x, y, z and density) by falling density."""
+    columns = [*((c.upper(), 8, _fixed(c, 3)) for c in "xyz"), ("DENSITY", 10, _fixed("density", 4))]
+    return table_report(sites, "WATER MAP  (%d hydration sites)", columns, [F.desc("density"), *m.system_keys(sites), *"xyz"], top, "NO WATER MAP DATA")
+
+
 def pdbqt_poses(lines: DataFrame, value: str = "value", order: str = "n") -> DataFrame:
     """Pose number and score of a docking program's output lines (value, and n as their order)."""
     line = F.col(value)
