@@ -1,5 +1,6 @@
 """Reports as lines of text."""
 
+from corpuscle.operators import molecules
 from corpuscle.sources import sinks
 
 
@@ -30,3 +31,13 @@ def test_reports_of_beads_and_waters(spark):
     waters = spark.createDataFrame([(0.0, 1.0, 2.0, 0.25), (5.0, 5.0, 5.0, 0.5)], "x double, y double, z double, density double")
     assert _lines(sinks.density_report(waters, 1)) == ["WATER MAP  (2 hydration sites)", "       X         Y         Z     DENSITY", "-" * 40, "   5.000     5.000     5.000      0.5000", "... 1 more"]
     assert _lines(sinks.bead_report(beads.limit(0))) == ["NO BEAD MAPPING AVAILABLE"] and _lines(sinks.density_report(waters.limit(0))) == ["NO WATER MAP DATA"]
+
+
+def test_hot_cores_are_dealt_to_parts(spark):
+    """A core that a hundred molecules share gives the same pairs in parts of seven, each pair once."""
+    rows = [(k, 20, "hot" if k % 10 else f"c{k % 20}", f"g{k % 3}", k % 3 + 1) for k in range(110)] + [(3, 20, None, "g", 1), (None, 20, "hot", "g", 1), (4, 20, "hot", None, 1)]
+    table = spark.createDataFrame(rows, "mol int, heavy int, core string, rgroup string, group_heavy int")
+    by_hand = {(a[0], b[0], a[2]) for a in rows[:110] for b in rows[:110] if a[0] < b[0] and a[2] == b[2] and a[3] != b[3]}
+    for part in (1000, 7):
+        found = [(r["mol_a"], r["mol_b"], r["core"]) for r in molecules.matched_pairs(table, part=part).collect()]
+        assert len(found) == len(set(found)) and set(found) == by_hand
