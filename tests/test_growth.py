@@ -1,6 +1,7 @@
 """What must not grow: copies of points, broadcasts of tables that explode, and rows that steps make again."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,65 @@ def test_cell_join_at_edges(spark):
         assert len(found) == len(set(found)) and set(found) == want and want
     copies = [(spatial._cell(x, c, spatial.SLACK) - spatial._cell(x, c, -spatial.SLACK)).alias(x) for x in "xyz"]
     assert s.select(*copies).agg(F.max(F.greatest(*"xyz"))).first()[0] <= 1
+
+
+def test_surfaces_and_regions_never_broadcast_atoms(spark, monkeypatch):
+    from corpuscle.operators import grids, surface
+
+    s = points(spark, [(k * 1.5, 0, 0) for k in range(40)] + [(0, 50 + 9 * k, 0) for k in range(3)]).select("*", F.lit("C").alias("element"), F.lit(1).alias("residue_id"), F.lit("ARG").alias("resname"), F.lit("A").alias("chain_id"))
+    areas = surface.sasa(s)
+    for found in (areas, surface.surface_patches(s, areas)):
+        assert "Broadcast" not in plan(found)
+    written, keep = [], grids.materialize
+    monkeypatch.setattr(grids, "materialize", lambda df, name: (written.append(name), keep(df, name))[1])
+    found = grids.hydrophobic_regions(s)
+    assert sorted(r["n"] for r in found.collect()) == [1, 1, 1, 40]
+    # edges are made once, and steps read them
+    assert written.count("edges") == 1 and "explode" not in plan(found)
+
+
+def test_pairs_and_prints(spark, monkeypatch):
+    from corpuscle.operators import bondgraph, molecules
+
+    rows = [(k, 20, f"c{c}", f"g{k % 3}", k % 3 + 1) for k in range(30) for c in {k % 4, k % 3}]
+    table = spark.createDataFrame(rows, "mol int, heavy int, core string, rgroup string, group_heavy int")
+    pairs = molecules.matched_pairs(table, part=5)
+    assert len(re.findall(r"SortMergeJoin \[core#\d+, part#", plan(pairs))) == 2
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[2] == b[2] and a[3] != b[3]:
+                want[a[0], b[0]] = min(a[2], want.get((a[0], b[0]), "z"))
+    found = [((r["mol_a"], r["mol_b"]), r["core"]) for r in pairs.collect()]
+    assert len(found) == len(want) and dict(found) == want
+
+    monkeypatch.setattr(bondgraph, "KIND_PART", 3)
+    random.seed(5)
+    prints = [(k, sorted(random.sample(range(12), k % 4 + (k % 2) * 4))) for k in range(20)]
+    prints += [(100 + k, prints[k][1]) for k in range(20)] + [(200 + k, [1, 2, 3]) for k in range(20)]
+    p = spark.createDataFrame(prints, "mol int, bits array<int>")
+    for least in (0.0, 0.5, 0.6):
+        got = [(r["mol_a"], r["mol_b"], round(r["similarity"], 9)) for r in bondgraph.tanimoto(p, p.where("mol % 5 = 0"), least).collect()]
+        same = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if set(x) & set(y) else -1.0
+        assert sorted(got) == sorted((a, b, round(same(x, y), 9)) for a, x in prints if a % 5 == 0 for b, y in prints if same(x, y) >= least)
+    mols = spark.sql("SELECT 1 AS mol, 'x' AS name, array(named_struct('idx', 0, 'element', 'C', 'charge', 0, 'x', 0D, 'y', 0D, 'z', 0D), named_struct('idx', 1, 'element', 'O', 'charge', 0, 'x', 0D, 'y', 0D, 'z', 0D)) AS atoms, array(named_struct('i', 0, 'j', 1, 'order', 1)) AS bonds")
+    found = bondgraph.fingerprints(bondgraph.heavy(mols))
+    assert "Join" not in plan(found) and "Exchange" not in plan(found) and len(found.first()["bits"]) == 6
+
+
+def test_water_sites_are_not_shuffled(spark):
+    from corpuscle.operators import edit
+
+    random.seed(8)
+    rows = [tuple(random.uniform(-9, 14) for _ in range(3)) for _ in range(60)]
+    s = points(spark, rows).withColumn("element", F.lit("O"))
+    sites = edit.water_sites(s)
+    assert "hashpartitioning(frame#" in (text := plan(sites)) and not any("iz#" in part for part in text.split("hashpartitioning(")[1:] for part in [part.split(")")[0]])
+    lo, hi = ([f(r[c] for r in rows) for c in range(3)] for f in (min, max))
+    n = [max(1, int((h + 10.0 - (low - 10.0)) // 3.1)) for low, h in zip(lo, hi, strict=True)]
+    at = lambda c, i: lo[c] - 10.0 + (i + 0.5) * 3.1
+    want = [(i, j, k) for i in range(n[0]) for j in range(n[1]) for k in range(n[2]) if all(sum((at(c, g) - r[c]) ** 2 for c, g in enumerate((i, j, k))) >= 2.4 * 2.4 for r in rows)]
+    assert sorted((r["ix"], r["iy"], r["iz"]) for r in sites.collect()) == want and len(want) < n[0] * n[1] * n[2]
+    for most in (10_000, 40):
+        box = [(r["residue_id"], round(r["x"], 6), round(r["y"], 6), round(r["z"], 6)) for r in edit.water_box(s, most=most).where("name = 'OW'").orderBy("residue_id").collect()]
+        assert box == [(k + 1, *(round(at(c, g), 6) for c, g in enumerate(w))) for k, w in enumerate(want[:most])]
