@@ -29,6 +29,8 @@ from corpuscle.sources.formats import FormatError
 from corpuscle.sources.store import materialize
 
 SPLIT = 64 << 20
+#: Ranges of a table's files from which on they grow with the input, up to SPLIT, and not in number: each costs planning and a task.
+MOST = 512
 ATOM_COLUMNS = ", ".join(f"{c} {k}" for c, k in formats.ATOM_TYPES.items())
 SCHEMAS = {
     "positions": "path string, frame int, timestep bigint, idx bigint, x double, y double, z double",
@@ -55,6 +57,19 @@ class Part(InputPartition):
         self.part, self.size, self.box, self.n = part, size, box, n
 
 
+def _several(rows: Iterator[tuple], size: Callable[[tuple], int]) -> Iterator[list[tuple]]:
+    """rows in lists, each ended by the row with which its sizes reach a batch's, so that small frames and molecules share one."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += size(row)
+        if n >= ranges.ROWS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 class ParticleReader(DataSourceReader):
     def __init__(self, options: dict):
         self.table, self.path = options.get("table", "positions"), options["path"]
@@ -69,16 +84,22 @@ class ParticleReader(DataSourceReader):
         low, beyond = self.frames
         return lambda frame: low <= frame < beyond
 
+    def _step(self, files: list[tuple[str, int]]) -> int:
+        """Bytes of a range: splitBytes, or more where that would make too many tasks."""
+        return max(self.step, min(SPLIT, -(-sum(size for _, size in files) // MOST)))
+
     def partitions(self) -> list[Part]:
         if self.suffix in ranges.BINARY:
-            out = []
-            for path, size in ranges.list_files(self.path):
+            out, files = [], list(ranges.list_files(self.path))
+            for path, size in files:
                 with ranges.open_file(path) as f:
-                    parts, n, box = ranges.BINARY[self.suffix].plan(f, size, path, self.step)
+                    parts, n, box = ranges.BINARY[self.suffix].plan(f, size, path, self._step(files))
                 out += [Part(p, size, box, n) for p in (parts if self.table == "positions" else parts[:1])]
         elif self.table == "marks":
             # an empty file has a range too
-            out = [Part(ranges.Range(path, b, min(size, b + self.step), 0, 0), size) for path, size in ranges.list_files(self.path) for b in range(0, max(1, size), self.step)]
+            files = list(ranges.list_files(self.path))
+            step = self._step(files)
+            out = [Part(ranges.Range(path, b, min(size, b + step), 0, 0), size) for path, size in files for b in range(0, max(1, size), step)]
         else:
             out = self._text_parts()
         if self.table == "positions":
@@ -134,8 +155,8 @@ class ParticleReader(DataSourceReader):
                 except FormatError as e:
                     yield batch([{"error": str(e)}])
             elif self.table == "positions":
-                for frame, step, idx, xyz in kind.points(file, size, part, self._keep()):
-                    yield self._points(path, frame, step, idx, xyz)
+                for frames in _several(kind.points(file, size, part, self._keep()), lambda p: len(p[2])):
+                    yield self._points(path, frames)
             elif self.table == "atoms":
                 rows = []
                 for a in kind.atoms(file, size, part):
@@ -147,13 +168,15 @@ class ParticleReader(DataSourceReader):
             elif self.table == "bonds":
                 yield batch([{"path": path, "i": i, "j": j} for i, j in kind.bonds(file, size, part)])
             elif self.table == "molecules":
-                for mol, name, atoms, bonds in kind.molecules(file, size, part):
-                    yield batch([{"path": path, "mol": mol, "name": name, "atoms": atoms, "bonds": bonds}])
+                for rows in _several(kind.molecules(file, size, part), lambda r: 1 + len(r[2])):
+                    yield batch([{"path": path, "mol": mol, "name": name, "atoms": atoms, "bonds": bonds} for mol, name, atoms, bonds in rows])
 
     @staticmethod
-    def _points(path: str, frame: int, step: int, idx: np.ndarray, xyz: np.ndarray) -> pa.RecordBatch:
-        n = len(idx)
-        columns = [pa.array([path] * n, pa.string()), pa.array(np.full(n, frame, np.int32)), pa.array(np.full(n, step, np.int64)), pa.array(idx), *(pa.array(np.ascontiguousarray(xyz[:, k], float)) for k in range(3))]
+    def _points(path: str, frames: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(f[2]) for f in frames]
+        number, step = (np.repeat(np.array([f[k] for f in frames], kind), sizes) for k, kind in ((0, np.int32), (1, np.int64)))
+        idx, xyz = (np.concatenate([f[k] for f in frames]) for k in (2, 3))
+        columns = [pa.array([path] * sum(sizes), pa.string()), pa.array(number), pa.array(step), pa.array(idx), *(pa.array(np.ascontiguousarray(xyz[:, k], float)) for k in range(3))]
         return pa.RecordBatch.from_arrays(columns, schema=_ARROW["positions"])
 
 

@@ -107,3 +107,41 @@ def test_water_sites_are_not_shuffled(spark):
     for most in (10_000, 40):
         box = [(r["residue_id"], round(r["x"], 6), round(r["y"], 6), round(r["z"], 6)) for r in edit.water_box(s, most=most).where("name = 'OW'").orderBy("residue_id").collect()]
         assert box == [(k + 1, *(round(at(c, g), 6) for c, g in enumerate(w))) for k, w in enumerate(want[:most])]
+
+
+def test_small_frames_and_molecules_share_batches(spark, tmp_path, monkeypatch):
+    from corpuscle.sources import datasource, ranges
+
+    frame = lambda k: f"3\nframe={k}\n" + "".join(f"C {k}.{a} 0.0 {a}.5\n" for a in range(3))
+    path = tmp_path / "a.xyz"
+    path.write_text("".join(map(frame, range(500))))
+    reader = datasource.ParticleReader({"path": f"file://{path}", "suffix": ".xyz"})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) == 1 and batches[0].num_rows == 1500
+    monkeypatch.setattr(ranges, "ROWS", 100)
+    parts = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [b.num_rows for b in parts] == [102] * 14 + [72]
+    rows = [tuple(r.values()) for b in parts for r in b.to_pylist()]
+    assert rows == [tuple(r.values()) for r in batches[0].to_pylist()]
+    assert [(r["frame"], r["idx"], r["x"], r["z"]) for r in batches[0].to_pylist()][:4] == [(0, 0, 0.0, 0.5), (0, 1, 0.1, 1.5), (0, 2, 0.2, 2.5), (1, 0, 1.0, 0.5)]
+    # ranges are as many as MOST allows, however short splitBytes is
+    marks = datasource.ParticleReader({"path": f"file://{path}", "suffix": ".xyz", "table": "marks", "splitbytes": "64"})
+    many = len(marks.partitions())
+    monkeypatch.setattr(datasource, "MOST", 10)
+    assert many > 100 and len(marks.partitions()) == 10
+
+
+def test_numbers_beyond_their_columns(spark):
+    from corpuscle.sources import formats, sinks
+
+    line = "ATOM      1  N   ALA A   1       1.770   0.000 19040.000  1.00  0.00          CL"
+    found = sinks.pdbqt_lines(spark.createDataFrame([(line,), (line.replace("19040.000", "1040.000"),), (line[:54] + "0" + line[55:77],)], "value string")).collect()
+    assert [r["line"][-2:] for r in found] == ["Cl", "Cl", "NA"]
+    ids = [99_999, 100_000, 148_750, 7, 200_001, 200_001]
+    s = points(spark, [(k, 0, 0) for k in range(len(ids))]).join(spark.createDataFrame(list(enumerate(ids)), "idx bigint, residue_id int"), "idx").select("*", F.lit("C").alias("name"), F.lit("ALA").alias("resname"))
+    text = sinks.gro_frames(s).first()["value"]
+    assert [a["residue_id"] for a in formats.parse_gro(text).atoms] == ids and [int(row[:5]) for row in text.splitlines()[2:8]] == [k % 100_000 for k in ids]
+    assert sinks.gro_frames(s.where("idx = 0")).first()["value"].startswith("system\n")
+    values = [100000.5, 100001.5, 999999.5, 0.000099999999, 2.5, 1e-7, None, float("nan"), float("-inf"), 0.1234565, 1.2345e22, -0.00012345]
+    got = sinks.generic_csv(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")).orderBy(F.col("k").cast("int")).collect()
+    assert [r["v"] for r in got] == ["100000", "100002", "1e+06", "0.0001", "2.5", "1e-07", "", "nan", "-inf", "0.123456", "1.2345e+22", "-0.00012345"]
