@@ -145,3 +145,18 @@ def test_numbers_beyond_their_columns(spark):
     values = [100000.5, 100001.5, 999999.5, 0.000099999999, 2.5, 1e-7, None, float("nan"), float("-inf"), 0.1234565, 1.2345e22, -0.00012345]
     got = sinks.generic_csv(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")).orderBy(F.col("k").cast("int")).collect()
     assert [r["v"] for r in got] == ["100000", "100002", "1e+06", "0.0001", "2.5", "1e-07", "", "nan", "-inf", "0.123456", "1.2345e+22", "-0.00012345"]
+
+
+def test_alignment_keeps_few_rows():
+    import tracemalloc
+
+    from corpuscle.operators import learn
+
+    random.seed(2)
+    a, b = ("".join(random.choice("ACDE") for _ in range(1200)) for _ in "ab")
+    tracemalloc.start()
+    score, x, y = learn.align(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # three whole tables are 35 MB
+    assert most < 10e6 and (x.replace("-", ""), y.replace("-", "")) == (a, b) and len(x) == len(y) and score > 0
