@@ -3,9 +3,11 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import spatial
+from corpuscle.sources.store import materialize
 
 
 def plan(df):
@@ -47,6 +49,26 @@ def test_cell_join_at_edges(spark):
     assert s.select(*copies).agg(F.max(F.greatest(*"xyz"))).first()[0] <= 1
 
 
+@pytest.fixture
+def low_estimates(spark):
+    """The planner takes every table to be small enough for a broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 60))
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_interactions_never_broadcast_atoms(spark, low_estimates):
+    from corpuscle.operators import interactions
+
+    kinds = "N H CL C O".split()
+    s = materialize(points(spark, [(k * 1.0, 0, 0) for k in range(40)]), "points").select("*", F.element_at(F.array(*map(F.lit, kinds)), (F.col("idx") % 5 + 1).cast("int")).alias("element"), F.lit("ALA").alias("resname"), F.lit(1).alias("residue_id"), (F.col("idx") < 20).alias("in_a"), (F.col("idx") >= 20).alias("in_b"))
+    for found in (interactions.halogen_bonds(s), interactions.hbonds(s), interactions.contacts(s)):
+        assert "Broadcast" not in plan(found)
+    # chlorine k lies one from carbon k + 1, and meets nitrogen and oxygen of the other group up to 3.5 away
+    want = {(i, j, i + 1) for i in range(2, 40, 5) for j in range(40) if j % 5 in (0, 4) and (i < 20) != (j < 20) and abs(i - j) <= 3.5}
+    assert {(r["i"], r["j"], r["c"]) for r in interactions.halogen_bonds(s).collect()} == want and want
+
+
 def test_surfaces_and_regions_never_broadcast_atoms(spark, monkeypatch):
     from corpuscle.operators import grids, surface
 
