@@ -1,5 +1,7 @@
 """What must not grow: copies of points, broadcasts of tables that explode, and rows that steps make again."""
 
+import itertools
+import math
 import random
 import re
 
@@ -69,6 +71,22 @@ def test_interactions_never_broadcast_atoms(spark, low_estimates):
     assert {(r["i"], r["j"], r["c"]) for r in interactions.halogen_bonds(s).collect()} == want and want
 
 
+def test_pockets_never_broadcast_points(spark, low_estimates):
+    from corpuscle.operators import grids
+
+    # atoms on the faces of a cube enclose one pocket
+    side = range(0, 13, 2)
+    shell = [(x, y, z) for x in side for y in side for z in side if {x, y, z} & {0, 12}]
+    s = materialize(points(spark, shell), "points").withColumn("element", F.lit("C"))
+    assert "Broadcast" not in plan(grids.pocket_points(s))
+    sites = grids.binding_sites(s)
+    assert "Broadcast" not in plan(sites)
+    rows = grids.pocket_points(s).select("x", "y", "z").collect()
+    want = [p for p in itertools.product(*[[-3.4 + k for k in range(20)]] * 3) if all(math.dist(p, a) >= 3.1 for a in shell) and sum(math.dist(p, a) < 6.7 for a in shell) >= 5]
+    assert {tuple(round(v, 6) for v in r) for r in rows} == {tuple(round(v, 6) for v in p) for p in want} and want
+    assert sum(r["volume"] for r in sites.collect()) <= len(rows)
+
+
 def test_surfaces_and_regions_never_broadcast_atoms(spark, monkeypatch):
     from corpuscle.operators import grids, surface
 
