@@ -1,6 +1,8 @@
-"""Superposition of many frames: no group a frame."""
+"""Superposition and divergence of many frames: no group a frame, no row a pair."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import trajectory
@@ -30,3 +32,39 @@ def test_superimpose_in_batches(spark):
             fit = [a for a in own if not some or a in some]
             r, t = trajectory.rotation(x[f][fit], x[0][fit])
             assert np.allclose([rows[f, a] for a in own], x[f][own] @ r.T + t)
+
+
+@pytest.mark.parametrize("block", [None, 5])
+def test_divergent_frames_equal_brute_force(spark, block):
+    """Copies, whose distance is zero and which tie, and frames far from the origin; no row leaves a pair of blocks for a pair of frames."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 3, 3)) + 1e4
+    x = np.concatenate([x, x[[0, 3, 3, 7]], x[:4]])
+    want = sorted((-float(np.sqrt(((x[i] - x[j]) ** 2).sum() / 3)), i, j) for i in range(20) for j in range(i + 1, 20))
+    s = table(spark, x)
+    for top in (3, 10):
+        pairs, mean = trajectory.divergent_frames(s, top, block=block)
+        rows = sorted((-r["rmsd"], r["i"], r["j"]) for r in pairs.collect())
+        assert [r[1:] for r in rows] == [w[1:] for w in want[:top]] and np.allclose([r[0] for r in rows], [w[0] for w in want[:top]])
+    above = [-w[0] for w in want if w[0] < 0]
+    assert len(above) < len(want) and mean.first()["mean"] == pytest.approx(np.mean(above), rel=1e-9)
+    assert trajectory.divergent_frames(table(spark, x[:1]))[1].first()["mean"] is None
+    # equal frames alone: all pairs are ties at zero
+    pairs, mean = trajectory.divergent_frames(table(spark, x[[0] * 6]), 4, block=block)
+    assert [(r["i"], r["j"], r["rmsd"]) for r in pairs.collect()] == [(0, 1, 0), (0, 2, 0), (0, 3, 0), (0, 4, 0)] and mean.first()["mean"] is None
+
+
+def test_divergent_frames_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(trajectory, "TILE_ROWS", 4)
+    monkeypatch.setattr(trajectory, "TILE_COLUMNS", 8)
+    x = np.random.default_rng(6).integers(0, 3, (40, 2, 3)).astype(float)
+    s = table(spark, x)
+    for align in (False, True):
+        matrix = trajectory.rmsd_matrix(s, align)
+        t = pd.DataFrame({"coords": list(x.reshape(40, -1)), "n": [1] * 40, "ids": [[k] for k in range(40)]})
+        count, total, best = trajectory.block_divergence(t, t, True, 5, align)
+        want = sorted((-round(r["rmsd"], 6), r["i"], r["j"]) for r in matrix.collect())
+        assert total == pytest.approx(-sum(w[0] for w in want), rel=1e-5) and len(best) == 5
+        assert [round(b[0], 5) for b in best] == [round(-w[0], 5) for w in want[:5]]
+        if not align:
+            assert [b[1:] for b in best] == [w[1:] for w in want[:5]]
