@@ -1,11 +1,13 @@
 """Superposition and divergence of many frames: no group a frame, no row a pair."""
 
+from unittest.mock import MagicMock
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import trajectory
+from corpuscle.operators import learn, trajectory
 
 
 def table(spark, x, first=0):
@@ -68,3 +70,13 @@ def test_divergent_frames_in_tiles(spark, monkeypatch):
         assert [round(b[0], 5) for b in best] == [round(-w[0], 5) for w in want[:5]]
         if not align:
             assert [b[1:] for b in best] == [w[1:] for w in want[:5]]
+
+
+def test_ward_blocks_grow_slower_than_frames(monkeypatch):
+    """A round shuffles each frame once a block: blocks are no more than before for few frames, and a quarter for many."""
+    made = []
+    monkeypatch.setattr(learn, "deal_blocks", lambda rows, key, blocks: made.append(blocks) or (_ for _ in ()).throw(StopIteration))
+    for count, most in ((5000, 4), (10256, 4), (102564, 13), (615384, 19)):
+        with pytest.raises(StopIteration):
+            learn._ward_round(MagicMock(), count, min(learn.WARD_BLOCK, learn.WARD_VALUES // 63))
+        assert made[-1] <= most
