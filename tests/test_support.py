@@ -1,6 +1,7 @@
 """Support vectors fitted by rounds over all rows, held against one solver over one kernel."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -49,3 +50,20 @@ def test_support_in_blocks(spark, monkeypatch):
     assert scores["cv_rmse"] == pytest.approx(0, abs=0.1) and model.stages[0].support.count() > 0
     assert {r["predicted"] for r in learn.predict(flat, rows, ["a"]).collect()} == {2.0}
     assert flat.transform(rows.limit(0).withColumn("raw", array_to_vector(F.array("a")))).count() == 0
+
+
+def test_features_never_pass_the_driver(spark, monkeypatch):
+    """What the driver gets of a round is weights and a few slopes of each block; a set is no larger than it may be, however many rows tie."""
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, [float(v) for v in r.normal(size=5)], float(k % 9)) for k in range(120)], "n int, v array<double>, y double")
+    seen, kind = [], type(rows)
+    given = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda df: (seen.append(df.columns), given(df))[1])
+    learn.fit_model(rows, "v", "y", "n", "svr", working=40)
+    assert seen and not any("raw" in columns for columns in seen)
+
+    flat = [kernels._Block(np.arange(k, k + 300), np.zeros((300, 1)), np.full(300, float(k)), np.zeros(300, int), np.zeros((300, 2)), np.zeros((300, 2))) for k in (0, 300)]
+    known = pd.DataFrame([{"first": int(b.ids[0]), "slopes": b.written(1.0, 0.1)[-1]} for b in flat])
+    gaps, offsets, quotas = kernels._quotas(known, 2, 250, 1e-3)
+    # fold 0 leaves all rows out; of the other fit one block rises most and the other falls most, 250 rows each
+    assert [q.tolist() for q in quotas.values()] == [[[0, 0], [0, 250]], [[0, 0], [250, 0]]] and gaps[1] == pytest.approx(299.8) and offsets[1] == pytest.approx(150)
