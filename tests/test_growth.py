@@ -200,3 +200,19 @@ def test_alignment_keeps_few_rows():
     tracemalloc.stop()
     # three whole tables are 35 MB
     assert most < 10e6 and (x.replace("-", ""), y.replace("-", "")) == (a, b) and len(x) == len(y) and score > 0
+
+
+def far_cages(spark, n, apart):
+    """n cubes of carbon atoms, each of which encloses one pocket, so far apart that one grid over all has more than 1024 points an axis."""
+    side = range(0, 13, 2)
+    shell = [(x, y, z) for x in side for y in side for z in side if {x, y, z} & {0, 12}]
+    return shell, points(spark, [(x + apart * k, y, z) for k in range(n) for x, y, z in shell]).withColumn("element", F.lit("C"))
+
+
+def test_grids_of_wide_frames_are_as_fine_as_others(spark):
+    from corpuscle.operators import grids
+
+    shell, s = far_cages(spark, 3, 900)
+    own = [p for p in itertools.product(*[[-3.4 + k for k in range(20)]] * 3) if all(math.dist(p, a) >= 3.1 for a in shell) and sum(math.dist(p, a) < 6.7 for a in shell) >= 5]
+    rows = grids.pocket_points(s).select("x", "y", "z").collect()
+    assert {tuple(round(v, 6) for v in r) for r in rows} == {(round(x + 900 * k, 6), round(y, 6), round(z, 6)) for k in range(3) for x, y, z in own} and len(rows) == 3 * len(own)
