@@ -213,6 +213,26 @@ def test_grids_of_wide_frames_are_as_fine_as_others(spark):
     from corpuscle.operators import grids
 
     shell, s = far_cages(spark, 3, 900)
-    own = [p for p in itertools.product(*[[-3.4 + k for k in range(20)]] * 3) if all(math.dist(p, a) >= 3.1 for a in shell) and sum(math.dist(p, a) < 6.7 for a in shell) >= 5]
+    line = [-3.4 + k for k in range(20)]
+    own = [p for p in itertools.product([-3.4 + k for k in range(-6, 26)], line, line) if all(math.dist(p, a) >= 3.1 for a in shell) and sum(math.dist(p, a) < 6.7 for a in shell) >= 5]
+    want = {(round(x + 900 * k, 6), round(y, 6), round(z, 6)) for k in range(3) for x, y, z in own if -3.5 < x + 900 * k < 1815.7}
     rows = grids.pocket_points(s).select("x", "y", "z").collect()
-    assert {tuple(round(v, 6) for v in r) for r in rows} == {(round(x + 900 * k, 6), round(y, 6), round(z, 6)) for k in range(3) for x, y, z in own} and len(rows) == 3 * len(own)
+    assert {tuple(round(v, 6) for v in r) for r in rows} == want and len(rows) == len(want) and want
+
+
+def test_sites_of_wide_frames_are_all_given(spark):
+    from corpuscle.operators import grids
+
+    _, s = far_cages(spark, 6, 40)
+    left = {(r["gx"], r["gy"], r["gz"]): (r["x"], r["y"], r["z"]) for r in grids.pocket_points(s).collect()}
+    steps, sizes = [o for o in itertools.product(range(-3, 4), repeat=3) if any(o)], []
+    while left:
+        todo, n = [left.popitem()], 0
+        while todo:
+            (g, p), n = todo.pop(), n + 1
+            near = [q for o in steps if (q := tuple(a + b for a, b in zip(g, o, strict=True))) in left and sum((a - b) * (a - b) for a, b in zip(p, left[q], strict=True)) < 9]
+            todo += [(q, left.pop(q)) for q in near]
+        sizes.append(float(n))
+    rows = grids.binding_sites(s, least=1.0).collect()
+    assert sorted(r["volume"] for r in rows) == sorted(sizes) and sorted(r["rank"] for r in rows) == list(range(1, len(sizes) + 1)) and len(sizes) > 10
+    assert len(grids.binding_sites(s, least=1.0, most=3).collect()) == 3
