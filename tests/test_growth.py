@@ -236,3 +236,14 @@ def test_sites_of_wide_frames_are_all_given(spark):
     rows = grids.binding_sites(s, least=1.0).collect()
     assert sorted(r["volume"] for r in rows) == sorted(sizes) and sorted(r["rank"] for r in rows) == list(range(1, len(sizes) + 1)) and len(sizes) > 10
     assert len(grids.binding_sites(s, least=1.0, most=3).collect()) == 3
+
+
+def test_wide_boxes_are_filled_with_water(spark):
+    from corpuscle.operators import edit
+
+    s = points(spark, [(0, 0, 0), (70, 70, 70)]).select("*", *(F.lit(v).alias(c) for c, v in (("element", "O"), ("name", "O"), ("resname", "LIG"), ("residue_id", 1), ("chain_id", "A"))))
+    sites = edit.water_sites(s).count()
+    whole = edit.solvate(s)
+    assert sites > 20_000 and whole.count() == 2 + 3 * sites
+    assert whole.agg(F.max("idx"), F.count_distinct("idx")).first() == (1 + 3 * sites, 2 + 3 * sites)
+    assert edit.water_box(s, most=10_000).count() == 30_000
