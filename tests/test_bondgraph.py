@@ -225,3 +225,16 @@ def test_rings_are_shared_as_a_whole(spark):
     ring = [(k, (k + 1) % 6, 1) for k in range(6)]
     other = g.heavy(spark.createDataFrame([row(0, ["C"] * 8, ring + [(0, 6, 1), (6, 7, 1)]), row(1, ["C"] * 5, [(k, k + 1, 1) for k in range(4)])], SCHEMA))
     assert {r["n_bonds"] for r in g.common_substructure(other).collect()} == {2}
+
+
+def test_similarities_are_of_all_molecules(spark):
+    """Every molecule is a query: each meets itself, and as many as meet it."""
+    import tempfile
+
+    from corpuscle.plans import files
+
+    with tempfile.TemporaryDirectory() as d:
+        spark.range(1, 31).withColumnRenamed("id", "p_partkey").write.parquet(f"{d}/part.parquet")
+        rows = {(r["mol_a"], r["mol_b"]): r["similarity"] for r in files.QUERIES["fingerprint_similarity"](spark, d).collect()}
+    assert {a for a, _ in rows} == set(range(1, 31)) and all(rows[k, k] == 1 for k in range(1, 31))
+    assert all(rows[b, a] == s for (a, b), s in rows.items()) and len(rows) > 30
