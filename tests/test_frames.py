@@ -80,3 +80,12 @@ def test_ward_blocks_grow_slower_than_frames(monkeypatch):
         with pytest.raises(StopIteration):
             learn._ward_round(MagicMock(), count, min(learn.WARD_BLOCK, learn.WARD_VALUES // 63))
         assert made[-1] <= most
+
+
+def test_matrices_shuffle_few_copies(spark, monkeypatch):
+    counts = []
+    deal = trajectory.deal_blocks
+    monkeypatch.setattr(trajectory, "deal_blocks", lambda rows, key, blocks: (counts.append(blocks), deal(rows, key, blocks))[1])
+    s = spark.range(3000).select("id", F.col("id").alias("frame"), F.lit(0).alias("idx"), *(F.col("id").cast("double").alias(c) for c in "xyz"))
+    assert trajectory.rmsd_matrix(s, False).agg(F.count("*"), F.max("j"), F.sum((F.col("rmsd") > 0).cast("int"))).first() == (3000 * 2999 // 2, 2999, 3000 * 2999 // 2) and counts == [3]
+    assert {(r['i'], r['j'], r['rmsd']) for r in trajectory.rmsd_matrix(s.where('id < 3'), False, digits=4).collect()} == {(0, 1, 1.7321), (0, 2, 3.4641), (1, 2, 1.7321)}
