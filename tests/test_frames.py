@@ -82,6 +82,20 @@ def test_ward_blocks_grow_slower_than_frames(monkeypatch):
         assert made[-1] <= most
 
 
+def test_aligned_matrices_decompose_few_pairs(monkeypatch):
+    r = np.random.default_rng(4)
+    a, b = r.normal(0, 5, (40, 7, 3)), r.normal(0, 5, (30, 7, 3))
+    b[0], b[1], b[2] = a[0], -a[1], a[2] * [1, 1, 0]  # alike, mirrored, flat
+    svd, seen = np.linalg.svd, []
+    x, y = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    h = np.einsum("ikc,jkd->ijcd", x, y)
+    values = svd(h, compute_uv=False)
+    values[..., 2] *= np.sign(np.linalg.det(h))
+    want = np.sqrt(np.maximum((x * x).sum((1, 2))[:, None] + (y * y).sum((1, 2))[None] - 2 * values.sum(-1), 0) / 7)
+    monkeypatch.setattr(np.linalg, "svd", lambda h, **k: (seen.append(len(h)), svd(h, **k))[1])
+    assert np.abs(trajectory.block_rmsd(a, b, True) - want).max() < 1e-6 and 0 < sum(seen) < 200
+
+
 def test_matrices_shuffle_few_copies(spark, monkeypatch):
     counts = []
     deal = trajectory.deal_blocks
