@@ -441,13 +441,18 @@ def common_substructure(molecules: DataFrame, whole_rings: bool = True) -> DataF
     Atoms match by element, bonds by order and by whether they are in a ring; whole_rings: a ring is shared as a whole or not at all.
     Sets grow bond by bond: a level's sets are those of the level before and a neighbouring bond, each once, named alike in all
     molecules, and only names that every molecule has grow on. A part of a shared set is shared, so none is missed; of equally
-    large ones the least name counts. The sets of a molecule are many where much of it is shared, so this is for molecules, not polymers.
+    large ones the least name counts. Molecules with the same elements and bonds in the same order are one graph, grown once.
+    The sets of a molecule are many where much of it is shared, so this is for molecules, not polymers.
     """
     keys = mol_keys(molecules)
-    n = molecules.count()
+    graph = F.struct(F.transform("atoms", lambda a: a["element"]).alias("labels"), "bonds").alias("graph")
+    own = materialize(molecules.select(*keys, graph), "graphs")
+    n = own.count()
     if n < 2:
         raise ValueError("a common substructure needs two molecules at least")
-    graph = materialize(molecules.select(*keys, F.monotonically_increasing_id().alias("_m"), "atoms", "bonds"), "graphs")
+    kinds = materialize(own.select("graph").distinct().select(F.monotonically_increasing_id().alias("_m"), "graph"), "kinds")
+    graph = kinds.select("_m", F.transform("graph.labels", lambda e: F.struct(e.alias("element"))).alias("atoms"), "graph.bonds")
+    different = kinds.count()
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +470,7 @@ def common_substructure(molecules: DataFrame, whole_rings: bool = True) -> DataF
     best, held = None, graph.withColumn("sets", F.lit(None).cast("array<array<int>>"))
     while True:
         level = materialize(held.mapInArrow(grow, "_m bigint, bond_set array<int>, name string, whole boolean, atom_set array<int>"), "level")
-        names = level.groupBy("name", "whole").agg(F.countDistinct("_m").alias("n")).where(F.col("n") == n)
+        names = level.groupBy("name", "whole").agg(F.countDistinct("_m").alias("n")).where(F.col("n") == different)
         shared = materialize(level.join(names.select("name"), "name"), "shared")
         discard(level)
         if shared.isEmpty():
@@ -475,7 +480,7 @@ def common_substructure(molecules: DataFrame, whole_rings: bool = True) -> DataF
             best = good.where(F.col("name") == first).groupBy("_m").agg(F.min(F.struct("atom_set", "bond_set")).alias("s")), first
         held = graph.join(m.large(shared.groupBy("_m").agg(F.collect_list("bond_set").alias("sets"))), "_m")
     if best is None:
-        return graph.limit(0).select(F.lit("").alias("smarts"), *(F.lit(0).alias(c) for c in ("n_atoms", "n_bonds")), F.lit(0).cast("bigint").alias("n_molecules"), *keys, F.array().cast("array<int>").alias("atom_map"))
+        return own.limit(0).select(F.lit("").alias("smarts"), *(F.lit(0).alias(c) for c in ("n_atoms", "n_bonds")), F.lit(0).cast("bigint").alias("n_molecules"), *keys, F.array().cast("array<int>").alias("atom_map"))
     places, name = best
-    found = graph.select("_m", *keys).join(m.large(places), "_m")
+    found = own.join(m.large(kinds), "graph").join(m.large(places), "_m")
     return found.select(F.lit(name).alias("smarts"), F.size("s.atom_set").alias("n_atoms"), F.size("s.bond_set").alias("n_bonds"), F.lit(n).cast("bigint").alias("n_molecules"), *keys, F.col("s.atom_set").alias("atom_map"))

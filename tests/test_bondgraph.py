@@ -238,3 +238,12 @@ def test_similarities_are_of_all_molecules(spark):
         rows = {(r["mol_a"], r["mol_b"]): r["similarity"] for r in files.QUERIES["fingerprint_similarity"](spark, d).collect()}
     assert {a for a, _ in rows} == set(range(1, 31)) and all(rows[k, k] == 1 for k in range(1, 31))
     assert all(rows[b, a] == s for (a, b), s in rows.items()) and len(rows) > 30
+
+
+def test_equal_graphs_grow_once(spark, monkeypatch):
+    seen, keep = [], g.materialize
+    monkeypatch.setattr(g, "materialize", lambda df, name: (out := keep(df, name), seen.append((name, out.count())))[0])
+    heavy = g.heavy(spark.createDataFrame([row(k, *CASES[4 + k % 2]) for k in range(40)], SCHEMA))
+    found = g.common_substructure(heavy).collect()
+    assert len(found) == 40 and {(r["n_molecules"], tuple(r["atom_map"])) for r in found} == {(40, (0, 1, 2, 3, 4, 5))}
+    assert dict(seen[:2]) == {"graphs": 40, "kinds": 2} and max(k for name, k in seen if name == "level") < 100
